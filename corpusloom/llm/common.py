@@ -61,28 +61,34 @@ def slices(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             at += part.num_rows
 
 
-class Memo(dict):
-    """A bounded word memo: word -> value. Filled in bulk and emptied when full, so memory stays flat."""
+class Memo:
+    """A bounded word memo: word -> value, filled in bulk for the words of a slice that it lacks.
+
+    Two generations: when the young one is half of `most`, it becomes the old one; a word met again moves back. So words
+    in use stay, and memory is flat. Words too long to recur are not kept.
+    """
 
     def __init__(self, fill, most: int = 400_000, longest: int = 256):
-        super().__init__()
-        self.fill, self.most, self.longest, self.long = fill, most, longest, []
-
-    def want(self, words: set[str]) -> None:
-        """Hold the value of each of these words, all the words of a slice."""
-        missing = [w for w in words if w not in self]
-        if len(self) + len(missing) > self.most:
-            self.clear()
-            missing = list(words)
+        self.fill, self.most, self.longest = fill, most, longest
+        self.young: dict = {}
+        self.old: dict = {}
+
+    def values(self, lists: list[list]) -> list[list]:
+        """The value of every word of every list."""
+        out = [list(map(self.young.get, own)) for own in lists]
+        open_ = [i for i, values in enumerate(out) if not all(values)]
+        missing = {w for i in open_ for w, v in zip(lists[i], out[i], strict=True) if v is None}
         if missing:
-            self.update(zip(missing, self.fill(missing), strict=True))
-            self.long += [w for w in missing if len(w) > self.longest]
-
-    def trim(self) -> None:
-        """After a slice: words too long to recur are not kept."""
-        for w in self.long:
-            self.pop(w, None)
-        self.long.clear()
+            old = self.old
+            fresh = {w: old[w] for w in missing if w in old}
+            unknown = [w for w in missing if w not in fresh]
+            fresh.update(zip(unknown, self.fill(unknown), strict=True))
+            for i in open_:
+                out[i] = [fresh[w] if v is None else v for w, v in zip(lists[i], out[i], strict=True)]
+            if len(self.young) + len(fresh) > self.most // 2:
+                self.old, self.young = self.young, {}
+            self.young.update((w, v) for w, v in fresh.items() if len(w) <= self.longest)
+        return out
 
 
 def list_array(flat: np.ndarray, lengths: np.ndarray, kind: pa.DataType) -> pa.ListArray:

@@ -18,6 +18,9 @@ from .common import Memo, quiet_tokenizers, tokenizer_file
 _LETTERS = "[A-Za-zÀ-ÖØ-öø-ÿ]+(?=[\\s!-/:-@\\[-`{-~]|$)"
 _BYTE_UNITS = re.compile(f" ?{_LETTERS}| ?\\S+|\\s+(?!\\S)|\\s+")
 _WORD_UNITS = re.compile(f"{_LETTERS}|\\S+")
+_LATIN = re.compile(" ?[A-Za-zÀ-ÖØ-öø-ÿ]+")
+#: Units in one call of the library; lines of some ten thousand characters are encoded fastest.
+LINE = 2000
 _ODD_SPACE = re.compile("[\x1c-\x1f]")
 _HELD: dict[tuple[str, str], Encoder] = {}
 
@@ -27,7 +30,7 @@ class Encoder:
 
     def __init__(self, name: str, path: str | None = None):
         quiet_tokenizers()
-        from tokenizers import Tokenizer
+        from tokenizers import Tokenizer, pre_tokenizers
 
         self.tokenizer = Tokenizer.from_file(tokenizer_file(name, path))
         self.tokenizer.encode_special_tokens = True
@@ -35,7 +38,14 @@ class Encoder:
         self.mark = "\x01" if self.words else "\n"
         self.mark_text = " \x01 " if self.words else "\n"
         (self.mark_id,) = self.tokenizer.encode(self.mark, add_special_tokens=False).ids
-        self.memo = Memo(self._encode, most=800_000)
+        self.plain = Tokenizer.from_file(tokenizer_file(name, path))
+        self.plain.encode_special_tokens = True
+        if self.words:
+            self.plain.normalizer = None
+        self.plain.pre_tokenizer = pre_tokenizers.Sequence([pre_tokenizers.WhitespaceSplit(), pre_tokenizers.ByteLevel(add_prefix_space=not self.words, use_regex=False)])
+        edge = [t.endswith("</w>") if self.words else t.startswith("\u0120") for t in map(self.tokenizer.id_to_token, range(self.tokenizer.get_vocab_size()))]
+        self.edge = np.array(edge)
+        self.memo = Memo(self._encode, most=900_000)
 
     @staticmethod
     def held(name: str, path: str | None = None) -> Encoder:
@@ -47,12 +57,32 @@ class Encoder:
         return [np.array(e.ids, "<u4").tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
     def _encode(self, units: list[str]) -> list[bytes]:
-        """Ids of each unit. Units without white space (but for one leading space) and without the mark are encoded
-        in long lines, with a mark between that is always a token of its own, and the ids are cut at the marks."""
-        plain = [i for i, u in enumerate(units) if self.mark not in u and not u.isspace() and self.mark_text not in u]
         out: list[bytes] = [b""] * len(units)
-        for at in range(0, len(plain), 4096):
-            own = plain[at : at + 4096]
+        letters = [i for i, u in enumerate(units) if _LATIN.fullmatch(u) and (self.words or u[0] == " ")]
+        self._lines(units, letters, out)
+        self._marked(units, sorted(set(range(len(units))).difference(letters)), out)
+        return out
+
+    def _lines(self, units: list[str], chosen: list[int], out: list[bytes]) -> None:
+        """Latin words are pre-tokens of their own: they go to the library's model in long lines, past its pattern, and
+        the ids are cut where a token ends a word (or, with byte-level tokens, begins with a space)."""
+        for at in range(0, len(chosen), LINE):
+            own = chosen[at : at + LINE]
+            flat = np.array(self.plain.encode("".join([units[i] for i in own]) if not self.words else " ".join([units[i] for i in own]).lower(), add_special_tokens=False).ids, "<u4")
+            cuts = 4 * np.flatnonzero(self.edge[flat])
+            cuts = [0, *(cuts + 4).tolist()] if self.words else [*cuts.tolist(), 4 * len(flat)]
+            if len(cuts) != len(own) + 1:
+                raise AssertionError("a word must have one edge")
+            data = flat.tobytes()
+            for i, a, b in zip(own, cuts[:-1], cuts[1:], strict=True):
+                out[i] = data[a:b]
+
+    def _marked(self, units: list[str], chosen: list[int], out: list[bytes]) -> None:
+        """Other units without white space (but for one leading space) go in lines with a mark between that is always a
+        token of its own, and the ids are cut at the marks; the rest one by one."""
+        plain = [i for i in chosen if self.mark not in units[i] and not units[i].isspace()]
+        for at in range(0, len(plain), LINE):
+            own = plain[at : at + LINE]
             flat = np.array(self.tokenizer.encode(self.mark_text.join([units[i] for i in own]), add_special_tokens=False).ids, "<u4")
             cuts = np.flatnonzero(flat == self.mark_id)
             if len(cuts) != len(own) - 1:
@@ -60,17 +90,13 @@ class Encoder:
             data = flat.tobytes()
             for i, a, b in zip(own, [0, *(4 * cuts + 4).tolist()], [*(4 * cuts).tolist(), len(data)], strict=True):
                 out[i] = data[a:b]
-        rest = sorted(set(range(len(units))).difference(plain))
+        rest = sorted(set(chosen).difference(plain))
         for i, ids in zip(rest, self._whole([units[i] for i in rest]), strict=True):
             out[i] = ids
-        return out
 
     def ids(self, texts: list[str]) -> list[bytes]:
         """Ids of each text as little-endian unsigned 32-bit integers."""
         cut = (_WORD_UNITS if self.words else _BYTE_UNITS).findall
-        parts = [None if _ODD_SPACE.search(t) else cut(t) for t in texts]
-        self.memo.want({u for p in parts if p for u in p})
-        get = self.memo.__getitem__
-        out = [self._whole([t])[0] if p is None else b"".join(map(get, p)) for t, p in zip(texts, parts, strict=True)]
-        self.memo.trim()
-        return out
+        odd = {i for i, t in enumerate(texts) if _ODD_SPACE.search(t)}
+        found = self.memo.values([[] if i in odd else cut(t) for i, t in enumerate(texts)])
+        return [self._whole([t])[0] if i in odd else b"".join(ids) for i, (t, ids) in enumerate(zip(texts, found, strict=True))]

@@ -17,6 +17,7 @@ from __future__ import annotations
 
 import hashlib
 import re
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -54,8 +55,17 @@ class PieceModel:
         for p in self.id:
             self.trie.add_word(p, len(p))
         self.chars = {p for p in self.id if len(p) == 1}
-        self.left_alone: dict[tuple[str, str], bool] = {}
-        self.words = Memo(lambda words: [self._word(w) for w in words])
+        self.size = list(map(len, self.text))
+        self.most = max(map(len, self.id))
+        #: Every path in the trie, with the longest piece it begins with; every piece, with the next shorter one (0: none).
+        self.longest_in: dict[str, int] = {"": 0}
+        for p in sorted(self.id, key=len):
+            for k in range(1, len(p) + 1):
+                self.longest_in[p[:k]] = self.id.get(p[:k]) or self.longest_in[p[: k - 1]]
+        self.shorter = [self.longest_in.get(p[:-1], 0) if i else 0 for i, p in enumerate(self.text)]
+        self.left_alone: dict[int, bool] = {}
+        self.edges: dict[int, tuple | None] = {}
+        self.words = Memo(lambda words: [self._word(w) for w in words], most=600_000)
         self.shown = [self._shown(i) for i in range(len(self.text))]
 
     @staticmethod
@@ -66,8 +76,8 @@ class PieceModel:
 
     # encoding
 
-    def merged(self, text: str) -> list[str]:
-        """Plain merging, best rank first, leftmost first among equals."""
+    def merged(self, text: str, steps: list[tuple[float, str, str]] | None = None) -> list[str]:
+        """Plain merging, best rank first, leftmost first among equals. steps: gets rank and both parts of each merge."""
         parts, rank = list(text), self.rank
         while len(parts) > 1:
             best, at = None, -1
@@ -77,55 +87,101 @@ class PieceModel:
                     best, at = r, i
             if at < 0:
                 break
+            if steps is not None:
+                steps.append((best, parts[at], parts[at + 1]))
             parts[at : at + 2] = [parts[at] + parts[at + 1]]
         return parts
 
-    def compatible(self, left: str, right: str) -> bool:
-        """Whether merging their joined text anew gives these two again."""
-        key = (left, right)
+    def spines(self, token: int) -> tuple[list[tuple[str, float]], list[tuple[str, float]]] | None:
+        """The symbols at the left and at the right edge of a token while it is merged, from one character to the whole,
+        each with the rank at which the next replaces it. None if the token's merges do not come in order of rank."""
+        if token not in self.edges:
+            text, steps = self.text[token], []
+            found = self.merged(text, steps)
+            ranks = [r for r, _, _ in steps]
+            if found != [text] or ranks != sorted(ranks):
+                self.edges[token] = None
+            else:
+                grown = {a + b: (a, b, r) for r, a, b in steps}
+                both = []
+                for side in (0, 1):
+                    line, at, following = [], text, float("inf")
+                    while True:
+                        line.append((at, following))
+                        if at not in grown:
+                            break
+                        at, following = grown[at][side], grown[at][2]
+                    both.append(line[::-1])
+                self.edges[token] = tuple(both)
+        return self.edges[token]
+
+    def compatible(self, left: int, right: int) -> bool:
+        """Whether merging the joined text of two tokens anew gives these two again. left = 0: whether merging the
+        token's own text gives the token (0 is no normal piece).
+
+        The border is crossed if at some time the symbols on its two sides merge before either is replaced."""
+        key = left << 16 | right
         known = self.left_alone.get(key)
         if known is None:
             if len(self.left_alone) > 1_000_000:
                 self.left_alone.clear()
-            known = self.left_alone[key] = self.merged(left + right) == [left, right]
+            known = self.left_alone[key] = self._compatible(left, right)
         return known
 
-    def reachable(self, token: str) -> bool:
-        """Whether merging the token's own text gives the token; kept as the pair ("", token)."""
-        known = self.left_alone.get(("", token))
-        if known is None:
-            known = self.left_alone["", token] = self.merged(token) == [token]
-        return known
+    def _compatible(self, left: int, right: int) -> bool:
+        if not left:
+            return self.merged(self.text[right]) == [self.text[right]]
+        one, two, rank = self.spines(left), self.spines(right), self.rank
+        if one is None or two is None:
+            return self.merged(self.text[left] + self.text[right]) == [self.text[left], self.text[right]]
+        a, b = iter(one[1]), iter(two[0])
+        (x, x_until), (y, y_until) = next(a), next(b)
+        never = float("inf")
+        while True:
+            across = rank.get(x + y)
+            if across is not None and across < x_until and across <= y_until:
+                return False
+            if x_until <= y_until:
+                if x_until == never:
+                    return True
+                x, x_until = next(a)
+            else:
+                y, y_until = next(b)
 
-    def backtracked(self, text: str) -> list[str]:
+    def backtracked(self, text: str) -> list[int]:
         """The merge encoding of a text whose characters are all in the vocabulary."""
-        longest, vocabulary, n = self.trie.longest_prefix, self.id, len(text)
-        failed = bytearray((n >> 3) + 1)
-        tokens: list[str] = []
-        at, size = 0, longest(text[:64])
+        path, longest_in, shorter, size, n, most = self.trie.longest_prefix, self.longest_in, self.shorter, self.size, len(text), self.most
+        pairs, failed = self.left_alone, None
+        tokens: list[int] = []
+        at, last = 0, 0
         while at < n:
-            last = tokens[-1] if tokens else ""
-            while size:
-                token = text[at : at + size]
-                end = at + size
-                if token in vocabulary and not failed[end >> 3] >> (end & 7) & 1 and (self.compatible(last, token) if last else self.reachable(token)):
+            part = text[at : at + most]
+            token = longest_in[part[: path(part)]]
+            while True:
+                while token:
+                    if not failed or not failed[at + size[token] >> 3] >> (at + size[token] & 7) & 1:
+                        fits = pairs.get(last << 16 | token)
+                        if fits or fits is None and self.compatible(last, token):
+                            break
+                    token = shorter[token]
+                if token:
                     break
-                size -= 1
-            if size:
-                tokens.append(token)
-                at = end
-                size = longest(text[at : at + 64])
-            else:
+                if failed is None:
+                    failed = bytearray((n >> 3) + 1)
                 failed[at >> 3] |= 1 << (at & 7)
                 token = tokens.pop()
-                at -= len(token)
-                size = len(token) - 1
+                at -= size[token]
+                last = tokens[-1] if tokens else 0
+                token = shorter[token]
+            tokens.append(token)
+            at += size[token]
+            last = token
         return tokens
 
     def _word(self, word: str) -> bytes:
         ids: list[int] = []
         if self.chars.issuperset(word):
-            ids = [self.id[t] for t in self.backtracked(word)]
+            ids = self.backtracked(word)
         else:
             run = ""
             for ch in [*word, ""]:
@@ -133,11 +189,11 @@ class PieceModel:
                     run += ch
                     continue
                 if run:
-                    ids += [self.id[t] for t in self.backtracked(run)]
+                    ids += self.backtracked(run)
                     run = ""
                 if ch:
                     ids += [self.byte[b] for b in ch.encode()] if self.byte else [self.unk]
-        return np.array(ids, "<u4").tobytes()
+        return array("I", ids).tobytes()
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """Ids with begin and end, as little-endian unsigned 32-bit integers."""
@@ -146,11 +202,7 @@ class PieceModel:
         for t in texts:
             t = (self.prefix + t).replace(" ", MARK) if t else ""
             units.append(_UNITS.findall(t) if self.by_words else [t] if t else [])
-        self.words.want({u for own in units for u in own})
-        get = self.words.__getitem__
-        out = [bos + b"".join(map(get, own)) + eos for own in units]
-        self.words.trim()
-        return out
+        return [bos + b"".join(ids) + eos for ids in self.words.values(units)]
 
     # decoding
 

@@ -27,11 +27,7 @@ class Shingler:
 
     def word_hashes(self, texts: list[str]) -> list[np.ndarray]:
         own = [t.encode("utf-8", "replace").lower().split() for t in texts]  # bytes: ASCII letters and ASCII white space only
-        self.words.want({w for ws in own for w in ws})
-        get = self.words.__getitem__
-        out = [np.fromiter(map(get, ws), np.uint64, len(ws)) for ws in own]
-        self.words.trim()
-        return out
+        return [np.array(values, np.uint64) for values in self.words.values(own)]
 
     def positional(self, words: np.ndarray) -> np.ndarray:
         """The shingle that starts at each word; fewer words than a shingle count as one sequence; none without words."""

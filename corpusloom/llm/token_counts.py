@@ -45,7 +45,7 @@ class UnigramTrie:
     def __init__(self, path: str | None = None):
         self.costs, self.unknown = unigram(path)
         self.longest = max(map(len, self.costs))
-        self.memo = Memo(self.counts)
+        self.memo = Memo(self.counts, most=900_000)
 
     @staticmethod
     def held(path: str | None = None) -> UnigramTrie:
@@ -54,8 +54,9 @@ class UnigramTrie:
         return _HELD[path or ""]
 
     def counts(self, words: list[str]) -> list[int]:
-        """Token counts of pre-tokens. The trie is walked in sorted order, so only the path to the current node is held:
+        """Token counts of pre-tokens, given without their mark. The trie is walked in sorted order, so only the path to the current node is held:
         best[d] is (cost, tokens) of the prefix of length d, computed once for all words that share it."""
+        words = [MARK + w for w in words]
         order = sorted(range(len(words)), key=words.__getitem__)
         costs, unknown, longest = self.costs, self.unknown, self.longest
         out, last, best = [0] * len(words), "", [(0, 0)]
@@ -92,10 +93,7 @@ def count_tokens(df: DataFrame, path: str | None = None, id_col: str = "doc_id",
         trie = UnigramTrie.held(path)
         for part in slices(batches):
             words = [t.split() for t in part.column(1).to_pylist()]
-            marked = {w: MARK + w for w in {w for own in words for w in own}}
-            trie.memo.want(set(marked.values()))
-            get = {w: trie.memo[m] for w, m in marked.items()}.__getitem__
-            yield pa.RecordBatch.from_arrays([part.column(0), pa.array([len(own) for own in words], pa.int64()), pa.array([sum(map(get, own)) for own in words], pa.int64())], names=["doc_id", "n_words", "n_tokens"])
-            trie.memo.trim()
+            counts = trie.memo.values(words)
+            yield pa.RecordBatch.from_arrays([part.column(0), pa.array(list(map(len, words)), pa.int64()), pa.array(list(map(sum, counts)), pa.int64())], names=["doc_id", "n_words", "n_tokens"])
 
     return id_and_text(df, id_col, text_col).mapInArrow(run, "doc_id long, n_words long, n_tokens long")

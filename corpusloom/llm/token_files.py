@@ -21,7 +21,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import id_and_text, list_array, shared_path, slices
+from .common import id_and_text, list_array, shared_path, slices, stored
 from .encode import Encoder
 
 SCHEMA = "shard int, doc_id long, local_start long, n_tokens long, ids array<int>"
@@ -51,8 +51,10 @@ def write_token_files(df: DataFrame, to: str, end_id: int = 1, tokenizer: str =
 def read_token_files(spark, at: str) -> DataFrame:
     """Rows of the files with `start`, the ids of all documents before it. Filters on doc_id prune files, stripes and row groups."""
     rows = spark.read.schema(SCHEMA).orc(at)
-    sums = rows.groupBy("shard").agg(F.sum("n_tokens").alias("n"))  # one row per file
+    sums = stored(rows.groupBy("shard").agg(F.sum("n_tokens").alias("n")), "sums")  # one row per file
     base = sums.select("shard", (F.sum("n").over(Window.orderBy("shard")) - F.col("n")).alias("base"))
+    if sums.count() <= 1_000_000:  # some 30 MB at most
+        base = F.broadcast(base)
     return rows.join(base, "shard").select("doc_id", (F.col("base") + F.col("local_start")).alias("start"), "n_tokens", "ids")
 
 
