@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import language, near, packing, pieces, tiff, token_counts, token_files
+from . import fingerprints, language, near, packing, pieces, tiff, token_counts, token_files
 from .common import documents
 
 
@@ -31,6 +31,10 @@ def op6_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near.near_groups(documents(spark, sf_dir), shingle=2)
 
 
+def op7_winnowing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fingerprints.compare_with_next(documents(spark, sf_dir))
+
+
 def op8_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = documents(spark, sf_dir).withColumn("held_out", language.held_out())
     model = language.train(docs.where(~F.col("held_out")))
@@ -41,5 +45,5 @@ def op10_tiff_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tiff.describe(tiff.pages(tiff.store_as_tiff(documents(spark, sf_dir))))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_packing, op2_token_files, op4_sentencepiece, op5_token_counts, op6_minhash, op8_language, op10_tiff_pages)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_packing, op2_token_files, op4_sentencepiece, op5_token_counts, op6_minhash, op7_winnowing, op8_language, op10_tiff_pages)}
 ORACLE_SQL: dict[str, str] = {}
