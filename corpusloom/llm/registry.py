@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import fingerprints, language, near, packing, pieces, tiff, token_counts, token_files
+from . import fingerprints, language, near, packing, pieces, pii, tiff, token_counts, token_files
 from .common import documents
 
 
@@ -41,9 +41,13 @@ def op8_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language.predict(docs, model, keep=["doc_id", "held_out"])
 
 
+def op9_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.digest(pii.find(documents(spark, sf_dir)))
+
+
 def op10_tiff_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tiff.describe(tiff.pages(tiff.store_as_tiff(documents(spark, sf_dir))))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_packing, op2_token_files, op4_sentencepiece, op5_token_counts, op6_minhash, op7_winnowing, op8_language, op10_tiff_pages)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_packing, op2_token_files, op4_sentencepiece, op5_token_counts, op6_minhash, op7_winnowing, op8_language, op9_pii, op10_tiff_pages)}
 ORACLE_SQL: dict[str, str] = {}
