@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import fingerprints, language, near, packing, pieces, pii, tiff, token_counts, token_files
+from . import fingerprints, language, near, packing, passages, pieces, pii, tiff, token_counts, token_files
 from .common import documents
 
 
@@ -19,6 +19,10 @@ def op2_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_files.token_file_digest(documents(spark, sf_dir))
 
 
+def op3_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return passages.repeated_passages(documents(spark, sf_dir))
+
+
 def op4_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pieces.digest(pieces.encode_pieces(documents(spark, sf_dir)))
 
@@ -49,5 +53,5 @@ def op10_tiff_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tiff.describe(tiff.pages(tiff.store_as_tiff(documents(spark, sf_dir))))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_packing, op2_token_files, op4_sentencepiece, op5_token_counts, op6_minhash, op7_winnowing, op8_language, op9_pii, op10_tiff_pages)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_packing, op2_token_files, op3_passages, op4_sentencepiece, op5_token_counts, op6_minhash, op7_winnowing, op8_language, op9_pii, op10_tiff_pages)}
 ORACLE_SQL: dict[str, str] = {}
