@@ -6,6 +6,9 @@ very many links is never gathered: minima are pre-aggregated sums and the links
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -24,9 +27,41 @@ def _star(links: DataFrame, large: bool) -> DataFrame:
     return out.where("u != v").distinct()
 
 
-def components(links: DataFrame, most: int = 40) -> DataFrame:
+#: Links that one task may join by itself (some 100 MB); more go through the stars.
+FEW = 1_000_000
+
+
+def _joined(links: DataFrame) -> DataFrame:
+    """Few links, in one task of an executor: union by least node."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        parent: dict[int, int] = {}
+
+        def root(x: int) -> int:
+            top = x
+            while parent[top] != top:
+                top = parent[top]
+            while parent[x] != top:
+                parent[x], x = top, parent[x]
+            return top
+
+        for batch in batches:
+            for u, v in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                parent.setdefault(u, u)
+                parent.setdefault(v, v)
+                a, b = root(u), root(v)
+                if a != b:
+                    parent[max(a, b)] = min(a, b)
+        yield pa.RecordBatch.from_arrays([pa.array(list(parent), pa.int64()), pa.array(list(map(root, parent)), pa.int64())], names=["node", "root"])
+
+    return links.select("u", "v").repartition(1).mapInArrow(run, "node long, root long")
+
+
+def components(links: DataFrame, most: int = 40, few: int = FEW) -> DataFrame:
     """links: a, b long. Gives node, root for every node with a link: root is the least node of its component."""
     now = stored(links.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u != v").distinct(), "links")
+    if now.count() <= few:
+        return _joined(now)
     last = None
     for _ in range(most):
         now = stored(_star(_star(now, True), False), "links")

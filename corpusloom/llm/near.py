@@ -5,10 +5,11 @@ the same samples are folded into a parity bitmap (an odd sketch), and the popula
 estimates their similarity closely enough at high values to drop most candidates without touching texts. What remains
 is confirmed on the full sets.
 
-Equal sets are one class from the start. Within a bucket no pairs are listed at first: its members are compared with
-one centre, links are joined into components, and members that still are in different components meet another centre.
-Only pairs of one bucket that are still in different components at the end are compared one by one, so that no link
-between components is lost; members of one component never are.
+Equal sets are one class from the start. Within a bucket no pairs are listed: its members are compared with one centre
+each, and confirmed links are joined into components. Where a bucket then holds several components, all members outside
+its largest one are compared with all others, block by block inside a task, by sketch and on the full sets; only links
+that join components leave the task. A bucket is cut into blocks of bounded size on both sides, so no group is gathered
+whole. Thus no link between components is lost, members of one component are not compared again, and rows stay linear.
 
 With 48 bands of 7 rows, a pair at similarity 0.8 shares no bucket with probability 1.3e-5; a linked pair fails the
 sketch bound (`slack` below the threshold, over five standard deviations) with less.
@@ -33,8 +34,8 @@ from .graph import components
 from .shingles import Shingler, mix
 
 BANDS, ROWS, BITS = 48, 7, 1024
-#: Rounds with new centres before the rest is compared one by one.
-CENTRES = 4
+#: Bytes of sets on each side of a block.
+BLOCK_BYTES = 8 << 20
 _HELD: dict[int, Shingler] = {}
 
 
@@ -122,38 +123,70 @@ def near_groups(df: DataFrame, shingle: int = 5, percent: int = 80, slack: float
     sketches = sketches.select("node", "n_shingles", "sketch")
     sets = stored(full_sets(docs.join(members.select(F.col("node").alias("doc_id")).distinct(), "doc_id").select("doc_id", "text"), shingle), "sets")
 
-    tried = stored(members.where("node != centre").select(F.col("centre").alias("a"), F.col("node").alias("b")).distinct(), "pairs")
-    links = stored(_confirmed(tried, sketches, sets, percent, slack), "confirmed")
-    for k in range(CENTRES):
-        roots = stored(components(links), "roots")
-        open_ = members.select("bucket", "node").join(roots, "node", "left").select("bucket", "node", F.coalesce("root", "node").alias("root"))
-        open_ = stored(_mixed(open_), "open")
-        sizes = open_.groupBy("bucket", "root").agg(F.count("*").alias("n")).groupBy("bucket").agg(F.sum("n").alias("n"), F.sum(F.col("n") * F.col("n")).alias("own"))
-        total, pairs = sizes.agg(F.coalesce(F.sum("n"), F.lit(0)), F.coalesce(F.sum((F.col("n") * F.col("n") - F.col("own")) / 2), F.lit(0))).first()
-        last = k == CENTRES - 1 or pairs <= 4 * total
-        if not total:
-            break
-        if last:
-            other = open_.select("bucket", F.col("node").alias("other"), F.col("root").alias("other_root"))
-            fresh = open_.join(other, "bucket").where("node < other and root != other_root").select(F.col("node").alias("a"), F.col("other").alias("b"))
-        else:
-            order = F.xxhash64(F.col("node"), F.col("bucket"), F.lit(k))
-            centres = stored(open_.groupBy("bucket").agg(F.min_by(F.struct("node", "root"), order).alias("c")).select("bucket", F.col("c.node").alias("centre"), F.col("c.root").alias("centre_root")), "centres")
-            fresh = open_.join(centres, "bucket").where("root != centre_root").select(F.least("node", "centre").alias("a"), F.greatest("node", "centre").alias("b"))
-        fresh = stored(fresh.distinct().join(tried, ["a", "b"], "left_anti"), "pairs")
-        more = _confirmed(fresh, sketches, sets, percent, slack)
-        links = stored(links.union(more), "confirmed")
-        tried = tried.union(fresh)
-        if last:
-            roots = stored(components(links), "roots")
-            break
+    star = members.where("node != centre").select(F.col("centre").alias("a"), F.col("node").alias("b")).distinct()
+    links = stored(_confirmed(star, sketches, sets, percent, slack), "confirmed")
+    roots = stored(components(links), "roots")
+    more = _between(_mixed(members.select("bucket", "node"), roots), sets.join(sketches, "node"), percent, slack)
+    roots = stored(components(links.union(stored(more, "confirmed"))), "roots")
     of_class = stored(classes.join(roots, "node", "left").select("digest", F.coalesce("root", "node").alias("root")), "membership")
     found = signed.select("doc_id", "digest", "n_shingles").join(of_class, "digest", "left")
     component = F.when(F.col("doc_id").isNotNull(), F.coalesce("root", "doc_id"))
     return found.select("doc_id", "n_shingles", component.alias("component_id"), F.col("doc_id").eqNullSafe(component).alias("kept"))
 
 
-def _mixed(rows: DataFrame) -> DataFrame:
-    """Rows of the buckets that hold more than one component."""
+def _mixed(members: DataFrame, roots: DataFrame) -> DataFrame:
+    """bucket, node, root of the buckets that hold more than one component."""
+    rows = stored(members.join(roots, "node", "left").select("bucket", "node", F.coalesce("root", "node").alias("root")), "open")
     mixed = stored(rows.groupBy("bucket").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo < hi").select("bucket"), "mixed")
-    return rows.join(mixed, "bucket")
+    return stored(rows.join(mixed, "bucket"), "open")
+
+
+def _between(rows: DataFrame, sets: DataFrame, percent: int, slack: float) -> DataFrame:
+    """Links a, b between components of a bucket: its minority (all but its largest component) against all its members.
+
+    Sides are cut into p and q blocks; a bucket that fits one block is sent once, its minority marked."""
+    sized = rows.join(sets.select("node", (8 * F.col("n_shingles") + 256).alias("bytes")), "node")
+    of_root = sized.groupBy("bucket", "root").agg(F.sum("bytes").alias("bytes"))
+    plan = of_root.groupBy("bucket").agg(F.max_by("root", F.struct("bytes", "root")).alias("major"), F.sum("bytes").alias("total"), F.max("bytes").alias("largest"))
+    blocks = lambda x: F.ceil(x / BLOCK_BYTES).cast("int")
+    plan = stored(plan.select("bucket", "major", F.when(F.col("total") <= BLOCK_BYTES, 1).otherwise(F.greatest(F.lit(1), blocks(F.col("total") - F.col("largest")))).alias("p"), blocks(F.col("total")).alias("q")), "plan")
+    planned = rows.join(plan, "bucket").withColumn("minor", F.col("root") != F.col("major"))
+    whole = (F.col("p") == 1) & (F.col("q") == 1)
+    block = lambda n: F.pmod(F.xxhash64("node"), n).cast("int")
+    every = lambda n: F.explode(F.sequence(F.lit(0), n - 1))
+    once = planned.where(whole).select("bucket", F.lit(0).alias("i"), F.lit(0).alias("j"), "node", "root", "minor", F.lit(True).alias("met"))
+    asks = planned.where(~whole & F.col("minor")).withColumn("i", block(F.col("p"))).select("bucket", "i", every(F.col("q")).alias("j"), "node", "root", F.lit(True).alias("minor"), F.lit(False).alias("met"))
+    answers = planned.where(~whole).withColumn("j", block(F.col("q"))).select("bucket", every(F.col("p")).alias("i"), "j", "node", "root", F.lit(False).alias("minor"), F.lit(True).alias("met"))
+    sent = once.unionByName(asks).unionByName(answers).join(sets, "node")
+    bits = most_bits(percent / 100 - slack, BANDS * ROWS)
+
+    def compare(group: pa.Table) -> pa.Table:
+        group = group.combine_chunks()
+        node, n = group.column("node").to_numpy(), group.column("n_shingles").to_numpy()
+        lists, sketches = group.column("members").combine_chunks(), group.column("sketch").combine_chunks()
+        starts = lists.offsets.to_numpy()
+        sketch = sketches.flatten().to_numpy().view(np.uint64).reshape(len(node), -1)
+        values, codes = np.unique(lists.flatten().to_numpy(), return_inverse=True)
+        starts = starts - starts[0]
+        seen = np.zeros(len(values), np.int32)
+        met = group.column("met").to_numpy()
+        roots = group.column("root").to_numpy().copy()
+        a, b = [], []
+        for x in np.flatnonzero(group.column("minor").to_numpy()):
+            may = met & (roots != roots[x]) & (100 * np.minimum(n, n[x]) >= percent * np.maximum(n, n[x]))
+            if may.any():
+                may[may] = np.bitwise_count(sketch[may] ^ sketch[x]).sum(axis=1) <= bits
+            if not may.any():
+                continue
+            own = codes[starts[x] : starts[x + 1]]
+            seen[own] = 1
+            shared = np.add.reduceat(seen[codes], starts[:-1])
+            seen[own] = 0
+            for y in np.flatnonzero(may & (100 * shared >= percent * (n + n[x] - shared))):
+                if roots[y] != roots[x]:
+                    a.append(node[x])
+                    b.append(node[y])
+                    roots[roots == roots[y]] = roots[x]
+        return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
+
+    return sent.groupBy("bucket", "i", "j").applyInArrow(compare, "a long, b long").distinct()
