@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Rows turned from Arrow into Python at once; long texts make a slice end sooner.
-SLICE_ROWS, SLICE_BYTES = 512, 8 << 20
+SLICE_ROWS, SLICE_BYTES = 4096, 12 << 20
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -73,22 +73,43 @@ class Memo:
         self.young: dict = {}
         self.old: dict = {}
 
-    def values(self, lists: list[list]) -> list[list]:
-        """The value of every word of every list."""
-        out = [list(map(self.young.get, own)) for own in lists]
-        open_ = [i for i, values in enumerate(out) if not all(values)]
-        missing = {w for i in open_ for w, v in zip(lists[i], out[i], strict=True) if v is None}
+    def values(self, words: list) -> list:
+        """The value of each of these distinct words."""
+        found = list(map(self.young.get, words))
+        missing = [i for i, v in enumerate(found) if v is None]
         if missing:
-            old = self.old
-            fresh = {w: old[w] for w in missing if w in old}
-            unknown = [w for w in missing if w not in fresh]
-            fresh.update(zip(unknown, self.fill(unknown), strict=True))
-            for i in open_:
-                out[i] = [fresh[w] if v is None else v for w, v in zip(lists[i], out[i], strict=True)]
+            lost = [words[i] for i in missing]
+            again = list(map(self.old.get, lost))
+            unknown = [w for w, v in zip(lost, again, strict=True) if v is None]
+            fresh = dict(zip(lost, again, strict=True)) | dict(zip(unknown, self.fill(unknown), strict=True))
+            for i, w in zip(missing, lost, strict=True):
+                found[i] = fresh[w]
             if len(self.young) + len(fresh) > self.most // 2:
                 self.old, self.young = self.young, {}
-            self.young.update((w, v) for w, v in fresh.items() if len(w) <= self.longest)
-        return out
+            self.young.update(fresh)
+            for w in unknown:
+                if len(w) > self.longest:
+                    self.young.pop(w, None)
+        return found
+
+
+def coded(pieces: pa.ListArray) -> tuple[np.ndarray, np.ndarray, list]:
+    """Lists of words as codes, the end of each list among them, and the distinct words: Python meets a word once a slice."""
+    ends = pieces.offsets.to_numpy()
+    words = pieces.flatten().dictionary_encode()
+    return words.indices.to_numpy(), ends[1:] - ends[0], words.dictionary.to_pylist()
+
+
+def spread(parts: list[np.ndarray] | list[bytes], codes: np.ndarray, ends: np.ndarray, kind: str = "<u4") -> tuple[np.ndarray, np.ndarray]:
+    """parts[code] for all codes, end to end, and where each list of codes ends in the result."""
+    flat = np.frombuffer(b"".join(parts), kind)
+    sizes = np.fromiter(map(len, parts), np.int64, len(parts)) // np.dtype(kind).itemsize
+    starts = np.cumsum(sizes) - sizes
+    own = sizes[codes]
+    upto = np.cumsum(own)
+    total = int(upto[-1]) if len(upto) else 0
+    at = np.repeat(starts[codes] - (upto - own), own) + np.arange(total)
+    return flat[at], np.concatenate([[0], upto])[ends]
 
 
 def list_array(flat: np.ndarray, lengths: np.ndarray, kind: pa.DataType) -> pa.ListArray:

@@ -11,8 +11,10 @@ from __future__ import annotations
 import re
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 
-from .common import Memo, quiet_tokenizers, tokenizer_file
+from .common import Memo, coded, quiet_tokenizers, spread, tokenizer_file
 
 #: A run of Latin letters before ASCII punctuation, white space or the end is a unit of its own: it recurs more often.
 _LETTERS = "[A-Za-zÀ-ÖØ-öø-ÿ]+(?=[\\s!-/:-@\\[-`{-~]|$)"
@@ -45,7 +47,7 @@ class Encoder:
         self.plain.pre_tokenizer = pre_tokenizers.Sequence([pre_tokenizers.WhitespaceSplit(), pre_tokenizers.ByteLevel(add_prefix_space=not self.words, use_regex=False)])
         edge = [t.endswith("</w>") if self.words else t.startswith("\u0120") for t in map(self.tokenizer.id_to_token, range(self.tokenizer.get_vocab_size()))]
         self.edge = np.array(edge)
-        self.memo = Memo(self._encode, most=900_000)
+        self.memo = Memo(self._encode, most=1_000_000)
 
     @staticmethod
     def held(name: str, path: str | None = None) -> Encoder:
@@ -94,9 +96,54 @@ class Encoder:
         for i, ids in zip(rest, self._whole([units[i] for i in rest]), strict=True):
             out[i] = ids
 
+    def _fine(self, pieces: list[str]) -> list[bytes]:
+        """Ids of pieces between spaces: cut finer, so that a new piece mostly consists of known units."""
+        own = list(map(_WORD_UNITS.findall, pieces) if self.words else map(_BYTE_UNITS.findall, [" " + p for p in pieces]))
+        units = list(set().union(*own))
+        get = dict(zip(units, self.memo.values(units), strict=True)).__getitem__
+        return [get(us[0]) if len(us) == 1 else b"".join(map(get, us)) for us in own]
+
+    def flat(self, texts: pa.StringArray, end_id: int) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of all texts, each with the end id, one after the other, and how many each has."""
+        pieces = pc.utf8_split_whitespace(texts) if self.words else pc.split_pattern(texts, " ")
+        codes, ends, distinct = coded(pieces)
+        odd = pc.match_substring_regex(texts, "[\x1c-\x1f]").to_numpy(zero_copy_only=False)
+        if not self.words:
+            # a space stands alone between two pieces only if neither is empty nor has white space at that side
+            words = pa.array(distinct, pa.string())
+            plain = pc.and_(pc.equal(words, pc.utf8_trim_whitespace(words)), pc.not_equal(words, "")).to_numpy(zero_copy_only=False)
+            regular = plain[codes]
+            first = np.concatenate([[0], ends[:-1]])
+            odd |= np.add.reduceat(~regular, first) > 0
+        special = {}
+        for i in np.flatnonzero(odd).tolist():
+            special[i] = self.ids([texts[i].as_py()])[0]
+        parts = self._fine(distinct)
+        if not self.words:  # the first piece of a text has no space before it
+            starts = [None if odd[i] else b"".join(self.memo.values(_BYTE_UNITS.findall(distinct[c]))) for i, c in enumerate(codes[first].tolist())]
+            parts = [*parts, *[b"" if p is None else p for p in starts]]
+            codes = codes.copy()
+            codes[first] = len(distinct) + np.arange(len(texts))
+        parts = [*parts, np.array([end_id], "<u4").tobytes(), b"", *special.values()]
+        base = len(parts) - len(special) - 2
+        if special:
+            of = np.full(len(texts), -1)
+            of[list(special)] = base + 2 + np.arange(len(special))
+            doc = np.repeat(np.arange(len(texts)), np.diff(np.concatenate([[0], ends])))
+            codes = np.where(of[doc] >= 0, base + 1, codes)
+            last = np.where(of >= 0, of, base + 1)
+            codes = np.insert(codes, np.repeat(ends, 2), np.stack([last, np.full(len(texts), base)], axis=1).ravel())
+            ends = ends + 2 * np.arange(1, len(texts) + 1)
+        else:
+            codes = np.insert(codes, ends, base)
+            ends = ends + np.arange(1, len(texts) + 1)
+        flat, stops = spread(parts, codes, ends)
+        return flat, np.diff(np.concatenate([[0], stops]))
+
     def ids(self, texts: list[str]) -> list[bytes]:
         """Ids of each text as little-endian unsigned 32-bit integers."""
         cut = (_WORD_UNITS if self.words else _BYTE_UNITS).findall
-        odd = {i for i, t in enumerate(texts) if _ODD_SPACE.search(t)}
-        found = self.memo.values([[] if i in odd else cut(t) for i, t in enumerate(texts)])
-        return [self._whole([t])[0] if i in odd else b"".join(ids) for i, (t, ids) in enumerate(zip(texts, found, strict=True))]
+        out = []
+        for t in texts:
+            out.append(self._whole([t])[0] if _ODD_SPACE.search(t) else b"".join(self.memo.values(cut(t))))
+        return out

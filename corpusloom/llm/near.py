@@ -73,7 +73,7 @@ def signatures(docs: DataFrame, shingle: int) -> DataFrame:
         names = mix(np.arange(BANDS, dtype=np.uint64))
         for part in slices(batches):
             digest, sizes, bands, sketches, has = [], [], [], [], []
-            for own in shingler.sets(part.column(1).to_pylist()):
+            for own in shingler.sets(part.column(1)):
                 digest.append(blake2b(own.tobytes(), digest_size=16).digest() if len(own) else None)
                 sizes.append(len(own))
                 has.append(bool(len(own)))
@@ -91,7 +91,7 @@ def signatures(docs: DataFrame, shingle: int) -> DataFrame:
 def full_sets(docs: DataFrame, shingle: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in slices(batches):
-            own = _shingler(shingle).sets(part.column(1).to_pylist())
+            own = _shingler(shingle).sets(part.column(1))
             yield pa.RecordBatch.from_arrays([part.column(0), list_array(np.concatenate(own).view(np.int64), np.array([len(x) for x in own]), pa.int64())], names=["node", "members"])
 
     return docs.mapInArrow(run, "node long, members array<long>")

@@ -138,12 +138,13 @@ def pieces(docs: DataFrame, size: int, end_id: int, tokenizer: str, path: str |
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder, task, ranks = Encoder.held(tokenizer, path), TaskContext.get().partitionId(), {}
-        end = np.array([end_id], "<u4").tobytes()
         for part in slices(batches):
             rows = []
-            for doc, ids in zip(part.column(0).to_pylist(), encoder.ids(part.column(1).to_pylist()), strict=True):
-                view = memoryview(ids + end)
-                n = len(view) // 4
+            ids, sizes = encoder.flat(part.column(1), end_id)
+            data, base = memoryview(ids.tobytes()), 0
+            for doc, n in zip(part.column(0).to_pylist(), sizes.tolist(), strict=True):
+                view = data[4 * base : 4 * (base + n)]
+                base += n
                 start = 0
                 for piece in range(-(-n // size)):
                     stop = start + ((n - 1) % size + 1 if not piece else size)

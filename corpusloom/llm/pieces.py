@@ -22,9 +22,10 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 
-from .common import Memo, id_and_text, slices, tokenizer_file
+from .common import Memo, coded, id_and_text, list_array, slices, spread, tokenizer_file
 
 MARK = "▁"
 _UNITS = re.compile(f"{MARK}+[^{MARK}]*|[^{MARK}]+")
@@ -195,14 +196,32 @@ class PieceModel:
                     ids += [self.byte[b] for b in ch.encode()] if self.byte else [self.unk]
         return array("I", ids).tobytes()
 
-    def encode(self, texts: list[str]) -> list[bytes]:
-        """Ids with begin and end, as little-endian unsigned 32-bit integers."""
-        bos, eos = np.array([self.bos], "<u4").tobytes(), np.array([self.eos], "<u4").tobytes()
-        units = []
-        for t in texts:
-            t = (self.prefix + t).replace(" ", MARK) if t else ""
-            units.append(_UNITS.findall(t) if self.by_words else [t] if t else [])
-        return [bos + b"".join(ids) + eos for ids in self.words.values(units)]
+    def encode(self, texts: pa.StringArray) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of all texts with begin and end, one after the other, and how many each has."""
+        pieces = pc.split_pattern(texts, " ")
+        codes, ends, distinct = coded(pieces)
+        # spaces side by side, at an end, or beside a mark of the text itself form longer runs of marks
+        plain = np.array([p != "" and not p.startswith(MARK) and not p.endswith(MARK) for p in distinct], bool)
+        first = np.concatenate([[0], ends[:-1]])
+        odd = np.add.reduceat(~plain[codes], first) > 0 if len(texts) else np.zeros(0, bool)
+        if not self.by_words or not self.prefix:
+            odd[:] = True
+        parts = self.words.values([MARK + p for p in distinct]) if not odd.all() else [b""] * len(distinct)
+        bos, eos = len(parts), len(parts) + 1
+        parts += [array("I", [self.bos]).tobytes(), array("I", [self.eos]).tobytes()]
+        lists = np.split(codes, ends[:-1]) if len(texts) else []
+        out = []
+        for i, own in enumerate(lists):
+            if odd[i]:
+                text = texts[i].as_py()
+                text = (self.prefix + text).replace(" ", MARK) if text else ""
+                units = _UNITS.findall(text) if self.by_words else [text] if text else []
+                own = [len(parts)]
+                parts.append(b"".join(self.words.values(units)))
+            out += [[bos], own, [eos]]
+        sizes = np.fromiter(map(len, out), np.int64, len(out))
+        flat, stops = spread(parts, np.concatenate(out) if out else np.zeros(0, np.int64), np.cumsum(sizes)[2::3])
+        return flat, np.diff(np.concatenate([[0], stops]))
 
     # decoding
 
@@ -266,8 +285,9 @@ def encode_pieces(df: DataFrame, path: str | None = None, id_col: str = "doc_id"
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = PieceModel.held(path)
         for part in slices(batches):
-            ids = [np.frombuffer(x, "<i4") for x in model.encode(part.column(1).to_pylist())]
-            yield pa.RecordBatch.from_arrays([part.column(0), pa.array(ids, pa.list_(pa.int32())), pa.array([model.decode(x) for x in ids], pa.string())], names=["doc_id", "ids", "decoded"])
+            flat, sizes = model.encode(part.column(1))
+            decoded = [model.decode(x) for x in np.split(flat, np.cumsum(sizes)[:-1])]
+            yield pa.RecordBatch.from_arrays([part.column(0), list_array(flat.view("<i4"), sizes, pa.int32()), pa.array(decoded, pa.string())], names=["doc_id", "ids", "decoded"])
 
     return id_and_text(df, id_col, text_col).mapInArrow(run, "doc_id long, ids array<int>, decoded string")
 

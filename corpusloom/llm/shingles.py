@@ -3,9 +3,11 @@
 from __future__ import annotations
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 
-from .common import Memo
+from .common import Memo, coded
 
 _M1, _M2, _M3 = (np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB))
 _S30, _S27, _S31 = (np.uint64(x) for x in (30, 27, 31))
@@ -23,11 +25,18 @@ class Shingler:
 
     def __init__(self, size: int):
         self.size = size
-        self.words = Memo(lambda words: list(map(xxhash.xxh3_64_intdigest, words)))
-
-    def word_hashes(self, texts: list[str]) -> list[np.ndarray]:
-        own = [t.encode("utf-8", "replace").lower().split() for t in texts]  # bytes: ASCII letters and ASCII white space only
-        return [np.array(values, np.uint64) for values in self.words.values(own)]
+        self.words = Memo(lambda words: [xxhash.xxh3_64_intdigest(w.encode()) for w in words])
+
+    def word_hashes(self, texts: pa.StringArray) -> list[np.ndarray]:
+        codes, ends, distinct = coded(pc.ascii_split_whitespace(pc.ascii_lower(texts)))  # ASCII letters and ASCII white space only
+        known = np.array(self.words.values(distinct), np.uint64)
+        blank = distinct.index("") if "" in distinct else -1
+        out, at = [], 0
+        for end in ends.tolist():
+            own = codes[at:end]
+            out.append(known[own[own != blank] if blank >= 0 else own])
+            at = end
+        return out
 
     def positional(self, words: np.ndarray) -> np.ndarray:
         """The shingle that starts at each word; fewer words than a shingle count as one sequence; none without words."""
@@ -39,5 +48,5 @@ class Shingler:
             h = mix(h * _M1 + words[i : len(words) - n + 1 + i])
         return h
 
-    def sets(self, texts: list[str]) -> list[np.ndarray]:
+    def sets(self, texts: pa.StringArray) -> list[np.ndarray]:
         return [np.unique(self.positional(w)) for w in self.word_hashes(texts)]

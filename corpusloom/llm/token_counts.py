@@ -17,10 +17,12 @@ from __future__ import annotations
 import math
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 
-from .common import Memo, id_and_text, slices, tokenizer_file
+from .common import Memo, coded, id_and_text, slices, tokenizer_file
 
 MARK = "▁"
 #: Scores are whole numbers of 1e-6 nats: sums are exact in any order.
@@ -56,7 +58,7 @@ class UnigramTrie:
     def counts(self, words: list[str]) -> list[int]:
         """Token counts of pre-tokens, given without their mark. The trie is walked in sorted order, so only the path to the current node is held:
         best[d] is (cost, tokens) of the prefix of length d, computed once for all words that share it."""
-        words = [MARK + w for w in words]
+        words = [MARK + w if w else "" for w in words]
         order = sorted(range(len(words)), key=words.__getitem__)
         costs, unknown, longest = self.costs, self.unknown, self.longest
         out, last, best = [0] * len(words), "", [(0, 0)]
@@ -92,8 +94,10 @@ def count_tokens(df: DataFrame, path: str | None = None, id_col: str = "doc_id",
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         trie = UnigramTrie.held(path)
         for part in slices(batches):
-            words = [t.split() for t in part.column(1).to_pylist()]
-            counts = trie.memo.values(words)
-            yield pa.RecordBatch.from_arrays([part.column(0), pa.array(list(map(len, words)), pa.int64()), pa.array(list(map(sum, counts)), pa.int64())], names=["doc_id", "n_words", "n_tokens"])
+            codes, ends, distinct = coded(pc.utf8_split_whitespace(part.column(1)))
+            known = np.array(trie.memo.values(distinct), np.int64)
+            words = np.array([w != "" for w in distinct], np.int64)
+            sums = [np.concatenate([[0], np.cumsum(x[codes])])[np.concatenate([[0], ends])] for x in (words, known)]
+            yield pa.RecordBatch.from_arrays([part.column(0), pa.array(np.diff(sums[0])), pa.array(np.diff(sums[1]))], names=["doc_id", "n_words", "n_tokens"])
 
     return id_and_text(df, id_col, text_col).mapInArrow(run, "doc_id long, n_words long, n_tokens long")

@@ -34,13 +34,11 @@ def write_token_files(df: DataFrame, to: str, end_id: int = 1, tokenizer: str =
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder, shard, at = Encoder.held(tokenizer, path), TaskContext.get().partitionId(), 0
-        end = np.array([end_id], "<u4").tobytes()
         for part in slices(batches):
-            ids = [x + end for x in encoder.ids(part.column(1).to_pylist())]
-            lengths = np.fromiter((len(x) // 4 for x in ids), np.int64, len(ids))
-            starts = at + np.cumsum(lengths) - lengths
-            at += int(lengths.sum())
-            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(ids), shard, np.int32)), part.column(0), pa.array(starts), pa.array(lengths), list_array(np.frombuffer(b"".join(ids), "<i4"), lengths, pa.int32())], names=["shard", "doc_id", "local_start", "n_tokens", "ids"])
+            ids, sizes = encoder.flat(part.column(1), end_id)
+            starts = at + np.cumsum(sizes) - sizes
+            at += int(sizes.sum())
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(sizes), shard, np.int32)), part.column(0), pa.array(starts), pa.array(sizes), list_array(ids.view("<i4"), sizes, pa.int32())], names=["shard", "doc_id", "local_start", "n_tokens", "ids"])
 
     dealt = docs.repartitionByRange(n, "doc_id").sortWithinPartitions("doc_id", "text").mapInArrow(run, SCHEMA)
     options = {"compression": "zstd", "orc.bloom.filter.columns": "doc_id", "orc.bloom.filter.fpp": "0.01", "orc.create.index": "true", "orc.row.index.stride": str(stride), "orc.stripe.size": str(stripe_mb << 20)}
