@@ -1,0 +1,101 @@
+"""Model-backed steps behind interfaces: language predictors and judges, with offline stand-ins."""
+
+from __future__ import annotations
+
+import hashlib
+import json
+from collections.abc import Callable, Iterator
+from dataclasses import dataclass
+from typing import Protocol
+
+import pandas as pd
+from pyspark.sql import DataFrame
+
+from ..functions.judge_json import KEYS, POLARITY, REPLY, SUBJECTIVITY, VOICE, parse_text
+
+
+@dataclass(frozen=True)
+class JudgeSpec:
+    """What a run of a judge is pinned to."""
+
+    name: str
+    repo_id: str
+    revision: str | None = None
+    quantization: str | None = None
+    max_model_len: int = 1536
+    max_num_seqs: int = 96
+    prefix_caching: bool = True
+    seed: int = 42
+
+    def pinned(self) -> JudgeSpec:
+        if not self.revision:
+            raise ValueError(f"{self.name}: a revision must be pinned before a run")
+        return self
+
+
+class JudgeBackend(Protocol):
+    def generate(self, prompts: list[str]) -> list[str]: ...
+
+
+class StandIn:
+    """Replies made from a hash of the prompt: the same everywhere, valid, of no meaning."""
+
+    def generate(self, prompts: list[str]) -> list[str]:
+        out = []
+        for p in prompts:
+            h = hashlib.md5(p.encode()).digest()
+            subjectivity = SUBJECTIVITY[h[0] % 2]
+            out.append(json.dumps({"subjectivity": subjectivity, "polarity": None if subjectivity == "objective" else POLARITY[h[1] % 4], "confidence": h[2] % 101 / 100, "domain": "general", "narrative_voice": VOICE[h[3] % 3], "sentiment_target": None, "rationale": "stand-in"}))
+        return out
+
+
+def reply_schema(rationale: bool = True) -> dict:
+    """JSON schema of a reply: polarity is null if and only if the text is objective."""
+    common = {"confidence": {"type": "number", "minimum": 0, "maximum": 1}, "domain": {"type": "string", "minLength": 1}, "narrative_voice": {"enum": VOICE}, "sentiment_target": {"type": ["string", "null"]}}
+    if rationale:
+        common["rationale"] = {"type": "string", "minLength": 1}
+    branch = lambda s, p: {"type": "object", "properties": {"subjectivity": {"const": s}, "polarity": p} | common, "required": KEYS if rationale else KEYS[:-1], "additionalProperties": False}
+    return {"anyOf": [branch("objective", {"type": "null"}), branch("subjective", {"enum": POLARITY})]}
+
+
+def judged(items: DataFrame, make_backend: Callable[[], JudgeBackend], prompt: Callable[[str], str], judge: str, batch: int = 64, rationale: bool = True) -> DataFrame:
+    """id, judge, reply fields, parse_failed, raw_response: batches with one retry of replies that do not parse. The
+    backend is made once per task, and only if there is work."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        backend = None
+        for b in batches:
+            for at in range(0, len(b), batch):
+                part = b.iloc[at : at + batch]
+                backend = backend or make_backend()
+                prompts = [prompt(t) for t in part["text"]]
+                raw = backend.generate(prompts)
+                parsed = [parse_text(r, rationale) for r in raw]
+                again = [i for i, p in enumerate(parsed) if p is None]
+                if again:
+                    for i, r in zip(again, backend.generate([prompts[i] for i in again]), strict=True):
+                        raw[i], parsed[i] = r, parse_text(r, rationale)
+                rows = [(*((p or {}).get(k) for k in KEYS), p is None, None if p else r) for p, r in zip(parsed, raw, strict=True)]
+                out = pd.DataFrame(rows, columns=[*KEYS, "parse_failed", "raw_response"])
+                out.insert(0, "id", part["id"].to_numpy())
+                out.insert(1, "judge", judge)
+                yield out.astype({"confidence": "float64"})
+
+    kind = dict(items.dtypes)["id"]
+    return items.select("id", "text").mapInPandas(run, f"id {kind}, judge string, {REPLY}, parse_failed boolean, raw_response string")
+
+
+def language_predicted(items: DataFrame, make_predictor: Callable[[], Callable[[list[str]], list[tuple[str, float]]]], batch: int = 2000) -> DataFrame:
+    """id, lid_model_label, lid_model_confidence (4 digits) from a predictor made once per task; empty text is a space."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        predict = None
+        for b in batches:
+            for at in range(0, len(b), batch):
+                part = b.iloc[at : at + batch]
+                predict = predict or make_predictor()
+                found = predict([t.replace("\n", " ") if t else " " for t in part["text"]])
+                yield pd.DataFrame({"id": part["id"].to_numpy(), "lid_model_label": [x for x, _ in found], "lid_model_confidence": [round(float(c), 4) for _, c in found]})
+
+    kind = dict(items.dtypes)["id"]
+    return items.select("id", "text").mapInPandas(run, f"id {kind}, lid_model_label string, lid_model_confidence double")
