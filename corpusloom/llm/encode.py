@@ -47,7 +47,7 @@ class Encoder:
         self.plain.pre_tokenizer = pre_tokenizers.Sequence([pre_tokenizers.WhitespaceSplit(), pre_tokenizers.ByteLevel(add_prefix_space=not self.words, use_regex=False)])
         edge = [t.endswith("</w>") if self.words else t.startswith("\u0120") for t in map(self.tokenizer.id_to_token, range(self.tokenizer.get_vocab_size()))]
         self.edge = np.array(edge)
-        self.memo = Memo(self._encode, most=1_000_000)
+        self.memo = Memo(self._encode, most=700_000)
 
     @staticmethod
     def held(name: str, path: str | None = None) -> Encoder:
@@ -98,10 +98,15 @@ class Encoder:
 
     def _fine(self, pieces: list[str]) -> list[bytes]:
         """Ids of pieces between spaces: cut finer, so that a new piece mostly consists of known units."""
-        own = list(map(_WORD_UNITS.findall, pieces) if self.words else map(_BYTE_UNITS.findall, [" " + p for p in pieces]))
+        lead = "" if self.words else " "
+        whole = [p.isalpha() for p in pieces]  # letters alone are one unit
+        simple = [lead + p for p, w in zip(pieces, whole, strict=True) if w]
+        own = list(map((_WORD_UNITS if self.words else _BYTE_UNITS).findall, [lead + p for p, w in zip(pieces, whole, strict=True) if not w]))
         units = list(set().union(*own))
-        get = dict(zip(units, self.memo.values(units), strict=True)).__getitem__
-        return [get(us[0]) if len(us) == 1 else b"".join(map(get, us)) for us in own]
+        values = self.memo.values(simple + units)
+        get = dict(zip(units, values[len(simple) :], strict=True)).__getitem__
+        one, more = iter(values), iter(own)
+        return [next(one) if w else b"".join(map(get, next(more))) for w in whole]
 
     def flat(self, texts: pa.StringArray, end_id: int) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all texts, each with the end id, one after the other, and how many each has."""

@@ -41,7 +41,7 @@ def write_token_files(df: DataFrame, to: str, end_id: int = 1, tokenizer: str =
             yield pa.RecordBatch.from_arrays([pa.array(np.full(len(sizes), shard, np.int32)), part.column(0), pa.array(starts), pa.array(sizes), list_array(ids.view("<i4"), sizes, pa.int32())], names=["shard", "doc_id", "local_start", "n_tokens", "ids"])
 
     dealt = docs.repartitionByRange(n, "doc_id").sortWithinPartitions("doc_id", "text").mapInArrow(run, SCHEMA)
-    options = {"compression": "zstd", "orc.bloom.filter.columns": "doc_id", "orc.bloom.filter.fpp": "0.01", "orc.create.index": "true", "orc.row.index.stride": str(stride), "orc.stripe.size": str(stripe_mb << 20)}
+    options = {"compression": "lz4", "orc.bloom.filter.columns": "doc_id", "orc.bloom.filter.fpp": "0.01", "orc.create.index": "true", "orc.row.index.stride": str(stride), "orc.stripe.size": str(stripe_mb << 20)}
     dealt.write.options(**options).orc(to)
     return to
 
