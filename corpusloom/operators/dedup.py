@@ -3,8 +3,10 @@
 from __future__ import annotations
 
 
+import tempfile
+
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import text as T
@@ -39,13 +41,20 @@ def _decided(rows: DataFrame, order: list[str]) -> DataFrame:
     return judged.drop("first_place", "first_id").unionByName(refused).drop("refused")
 
 
+def checkpoint_ready(spark: SparkSession) -> None:
+    """A checkpoint folder is set by the cluster (spark.checkpoint.dir); where it is not, as in tests, take one of our own."""
+    if not spark.sparkContext._jsc.sc().getCheckpointDir().isDefined():
+        spark.sparkContext.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="corpusloom-checkpoint-"))
+
+
 def strict_order_dedup(rows: DataFrame, order: list[str], min_chars: int = T.MIN_CHARS, script: str = T.DEVANAGARI) -> DataFrame:
     """The greedy rule itself, for foreign ids: ids and keys count only once a row that has them was kept.
 
     A row's fate depends on earlier rows of its connected component over (id, key). Components come from label
     propagation; each is decided in order by itself. Components are as large as the groups that share ids and keys.
     """
-    prepared = _prepared(rows, min_chars, script)
+    checkpoint_ready(rows.sparkSession)
+    prepared = _prepared(rows, min_chars, script).checkpoint()
     open_ = prepared.where("refused is null").withColumn("component", F.least(F.xxhash64(F.lit("id"), F.col("id")), F.xxhash64(F.lit("key"), F.col("norm_key"))))
     changed = True
     while changed:

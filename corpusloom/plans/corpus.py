@@ -79,6 +79,12 @@ def norm_key_reject_reasons(spark, sf_dir):
     return _dedup(spark, sf_dir).where("reject_reason is not null").select(F.col("n").alias("doc_id"), "reject_reason")
 
 
+def strict_order_dedup(spark, sf_dir):
+    """The greedy rule with foreign ids: five rows in a row share one."""
+    rows = corpus(spark, sf_dir).select(F.floor(F.col("id") / 5).cast("string").alias("id"), "cleaned_text", "raw_text", F.col("id").alias("n"))
+    return dedup.strict_order_dedup(rows, ["n"], 15, GATE).select(F.col("n").alias("doc_id"), F.coalesce("reject_reason", F.lit("kept")).alias("state"))
+
+
 def append_dedup_antijoin(spark, sf_dir):
     c = corpus(spark, sf_dir).select(T.content_id(F.col("cleaned_text")).alias("id"), F.col("id").alias("n"))
     return dedup.not_yet_there(c.where("n % 3 <> 0").select("id"), c.where("n % 3 = 0").select("id"))
@@ -173,6 +179,12 @@ p AS (SELECT *, CASE WHEN length(t) < 15 OR NOT regexp_matches(t, '[A-Za-z]') OR
   WHEN regexp_matches(t, 'Bhojpuria Lokraag|Launda Naach|blog-post|Read more|Older Posts|Newer Posts') THEN 'title_chrome' END AS refused,
   regexp_replace(t, '[\s।॥.,!?–—:;"''()-]+', '', 'g') AS k FROM c),
 r AS (SELECT *, row_number() OVER w AS rn, first_value(id) OVER w AS first_id FROM p WHERE refused IS NULL WINDOW w AS (PARTITION BY k ORDER BY n))"""
+_FLAG = rf"""WITH x AS (SELECT doc_id, source, i, s[i] AS cleaned_text FROM (SELECT doc_id, source, s, unnest(range(1, len(s) + 1)) AS i FROM (SELECT doc_id, source, {_SENT} AS s FROM documents))),
+c AS (SELECT doc_id, i, source, {_CLEAN} AS t FROM x), p AS (SELECT *, regexp_replace(t, '[\s।॥.,!?–—:;"''()-]+', '', 'g') AS k FROM c WHERE length(t) >= 15 AND regexp_matches(t, '[A-Za-z]')
+ AND NOT regexp_matches(t, 'thumb|right|left|px\b|Download OBO|Query/Feedback|OBO|^[0-9]-') AND NOT regexp_matches(t, 'Bhojpuria Lokraag|Launda Naach|blog-post|Read more|Older Posts|Newer Posts')),
+r AS (SELECT *, row_number() OVER (PARTITION BY k ORDER BY doc_id, i) AS rn FROM p)
+SELECT CASE source WHEN 'src0' THEN 'news' WHEN 'src1' THEN 'news' WHEN 'src2' THEN 'encyclopedic' WHEN 'src3' THEN 'verse' WHEN 'src4' THEN 'literary' WHEN 'src5' THEN 'opinion' ELSE 'unknown' END AS register, 'latin' AS script,
+CASE source WHEN 'src3' THEN 'verse' ELSE 'prose' END AS text_type, count(*)::BIGINT AS n, sum(length(t))::BIGINT AS n_chars FROM r WHERE rn = 1 GROUP BY ALL"""
 _CAT = """WITH c AS (SELECT DISTINCT concat_ws('/', 'c' || page_id % 7, CASE WHEN page_id % 3 > 0 THEN 's' || page_id % 5 END, CASE WHEN page_id % 3 > 1 THEN 't' || page_id % 11 END) AS label FROM pages)"""
 
 ORACLE = {
@@ -203,6 +215,7 @@ SELECT CASE WHEN g = m THEN g ELSE 'disagree' END AS lid_label, CASE WHEN g <> m
     "url_slugs": r"""SELECT page_id, lower(string_split(regexp_replace(url, '/+$', ''), '/')[-1]) AS slug, CASE WHEN contains(url, '/category/') THEN regexp_replace(string_split(url, '/category/')[-1], '^/+|/+$', '', 'g') ELSE url END AS label, NOT regexp_matches(lower(string_split(regexp_replace(url, '/+$', ''), '/')[-1]), '1$') AS allowed FROM pages""",
     "rescue_parse": "SELECT count(*) FILTER (event_id % 8 = 0)::BIGINT AS recovered, count(*) FILTER (event_id % 4 = 0 AND event_id % 8 <> 0)::BIGINT AS still_failed, round(count(*) FILTER (event_id % 8 = 0) / count(*) FILTER (event_id % 4 = 0), 6) AS rate FROM events",
     "parse_judge_json": "SELECT event_id, event_id % 5 <> 2 AND trim(coalesce(props, '')) <> '' AS ok, CASE WHEN event_id % 5 <> 2 THEN CASE WHEN event_id % 2 = 0 THEN 'objective' ELSE 'subjective' END END AS subjectivity, CASE WHEN event_id % 5 <> 2 AND event_id % 2 = 1 THEN CASE WHEN event_id % 3 = 0 THEN 'positive' ELSE 'mixed' END END AS polarity, CASE WHEN event_id % 5 <> 2 THEN round((event_id % 101) / 100.0::DOUBLE, 6) END AS confidence, CASE WHEN event_id % 5 <> 2 THEN event_type END AS domain FROM events",
+    "flagship": _FLAG,
     "conversation_ends": "SELECT conv_id, count(*)::BIGINT AS n, arg_min(role, turn) AS first_role, md5(arg_max(text, turn)) AS last_md5 FROM conversations GROUP BY conv_id",
 }
-QUERIES = {f.__name__: f for f in (content_hash_ids, sentence_split_counts, sentence_rows, strip_markup_pages, strip_pii_docs, strip_handles, clean_gate_reasons, corpus_filter_rules, script_profile, text_coalesce_enrich, norm_key_dedup_kept, norm_key_reject_reasons, append_dedup_antijoin, benchmark_containment, source_verdict_crosstab, clean_rates, lid_two_judge_combine, leaf_category_prefix_anti, page_extraction, page_links_by_regex, url_slugs, parse_judge_json, rescue_parse, conversation_ends, flagship)}
+QUERIES = {f.__name__: f for f in (content_hash_ids, sentence_split_counts, sentence_rows, strip_markup_pages, strip_pii_docs, strip_handles, clean_gate_reasons, corpus_filter_rules, script_profile, text_coalesce_enrich, norm_key_dedup_kept, norm_key_reject_reasons, strict_order_dedup, append_dedup_antijoin, benchmark_containment, source_verdict_crosstab, clean_rates, lid_two_judge_combine, leaf_category_prefix_anti, page_extraction, page_links_by_regex, url_slugs, parse_judge_json, rescue_parse, conversation_ends, flagship)}
