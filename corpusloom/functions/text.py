@@ -12,6 +12,7 @@ from collections.abc import Iterator
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 WS = r"[\s\x1c-\x1f\x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}]"
 NOT_WS = WS.replace("[", "[^", 1)
@@ -22,7 +23,7 @@ EDGE = rf"(?:(?<={WORD})(?!{WORD})|(?<!{WORD})(?={WORD}))"
 REFERENCE = r"(?s)<ref[^>]*>.*?</ref>|<ref[^>]*/?>"
 TEMPLATE = r"\{\{[^}]*\}\}"
 WIKILINK = r"\[\[[^\]]*\]\]"
-MEDIA = rf"(?iu){EDGE}(?:File|Image|चित्र|फाइल):[^\]\|]*"
+MEDIA = rf"(?iu)(?<!{WORD})(?:File|Image|चित्र|फाइल):[^\]\|]*"
 TAG = r"<[^>]+>"
 URL = rf"https?://{NOT_WS}+|www\.{NOT_WS}+"
 EMAIL = rf"{EDGE}[\p{{L}}\p{{N}}_.+-]+@[\p{{L}}\p{{N}}_-]+\.[\p{{L}}\p{{N}}_.-]+{EDGE}"
@@ -50,6 +51,8 @@ BOILERPLATE = [
     r"प्रबन्धन|वर्जित है",
     r"^दि०|^\p{Nd}-",
 ]
+#: Characters that a boilerplate pattern can begin with.
+_FIRST = r"(?=[गसतइबघमअआकओदडनरवपtrlpDQO\p{Nd}])"
 TITLE_CHROME = rf"मुख्य पेज|मुख्य पन्ना|Bhojpuria Lokraag|Launda Naach|^{WS}*\(?मुख्य|blog-post|Read more|Older Posts|Newer Posts"
 STUBS = ["ग्रेगरियन कैलेंडर", "जनवरी-मार्च", "अप्रैल-जून", "जुलाई-सितंबर", "अक्टूबर-दिसंबर", "अज्ञात तिथि", "निधन तिहुआर", "छुट्टी अउरी खास महत्व"]
 KEY_DROPPED = rf"(?:{WS}|[।॥.,!?\-–—:;\"'()])+"
@@ -57,32 +60,40 @@ DEVANAGARI, LATIN = r"[\x{0900}-\x{097F}]", "[A-Za-z]"
 MIN_CHARS = 15
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def nfc(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
     """Unicode NFC, which Spark lacks; text that is NFC already is passed on."""
     for s in batches:
         yield s.map(lambda t: t if t is None or t.isascii() or unicodedata.is_normalized("NFC", t) else unicodedata.normalize("NFC", t))
 
 
+#: White space but for single spaces, which stay as they are.
+_UNEVEN = rf" {WS}+|[{WS[1:-1]}&&[^ ]]{WS}*"
+
+
 def squeeze(text: Column) -> Column:
     """White-space runs to one space, ends trimmed."""
-    return F.trim(F.regexp_replace(text, f"{WS}+", " "))
+    return F.trim(F.regexp_replace(text, _UNEVEN, " "))
 
 
 def normalize(text: Column) -> Column:
     return squeeze(nfc(text))
 
 
+def _replaced(text: Column, patterns: tuple[str, ...], some: str) -> Column:
+    """All patterns replaced by a space, in order; texts without `some`, which every match holds, are passed on."""
+    out = text
+    for pattern in patterns:
+        out = F.regexp_replace(out, pattern, " ")
+    return F.when(text.rlike(some), out).otherwise(text)
+
+
 def strip_markup(text: Column) -> Column:
-    for pattern in (REFERENCE, TEMPLATE, WIKILINK, MEDIA, TAG):
-        text = F.regexp_replace(text, pattern, " ")
-    return text
+    return _replaced(text, (REFERENCE, TEMPLATE, WIKILINK, MEDIA, TAG), r"[<{\[]|(?iu)[ert\x{0930}\x{0932}]:")
 
 
 def strip_pii(text: Column) -> Column:
-    for pattern in (URL, EMAIL, PHONE, HANDLE):
-        text = F.regexp_replace(text, pattern, " ")
-    return text
+    return _replaced(text, (URL, EMAIL, PHONE, HANDLE), r"@|://|www\.|\p{Nd}{9}")
 
 
 def sentences(text: Column) -> Column:
@@ -114,7 +125,7 @@ def has_script(text: Column, script: str = DEVANAGARI) -> Column:
 
 
 def is_boilerplate(text: Column, patterns: list[str] | None = None) -> Column:
-    return text.rlike("|".join(f"(?:{p})" for p in patterns or BOILERPLATE))
+    return text.rlike("|".join(f"(?:{p})" for p in patterns) if patterns else f"{_FIRST}(?:{'|'.join(f'(?:{p})' for p in BOILERPLATE)})")
 
 
 def gate_reason(text: Column, min_chars: int = MIN_CHARS, script: str = DEVANAGARI, boilerplate: list[str] | None = None) -> Column:

@@ -79,7 +79,7 @@ def strict_order_dedup(rows: DataFrame, order: list[str], min_chars: int = T.MIN
             reasons.append(reason)
         return group[fields].assign(reject_reason=reasons)
 
-    schema = open_.select(*fields, F.lit("").alias("reject_reason")).schema
+    schema = open_.select(*fields, F.lit(None).cast("string").alias("reject_reason")).schema
     decided = open_.groupBy("component").applyInPandas(decide, schema)
     refused = prepared.where("refused is not null").withColumn("reject_reason", F.col("refused")).select(*fields, "reject_reason")
     return decided.unionByName(refused)

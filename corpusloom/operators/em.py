@@ -203,7 +203,7 @@ def consensus(items: DataFrame, votes: DataFrame, k: int = 5, n_judges: int = 5,
     spark = items.sparkSession
     small = spark.createDataFrame(table)
     on = [patterns["pattern"] == small["pattern"], *[patterns[s].eqNullSafe(small[s]) for s in strata]]
-    return patterns.join(F.broadcast(small) if len(table) <= 50_000 else small, on).select(patterns["id"], "label", "entropy", "entropy_norm", *[f"p_{i}" for i in range(k)])
+    return patterns.join(F.broadcast(small) if len(table) <= 50_000 else small, on).select(patterns["id"], F.col("label").cast("int").alias("label"), "entropy", "entropy_norm", *[f"p_{i}" for i in range(k)])
 
 
 def leave_one_out(items: DataFrame, votes: DataFrame, k: int = 5, n_judges: int = 5) -> DataFrame:

@@ -23,8 +23,11 @@ def read_jsonl(spark: SparkSession, path: str | list[str], schema: str) -> DataF
 
 def read_jsonl_tolerant(spark: SparkSession, path: str | list[str], schema: str) -> tuple[DataFrame, DataFrame]:
     """Good rows, and malformed lines as text."""
-    rows = spark.read.schema(struct(f"{schema}, {CORRUPT} string")).option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", CORRUPT).json(path)
-    return rows.where(F.col(CORRUPT).isNull()).drop(CORRUPT), rows.where(F.col(CORRUPT).isNotNull()).select(CORRUPT)
+    lines = spark.read.text(path).where(F.trim("value") != "")
+    own = struct(schema)
+    parsed = lines.select("value", F.from_json("value", struct(f"{schema}, {CORRUPT} string"), {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": CORRUPT}).alias("r"))
+    bad = F.col("r").isNull() | F.col(f"r.{CORRUPT}").isNotNull()
+    return parsed.where(~bad).select(*[F.col("r")[c].alias(c) for c in own.names]), parsed.where(bad).select(F.col("value").alias(CORRUPT))
 
 
 def read_corpus(spark: SparkSession, pattern: str, schema: str, excluded: list[str] | None = None) -> DataFrame:

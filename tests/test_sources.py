@@ -1,0 +1,128 @@
+"""Files, pages, collectors, backends and streams, all offline."""
+
+import json
+
+import pytest
+from pyspark.sql import functions as F
+
+from corpusloom.operators import merge
+from corpusloom.sources import collectors, html, io, judges
+from corpusloom.streaming import ingest
+
+
+def test_jsonl(spark, tmp_path):
+    (tmp_path / "a.jsonl").write_text('{"id": "1"}\n\n{"id": \n{"id": "2"}\n')
+    good, bad = io.read_jsonl_tolerant(spark, str(tmp_path / "a.jsonl"), "id string")
+    assert sorted(r["id"] for r in good.collect()) == ["1", "2"] and bad.count() == 1
+    with pytest.raises(Exception):
+        io.read_jsonl(spark, str(tmp_path / "a.jsonl"), "id string").collect()
+
+
+def test_append_new(spark, tmp_path):
+    path = str(tmp_path / "out")
+    for ids in (["a", "b", "a"], ["b", "c"]):
+        io.append_new(spark.createDataFrame([(i,) for i in ids], "id string"), path, "id string")
+    assert sorted(r["id"] for r in spark.read.json(path).collect()) == ["a", "b", "c"]
+
+
+def test_tagged_and_csv_and_integrity(spark, tmp_path):
+    df = spark.createDataFrame([("a", None), ("b", "near_dupe")], "id string, reject_reason string")
+    io.write_tagged(df, "reject_reason", str(tmp_path / "kept"), str(tmp_path / "gone"))
+    assert spark.read.json(str(tmp_path / "kept")).count() == 1 and spark.read.json(str(tmp_path / "gone")).first()["reject_reason"] == "near_dupe"
+    io.write_csv(df, str(tmp_path / "csv"), ["id", "label"], ["label"])
+    back = io.read_csv(spark, str(tmp_path / "csv"))
+    assert back.columns == ["id", "label"] and back.count() == 2
+    (tmp_path / "f").write_bytes(b"x")
+    assert io.integrity(spark, [str(tmp_path / "f")]).first()["sha256"] == "2d711642b726b04401627ca9fbac32f5c8530fb1903cc4db02258717921a4881"
+
+
+def test_corpus_glob_and_shards(spark, tmp_path):
+    for name in ("b.jsonl", "corpus_clean.jsonl"):
+        (tmp_path / name).write_text('{"id": "1"}\n')
+    assert [r["file"] for r in io.read_corpus(spark, str(tmp_path / "*.jsonl"), "id string").collect()] == ["b.jsonl"]
+    (tmp_path / "chunk_3").mkdir()
+    (tmp_path / "chunk_3" / "aya__v1.jsonl").write_text('{"id": "1"}\n')
+    r = merge.with_origin(spark.read.json(str(tmp_path / "chunk_3" / "*.jsonl"))).first()
+    assert (r["judge"], r["chunk"]) == ("aya", 3)
+
+
+PAGE = '<html><script>no</script><div class="nav"><a href="/n">N</a></div><article class="x y"><p>One <b>two</b></p><a href="/p#1">three</a><img src="q"><a href="/p#1">again</a></article></html>'
+
+
+def test_html():
+    assert html.page_text(PAGE, "article") == "One two three again"
+    assert html.page_text(PAGE, "div.nav") == "N"
+    assert html.page_links(PAGE, "http://h/a/", ".x") == ["http://h/p#1"]
+    assert html.page_text(None) == "" and html.page_links("<a href", None) == []
+
+
+ANSWERS = {
+    "http://n/": '<a class="l" href="/1">a</a><a class="l" href="/2">b</a><a href="/3">c</a>',
+    "http://n/1": "<main>first</main>", "http://n/2": "<main>second</main>",
+    "http://w/sitemap": "<loc>http://w/good-1</loc><loc>http://w/bad-2/</loc>", "http://w/good-1": "<p>post</p>",
+    "http://f/": '<a href="/forum/topics/1:Topic:9">t</a>', "http://f/forum/topics/1:Topic:9": "<p>topic</p>",
+    "http://b/": json.dumps({"feed": {"openSearch$totalResults": {"$t": "1"}, "entry": [{"title": {"$t": "T"}, "content": {"$t": "<p>c</p>"}, "category": [{"term": "k"}], "link": [{"rel": "alternate", "href": "u"}]}]}}),
+    "http://r/": json.dumps({"data": {"after": None, "children": [{"data": {"title": "t", "selftext": "[removed]", "permalink": "p", "comments": [{"body": "c", "replies": [{"body": "[deleted]"}]}]}}]}}),
+    "http://t/train": json.dumps([{"text": "", "sentence": "s"}, {"text": "x", "is_synthetic": True}]),
+    "http://m/": json.dumps({"query": {"pages": {"1": {"pageid": 1, "title": "A", "extract": "text"}}}}),
+}
+
+
+def fetch(url, params):
+    if url == "http://f/" and params.get("page", 1) > 1:
+        return ""
+    if url not in ANSWERS:
+        raise OSError("404")
+    return ANSWERS[url]
+
+
+def test_collectors():
+    got = lambda kind, **o: [(d.url, d.text) for d in collectors.collector(kind, fetch, **o).documents()]
+    assert got("news", listings=["http://n/"], link_selector=".l", max_articles=2) == [("http://n/1", "first"), ("http://n/2", "second")]
+    assert got("wordpress", sitemap="http://w/sitemap", exclude=["bad"]) == [("http://w/good-1", "post")]
+    assert got("forum", base="http://f/") == [("http://f/forum/topics/1:Topic:9", "topic")]
+    assert got("feed", feed="http://b/") == [("u", "T\nc")]
+    assert got("threads", listing="http://r/") == [("p", "t\nc")]
+    assert got("transcripts", splits=["http://t/train"]) == [("http://t/train#0", "s")]
+    assert got("wiki", api="http://m/")[0][1] == "text"
+    with pytest.raises(ValueError):
+        collectors.collector("none", fetch)
+
+
+def test_patience_and_politeness():
+    waits, calls = [], []
+
+    def flaky(url, params):
+        calls.append(url)
+        if len(calls) < 3:
+            raise OSError("429" if len(calls) == 1 else "500")
+        return "ok"
+
+    assert collectors.patient(flaky, wait=waits.append)("u", {}) == "ok" and waits == [10, 2]
+    polite = collectors.polite(lambda u, p: "User-agent: *\nDisallow: /x" if u.endswith("robots.txt") else "ok")
+    assert polite("http://h/y", {}) == "ok"
+    with pytest.raises(PermissionError):
+        polite("http://h/x", {})
+
+
+def test_backends(spark):
+    items = spark.createDataFrame([("1", "a"), ("2", "b")], "id string, text string")
+    rows = judges.judged(items, judges.StandIn, lambda t: f"judge: {t}", "s").collect()
+    assert len(rows) == 2 and not any(r["parse_failed"] for r in rows)
+    lid = judges.language_predicted(items, lambda: lambda texts: [("bho_Deva", 0.123456)] * len(texts)).collect()
+    assert {r["lid_model_confidence"] for r in lid} == {0.1235}
+    with pytest.raises(ValueError):
+        judges.JudgeSpec("x", "y").pinned()
+    assert len(judges.reply_schema()["anyOf"]) == 2
+
+
+def test_stream(spark, tmp_path):
+    (tmp_path / "in").mkdir()
+    for n, ids in enumerate((["a", "b"], ["b", "c"])):
+        (tmp_path / "in" / f"{n}.json").write_text("".join(json.dumps({"id": i}) + "\n" for i in ids))
+        q = ingest.append_deduplicated(ingest.read_stream(spark, str(tmp_path / "in"), "id string"), str(tmp_path / "out"), str(tmp_path / "cp"))
+        q.awaitTermination()
+    assert sorted(r["id"] for r in spark.read.parquet(str(tmp_path / "out")).collect()) == ["a", "b", "c"]
+    rows = spark.createDataFrame([(1, "a"), (1, "b"), (2, "a")], "chunk int, judge string")
+    assert {r["chunk"]: r["complete"] for r in ingest.chunks_completed(rows, 2).collect()} == {1: True, 2: False}
+    assert F is not None
