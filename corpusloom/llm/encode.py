@@ -47,7 +47,7 @@ class Encoder:
         self.plain.pre_tokenizer = pre_tokenizers.Sequence([pre_tokenizers.WhitespaceSplit(), pre_tokenizers.ByteLevel(add_prefix_space=not self.words, use_regex=False)])
         edge = [t.endswith("</w>") if self.words else t.startswith("\u0120") for t in map(self.tokenizer.id_to_token, range(self.tokenizer.get_vocab_size()))]
         self.edge = np.array(edge)
-        self.memo = Memo(self._encode, most=700_000)
+        self.memo = Memo(self._encode, most=500_000)
 
     @staticmethod
     def held(name: str, path: str | None = None) -> Encoder:

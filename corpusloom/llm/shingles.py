@@ -20,16 +20,23 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> _S31)
 
 
+def _hashes(words: list[str]) -> list[int]:
+    return [xxhash.xxh3_64_intdigest(w.encode()) for w in words]
+
+
+#: Word hashes do not depend on the shingle size: all operators in a worker share this memo.
+WORDS = Memo(_hashes, most=300_000)
+
+
 class Shingler:
     """Lower-cases A-Z, takes runs of bytes other than space and U+0009 to U+000D, hashes every `size` in a row."""
 
     def __init__(self, size: int):
         self.size = size
-        self.words = Memo(lambda words: [xxhash.xxh3_64_intdigest(w.encode()) for w in words])
 
     def word_hashes(self, texts: pa.StringArray) -> list[np.ndarray]:
         codes, ends, distinct = coded(pc.ascii_split_whitespace(pc.ascii_lower(texts)))  # ASCII letters and ASCII white space only
-        known = np.array(self.words.values(distinct), np.uint64)
+        known = np.array(WORDS.values(distinct), np.uint64)
         blank = distinct.index("") if "" in distinct else -1
         out, at = [], 0
         for end in ends.tolist():
