@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import ctypes
+import gc
 import os
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -13,7 +15,36 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Rows turned from Arrow into Python at once; long texts make a slice end sooner.
-SLICE_ROWS, SLICE_BYTES = 4096, 12 << 20
+SLICE_ROWS, SLICE_BYTES = 4096, 10 << 20
+#: What a worker holds for an operator (memos, tokenizers): name -> how to let go of it.
+_HELD_BY: dict[str, Callable[[], None]] = {}
+_now: list[str] = []
+try:
+    _trim = ctypes.CDLL(None).malloc_trim
+except (OSError, AttributeError):  # another C library
+    _trim = None
+
+
+def tidy() -> None:
+    """Give freed memory back to the machine: several workers share an executor's memory."""
+    pa.default_memory_pool().release_unused()
+    if _trim:
+        _trim(0)
+
+
+def holds(name: str, let_go: Callable[[], None]) -> None:
+    _HELD_BY[name] = let_go
+
+
+def only(name: str) -> None:
+    """A worker serves many stages. When one of another operator begins, what the last one held goes."""
+    if _now != [name]:
+        for other, let_go in _HELD_BY.items():
+            if other != name:
+                let_go()
+        _now[:] = [name]
+        gc.collect()
+        tidy()
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -59,6 +90,7 @@ def slices(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 part = part.slice(0, max(1, int(SLICE_ROWS * SLICE_BYTES / part.nbytes)))
             yield part
             at += part.num_rows
+        tidy()
 
 
 class Memo:
@@ -73,6 +105,9 @@ class Memo:
         self.young: dict = {}
         self.old: dict = {}
 
+    def clear(self) -> None:
+        self.young, self.old = {}, {}
+
     def values(self, words: list) -> list:
         """The value of each of these distinct words."""
         found = list(map(self.young.get, words))

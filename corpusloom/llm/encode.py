@@ -14,7 +14,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
-from .common import Memo, coded, quiet_tokenizers, spread, tokenizer_file
+from .common import Memo, coded, holds, only, quiet_tokenizers, spread, tokenizer_file
 
 #: A run of Latin letters before ASCII punctuation, white space or the end is a unit of its own: it recurs more often.
 _LETTERS = "[A-Za-zÀ-ÖØ-öø-ÿ]+(?=[\\s!-/:-@\\[-`{-~]|$)"
@@ -25,6 +25,7 @@ _LATIN = re.compile(" ?[A-Za-zÀ-ÖØ-öø-ÿ]+")
 LINE = 2000
 _ODD_SPACE = re.compile("[\x1c-\x1f]")
 _HELD: dict[tuple[str, str], Encoder] = {}
+holds("encode", _HELD.clear)
 
 
 class Encoder:
@@ -47,10 +48,11 @@ class Encoder:
         self.plain.pre_tokenizer = pre_tokenizers.Sequence([pre_tokenizers.WhitespaceSplit(), pre_tokenizers.ByteLevel(add_prefix_space=not self.words, use_regex=False)])
         edge = [t.endswith("</w>") if self.words else t.startswith("\u0120") for t in map(self.tokenizer.id_to_token, range(self.tokenizer.get_vocab_size()))]
         self.edge = np.array(edge)
-        self.memo = Memo(self._encode, most=500_000)
+        self.memo = Memo(self._encode, most=400_000)
 
     @staticmethod
     def held(name: str, path: str | None = None) -> Encoder:
+        only("encode")
         if (name, path or "") not in _HELD:
             _HELD[name, path or ""] = Encoder(name, path)
         return _HELD[name, path or ""]

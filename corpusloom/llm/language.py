@@ -16,6 +16,7 @@ no labelled row every text is `und`; the label, source and id of a row are never
 from __future__ import annotations
 
 import re
+import uuid
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
@@ -25,8 +26,10 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import Memo, id_and_text, slices
+from .common import holds, id_and_text, only, slices
 
+_HELD: dict[str, WordScores] = {}
+holds("language", _HELD.clear)
 _LETTERS = re.compile(r"[^\W\d_]+")
 UND = "und"
 
@@ -42,15 +45,15 @@ class LanguageModel:
     scores: np.ndarray  # buckets x languages
     temperature: float = 1.0
     threshold: float = 0.0
-    _memo: object = field(default=None, repr=False)
-
-    def __getstate__(self):
-        return self.__dict__ | {"_memo": None}
+    name: str = field(default_factory=lambda: uuid.uuid4().hex)
 
     def words(self) -> WordScores:
-        if self._memo is None:
-            self._memo = WordScores(self.scores)
-        return self._memo
+        """The word memo of the model in use; a worker keeps one."""
+        only("language")
+        if self.name not in _HELD:
+            _HELD.clear()
+            _HELD[self.name] = WordScores(self.scores)
+        return _HELD[self.name]
 
     def logits(self, texts: list[str]) -> np.ndarray:
         """Mean scores of each text's features; NaN without a letter."""
@@ -78,7 +81,7 @@ class LanguageModel:
 class WordScores:
     """Word -> row of summed scores and feature count; bounded like a Memo."""
 
-    def __init__(self, scores: np.ndarray, most: int = 500_000):
+    def __init__(self, scores: np.ndarray, most: int = 300_000):
         self.scores, self.most = scores, most
         self.at: dict[str, int] = {}
         self.rows = np.zeros((1 << 16, scores.shape[1] + 1), np.float32)

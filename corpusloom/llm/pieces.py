@@ -25,13 +25,14 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 
-from .common import Memo, coded, id_and_text, list_array, slices, spread, tokenizer_file
+from .common import Memo, coded, holds, id_and_text, list_array, only, slices, spread, tokenizer_file
 
 MARK = "▁"
 _UNITS = re.compile(f"{MARK}+[^{MARK}]*|[^{MARK}]+")
 #: Kinds of pieces in a model file.
 NORMAL, UNKNOWN, CONTROL, USER, UNUSED, BYTE = 1, 2, 3, 4, 5, 6
 _HELD: dict[str, PieceModel] = {}
+holds("pieces", _HELD.clear)
 
 
 class PieceModel:
@@ -66,11 +67,12 @@ class PieceModel:
         self.shorter = [self.longest_in.get(p[:-1], 0) if i else 0 for i, p in enumerate(self.text)]
         self.left_alone: dict[int, bool] = {}
         self.edges: dict[int, tuple | None] = {}
-        self.words = Memo(lambda words: [self._word(w) for w in words], most=600_000)
+        self.words = Memo(lambda words: [self._word(w) for w in words], most=400_000)
         self.shown = [self._shown(i) for i in range(len(self.text))]
 
     @staticmethod
     def held(path: str | None = None) -> PieceModel:
+        only("pieces")
         if (path or "") not in _HELD:
             _HELD[path or ""] = PieceModel(path)
         return _HELD[path or ""]

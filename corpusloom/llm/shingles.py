@@ -7,7 +7,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 import xxhash
 
-from .common import Memo, coded
+from .common import Memo, coded, holds, only
 
 _M1, _M2, _M3 = (np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB))
 _S30, _S27, _S31 = (np.uint64(x) for x in (30, 27, 31))
@@ -26,6 +26,7 @@ def _hashes(words: list[str]) -> list[int]:
 
 #: Word hashes do not depend on the shingle size: all operators in a worker share this memo.
 WORDS = Memo(_hashes, most=300_000)
+holds("words", WORDS.clear)
 
 
 class Shingler:
@@ -35,6 +36,7 @@ class Shingler:
         self.size = size
 
     def word_hashes(self, texts: pa.StringArray) -> list[np.ndarray]:
+        only("words")
         codes, ends, distinct = coded(pc.ascii_split_whitespace(pc.ascii_lower(texts)))  # ASCII letters and ASCII white space only
         known = np.array(WORDS.values(distinct), np.uint64)
         blank = distinct.index("") if "" in distinct else -1

@@ -22,12 +22,13 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 
-from .common import Memo, coded, id_and_text, slices, tokenizer_file
+from .common import Memo, coded, holds, id_and_text, only, slices, tokenizer_file
 
 MARK = "▁"
 #: Scores are whole numbers of 1e-6 nats: sums are exact in any order.
 SCALE = 1_000_000
 _HELD: dict[str, UnigramTrie] = {}
+holds("counts", _HELD.clear)
 
 
 def unigram(path: str | None = None) -> tuple[dict[str, int], int]:
@@ -47,10 +48,11 @@ class UnigramTrie:
     def __init__(self, path: str | None = None):
         self.costs, self.unknown = unigram(path)
         self.longest = max(map(len, self.costs))
-        self.memo = Memo(self.counts, most=900_000)
+        self.memo = Memo(self.counts, most=600_000)
 
     @staticmethod
     def held(path: str | None = None) -> UnigramTrie:
+        only("counts")
         if (path or "") not in _HELD:
             _HELD[path or ""] = UnigramTrie(path)
         return _HELD[path or ""]
