@@ -156,6 +156,27 @@ def rescue_parse(spark, sf_dir):
     return merge.rescue_counts(merge.rescue(rows, J.parse_reply(F.col("raw_response")))).select("recovered", "still_failed", F.round("rate", 6).alias("rate"))
 
 
+TEMPLATE = "Judge this sentence:\n{{SENTENCE}}\nReply in JSON."
+
+
+def prompt_rendering(spark, sf_dir):
+    return table(spark, sf_dir, "conversations").select("conv_id", "turn", F.md5(T.rendered(TEMPLATE, F.col("text"))).alias("prompt_md5"))
+
+
+def lid_reply_parse(spark, sf_dir):
+    """Replies of a language judge: wrapped objects, unknown labels, confidences out of range, long reasons."""
+    e = F.col("event_id")
+    label = F.when(e % 3 == 0, " Hindi ").when(e % 3 == 1, "bhojpuri").otherwise("klingon")
+    raw = F.concat(F.lit('so: {"label": "'), label, F.lit('", "confidence": '), ((e % 30) / 20.0).cast("string"), F.lit(', "reason": "'), F.repeat(F.lit("ab "), (e % 40).cast("int")), F.lit('"} ok'))
+    parsed = table(spark, sf_dir, "events").select("event_id", J.parse_lid_reply(raw, ["bhojpuri", "hindi", "maithili"]).alias("p"))
+    return parsed.select("event_id", "p.label", F.round("p.confidence", 6).alias("confidence"), F.length("p.reason").cast("long").alias("n_reason"))
+
+
+def romanised_share(spark, sf_dir):
+    d = table(spark, sf_dir, "documents")
+    return d.groupBy("lang").agg(F.count("*").alias("n"), F.count_if(T.is_romanised(F.col("text"))).alias("romanised"), F.round(F.avg(F.regexp_count("text", F.lit(T.LATIN)) / F.length("text")), 6).alias("mean_latin"))
+
+
 def conversation_ends(spark, sf_dir):
     """First and last turn of each conversation by pre-aggregated extremes."""
     c = table(spark, sf_dir, "conversations")
@@ -216,6 +237,9 @@ SELECT CASE WHEN g = m THEN g ELSE 'disagree' END AS lid_label, CASE WHEN g <> m
     "rescue_parse": "SELECT count(*) FILTER (event_id % 8 = 0)::BIGINT AS recovered, count(*) FILTER (event_id % 4 = 0 AND event_id % 8 <> 0)::BIGINT AS still_failed, round(count(*) FILTER (event_id % 8 = 0) / count(*) FILTER (event_id % 4 = 0), 6) AS rate FROM events",
     "parse_judge_json": "SELECT event_id, event_id % 5 <> 2 AND trim(coalesce(props, '')) <> '' AS ok, CASE WHEN event_id % 5 <> 2 THEN CASE WHEN event_id % 2 = 0 THEN 'objective' ELSE 'subjective' END END AS subjectivity, CASE WHEN event_id % 5 <> 2 AND event_id % 2 = 1 THEN CASE WHEN event_id % 3 = 0 THEN 'positive' ELSE 'mixed' END END AS polarity, CASE WHEN event_id % 5 <> 2 THEN round((event_id % 101) / 100.0::DOUBLE, 6) END AS confidence, CASE WHEN event_id % 5 <> 2 THEN event_type END AS domain FROM events",
     "flagship": _FLAG,
+    "prompt_rendering": "SELECT conv_id, turn, md5(replace('Judge this sentence:' || chr(10) || '{{SENTENCE}}' || chr(10) || 'Reply in JSON.', '{{SENTENCE}}', trim(replace(text, chr(10), ' ')))) AS prompt_md5 FROM conversations",
+    "lid_reply_parse": "SELECT event_id, CASE event_id % 3 WHEN 0 THEN 'hindi' WHEN 1 THEN 'bhojpuri' ELSE 'other' END AS label, round(least(1.0, (event_id % 30) / 20.0::DOUBLE), 6) AS confidence, least(80, 3 * (event_id % 40))::BIGINT AS n_reason FROM events",
+    "romanised_share": r"SELECT lang, count(*)::BIGINT AS n, count(*) FILTER (length(text) >= 15 AND a * 2 > b)::BIGINT AS romanised, round(avg(a::DOUBLE / length(text)), 6) AS mean_latin FROM (SELECT lang, text, len(regexp_extract_all(text, '[A-Za-z]')) AS a, len(regexp_extract_all(text, '\pL')) AS b FROM documents) GROUP BY lang",
     "conversation_ends": "SELECT conv_id, count(*)::BIGINT AS n, arg_min(role, turn) AS first_role, md5(arg_max(text, turn)) AS last_md5 FROM conversations GROUP BY conv_id",
 }
-QUERIES = {f.__name__: f for f in (content_hash_ids, sentence_split_counts, sentence_rows, strip_markup_pages, strip_pii_docs, strip_handles, clean_gate_reasons, corpus_filter_rules, script_profile, text_coalesce_enrich, norm_key_dedup_kept, norm_key_reject_reasons, strict_order_dedup, append_dedup_antijoin, benchmark_containment, source_verdict_crosstab, clean_rates, lid_two_judge_combine, leaf_category_prefix_anti, page_extraction, page_links_by_regex, url_slugs, parse_judge_json, rescue_parse, conversation_ends, flagship)}
+QUERIES = {f.__name__: f for f in (content_hash_ids, sentence_split_counts, sentence_rows, strip_markup_pages, strip_pii_docs, strip_handles, clean_gate_reasons, corpus_filter_rules, script_profile, text_coalesce_enrich, norm_key_dedup_kept, norm_key_reject_reasons, strict_order_dedup, append_dedup_antijoin, benchmark_containment, source_verdict_crosstab, clean_rates, lid_two_judge_combine, leaf_category_prefix_anti, page_extraction, page_links_by_regex, url_slugs, parse_judge_json, rescue_parse, prompt_rendering, lid_reply_parse, romanised_share, conversation_ends, flagship)}

@@ -6,7 +6,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators.dedup import not_yet_there
-from ..schema import struct
+from ..operators.merge import with_origin
+from ..schema import SIDECAR, struct
 
 CORRUPT = "_corrupt_record"
 # Files that a corpus scan leaves out, as patterns of their names.
@@ -39,6 +40,29 @@ def read_corpus(spark: SparkSession, pattern: str, schema: str, excluded: list[s
     return rows.where(~F.col("file").rlike(f"^(?:{'|'.join(left_out)})$")) if left_out else rows
 
 
+def read_sidecars(spark: SparkSession, pattern: str) -> DataFrame:
+    """One row per run sidecar (a JSON object per file), with judge and chunk from its path."""
+    return with_origin(spark.read.schema(struct(SIDECAR)).option("multiLine", "true").json(pattern))
+
+
+def require_filled(df: DataFrame, column: str, key: str = "id", most: int = 20) -> DataFrame:
+    """df, if no row has a blank in the column; otherwise an error that names some of the keys."""
+    blank = [r[key] for r in df.where(F.trim(F.coalesce(F.col(column), F.lit(""))) == "").select(key).orderBy(key).limit(most).collect()]
+    if blank:
+        raise ValueError(f"{column} is blank for {blank}")
+    return df
+
+
+def split_by(df: DataFrame, condition, matching: str, rest: str) -> None:
+    """Two outputs of one table by a predicate; null goes to the rest."""
+    held = df.persist()
+    try:
+        write_jsonl(held.where(condition), matching)
+        write_jsonl(held.where(~F.coalesce(condition, F.lit(False))), rest)
+    finally:
+        held.unpersist()
+
+
 def read_csv(spark: SparkSession, path: str) -> DataFrame:
     """Header, all strings; a byte-order mark before the first name is dropped."""
     rows = spark.read.csv(path, header=True, inferSchema=False, multiLine=True, escape='"')

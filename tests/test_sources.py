@@ -125,4 +125,16 @@ def test_stream(spark, tmp_path):
     assert sorted(r["id"] for r in spark.read.parquet(str(tmp_path / "out")).collect()) == ["a", "b", "c"]
     rows = spark.createDataFrame([(1, "a"), (1, "b"), (2, "a")], "chunk int, judge string")
     assert {r["chunk"]: r["complete"] for r in ingest.chunks_completed(rows, 2).collect()} == {1: True, 2: False}
-    assert F is not None
+
+
+def test_sidecars_and_gates(spark, tmp_path):
+    (tmp_path / "chunk_2").mkdir()
+    (tmp_path / "chunk_2" / "aya__v1.meta.json").write_text(json.dumps({"repo_id": "r", "seed": 42}, indent=1))
+    r = io.read_sidecars(spark, str(tmp_path / "chunk_2" / "*.meta.json")).first()
+    assert (r["repo_id"], r["seed"], r["judge"], r["chunk"]) == ("r", 42, "aya", 2)
+    df = spark.createDataFrame([("1", "x"), ("2", " "), ("3", None)], "id string, label string")
+    assert io.require_filled(df.where("id = 1"), "label").count() == 1
+    with pytest.raises(ValueError, match="2"):
+        io.require_filled(df, "label")
+    io.split_by(df, F.col("label") == "x", str(tmp_path / "yes"), str(tmp_path / "no"))
+    assert spark.read.json(str(tmp_path / "yes")).count() == 1 and spark.read.json(str(tmp_path / "no")).count() == 2
