@@ -173,7 +173,7 @@ def train(df: DataFrame, lang_col: str = "lang", text_col: str = "text", rows_pe
     """Learn from a bounded sample of the labelled rows in df: about rows_per_language each, picked by a hash of the text.
 
     At most most_languages languages are learned, the most frequent ones. What reaches the driver is bounded by
-    rows_per_language * most_languages rows, of each the first 64 KB of text.
+    2 * rows_per_language rows for each of at most most_languages languages, whole texts.
     """
     labelled = df.select(F.col(lang_col).cast("string").alias("lang"), F.col(text_col).cast("string").alias("text")).where("lang is not null and text is not null")
     counts = {r["lang"]: r["n"] for r in labelled.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(most_languages).collect()}
@@ -181,7 +181,7 @@ def train(df: DataFrame, lang_col: str = "lang", text_col: str = "text", rows_pe
         return LanguageModel([], np.zeros((1, 0), np.float32))
     share = F.create_map(*[F.lit(x) for k, n in counts.items() for x in (k, float(rows_per_language / n))])
     spread = F.pmod(F.xxhash64("text"), F.lit(1 << 30)) / float(1 << 30)
-    rows = labelled.where(spread < F.try_element_at(share, F.col("lang"))).select("lang", F.substring("text", 1, 65536).alias("text")).limit(2 * rows_per_language * len(counts)).collect()
+    rows = labelled.where(spread < F.try_element_at(share, F.col("lang"))).select("lang", "text").limit(2 * rows_per_language * len(counts)).collect()
     return fit([r["text"] for r in rows], [r["lang"] for r in rows])
 
 
