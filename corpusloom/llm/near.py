@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import id_and_text, list_array, slices, stored
+from .common import id_and_text, list_array, scratch, slices, stored
 from .graph import components
 from .shingles import Shingler, mix
 
@@ -113,7 +113,17 @@ def _confirmed(pairs: DataFrame, sketches: DataFrame, sets: DataFrame, percent:
 def near_groups(df: DataFrame, shingle: int = 5, percent: int = 80, slack: float = 0.16, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, n_shingles, component_id (least doc_id reachable), kept (doc_id = component_id); one row per document."""
     docs = id_and_text(df, id_col, text_col)
-    signed = stored(signatures(docs, shingle), "signatures")
+    with scratch(df.sparkSession):
+        signed = stored(signatures(docs, shingle), "signatures")
+        sizes = stored(signed.select("doc_id", "digest", "n_shingles"), "sizes", keep=True)
+        of_class = stored(_memberships(docs, signed, shingle, percent, slack), "membership", keep=True)
+    found = sizes.join(of_class, "digest", "left")
+    component = F.when(F.col("doc_id").isNotNull(), F.coalesce("root", "doc_id"))
+    return found.select("doc_id", "n_shingles", component.alias("component_id"), F.col("doc_id").eqNullSafe(component).alias("kept"))
+
+
+def _memberships(docs: DataFrame, signed: DataFrame, shingle: int, percent: int, slack: float) -> DataFrame:
+    """digest, root: the component of each class of equal sets."""
     classes = stored(signed.where("digest is not null and doc_id is not null").groupBy("digest").agg(F.min("doc_id").alias("node")), "classes")
     own = signed.join(classes, "digest").where("doc_id = node")
     sketches = stored(own.select("node", "n_shingles", "sketch", "bands"), "sketches")
@@ -122,16 +132,12 @@ def near_groups(df: DataFrame, shingle: int = 5, percent: int = 80, slack: float
     members = stored(buckets.join(shared, "bucket").select("bucket", "node", "centre"), "members")
     sketches = sketches.select("node", "n_shingles", "sketch")
     sets = stored(full_sets(docs.join(members.select(F.col("node").alias("doc_id")).distinct(), "doc_id").select("doc_id", "text"), shingle), "sets")
-
     star = members.where("node != centre").select(F.col("centre").alias("a"), F.col("node").alias("b")).distinct()
     links = stored(_confirmed(star, sketches, sets, percent, slack), "confirmed")
     roots = stored(components(links), "roots")
     more = _between(_mixed(members.select("bucket", "node"), roots), sets.join(sketches, "node"), percent, slack)
     roots = stored(components(links.union(stored(more, "confirmed"))), "roots")
-    of_class = stored(classes.join(roots, "node", "left").select("digest", F.coalesce("root", "node").alias("root")), "membership")
-    found = signed.select("doc_id", "digest", "n_shingles").join(of_class, "digest", "left")
-    component = F.when(F.col("doc_id").isNotNull(), F.coalesce("root", "doc_id"))
-    return found.select("doc_id", "n_shingles", component.alias("component_id"), F.col("doc_id").eqNullSafe(component).alias("kept"))
+    return classes.join(roots, "node", "left").select("digest", F.coalesce("root", "node").alias("root"))
 
 
 def _mixed(members: DataFrame, roots: DataFrame) -> DataFrame:

@@ -21,7 +21,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import id_and_text, stored
+from .common import id_and_text, scratch, stored
 from .fingerprints import let
 
 KINDS = ["email", "ip", "card", "phone"]
@@ -139,7 +139,8 @@ def joined(spans: Column) -> Column:
 def find(df: DataFrame, rounds: int = ROUNDS, support: int = SUPPORT, confidence: float = CONFIDENCE, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, key (md5 of the text), base, spans: arrays of start, end, kind; one row per document."""
     scanned = stored(scan(id_and_text(df, id_col, text_col)), "scanned")
-    patterns = learned_patterns(scanned, rounds, support, confidence)
+    with scratch(df.sparkSession):
+        patterns = stored(learned_patterns(scanned, rounds, support, confidence), "learned", keep=True)
     tokens = scanned.where(F.size("tokens") > 0).select("key", F.explode("tokens").alias("t")).select("key", "t.start", "t.end", _pattern(F.col("t.before")).alias("pattern")).distinct()
     best = patterns.groupBy("pattern").agg(F.max_by("kind", F.struct("confidence", -F.col("kind"))).alias("kind"))
     new = tokens.join(best, "pattern").groupBy("key").agg(F.collect_list(F.struct("start", "end", "kind")).alias("new"))
