@@ -269,6 +269,20 @@ def test_passages(spark):
     assert cut[0] == text[0] and cut[3] == text[3] and len(cut[4].split()) < len(text[4].split()) - 49
 
 
+def test_edited_passages_under_a_hot_line(spark):
+    """40 earlier documents hold a line; pairs share a passage with that line in it and one word changed in its middle."""
+    rng = random.Random(23)
+    fresh = lambda n: [f"v{rng.randrange(10**7)}" for _ in range(n)]
+    line = fresh(12)
+    rows = [(d, " ".join(fresh(40) + line + fresh(40))) for d in range(40)]
+    for pair in range(60):
+        shared = fresh(6) + line + fresh(36)
+        edited = [*shared[:27], *fresh(1), *shared[28:]]
+        rows += [(100 + 2 * pair, " ".join(fresh(15) + shared + fresh(15))), (101 + 2 * pair, " ".join(fresh(15) + edited + fresh(15)))]
+    found = {(r["doc_id"], r["of_doc_id"]) for r in passages.repeated_passages(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert found <= {(101 + 2 * p, 100 + 2 * p) for p in range(60)} and len(found) >= 58
+
+
 def test_passages_of_odd_rows(odd, none):
     assert passages.repeated_passages(none).count() == 0
     assert {r["doc_id"] for r in passages.repeated_passages(odd).collect()} <= {11, 12}
