@@ -90,9 +90,13 @@ def base_spans(text: Column) -> Column:
 
 
 def candidates(text: Column) -> Column:
-    """Tokens with an @ or at least six digits."""
-    token = r"(?<!\S)(?=\S*+(?<=\S))(?:[^\s@0-9]*+(?:@|(?:[0-9][^\s@0-9]*+){6}))\S*+"
-    return matches(text, -1, token, lambda m: F.lit(True))
+    """Tokens with an @ or at least six digits, and numbers of six digits or more in groups that blanks part.
+
+    A number in groups takes the place of the token that it begins with; tokens further on in it stay candidates as well."""
+    token = r"(?<!\S)(?:[^\s@]*+@|(?:[^\s0-9]*+[0-9]){6})\S*+"
+    grouped = r"(?<!\S)[^\s@0-9\p{L}]*+[0-9](?:[().\x20/-]{0,3}+[0-9]){5,}+\S*+"
+    of = lambda pattern, valid: matches(text, -1, pattern, valid)
+    return F.concat(of(grouped, lambda m: m.contains(" ")), of(token, lambda m: F.lit(True)))
 
 
 def _pattern(before: Column) -> Column:
@@ -109,7 +113,8 @@ def scan(docs: DataFrame) -> DataFrame:
     empty = F.array().cast(f"array<{SPAN}>")
     found = docs.select("doc_id", F.md5("text").alias("key"), F.when(some, base_spans(text)).otherwise(empty).alias("base"), F.when(some, candidates(text)).otherwise(empty).alias("tokens"))
     apart = lambda t, b: (t["end"] <= b["start"]) | (t["start"] >= b["end"])
-    return found.withColumn("tokens", F.filter("tokens", lambda t: F.forall("base", lambda b: apart(t, b))))
+    found = found.withColumn("tokens", F.filter("tokens", lambda t: F.forall("base", lambda b: apart(t, b))))
+    return found.withColumn("tokens", F.filter("tokens", lambda t: ~F.exists("tokens", lambda o: (o["start"] == t["start"]) & (o["end"] > t["end"]))))
 
 
 def learned_patterns(scanned: DataFrame, rounds: int = ROUNDS, support: int = SUPPORT, confidence: float = CONFIDENCE) -> DataFrame:

@@ -356,6 +356,13 @@ def test_contexts_find_new_identifiers(spark):
     assert clean[50] == "please call my cell <phone> now" and clean[0] == "please call my cell <phone> now" and clean[51] == rows[9][1]
 
 
+def test_candidates_with_digits_before_the_at_and_in_groups(spark):
+    tokens = ["john@corp", "john99@corp", "a1@b", "1234@5678", "u2@mail_host.com", "0664 123 45 67", "(555) 123-4567", "x1234567"]
+    rows = [(i, f"mine is {t} today") for i, t in enumerate(tokens)] + [(20, "in 2020 and 12 more"), (21, "from 10.0.0.1 1234567 now")]
+    got = {r["doc_id"]: [s["value"] for s in r["tokens"]] for r in pii.scan(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == {**{i: [t] for i, t in enumerate(tokens)}, 6: ["(555) 123-4567", "123-4567"], 20: [], 21: ["1234567"]}
+
+
 def test_pii_of_odd_rows(odd, none):
     assert pii.digest(pii.find(odd)).count() == odd.count() and pii.digest(pii.find(none)).count() == 0
     assert pii.redact(odd).columns == odd.columns and pii.redact(odd).count() == odd.count()
