@@ -75,15 +75,29 @@ _scratch: list[list[str]] = []
 def stored(df: DataFrame, name: str, keep: bool = False) -> DataFrame:
     """Write df to the shared folder and read it back: cuts lineage and survives lost executors.
 
-    Within a scratch the table goes when the scratch ends; with keep it stays, as results that are read later must."""
+    Within a scratch the table goes when the scratch ends; with keep it outlives this scratch, as results that are read
+    later must, and goes with the one around it, if there is one."""
     spark = df.sparkSession
     path = shared_path(spark, name)
     df.write.parquet(path)
-    if _scratch and not keep:
-        _scratch[-1].append(path)
+    if len(_scratch) > keep:
+        _scratch[-1 - keep].append(path)
+    spark._jvm.System.gc()  # shuffle files of what is written now go when the driver's references to them do
     return spark.read.schema(df.schema).parquet(path)
 
 
+@contextmanager
+def arrow_rows(spark: SparkSession, most: int) -> Iterator[None]:
+    """Rows that go to Python at once while tables are stored within: few where rows are large, to bound memory."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(name)
+    spark.conf.set(name, most)
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before)
+
+
 @contextmanager
 def scratch(spark: SparkSession) -> Iterator[None]:
     """Delete the tables stored within, but for kept ones, on the way out."""
@@ -111,7 +125,8 @@ def slices(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 part = part.slice(0, max(1, int(SLICE_ROWS * SLICE_BYTES / part.nbytes)))
             yield part
             at += part.num_rows
-        tidy()
+        if batch.nbytes > SLICE_BYTES // 10:
+            tidy()
 
 
 class Memo:
