@@ -82,10 +82,16 @@ def stored(df: DataFrame, name: str, keep: bool = False) -> DataFrame:
     df.write.parquet(path)
     if len(_scratch) > keep:
         _scratch[-1 - keep].append(path)
-    spark._jvm.System.gc()  # shuffle files of what is written now go when the driver's references to them do
+    release(spark)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def release(spark: SparkSession) -> None:
+    """Spark deletes the shuffle files of a finished query once the driver collects its garbage: have it do so now."""
+    spark.sparkContext._jsc.sc().listenerBus().waitUntilEmpty(10_000)
+    spark._jvm.System.gc()
+
+
 @contextmanager
 def arrow_rows(spark: SparkSession, most: int) -> Iterator[None]:
     """Rows that go to Python at once while tables are stored within: few where rows are large, to bound memory."""

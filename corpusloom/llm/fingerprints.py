@@ -1,18 +1,24 @@
 """Winnowed fingerprints, with SQL functions only.
 
-A text's lower-cased words (runs of white space separate; a word of more than 16 characters is cut into pieces of 16)
-give one hash per `k` words in a row. Of every `window` hashes in a row the least is chosen, the rightmost among equal
-ones, and kept with its position. So two texts that share `window + k - 1` words in a row share a chosen hash, and no
-choice is denser than it must be. Hash and position are packed in one long (32 bits and 31 bits, positions counted down),
-so the least long of a slice is the winnowing rule itself.
+A text's code points give one rolling hash per `k` in a row: the next place's hash is the last one's, shifted by a bit,
+with the new code point's value added by exclusive or, as in a gear hash; values fall out of the word at its upper end, so
+bits from `k` on depend on `k` code points only. Arrays have no running state in SQL, so all places take the same steps
+at once: hashes of 2, 4, 8 ... code points come from two neighbours of half as many, and least values of a window from
+two overlapping ones likewise, in log2 steps an array. Of every `window` hashes in a row the least is chosen, the
+rightmost among equal ones, and kept with its position. So two texts that share `window + k - 1` code points in a row
+share a chosen hash, in any script, and no choice is denser than it must be. Hash and position are packed in one long (32
+bits and 31 bits, positions counted down), so the least long of a window is the winnowing rule itself. Long texts are cut
+into overlapping parts, so that arrays stay small; the choice is that of the whole text.
+
+An edited text begins as its own text does; windows within that beginning are not hashed twice.
 
 The text that follows in doc_id order is found without a global sort: bounds of doc_id ranges come from one
 percentile sketch, each range is ordered by a window of its own, and the first row of a range is also sent to the range
 before it.
 
-Defined cases: null text is empty; a text without words has the empty fingerprint; two empty fingerprints are alike
-(1.0); fewer than k words count as one gram; repeated doc_ids are ordered by a hash of their texts, null ones come
-first; a single document follows itself.
+Defined cases: null text is empty and has the empty fingerprint; two empty fingerprints are alike (1.0); a text of fewer
+than k code points counts as one gram; repeated doc_ids are ordered by a hash of their texts, null ones come first; a
+single document follows itself.
 """
 
 from __future__ import annotations
@@ -22,8 +28,10 @@ from pyspark.sql import functions as F
 
 from .common import id_and_text, stored
 
-K, WINDOW = 4, 8
+K, WINDOW = 8, 32
 LOW = (1 << 31) - 1
+#: Windows of a text that are looked at together.
+PART = 1 << 15
 #: Documents in one range of doc_id; the number of ranges stays below MOST_RANGES.
 RANGE_ROWS, MOST_RANGES = 2000, 20_000
 
@@ -33,23 +41,58 @@ def let(value: Column, body) -> Column:
     return F.element_at(F.transform(F.array(value), body), 1)
 
 
-def words(text: Column) -> Column:
-    return F.regexp_extract_all(F.lower(text), F.lit("\\S{1,16}"), F.lit(0))
+def _grams(text: Column, k: int) -> Column:
+    """The packed hash of every k code points; of a shorter text, one."""
 
+    def packed(h: Column, i: Column | int) -> Column:
+        return F.shiftleft(F.shiftrightunsigned(h, 32), 31).bitwiseOR(F.lit(LOW).cast("long") - i)
 
-def winnow(text: Column, k: int = K, window: int = WINDOW) -> Column:
-    """Chosen longs in order of position: hash above bit 31, 2^31 - 1 - position below."""
+    def doubled(half: Column, size: int, body) -> Column:
+        return let(half, lambda v: F.transform(v, lambda x, i: body(F.shiftleft(x, size).bitwiseXOR(F.get(v, i + size)), i)))
 
-    def grams(t: Column) -> Column:
-        one = lambda i: F.xxhash64(*[F.get(t, i + j) for j in range(k)])
-        packed = lambda i: F.shiftleft(F.shiftrightunsigned(one(i), 32), 31).bitwiseOR(F.lit(LOW).cast("long") - i)
-        return F.when(F.size(t) == 0, F.array().cast("array<bigint>")).otherwise(F.transform(F.sequence(F.lit(0), F.greatest(F.size(t) - k, F.lit(0))), packed))
+    all_, size = F.transform(F.split(text, ""), lambda c: F.xxhash64(c)), 1
+    while size < k:
+        all_, size = doubled(all_, size, packed if 2 * size == k else lambda h, i: h), 2 * size
+    n = F.length(text)
+    return F.when(n >= k, F.slice(all_, F.lit(1), n - k + 1)).when(n > 0, F.array(packed(F.xxhash64(text), 0))).otherwise(F.array().cast("array<bigint>"))
 
-    def choose(g: Column) -> Column:
-        least = F.transform(F.sequence(F.lit(1), F.greatest(F.size(g) - window + 1, F.lit(1))), lambda i: F.array_min(F.slice(g, i, window)))
-        return F.when(F.size(g) == 0, g).otherwise(F.array_distinct(least))
 
-    return let(let(words(text), grams), choose)
+def _minima(text: Column, k: int, window: int) -> Column:
+    """The least packed hash of every window; of fewer hashes than a window, the least of all."""
+
+    def lesser(v: Column, by: int) -> Column:
+        return let(v, lambda a: F.transform(a, lambda x, i: F.least(x, F.get(a, i + by))))
+
+    def of(grams: Column) -> Column:
+        least, span = grams, 1
+        while 2 * span <= window:
+            least, span = lesser(least, span), 2 * span
+        if span < window:
+            least = lesser(least, window - span)
+        return F.slice(least, F.lit(1), F.greatest(F.size(grams) - window + 1, F.least(F.size(grams), F.lit(1))))
+
+    return let(_grams(text, k), of)
+
+
+def winnow(text: Column, k: int = K, window: int = WINDOW, head: Column | None = None) -> Column:
+    """Chosen longs in order of position: hash above bit 31, 2^31 - 1 - position below.
+
+    With head, a struct of these (`all`) and of those that the first `head` windows choose (`head`)."""
+    if k < 2 or k & (k - 1) or k > 32:
+        raise ValueError("k is a power of 2 up to 32")
+    least = lambda m, j: F.transform(F.array_distinct(m), lambda x: x - j * PART)
+
+    def part(j: Column) -> Column:
+        minima = _minima(F.substring(text, j * PART + 1, F.lit(PART + k + window - 2)), k, window)
+        if head is None:
+            return least(minima, j)
+        return let(minima, lambda m: F.struct(least(m, j).alias("all"), least(F.slice(m, F.lit(1), F.greatest(F.least(head - j * PART, F.lit(PART)), F.lit(0))), j).alias("head")))
+
+    parts = F.transform(F.sequence(F.lit(0), F.floor(F.greatest(F.length(text) - (k + window - 1), F.lit(0)) / PART).cast("int")), part)
+    joined = lambda x: F.array_distinct(F.flatten(x))
+    if head is None:
+        return joined(parts)
+    return let(parts, lambda p: F.struct(joined(F.transform(p, lambda x: x["all"])).alias("all"), joined(F.transform(p, lambda x: x["head"])).alias("head")))
 
 
 def hashes(chosen: Column) -> Column:
@@ -86,28 +129,34 @@ def _ranges(ids: DataFrame) -> Column:
     return F.coalesce(F.when(at == 0, 0).otherwise((at - 1) * step + below(F.element_at(blocks, F.greatest(at, F.lit(1))), F.col("doc_id"))), F.lit(0))
 
 
-def with_next(rows: DataFrame, ids: DataFrame, carried: list[str]) -> DataFrame:
-    """rows with next_<c> for each carried column: of the row that follows in ascending doc_id order, after the last the first."""
-    rows = rows.withColumn("p", _ranges(ids))
-    firsts = stored(ids.withColumn("p", _ranges(ids)).groupBy("p").agg(F.min("doc_id").alias("first_id")), "firsts")  # at most MOST_RANGES + 1 rows
-    order = Window.orderBy("p")
-    ghosts_of = firsts.withColumn("to", F.coalesce(F.lag("p").over(order), F.max("p").over(order.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))))
+def with_next(df: DataFrame, computed, carried: list[str], order: str = "h") -> DataFrame:
+    """df (doc_id, text and `order`, which orders rows of one doc_id) with next_<c> for each carried column: that of the row
+    that follows in ascending doc_id order, after the last row of the first. computed(df) adds columns that carried may
+    name; it sees rows once they stand in order, so that only df is shuffled."""
+    at = _ranges(df.select("doc_id"))
+    rows = df.withColumn("p", at)
+    firsts = stored(df.select("doc_id", at.alias("p")).groupBy("p").agg(F.min("doc_id").alias("first_id")), "firsts", keep=True)  # at most MOST_RANGES + 1 rows
+    by = Window.orderBy("p")
+    ghosts_of = firsts.withColumn("to", F.coalesce(F.lag("p").over(by), F.max("p").over(by.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))))
     ghosts = rows.join(F.broadcast(ghosts_of), (rows["p"] == ghosts_of["p"]) & rows["doc_id"].eqNullSafe(ghosts_of["first_id"])).drop(ghosts_of["p"])
-    ghosts = ghosts.groupBy("to").agg(*[F.min_by(F.struct("doc_id", *carried), F.struct("p", "h")).alias("r")]).select(F.col("to").alias("p"), "r.*", F.lit(0).cast("long").alias("h"), F.lit(True).alias("ghost"))
-    both = rows.withColumn("ghost", F.lit(False)).unionByName(ghosts, allowMissingColumns=True)
-    within = Window.partitionBy("p").orderBy("ghost", F.col("doc_id").asc_nulls_first(), "h")
-    return both.select("*", *[F.lead(c).over(within).alias(f"next_{c}") for c in carried]).where("not ghost").drop("p", "ghost")
+    ghosts = ghosts.groupBy("to").agg(F.min_by(F.struct(*df.columns), F.struct("p", order)).alias("r")).select(F.col("to").alias("p"), "r.*", F.lit(True).alias("ghost"))
+    both = rows.withColumn("ghost", F.lit(False)).unionByName(ghosts)
+    keys = [F.col("ghost"), F.col("doc_id").asc_nulls_first(), F.col(order)]
+    ready = computed(both.repartition("p").sortWithinPartitions("p", *keys))
+    within = Window.partitionBy("p").orderBy(*keys)
+    return ready.select("*", *[F.lead(c).over(within).alias(f"next_{c}") for c in carried]).where("not ghost").drop("p", "ghost")
 
 
-def compare_with_next(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def compare_with_next(df: DataFrame, k: int = K, window: int = WINDOW, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Each document's fingerprint against those of its edited text and of the next document."""
-    docs = id_and_text(df, id_col, text_col)
-    rows = fingerprints(docs).withColumn("h", F.xxhash64("text"))
-    both = with_next(rows, docs.select("doc_id"), ["text", "chosen"])
     n = F.length("text")
     half = F.floor(n / 2).cast("int")
-    edited = both.select("doc_id", n.cast("long").alias("n_chars"), "chosen", "next_chosen", F.concat(F.substring(F.col("text"), F.lit(1), n - half), F.substring(F.col("next_text"), F.lit(1), half)).alias("edited"))
-    marked = edited.withColumn("edited_chosen", winnow(F.col("edited")))
+    whole = F.greatest(n - half - (k + window - 2), F.lit(0))  # windows within what is left of the own text
+    own = lambda rows: rows.withColumn("own", winnow(F.col("text"), k, window, whole)).withColumn("chosen", F.col("own.all"))
+    both = with_next(id_and_text(df, id_col, text_col).withColumn("h", F.xxhash64("text")), own, ["text", "chosen"])
+    edited = both.select("doc_id", n.cast("long").alias("n_chars"), "chosen", F.col("own.head").alias("head"), "next_chosen", whole.alias("whole"), F.concat(F.substring(F.col("text"), F.lit(1), n - half), F.substring(F.col("next_text"), F.lit(1), half)).alias("edited"))
+    rest = let(winnow(F.substring(F.col("edited"), F.col("whole") + 1, F.length("edited")), k, window), lambda r: F.array_distinct(F.concat("head", F.transform(r, lambda x: x - F.col("whole")))))
+    marked = edited.withColumn("edited_chosen", F.when((F.col("whole") > 0) & (F.length("edited") - F.col("whole") < k + window - 1), F.col("head")).otherwise(rest))
 
     def judged(row: Column) -> Column:
         return F.struct(likeness(row["own"], row["edited"]).alias("near_edited"), likeness(row["own"], row["next"]).alias("near_next"), shown(row["edited_chosen"]).alias("edited_fingerprint"))
