@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from corpusloom.llm import language, near, packing, passages, pii
-from corpusloom.llm.common import documents, stored
+from corpusloom.llm.common import documents, scratch, stored
 
 
 def _counted(docs: DataFrame) -> DataFrame:
@@ -20,7 +20,7 @@ def _counted(docs: DataFrame) -> DataFrame:
 def identified(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose language is predicted with enough confidence; rejected ones (und) go, as do texts without letters."""
     model = language.train(docs)
-    return language.predict(docs, model, reject=True, keep=docs.columns).where(F.col("lang_pred") != language.UND).drop("lang_pred", "score")
+    return language.predict(docs, model, reject=True, keep=docs.columns).where(F.col("lang_pred") != language.UND).select(*docs.columns)
 
 
 def deduplicated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -52,8 +52,9 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = documents(spark, sf_dir)
-    for i, (name, stage) in enumerate(STAGES):
-        docs = stage(spark, docs, sf_dir)
-        if i + 1 < len(STAGES):
-            docs = stored(docs, f"stage-{name}")
-    return docs
+    *first, (_, last) = STAGES
+    with scratch(spark):  # what a stage left for the next one goes once the last has read it
+        for name, stage in first:
+            with scratch(spark):
+                docs = stored(stage(spark, docs, sf_dir), f"stage-{name}", keep=True)
+        return last(spark, docs, sf_dir)
