@@ -1,12 +1,15 @@
 """Personal data by bootstrapped contextual extraction, with SQL functions only.
 
-Base spans: four kinds of identifiers by pattern and check. They are the seeds. The words before a seed are a lexical
-pattern; a token that looks like an identifier (six digits or an @) and is no seed is a candidate. Patterns and
-instances form a graph, scored in rounds: a pattern's confidence in a kind is the mean confidence of the instances it
-precedes, an instance's is the chance that not all of its patterns are wrong. Patterns with enough distinct seeds and a
-high confidence then mark their candidates as new spans of that kind. Base spans always stay.
-
-One pass over the texts extracts base spans, seeds and candidates; the graph is built from those small rows, counts are
+Base spans: four kinds of identifiers by pattern and check. They and secrets (long hexadecimal strings) are the seeds. The
+two words before an identifier, the two words after it, and the words on both sides are its lexical patterns; a token that
+looks like an identifier (six digits or an @) and is no seed is a candidate. Patterns and instances form a graph, scored in
+rounds: a pattern's confidence in a kind is the summed belief in its known instances over the number of all its instances,
+an instance's belief is the chance that not all patterns it stands in are wrong. Patterns with enough distinct known
+instances and a high confidence are accepted; candidates that they make certain enough become known and so induce further
+patterns. Nothing known is forgotten, so the rounds end by themselves, when one accepts no new pattern. Accepted patterns
+then mark their candidates as spans of their kind. Base spans always stay.
+
+One pass over the texts extracts seeds and candidates; the graph is built from those small rows, counts are
 pre-aggregated, and a very frequent pattern is a sum. A split by a pattern gives the parts between its matches, and
 lengths in code points add up to positions. Possessive quantifiers and one look-behind keep matching linear in the
 length of the text; they do not change what matches.
@@ -24,20 +27,25 @@ from pyspark.sql import functions as F
 from .common import id_and_text, scratch, stored
 from .fingerprints import let
 
-KINDS = ["email", "ip", "card", "phone"]
+#: Base kinds, and all kinds.
+BASE = ["email", "ip", "card", "phone"]
+KINDS = [*BASE, "secret"]
 PATTERNS = {
     "email": r"(?:\G|(?<![A-Za-z0-9._%+-]))[A-Za-z0-9._%+-]++@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)++",
     "ip": r"(?<![0-9])[0-9]++\.[0-9]++\.[0-9]++\.[0-9]++",
     "card": r"(?<![0-9])[0-9](?:[\x20-]?[0-9])++",
     "phone": r"\+[0-9][\x20().0-9-]+[0-9]",
+    "secret": r"(?<![0-9A-Za-z])(?=[A-Fa-f]*+[0-9])(?=[0-9]*+[A-Fa-f])[0-9A-Fa-f]{32,}+(?![0-9A-Za-z])",
 }
 #: What a text must hold for a pattern to be tried.
-NEEDS = {"email": "@", "ip": r"[0-9]\.[0-9]", "card": r"(?:[0-9][\x20-]?){14}", "phone": r"\+[0-9]"}
+NEEDS = {"email": "@", "ip": r"[0-9]\.[0-9]", "card": r"(?:[0-9][\x20-]?){14}", "phone": r"\+[0-9]", "secret": "[0-9A-Fa-f]{32}"}
 _PART = "0*(?:25[0-5]|2[0-4][0-9]|1?[0-9]?[0-9])"
-#: Characters before a span that its pattern is taken from.
+#: Characters on each side of a span that its patterns are taken from.
 CONTEXT_CHARS = 48
-#: Rounds of scoring; distinct seeds that a pattern needs; confidence that it needs.
-ROUNDS, SUPPORT, CONFIDENCE = 3, 3, 0.8
+#: Distinct known instances that a pattern needs; confidence that it, and belief that an instance, needs.
+SUPPORT, CONFIDENCE = 3, 0.8
+#: Parts that rows of one text are dealt to in joins.
+SALTS = 16
 
 
 def _luhn(match: Column) -> Column:
@@ -58,11 +66,11 @@ def _valid(kind: str, match: Column) -> Column:
     return F.lit(True)
 
 
-SPAN = "struct<start:int,end:int,kind:int,value:string,before:string>"
+SPAN = "struct<start:int,end:int,kind:int,value:string,before:string,after:string>"
 
 
 def matches(text: Column, kind: int, pattern: str, valid) -> Column:
-    """All matches that pass, with start and end in code points, the matched text, and the end of the part before it."""
+    """All matches that pass, with start and end in code points, the matched text, and what stands beside it, as far as the next match."""
     empty = F.array().cast(f"array<{SPAN}>")
 
     def placed(p: Column) -> Column:
@@ -72,7 +80,7 @@ def matches(text: Column, kind: int, pattern: str, valid) -> Column:
             part, match = F.get(p["parts"], i), F.get(p["found"], i)
             start = acc["at"] + F.length(part)
             end = start + F.length(match)
-            span = F.struct(start.alias("start"), end.alias("end"), F.lit(kind).alias("kind"), match.alias("value"), F.right(part, F.lit(CONTEXT_CHARS)).alias("before"))
+            span = F.struct(start.alias("start"), end.alias("end"), F.lit(kind).alias("kind"), match.alias("value"), F.right(part, F.lit(CONTEXT_CHARS)).alias("before"), F.left(F.get(p["parts"], i + 1), F.lit(CONTEXT_CHARS)).alias("after"))
             return F.struct(end.alias("at"), F.concat(acc["spans"], F.array(span.cast(SPAN))).alias("spans"))
 
         spans = F.aggregate(F.sequence(F.lit(0), F.size(p["found"]) - 1), zero, step)["spans"]
@@ -85,8 +93,12 @@ def matches(text: Column, kind: int, pattern: str, valid) -> Column:
 def base_spans(text: Column) -> Column:
     """Base spans of all kinds, by start, then kind."""
     empty = F.array().cast(f"array<{SPAN}>")
-    each = [F.when(text.rlike(NEEDS[k]), matches(text, i, PATTERNS[k], lambda m, k=k: _valid(k, m))).otherwise(empty) for i, k in enumerate(KINDS)]
-    return F.array_sort(F.flatten(F.array(*each)), lambda a, b: F.when(a["start"] != b["start"], a["start"] - b["start"]).otherwise(a["kind"] - b["kind"]))
+    each = [F.when(text.rlike(NEEDS[k]), matches(text, i, PATTERNS[k], lambda m, k=k: _valid(k, m))).otherwise(empty) for i, k in enumerate(BASE)]
+    return _in_order(F.flatten(F.array(*each)))
+
+
+def _in_order(spans: Column) -> Column:
+    return F.array_sort(spans, lambda a, b: F.when(a["start"] != b["start"], a["start"] - b["start"]).otherwise(a["kind"] - b["kind"]))
 
 
 def candidates(text: Column) -> Column:
@@ -99,41 +111,54 @@ def candidates(text: Column) -> Column:
     return F.concat(of(grouped, lambda m: m.contains(" ")), of(token, lambda m: F.lit(True)))
 
 
-def _pattern(before: Column) -> Column:
-    """The last two words before a span, in lower case; null if there are none."""
-    words = F.filter(F.split(F.lower(before), r"\s+"), lambda w: w != "")
-    last = F.array_join(F.slice(words, F.greatest(F.size(words) - 1, F.lit(1)), 2), " ")
-    return F.when(F.size(words) > 0, last)
+def _patterns(s: Column) -> Column:
+    """The lexical patterns of a span, in lower case: two words before, two words after, one on each side."""
+    words = lambda x: F.filter(F.split(F.lower(x), r"\s+"), lambda w: w != "")
+    before, after = words(s["before"]), words(s["after"])
+    last = F.array_join(F.slice(before, F.greatest(F.size(before) - 1, F.lit(1)), 2), " ")
+    both = F.concat(F.element_at(F.slice(before, -1, 1), 1), F.lit(" _ "), F.get(after, 0))
+    found = F.array(F.when(F.size(before) > 0, F.concat(last, F.lit(" _"))), F.when(F.size(after) > 0, F.concat(F.lit("_ "), F.array_join(F.slice(after, 1, 2), " "))), F.when((F.size(before) > 0) & (F.size(after) > 0), both))
+    return F.filter(found, lambda p: p.isNotNull())
 
 
 def scan(docs: DataFrame) -> DataFrame:
-    """key, base spans and candidates of every text; no text is carried on."""
+    """key, base spans, other seeds and candidates of every text; no text is carried on."""
     text = F.col("text")
     some = text.rlike("[@0-9]")
     empty = F.array().cast(f"array<{SPAN}>")
-    found = docs.select("doc_id", F.md5("text").alias("key"), F.when(some, base_spans(text)).otherwise(empty).alias("base"), F.when(some, candidates(text)).otherwise(empty).alias("tokens"))
+    secret = F.when(text.rlike(NEEDS["secret"]), matches(text, KINDS.index("secret"), PATTERNS["secret"], lambda m: F.lit(True))).otherwise(empty)
+    found = docs.select("doc_id", F.md5("text").alias("key"), F.when(some, base_spans(text)).otherwise(empty).alias("base"), F.when(some, secret).otherwise(empty).alias("other"), F.when(some, candidates(text)).otherwise(empty).alias("tokens"))
     apart = lambda t, b: (t["end"] <= b["start"]) | (t["start"] >= b["end"])
-    found = found.withColumn("tokens", F.filter("tokens", lambda t: F.forall("base", lambda b: apart(t, b))))
+    found = found.withColumn("other", F.filter("other", lambda t: F.forall("base", lambda b: apart(t, b))))
+    found = found.withColumn("tokens", F.filter("tokens", lambda t: F.forall("base", lambda b: apart(t, b)) & F.forall("other", lambda b: apart(t, b))))
     return found.withColumn("tokens", F.filter("tokens", lambda t: ~F.exists("tokens", lambda o: (o["start"] == t["start"]) & (o["end"] > t["end"]))))
 
 
-def learned_patterns(scanned: DataFrame, rounds: int = ROUNDS, support: int = SUPPORT, confidence: float = CONFIDENCE) -> DataFrame:
-    """pattern, kind, confidence: patterns that mark their candidates."""
+def learned_patterns(scanned: DataFrame, support: int = SUPPORT, confidence: float = CONFIDENCE) -> DataFrame:
+    """pattern, kind, confidence: accepted patterns."""
 
     def exploded(name: str) -> DataFrame:
-        return scanned.where(F.size(name) > 0).select(F.explode(name).alias("s")).select(_pattern(F.col("s.before")).alias("pattern"), "s.kind", F.lower("s.value").alias("instance")).where("pattern is not null")
-
-    edges = stored(exploded("base").union(exploded("tokens")).distinct(), "edges")  # pattern, kind (-1: unknown), instance
-    seeded = edges.where("kind >= 0").groupBy("pattern", "kind").agg(F.count("*").alias("seeds")).where(F.col("seeds") >= support)
-    total = edges.groupBy("pattern").agg(F.count("*").alias("n"))
-    scored = stored(seeded.join(total, "pattern").select("pattern", "kind", "seeds", "n", (F.col("seeds") / F.col("n")).alias("confidence")), "patterns")
-    unknown = stored(edges.where("kind = -1").drop("kind").join(scored.select("pattern").distinct(), "pattern"), "unknown")
-    for _ in range(rounds - 1):
-        instance = unknown.join(scored, "pattern").groupBy("instance", "kind").agg((1 - F.exp(F.sum(F.log(F.greatest(1 - F.col("confidence"), F.lit(1e-9)))))).alias("belief"))
-        gained = unknown.join(instance, "instance").groupBy("pattern", "kind").agg(F.sum(F.when(F.col("belief") >= confidence, F.col("belief")).otherwise(0.0)).alias("gain"))
-        better = scored.drop("confidence").join(gained, ["pattern", "kind"], "left")
-        scored = stored(better.select("pattern", "kind", "seeds", "n", ((F.col("seeds") + F.coalesce("gain", F.lit(0.0))) / F.col("n")).alias("confidence")), "patterns")
-    return scored.where(F.col("confidence") >= confidence).select("pattern", "kind", "confidence")
+        spans = scanned.where(F.size(name) > 0).select(F.explode(name).alias("s"))
+        return spans.select(F.explode(_patterns(F.col("s"))).alias("pattern"), "s.kind", F.lower("s.value").alias("instance"))
+
+    edges = stored(exploded("base").union(exploded("other")).union(exploded("tokens")).distinct(), "edges")  # kind -1: a candidate
+    total = edges.groupBy("pattern").agg(F.count_distinct("instance").alias("n"))
+    seeds = edges.where("kind >= 0").select("instance", "kind").distinct().withColumn("belief", F.lit(1.0))
+    # a pattern whose instances are too few can never be accepted, and no other candidates can become known
+    total = stored(total.where(F.col("n") >= support), "total")
+    links = stored(edges.select("pattern", "instance").distinct().join(total.select("pattern"), "pattern"), "links")
+    unknown = stored(edges.where("kind = -1").select("pattern", "instance").distinct().join(total.select("pattern"), "pattern"), "unknown")
+    known, accepted, last = stored(seeds, "known"), None, -1
+    while True:
+        scored = links.join(known, "instance").groupBy("pattern", "kind").agg(F.count("*").alias("k"), F.sum("belief").alias("mass")).where(F.col("k") >= support)
+        scored = scored.join(total, "pattern").select("pattern", "kind", F.least(F.col("mass") / F.col("n"), F.lit(1.0)).alias("confidence"))
+        accepted = stored(scored.where(F.col("confidence") >= confidence), "accepted")
+        now = accepted.count()
+        if now == last:
+            return accepted
+        last = now
+        belief = unknown.join(accepted, "pattern").groupBy("instance", "kind").agg((1 - F.exp(F.sum(F.log(F.greatest(1 - F.col("confidence"), F.lit(1e-9)))))).alias("belief"))
+        known = stored(seeds.union(belief.where(F.col("belief") >= confidence).join(seeds, ["instance", "kind"], "left_anti").select("instance", "kind", "belief")), "known")
 
 
 def joined(spans: Column) -> Column:
@@ -141,25 +166,36 @@ def joined(spans: Column) -> Column:
     return F.array_join(F.transform(spans, lambda s: F.concat_ws(":", F.get(names, s["kind"]), s["start"].cast("string"), s["end"].cast("string"))), ",")
 
 
-def find(df: DataFrame, rounds: int = ROUNDS, support: int = SUPPORT, confidence: float = CONFIDENCE, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def _dealt(rows: DataFrame, by: Column) -> DataFrame:
+    return rows.withColumn("salt", F.pmod(F.xxhash64(by), F.lit(SALTS)).cast("int"))
+
+
+def _for_each_salt(rows: DataFrame) -> DataFrame:
+    return rows.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+
+
+def find(df: DataFrame, support: int = SUPPORT, confidence: float = CONFIDENCE, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, key (md5 of the text), base, spans: arrays of start, end, kind; one row per document."""
-    scanned = stored(scan(id_and_text(df, id_col, text_col)), "scanned")
-    with scratch(df.sparkSession):
-        patterns = stored(learned_patterns(scanned, rounds, support, confidence), "learned", keep=True)
-    tokens = scanned.where(F.size("tokens") > 0).select("key", F.explode("tokens").alias("t")).select("key", "t.start", "t.end", _pattern(F.col("t.before")).alias("pattern")).distinct()
-    best = patterns.groupBy("pattern").agg(F.max_by("kind", F.struct("confidence", -F.col("kind"))).alias("kind"))
-    new = tokens.join(best, "pattern").groupBy("key").agg(F.collect_list(F.struct("start", "end", "kind")).alias("new"))
     narrow = lambda spans: F.transform(spans, lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), s["kind"].alias("kind")))
-    all_ = scanned.select("doc_id", "key", narrow(F.col("base")).alias("base")).join(new, "key", "left")
-    spans = F.when(F.col("new").isNull(), F.col("base")).otherwise(F.array_sort(F.concat("base", F.col("new")), lambda a, b: F.when(a["start"] != b["start"], a["start"] - b["start"]).otherwise(a["kind"] - b["kind"])))
-    return all_.select("doc_id", "key", "base", spans.alias("spans"))
+    scanned = stored(scan(id_and_text(df, id_col, text_col)), "scanned", keep=True)
+    with scratch(df.sparkSession):
+        patterns = learned_patterns(scanned, support, confidence)
+        tokens = scanned.where(F.size("tokens") > 0).select("key", F.explode("tokens").alias("t")).select("key", "t.start", "t.end", F.explode(_patterns(F.col("t"))).alias("pattern")).distinct()
+        best = F.max_by("kind", F.struct("confidence", -F.col("kind"))).alias("kind")
+        marked = tokens.join(patterns, "pattern").groupBy("key", "start", "end").agg(best)
+        new = stored(marked.groupBy("key").agg(F.collect_list(F.struct("start", "end", "kind")).alias("new")), "learned", keep=True)
+    own = scanned.select("doc_id", "key", narrow(F.col("base")).alias("base"), narrow(F.col("other")).alias("other"), (F.size("tokens") > 0).alias("asks"))
+    asking = _dealt(own.where("asks"), F.col("doc_id")).join(_for_each_salt(new), ["key", "salt"], "left").drop("salt")
+    both = own.where("not asks").withColumn("new", F.lit(None).cast(new.schema["new"].dataType)).unionByName(asking)
+    added = F.concat(F.col("other"), F.coalesce("new", F.array().cast(new.schema["new"].dataType)))
+    return both.select("doc_id", "key", "base", F.when(F.size(added) == 0, F.col("base")).otherwise(_in_order(F.concat("base", added))).alias("spans"))
 
 
 def digest(found: DataFrame) -> DataFrame:
-    """Counts of base spans by kind, their hash, and all spans."""
+    """Counts of base spans by kind, their hash, all spans, and how many these are."""
     of_kind = lambda i: F.size(F.filter("base", lambda s: s["kind"] == i)).cast("long")
-    count = [of_kind(i).alias(f"n_{k}") for i, k in enumerate(KINDS)]
-    return found.select("doc_id", *count, F.sha2(joined(F.col("base")), 256).alias("base_sha256"), joined(F.col("spans")).alias("spans"))
+    count = [of_kind(i).alias(f"n_{k}") for i, k in enumerate(BASE)]
+    return found.select("doc_id", *count, F.sha2(joined(F.col("base")), 256).alias("base_sha256"), joined(F.col("spans")).alias("spans"), F.size("spans").cast("long").alias("n_spans"))
 
 
 def redacted(text: Column, spans: Column) -> Column:
@@ -177,7 +213,10 @@ def redacted(text: Column, spans: Column) -> Column:
 
 def redact(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
     """df with its texts redacted; other columns as they are. A null text stays null."""
-    found = find(df, id_col=id_col, text_col=text_col, **options).where(F.size("spans") > 0).groupBy(F.col("key").alias("__key")).agg(F.first("spans").alias("__spans"))
-    found = stored(found, "found")
-    keyed = df.withColumn("__key", F.md5(F.coalesce(F.col(text_col), F.lit("")))).join(found, "__key", "left")
-    return keyed.withColumn(text_col, F.when(F.col("__spans").isNotNull(), redacted(F.col(text_col), F.col("__spans"))).otherwise(F.col(text_col))).select(*df.columns)
+    with scratch(df.sparkSession):
+        found = find(df, id_col=id_col, text_col=text_col, **options).where(F.size("spans") > 0).groupBy(F.col("key").alias("__key")).agg(F.first("spans").alias("__spans"))
+        found = stored(found, "found", keep=True)
+    text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
+    keyed = df.withColumn("__key", F.md5(text)).withColumn("__salt", F.pmod(F.xxhash64(F.col(id_col)), F.lit(SALTS)).cast("int"))
+    done = keyed.join(found.withColumn("__salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1)))), ["__key", "__salt"], "left")
+    return done.withColumn(text_col, F.when(F.col("__spans").isNotNull(), redacted(F.col(text_col), F.col("__spans"))).otherwise(F.col(text_col))).select(*df.columns)
