@@ -4,9 +4,16 @@ Lengths are whole numbers up to the sequence length, so a corpus of any size is
 that histogram (at most `size` rows) is all the driver sees. Bin completion works on it: take the largest length that
 is left, enumerate undominated fillings of the room beside it, depth first from large to small, pruned by the waste
 of the best filling so far (the incumbent starts as the best-fit filling), and use the filling as often as the counts
-allow. The result is a list of patterns. A piece finds its sequence by arithmetic from its rank among the pieces of
-its length; ranks are counted inside each task and shifted by the counts of the tasks before it, so neither a hot
-length nor a hot source gathers anywhere.
+allow. The result is a list of patterns.
+
+Where that needs more sequences than the lower bound (Martello and Toth's L2), the sequences of most waste are opened and
+packed anew by branch and bound: branching over the undominated fillings beside their largest item, least waste first, cut
+off where sequences so far and the lower bound of what is left reach the incumbent. Small inputs are opened whole. The
+search ends after BRANCHES nodes, TAIL items at a time; then the incumbent stands, so a packing is never worse for it, but
+beyond that budget it is not proven to be the smallest.
+
+A piece finds its sequence by arithmetic from its rank among the pieces of its length; ranks are counted inside each task
+and shifted by the counts of the tasks before it, so neither a hot length nor a hot source gathers anywhere.
 
 Defined cases: null or empty text is one piece of the end id alone; equal texts are packed like any other; an empty
 table gives no rows; a null doc_id is kept.
@@ -31,6 +38,8 @@ from .encode import Encoder
 NODES = 1500
 #: Items that the search, not the incumbent, may put in one filling.
 DEPTH = 60
+#: Items that are opened together for branch and bound, and fillings that it branches into before the incumbent stands.
+TAIL, BRANCHES = 64, 20_000
 
 
 def completion(counts: list[int], lengths: list[int], room: int, nodes: int = NODES) -> list[int]:
@@ -48,10 +57,14 @@ def completion(counts: list[int], lengths: list[int], room: int, nodes: int = NO
             rest -= n
         if not rest:
             return best
-    waste, seen = rest, 0
+    waste, seen, upto = rest, 0, [0]
+    for n in lengths:
+        upto.append(upto[-1] + n * counts[n])
 
     def search(top: int, rest: int, taken: list[int]) -> bool:
         nonlocal best, waste, seen
+        if rest - upto[top + 1] >= waste:  # all that is left would waste as much
+            return False
         seen += 1
         if rest < waste:
             best, waste = list(taken), rest
@@ -114,7 +127,103 @@ def patterns(histogram: dict[int, int], size: int) -> list[tuple[int, list[int]]
             counts[n] -= times
         out.append((times, filling))
         lengths = [n for n in lengths if counts[n]]
-    return out
+    return improved(out, size)
+
+
+def fillings(left: list[int], room: int, limit: int) -> list[tuple[int, ...]]:
+    """Undominated fillings of `room` with items of `left` (descending), least waste first; at most `limit` are looked at.
+
+    A filling is dominated, and skipped, if an item outside it could take the place of one or two within it, or be added."""
+    out: list[tuple[int, ...]] = []
+    looked = 0
+
+    def dominated(taken: list[int], rest: int) -> bool:
+        outside = list(left)
+        for n in taken:
+            outside.remove(n)
+        for x in dict.fromkeys(outside):
+            if x <= rest:
+                return True
+            for i, n in enumerate(taken):
+                if n < x <= n + rest or any(n + m <= x <= n + m + rest for m in taken[i + 1 :]):
+                    return True
+        return False
+
+    def extend(at: int, rest: int, taken: list[int]) -> None:
+        nonlocal looked
+        looked += 1
+        if looked > limit:
+            return
+        last = None
+        for i in range(at, len(left)):
+            n = left[i]
+            if n <= rest and n != last:
+                last = n
+                extend(i + 1, rest - n, [*taken, n])
+        if not dominated(taken, rest):
+            out.append(tuple(taken))
+
+    extend(0, room, [])
+    return sorted(dict.fromkeys(out), key=lambda f: (-sum(f), len(f)))
+
+
+def branch_and_bound(items: list[int], size: int, incumbent: int, nodes: int = BRANCHES) -> list[list[int]] | None:
+    """A packing of these items into fewer than `incumbent` sequences, the fewest that `nodes` fillings led to, or none."""
+    best: list[list[int]] | None = None
+    most, seen = incumbent, 0
+
+    def bound(left: list[int]) -> int:
+        counts = [0] * (size + 1)
+        for n in left:
+            counts[n] += 1
+        return lower_bound(counts, size)
+
+    least = bound(items)
+
+    def search(left: list[int], done: list[list[int]]) -> bool:
+        nonlocal best, most, seen
+        if not left:
+            best, most = done, len(done)
+            return most <= least
+        if len(done) + max(1, -(-sum(left) // size)) >= most or len(done) + bound(left) >= most:
+            return False
+        first, rest = left[0], left[1:]
+        for filling in fillings(rest, size - first, 500):
+            seen += 1
+            if seen > nodes:
+                return True
+            after = list(rest)
+            for n in filling:
+                after.remove(n)
+            if search(after, [*done, [first, *filling]]):
+                return True
+        return False
+
+    search(sorted(items, reverse=True), [])
+    return best
+
+
+def improved(found: list[tuple[int, list[int]]], size: int, tail: int = TAIL, nodes: int = BRANCHES) -> list[tuple[int, list[int]]]:
+    """The packing with sequences of most waste packed anew, as long as that saves some and the lower bound is not met."""
+    counts = [0] * (size + 1)
+    for times, filling in found:
+        for n in filling:
+            counts[n] += times
+    least, now = lower_bound(counts, size), sum(times for times, _ in found)
+    while now > least:
+        opened, kept, items = 0, [], []
+        for times, filling in sorted(found, key=lambda f: (sum(f[1]), len(f[1]), f[1])):
+            some = min(times, (tail - len(items)) // len(filling)) if len(items) < tail else 0
+            items += filling * some
+            opened += some
+            if times > some:
+                kept.append((times - some, filling))
+        better = branch_and_bound(items, size, opened, nodes)
+        if better is None:
+            break
+        found = kept + [(1, sorted(f, reverse=True)) for f in better]
+        now += len(better) - opened
+    return found
 
 
 def intervals(found: list[tuple[int, list[int]]]) -> dict[int, tuple[np.ndarray, ...]]:
@@ -160,7 +269,7 @@ def pieces(docs: DataFrame, size: int, end_id: int, tokenizer: str, path: str |
 
 def pack(df: DataFrame, size: int = 2048, end_id: int = 0, tokenizer: str = "byte_bpe_50k.json", path: str | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Pack all documents into sequences of at most `size` tokens: doc_id, piece, start, length, ids_crc32, sequence_id, offset."""
-    cut = stored(pieces(id_and_text(df, id_col, text_col), size, end_id, tokenizer, path), "pieces")
+    cut = stored(pieces(id_and_text(df, id_col, text_col), size, end_id, tokenizer, path), "pieces", keep=True)
     by_task = cut.groupBy("task", "length").agg(F.count("*").alias("n"))
     before = by_task.select("task", "length", (F.sum("n").over(Window.partitionBy("length").orderBy("task")) - F.col("n")).alias("before"))
     histogram = {r["length"]: r["n"] for r in cut.groupBy("length").agg(F.count("*").alias("n")).collect()}  # at most `size` rows
