@@ -55,16 +55,13 @@ class PieceModel:
         self.by_words = not any(MARK in p.lstrip(MARK) for p in self.id)
         self.trie = ahocorasick.Automaton()
         for p in self.id:
-            self.trie.add_word(p, len(p))
+            self.trie.add_word(p, self.id[p])
+        self.trie.make_automaton()
         self.chars = {p for p in self.id if len(p) == 1}
         self.size = list(map(len, self.text))
-        self.most = max(map(len, self.id))
-        #: Every path in the trie, with the longest piece it begins with; every piece, with the next shorter one (0: none).
-        self.longest_in: dict[str, int] = {"": 0}
-        for p in sorted(self.id, key=len):
-            for k in range(1, len(p) + 1):
-                self.longest_in[p[:k]] = self.id.get(p[:k]) or self.longest_in[p[: k - 1]]
-        self.shorter = [self.longest_in.get(p[:-1], 0) if i else 0 for i, p in enumerate(self.text)]
+        self.bits = max(16, len(self.text).bit_length())
+        #: For every piece, the next shorter one that it begins with (0: none).
+        self.shorter = [next((self.id[p[:k]] for k in range(len(p) - 1, 0, -1) if p[:k] in self.id), 0) if p in self.id else 0 for p in self.text]
         self.left_alone: dict[int, bool] = {}
         self.edges: dict[int, tuple | None] = {}
         self.words = Memo(lambda words: [self._word(w) for w in words], most=400_000)
@@ -123,7 +120,7 @@ class PieceModel:
         token's own text gives the token (0 is no normal piece).
 
         The border is crossed if at some time the symbols on its two sides merge before either is replaced."""
-        key = left << 16 | right
+        key = left << self.bits | right
         known = self.left_alone.get(key)
         if known is None:
             if len(self.left_alone) > 1_000_000:
@@ -153,17 +150,19 @@ class PieceModel:
 
     def backtracked(self, text: str) -> list[int]:
         """The merge encoding of a text whose characters are all in the vocabulary."""
-        path, longest_in, shorter, size, n, most = self.trie.longest_prefix, self.longest_in, self.shorter, self.size, len(text), self.most
+        shorter, size, n, bits = self.shorter, self.size, len(text), self.bits
         pairs, failed = self.left_alone, None
+        longest = [0] * n  # of the pieces that begin at each place; one pass of the automaton meets them by their ends
+        for end, token in self.trie.iter(text):
+            longest[end - size[token] + 1] = token
         tokens: list[int] = []
         at, last = 0, 0
         while at < n:
-            part = text[at : at + most]
-            token = longest_in[part[: path(part)]]
+            token = longest[at]
             while True:
                 while token:
                     if not failed or not failed[at + size[token] >> 3] >> (at + size[token] & 7) & 1:
-                        fits = pairs.get(last << 16 | token)
+                        fits = pairs.get(last << bits | token)
                         if fits or fits is None and self.compatible(last, token):
                             break
                     token = shorter[token]
