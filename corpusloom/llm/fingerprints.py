@@ -3,14 +3,14 @@
 A text's code points give one rolling hash per `k` in a row: the next place's hash is the last one's, shifted by a bit,
 with the new code point's value added by exclusive or, as in a gear hash; values fall out of the word at its upper end, so
 bits from `k` on depend on `k` code points only. Arrays have no running state in SQL, so all places take the same steps
-at once: hashes of 2, 4, 8 ... code points come from two neighbours of half as many, and least values of a window from
-two overlapping ones likewise, in log2 steps an array. Of every `window` hashes in a row the least is chosen, the
+at once: hashes of 2, 4, 8 ... code points come from two neighbours of half as many, in log2 steps. Of every `window` hashes in a row the least is chosen, the
 rightmost among equal ones, and kept with its position. So two texts that share `window + k - 1` code points in a row
-share a chosen hash, in any script, and no choice is denser than it must be. Hash and position are packed in one long (32
-bits and 31 bits, positions counted down), so the least long of a window is the winnowing rule itself. Long texts are cut
+share a chosen hash, in any script, and no choice is denser than it must be. Hash and position are packed in one long (33
+bits, in signed order, and 31 bits, positions counted down), so the least long of a window is the winnowing rule itself. Long texts are cut
 into overlapping parts, so that arrays stay small; the choice is that of the whole text.
 
-An edited text begins as its own text does; windows within that beginning are not hashed twice.
+An edited text is the beginnings of two texts. Which windows chose a hash follows from the choices alone, so what windows
+within these beginnings choose is read off the texts' own fingerprints, and only windows across the seam are hashed.
 
 The text that follows in doc_id order is found without a global sort: bounds of doc_id ranges come from one
 percentile sketch, each range is ordered by a window of its own, and the first row of a range is also sent to the range
@@ -28,10 +28,10 @@ from pyspark.sql import functions as F
 
 from .common import id_and_text, stored
 
-K, WINDOW = 8, 32
+K, WINDOW = 8, 64
 LOW = (1 << 31) - 1
-#: Windows of a text that are looked at together.
-PART = 1 << 15
+#: Windows of a text that are looked at together, and windows in a row that share most of their hashes.
+PART, STEP = 1 << 15, 8
 #: Documents in one range of doc_id; the number of ranges stays below MOST_RANGES.
 RANGE_ROWS, MOST_RANGES = 2000, 20_000
 
@@ -42,10 +42,10 @@ def let(value: Column, body) -> Column:
 
 
 def _grams(text: Column, k: int) -> Column:
-    """The packed hash of every k code points; of a shorter text, one."""
+    """The packed hash of every k code points, with nulls for the last places; of a shorter text, one hash."""
 
-    def packed(h: Column, i: Column | int) -> Column:
-        return F.shiftleft(F.shiftrightunsigned(h, 32), 31).bitwiseOR(F.lit(LOW).cast("long") - i)
+    def packed(h: Column, i: Column) -> Column:
+        return h.bitwiseOR(F.lit(LOW).cast("long")).bitwiseXOR(i)  # LOW - i, as all bits of LOW are set
 
     def doubled(half: Column, size: int, body) -> Column:
         return let(half, lambda v: F.transform(v, lambda x, i: body(F.shiftleft(x, size).bitwiseXOR(F.get(v, i + size)), i)))
@@ -53,55 +53,68 @@ def _grams(text: Column, k: int) -> Column:
     all_, size = F.transform(F.split(text, ""), lambda c: F.xxhash64(c)), 1
     while size < k:
         all_, size = doubled(all_, size, packed if 2 * size == k else lambda h, i: h), 2 * size
-    n = F.length(text)
-    return F.when(n >= k, F.slice(all_, F.lit(1), n - k + 1)).when(n > 0, F.array(packed(F.xxhash64(text), 0))).otherwise(F.array().cast("array<bigint>"))
+    return F.when(F.length(text) >= k, all_).otherwise(F.array(packed(F.xxhash64(text), F.lit(0))))
 
 
-def _minima(text: Column, k: int, window: int) -> Column:
-    """The least packed hash of every window; of fewer hashes than a window, the least of all."""
+def _chosen(text: Column, k: int, window: int) -> Column:
+    """For every STEP windows in a row, the least packed hashes of these windows; fewer hashes than a window are one window.
 
-    def lesser(v: Column, by: int) -> Column:
-        return let(v, lambda a: F.transform(a, lambda x, i: F.least(x, F.get(a, i + by))))
+    Where the hashes that all STEP windows share hold one less than all others in them, it is the least of each. Those
+    are most; the others are looked at one by one."""
 
-    def of(grams: Column) -> Column:
-        least, span = grams, 1
-        while 2 * span <= window:
-            least, span = lesser(least, span), 2 * span
-        if span < window:
-            least = lesser(least, window - span)
-        return F.slice(least, F.lit(1), F.greatest(F.size(grams) - window + 1, F.least(F.size(grams), F.lit(1))))
+    def of(grams: Column, n: Column) -> Column:
+        at = lambda j, d: F.get(grams, j * STEP + d)
+        blocks = F.transform(F.sequence(F.lit(0), F.floor((F.size(grams) - 1) / STEP).cast("int")), lambda j: F.least(*[at(j, d) for d in range(STEP)]))
 
-    return let(_grams(text, k), of)
+        def step(b: Column, j: Column) -> Column:
+            inner = [F.get(b, j + d) for d in range(1, window // STEP)]
+            outer = F.array(*[at(j, d) for d in (*range(STEP), *range(window, window + STEP - 1))])  # a window has STEP of these in a row
+            each = lambda x: let(outer, lambda o: F.transform(F.sequence(F.lit(1), F.least(F.lit(STEP), n - j * STEP)), lambda r: F.least(x, F.array_min(F.slice(o, r, F.lit(STEP))))))
+            alone = lambda x: F.when((j * STEP + STEP <= n) & (x < F.get(b, j)) & (x < F.get(b, j + window // STEP)), F.array(x)).otherwise(each(x))
+            return let(F.least(*inner) if len(inner) > 1 else inner[0], alone)
 
+        return let(blocks, lambda b: F.transform(F.sequence(F.lit(0), F.floor((n - 1) / STEP).cast("int")), lambda j: step(b, j)))
 
-def winnow(text: Column, k: int = K, window: int = WINDOW, head: Column | None = None) -> Column:
-    """Chosen longs in order of position: hash above bit 31, 2^31 - 1 - position below.
+    windows = F.greatest(F.length(text) - (k + window - 2), F.lit(1))
+    return F.when(text != "", let(windows, lambda n: let(_grams(text, k), lambda grams: of(grams, n)))).otherwise(F.array().cast("array<array<bigint>>"))
 
-    With head, a struct of these (`all`) and of those that the first `head` windows choose (`head`)."""
-    if k < 2 or k & (k - 1) or k > 32:
-        raise ValueError("k is a power of 2 up to 32")
-    least = lambda m, j: F.transform(F.array_distinct(m), lambda x: x - j * PART)
+
+def winnow(text: Column, k: int = K, window: int = WINDOW) -> Column:
+    """Chosen longs in order of position: hash above bit 31, 2^31 - 1 - position below."""
+    if k < 2 or k & (k - 1) or k > 32 or window < 2 * STEP or window % STEP:
+        raise ValueError(f"k is a power of 2 up to 32, window a multiple of {STEP} from {2 * STEP} on")
 
     def part(j: Column) -> Column:
-        minima = _minima(F.substring(text, j * PART + 1, F.lit(PART + k + window - 2)), k, window)
-        if head is None:
-            return least(minima, j)
-        return let(minima, lambda m: F.struct(least(m, j).alias("all"), least(F.slice(m, F.lit(1), F.greatest(F.least(head - j * PART, F.lit(PART)), F.lit(0))), j).alias("head")))
+        steps = let(F.substring(text, j * PART + 1, F.lit(PART + k + window - 2)), lambda t: _chosen(t, k, window))
+        return F.transform(F.array_distinct(F.flatten(steps)), lambda x: x - j * PART)
 
     parts = F.transform(F.sequence(F.lit(0), F.floor(F.greatest(F.length(text) - (k + window - 1), F.lit(0)) / PART).cast("int")), part)
-    joined = lambda x: F.array_distinct(F.flatten(x))
-    if head is None:
-        return joined(parts)
-    return let(parts, lambda p: F.struct(joined(F.transform(p, lambda x: x["all"])).alias("all"), joined(F.transform(p, lambda x: x["head"])).alias("head")))
+    return F.array_distinct(F.flatten(parts))
+
+
+def position(x: Column) -> Column:
+    return F.lit(LOW).cast("long") - x.bitwiseAND(F.lit(LOW).cast("long"))
+
+
+def of_first_windows(chosen: Column, windows: Column, window: int) -> Column:
+    """What the first `windows` windows choose. A choice begins with the window in which it comes up, if its hash is no
+    more than that of the choice before, or else with the first window that no longer holds that one."""
+
+    def begins(x: Column, i: Column) -> Column:
+        before = F.get(chosen, i - 1)
+        enters = F.shiftright(x, 31) <= F.shiftright(before, 31)
+        return F.when(i == 0, F.lit(0).cast("long")).when(enters, position(x) - (window - 1)).otherwise(position(before) + 1)
+
+    return F.filter(chosen, lambda x, i: begins(x, i) < windows)
 
 
 def hashes(chosen: Column) -> Column:
-    return F.array_distinct(F.transform(chosen, lambda x: F.shiftright(x, 31)))
+    return F.array_distinct(F.transform(chosen, lambda x: F.shiftrightunsigned(x, 31)))
 
 
 def shown(chosen: Column) -> Column:
     """hash@position, the hash in hexadecimal, joined by blanks."""
-    return F.array_join(F.transform(chosen, lambda x: F.concat(F.hex(F.shiftright(x, 31)), F.lit("@"), (F.lit(LOW).cast("long") - x.bitwiseAND(F.lit(LOW).cast("long"))).cast("string"))), " ")
+    return F.array_join(F.transform(chosen, lambda x: F.concat(F.hex(F.shiftrightunsigned(x, 31)), F.lit("@"), position(x).cast("string"))), " ")
 
 
 def likeness(a: Column, b: Column) -> Column:
@@ -149,18 +162,22 @@ def with_next(df: DataFrame, computed, carried: list[str], order: str = "h") ->
 
 def compare_with_next(df: DataFrame, k: int = K, window: int = WINDOW, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Each document's fingerprint against those of its edited text and of the next document."""
+    span = k + window - 1
+    own = lambda rows: rows.withColumn("chosen", winnow(F.col("text"), k, window))
+    both = with_next(id_and_text(df, id_col, text_col).withColumn("h", F.xxhash64("text")), own, ["text", "chosen"])
     n = F.length("text")
     half = F.floor(n / 2).cast("int")
-    whole = F.greatest(n - half - (k + window - 2), F.lit(0))  # windows within what is left of the own text
-    own = lambda rows: rows.withColumn("own", winnow(F.col("text"), k, window, whole)).withColumn("chosen", F.col("own.all"))
-    both = with_next(id_and_text(df, id_col, text_col).withColumn("h", F.xxhash64("text")), own, ["text", "chosen"])
-    edited = both.select("doc_id", n.cast("long").alias("n_chars"), "chosen", F.col("own.head").alias("head"), "next_chosen", whole.alias("whole"), F.concat(F.substring(F.col("text"), F.lit(1), n - half), F.substring(F.col("next_text"), F.lit(1), half)).alias("edited"))
-    rest = let(winnow(F.substring(F.col("edited"), F.col("whole") + 1, F.length("edited")), k, window), lambda r: F.array_distinct(F.concat("head", F.transform(r, lambda x: x - F.col("whole")))))
-    marked = edited.withColumn("edited_chosen", F.when((F.col("whole") > 0) & (F.length("edited") - F.col("whole") < k + window - 1), F.col("head")).otherwise(rest))
+    both = both.withColumn("q", n - half).withColumn("r", F.least(half, F.length("next_text")))
+    seam = F.concat(F.substring(F.col("text"), F.greatest(F.col("q") - (span - 2), F.lit(1)), F.least(F.col("q"), F.lit(span - 1))), F.substring(F.col("next_text"), F.lit(1), F.least(F.col("r"), F.lit(span - 1))))
+    moved = lambda chosen, by: F.transform(chosen, lambda x: x - by)
+    across = F.when((F.col("q") >= span) & (F.col("r") == 0), F.array().cast("array<bigint>")).otherwise(moved(winnow(seam, k, window), F.greatest(F.col("q") - (span - 1), F.lit(0))))
+    within = of_first_windows(F.col("chosen"), F.col("q") - (span - 1), window), moved(of_first_windows(F.col("next_chosen"), F.col("r") - (span - 1), window), F.col("q"))
+    edited = F.concat(F.substring(F.col("text"), F.lit(1), F.col("q")), F.substring(F.col("next_text"), F.lit(1), F.col("r")))
+    marked = both.select("doc_id", n.cast("long").alias("n_chars"), "chosen", "next_chosen", F.sha2(edited, 256).alias("edited_sha256"), F.array_distinct(F.concat(within[0], across, within[1])).alias("edited_chosen"))
 
     def judged(row: Column) -> Column:
         return F.struct(likeness(row["own"], row["edited"]).alias("near_edited"), likeness(row["own"], row["next"]).alias("near_next"), shown(row["edited_chosen"]).alias("edited_fingerprint"))
 
     near = let(F.struct(hashes(F.col("chosen")).alias("own"), F.col("edited_chosen"), F.col("next_chosen")), lambda r: let(F.struct(r["own"].alias("own"), r["edited_chosen"].alias("edited_chosen"), hashes(r["edited_chosen"]).alias("edited"), hashes(r["next_chosen"]).alias("next")), judged))
-    out = marked.select("doc_id", "n_chars", F.sha2("edited", 256).alias("edited_sha256"), shown(F.col("chosen")).alias("fingerprint"), near.alias("r"))
+    out = marked.select("doc_id", "n_chars", "edited_sha256", shown(F.col("chosen")).alias("fingerprint"), near.alias("r"))
     return out.select("doc_id", "n_chars", "edited_sha256", "fingerprint", "r.edited_fingerprint", "r.near_edited", "r.near_next")
