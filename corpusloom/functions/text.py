@@ -60,11 +60,16 @@ DEVANAGARI, LATIN = r"[\x{0900}-\x{097F}]", "[A-Za-z]"
 MIN_CHARS = 15
 
 
+def nfc(text: Column) -> Column:
+    """Unicode NFC. ASCII text, which is NFC already, does not leave the JVM."""
+    return F.coalesce(_nfc(F.when(text.rlike(r"[^\x00-\x7F]"), text)), text)
+
+
 @F.pandas_udf(StringType())
-def nfc(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+def _nfc(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
     """Unicode NFC, which Spark lacks; text that is NFC already is passed on."""
     for s in batches:
-        yield s.map(lambda t: t if t is None or t.isascii() or unicodedata.is_normalized("NFC", t) else unicodedata.normalize("NFC", t))
+        yield s.map(lambda t: t if t is None or unicodedata.is_normalized("NFC", t) else unicodedata.normalize("NFC", t))
 
 
 #: White space but for single spaces, which stay as they are.

@@ -3,48 +3,40 @@
 from __future__ import annotations
 
 
-import tempfile
-
 import pandas as pd
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import text as T
+from .store import checkpoint_ready, written
 
 
 def corpus_dedup(rows: DataFrame, order: list[str], min_chars: int = T.MIN_CHARS, script: str = T.DEVANAGARI) -> DataFrame:
-    """Greedy deduplication as one window.
+    """Greedy deduplication as one minimum per key.
 
     rows: id, cleaned_text, raw_text and the order columns. Adds clean_text, norm_key and reject_reason (null: kept), one of
     filtered_junk_or_short, title_chrome, exact_dupe, near_dupe. Right where id determines the text, as content ids do;
     strict_order_dedup holds without that.
     """
-    return _decided(_prepared(rows, min_chars, script), order)
+    return _decided(written(_prepared(rows, min_chars, script), "prepared"), order)
 
 
 def _prepared(rows: DataFrame, min_chars: int, script: str) -> DataFrame:
-    # NFC comes last: the optimizer does not repeat what stands below an Arrow step, however often it is used above
     out = rows.withColumn("clean_text", T.nfc(T.cleaned(T.first_text("cleaned_text", "raw_text"))))
     reason = F.when(T.gate_reason(F.col("clean_text"), min_chars, script).isNotNull(), "filtered_junk_or_short").when(T.is_title_chrome(F.col("clean_text")), "title_chrome")
     return out.withColumn("refused", reason).withColumn("norm_key", F.when(F.col("refused").isNull(), T.norm_key(F.col("clean_text"))))
 
 
 def _decided(rows: DataFrame, order: list[str]) -> DataFrame:
-    """The first row of each key is kept. Rows refused already do not enter the window, and the hot key of nothing
-    (null) is spread; the first row per key is a pre-aggregated minimum, joined back, so that a hot key can be split."""
+    """The first row of each key is kept. Rows refused already are not compared; the first row per key is a pre-aggregated
+    minimum, joined back by the key's 128-bit hash, so that a hot key can be split and no text is a key of a shuffle."""
     place = F.struct(*order)
-    passed = rows.where("refused is null")
-    first = passed.groupBy("norm_key").agg(F.min(F.struct(place.alias("place"), F.col("id").alias("id"))).alias("first"))
-    first = first.select("norm_key", F.col("first.place").alias("first_place"), F.col("first.id").alias("first_id"))
-    judged = passed.join(first, "norm_key").withColumn("reject_reason", F.when(place == F.col("first_place"), F.lit(None).cast("string")).when(F.col("id").eqNullSafe(F.col("first_id")), "exact_dupe").otherwise("near_dupe"))
+    passed = rows.where("refused is null").withColumn("key_hash", F.md5("norm_key"))
+    first = passed.groupBy("key_hash").agg(F.min(F.struct(place.alias("place"), F.col("id").alias("id"))).alias("first"))
+    first = first.select("key_hash", F.col("first.place").alias("first_place"), F.col("first.id").alias("first_id"))
+    judged = passed.join(first, "key_hash").withColumn("reject_reason", F.when(place == F.col("first_place"), F.lit(None).cast("string")).when(F.col("id").eqNullSafe(F.col("first_id")), "exact_dupe").otherwise("near_dupe"))
     refused = rows.where("refused is not null").withColumn("reject_reason", F.col("refused"))
-    return judged.drop("first_place", "first_id").unionByName(refused).drop("refused")
-
-
-def checkpoint_ready(spark: SparkSession) -> None:
-    """A checkpoint folder is set by the cluster (spark.checkpoint.dir); where it is not, as in tests, take one of our own."""
-    if not spark.sparkContext._jsc.sc().getCheckpointDir().isDefined():
-        spark.sparkContext.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="corpusloom-checkpoint-"))
+    return judged.drop("key_hash", "first_place", "first_id").unionByName(refused).drop("refused")
 
 
 def strict_order_dedup(rows: DataFrame, order: list[str], min_chars: int = T.MIN_CHARS, script: str = T.DEVANAGARI) -> DataFrame:

@@ -87,6 +87,15 @@ def combine_lid(rows: DataFrame, agreed: tuple[str, ...] = ("bhojpuri", "hindi",
     )
 
 
+def agreement_rates(rows: DataFrame, target: str) -> DataFrame:
+    """One row: n, both judges' share of the target label, and the same over rows that no judge failed on."""
+    both = (F.col("g_label") == target) & (F.col("m_label") == target)
+    fine = ~(lid_failed(F.col("g_confidence"), F.col("g_reason")) | lid_failed(F.col("m_confidence"), F.col("m_reason")))
+    fine = F.coalesce(fine, F.lit(True))
+    n, good = F.count("*"), F.count_if(fine)
+    return rows.agg(n.alias("n"), good.alias("n_fine"), F.try_divide(F.count_if(both), n).alias("rate"), F.try_divide(F.count_if(both & fine), good).alias("rate_fine"))
+
+
 def verdict_crosstab(rows: DataFrame, by: str = "source_name", verdict: str = "lid_verdict") -> DataFrame:
     """by, verdict, n, share of the rows of by."""
     n = rows.groupBy(by, verdict).agg(F.count("*").alias("n"))

@@ -12,6 +12,8 @@ from .tables import CORPUS_SQL, corpus, table
 
 #: The gate that the test documents pass: they hold no Devanagari.
 GATE = "[A-Za-z]"
+#: Benchmark shingles that every task may hold.
+MOST_BROADCAST = 500_000
 REGISTERS = {"src0": "news", "src1": "news", "src2": "encyclopedic", "src3": "verse", "src4": "literary", "src5": "opinion"}
 
 
@@ -92,13 +94,15 @@ def append_dedup_antijoin(spark, sf_dir):
 
 def benchmark_containment(spark, sf_dir):
     """Benchmark passages that a document holds, by equality of 8-word shingles; counts of shared ones."""
-    def shingled(df, key, text):
+    def shingled(df, key, text):  # repeated ones included
         w = F.split(F.trim(F.regexp_replace(F.lower(text), r"[^a-z0-9]+", " ")), " ")
         own = df.select(key, w.alias("w")).where(F.size("w") >= 8)
-        return own.select(key, F.explode(F.transform(F.sequence(F.lit(1), F.size("w") - 7), lambda i: F.array_join(F.slice("w", i, 8), " "))).alias("g")).distinct()
-    b = shingled(table(spark, sf_dir, "benchmark"), "item_id", F.col("text"))
+        return own.select(key, F.explode(F.transform(F.sequence(F.lit(1), F.size("w") - 7), lambda i: F.array_join(F.slice("w", i, 8), " "))).alias("g"))
+    b = shingled(table(spark, sf_dir, "benchmark"), "item_id", F.col("text")).distinct()
     d = shingled(table(spark, sf_dir, "documents"), "doc_id", F.col("text"))
-    return d.join(b, "g").groupBy("doc_id", "item_id").agg(F.count("*").alias("n_shared"))
+    small = b.limit(MOST_BROADCAST + 1).count() <= MOST_BROADCAST  # beyond it both sides are shuffled
+    met = d.join(F.broadcast(b) if small else b, "g").distinct()
+    return met.groupBy("doc_id", "item_id").agg(F.count("*").alias("n_shared"))
 
 
 def source_verdict_crosstab(spark, sf_dir):
@@ -107,8 +111,9 @@ def source_verdict_crosstab(spark, sf_dir):
 
 
 def clean_rates(spark, sf_dir):
-    d = table(spark, sf_dir, "documents")
-    keep = T.passes_filter(F.substring("text", 1, 300), [], "[éèñüöäßçêíóá]", 0.05)
+    """Sentences of whole texts that the filter keeps and drops, by source."""
+    d = table(spark, sf_dir, "documents").select("source", F.explode(T.sentences(F.col("text"))).alias("s"))
+    keep = T.passes_filter(F.col("s"), [], "[éèñüöäßçêíóá]", 0.05)
     return d.groupBy("source").agg(F.count("*").alias("gross"), F.count_if(keep).alias("kept"), F.round(100 * F.count_if(~keep) / F.count("*"), 6).alias("drop_pct"))
 
 
@@ -120,6 +125,13 @@ def lid_two_judge_combine(spark, sf_dir):
     return enrich.combine_lid(rows).groupBy("lid_label", F.coalesce("lid_note", F.lit("-")).alias("lid_note")).agg(F.count("*").alias("n"), F.round(F.sum(F.round(F.col("lid_confidence") * 1000)), 0).cast("long").alias("sum_milli"))
 
 
+def lid_agreement_rates(spark, sf_dir):
+    d = F.col("doc_id")
+    name = lambda x: F.when(x % 5 < 2, "bhojpuri").when(x % 5 < 4, "hindi").otherwise("other")
+    rows = table(spark, sf_dir, "documents").select(name(d).alias("g_label"), F.when(d % 4 == 0, 0.0).otherwise(0.9).alias("g_confidence"), F.when(d % 4 == 0, "error: x").otherwise("fine").alias("g_reason"), name(F.floor(d / 3)).alias("m_label"), F.lit(0.8).alias("m_confidence"), F.lit("fine").alias("m_reason"))
+    return enrich.agreement_rates(rows, "bhojpuri").select("n", "n_fine", F.round("rate", 6).alias("rate"), F.round("rate_fine", 6).alias("rate_fine"))
+
+
 def leaf_category_prefix_anti(spark, sf_dir):
     p = table(spark, sf_dir, "pages").select(F.concat_ws("/", F.concat(F.lit("c"), F.col("page_id") % 7), F.when(F.col("page_id") % 3 > 0, F.concat(F.lit("s"), F.col("page_id") % 5)), F.when(F.col("page_id") % 3 > 1, F.concat(F.lit("t"), F.col("page_id") % 11))).alias("label")).distinct()
     return enrich.leaves_only(p, excluded=["s4"])
@@ -228,9 +240,10 @@ CASE source_name WHEN 'src2' THEN 'redistributable_cc_by_sa' ELSE 'pointer_only'
 g AS (SELECT DISTINCT t, k, array_to_string(w[i:i + 7], ' ') AS g FROM (SELECT t, k, w, unnest(range(1, len(w) - 6)) AS i FROM w WHERE len(w) >= 8))
 SELECT d.k AS doc_id, b.k AS item_id, count(*)::BIGINT AS n_shared FROM g d JOIN g b ON d.g = b.g AND d.t = 'd' AND b.t = 'b' GROUP BY ALL""",
     "source_verdict_crosstab": "SELECT source AS source_name, v AS lid_verdict, count(*)::BIGINT AS n, round(100 * count(*) / sum(count(*)) OVER (PARTITION BY source), 6) AS pct FROM (SELECT source, CASE lang WHEN 'en' THEN 'bhojpuri' WHEN 'de' THEN 'hindi' WHEN 'fr' THEN 'maithili' ELSE 'other' END AS v FROM documents) GROUP BY source, v",
-    "clean_rates": r"""SELECT source, count(*)::BIGINT AS gross, count(*) FILTER (k)::BIGINT AS kept, round(100 * count(*) FILTER (NOT k) / count(*), 6) AS drop_pct FROM (SELECT source, length(t) BETWEEN 15 AND 400 AND len(regexp_extract_all(t, '[éèñüöäßçêíóá]')) <= length(t) * 0.05 AND NOT regexp_matches(t, '^[)}\].,]') AS k FROM (SELECT source, regexp_replace(substr(text, 1, 300), '^\s+|\s+$', '', 'g') AS t FROM documents)) GROUP BY source""",
+    "clean_rates": rf"""SELECT source, count(*)::BIGINT AS gross, count(*) FILTER (k)::BIGINT AS kept, round(100 * count(*) FILTER (NOT k) / count(*), 6) AS drop_pct FROM (SELECT source, length(x) BETWEEN 15 AND 400 AND len(regexp_extract_all(x, '[éèñüöäßçêíóá]')) <= length(x) * 0.05 AND NOT regexp_matches(x, '^[)}}\].,]') AS k FROM (SELECT source, unnest({_SENT}) AS x FROM documents)) GROUP BY source""",
     "lid_two_judge_combine": """WITH r AS (SELECT CASE WHEN doc_id % 5 < 2 THEN 'bhojpuri' WHEN doc_id % 5 < 4 THEN 'hindi' ELSE 'other' END AS g, CASE WHEN (doc_id // 3) % 5 < 2 THEN 'bhojpuri' WHEN (doc_id // 3) % 5 < 4 THEN 'hindi' ELSE 'other' END AS m, (doc_id * 7 % 100) / 100.0::DOUBLE AS gc, (doc_id * 11 % 100) / 100.0::DOUBLE AS mc, CASE doc_id % 4 WHEN 0 THEN 'api_error' WHEN 1 THEN 'unparseable' ELSE 'both_judges_other' END AS note FROM documents)
 SELECT CASE WHEN g = m THEN g ELSE 'disagree' END AS lid_label, CASE WHEN g <> m THEN g || '_vs_' || m WHEN g = 'other' THEN note ELSE '-' END AS lid_note, count(*)::BIGINT AS n, sum(round(1000 * CASE WHEN g = m THEN (gc + mc) / 2 ELSE least(gc, mc) END))::BIGINT AS sum_milli FROM r GROUP BY ALL""",
+    "lid_agreement_rates": "SELECT count(*)::BIGINT AS n, count(*) FILTER (f)::BIGINT AS n_fine, round(avg((b)::INT), 6) AS rate, round(avg(b::INT) FILTER (f), 6) AS rate_fine FROM (SELECT doc_id % 4 <> 0 AS f, doc_id % 5 < 2 AND (doc_id // 3) % 5 < 2 AS b FROM documents)",
     "leaf_category_prefix_anti": f"{_CAT} SELECT label FROM c WHERE label NOT LIKE '%s4%' AND label <> 'uncategorized' AND NOT EXISTS (SELECT 1 FROM c o WHERE o.label <> c.label AND starts_with(o.label, c.label || '/'))",
     "page_links_by_regex": """SELECT page_id, len(l)::BIGINT AS n_links, md5(array_to_string(l, '|')) AS links_md5 FROM (SELECT page_id, list_filter(a, lambda x, i: list_position(a, x) = i) AS l FROM (SELECT page_id, regexp_extract_all(html, 'href="([^"]*)"', 1) AS a FROM pages))""",
     "url_slugs": r"""SELECT page_id, lower(string_split(regexp_replace(url, '/+$', ''), '/')[-1]) AS slug, CASE WHEN contains(url, '/category/') THEN regexp_replace(string_split(url, '/category/')[-1], '^/+|/+$', '', 'g') ELSE url END AS label, NOT regexp_matches(lower(string_split(regexp_replace(url, '/+$', ''), '/')[-1]), '1$') AS allowed FROM pages""",
@@ -242,4 +255,4 @@ SELECT CASE WHEN g = m THEN g ELSE 'disagree' END AS lid_label, CASE WHEN g <> m
     "romanised_share": r"SELECT lang, count(*)::BIGINT AS n, count(*) FILTER (length(text) >= 15 AND a * 2 > b)::BIGINT AS romanised, round(avg(a::DOUBLE / length(text)), 6) AS mean_latin FROM (SELECT lang, text, len(regexp_extract_all(text, '[A-Za-z]')) AS a, len(regexp_extract_all(text, '\pL')) AS b FROM documents) GROUP BY lang",
     "conversation_ends": "SELECT conv_id, count(*)::BIGINT AS n, arg_min(role, turn) AS first_role, md5(arg_max(text, turn)) AS last_md5 FROM conversations GROUP BY conv_id",
 }
-QUERIES = {f.__name__: f for f in (content_hash_ids, sentence_split_counts, sentence_rows, strip_markup_pages, strip_pii_docs, strip_handles, clean_gate_reasons, corpus_filter_rules, script_profile, text_coalesce_enrich, norm_key_dedup_kept, norm_key_reject_reasons, strict_order_dedup, append_dedup_antijoin, benchmark_containment, source_verdict_crosstab, clean_rates, lid_two_judge_combine, leaf_category_prefix_anti, page_extraction, page_links_by_regex, url_slugs, parse_judge_json, rescue_parse, prompt_rendering, lid_reply_parse, romanised_share, conversation_ends, flagship)}
+QUERIES = {f.__name__: f for f in (lid_agreement_rates, content_hash_ids, sentence_split_counts, sentence_rows, strip_markup_pages, strip_pii_docs, strip_handles, clean_gate_reasons, corpus_filter_rules, script_profile, text_coalesce_enrich, norm_key_dedup_kept, norm_key_reject_reasons, strict_order_dedup, append_dedup_antijoin, benchmark_containment, source_verdict_crosstab, clean_rates, lid_two_judge_combine, leaf_category_prefix_anti, page_extraction, page_links_by_regex, url_slugs, parse_judge_json, rescue_parse, prompt_rendering, lid_reply_parse, romanised_share, conversation_ends, flagship)}
