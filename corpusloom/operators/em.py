@@ -206,6 +206,28 @@ def consensus(items: DataFrame, votes: DataFrame, k: int = 5, n_judges: int = 5,
     return patterns.join(F.broadcast(small) if len(table) <= 50_000 else small, on).select(patterns["id"], F.col("label").cast("int").alias("label"), "entropy", "entropy_norm", *[f"p_{i}" for i in range(k)])
 
 
+def judge_strength(items: DataFrame, votes: DataFrame, strata: list[str], k: int = 5, n_judges: int = 5, **options) -> DataFrame:
+    """strata, judge, strength: the mean of the diagonal of each judge's confusions, by stratum of the stratified model."""
+    found = pattern_counts(patterned(items, votes, n_judges, strata), strata)
+    fields = ", ".join(f"{s} string" for s in strata)
+    if not len(found):
+        return items.sparkSession.createDataFrame([], f"{fields}, judge int, strength double")
+    groups = found.groupby(strata, dropna=False)
+    fit = dawid_skene(matrix(found["pattern"]), found["n"].to_numpy(), k, **({"anchor": anchor_of(votes, k), "strata": groups.ngroup().to_numpy()} | options))
+    keys = [tuple(x) for x in found.assign(g=groups.ngroup()).drop_duplicates("g").sort_values("g")[strata].to_numpy()]
+    rows = [(*key, j, float(np.diagonal(fit.confusion[g, j]).mean())) for g, key in enumerate(keys) for j in range(n_judges)]
+    return items.sparkSession.createDataFrame(rows, f"{fields}, judge int, strength double")
+
+
+def reliability(strength: DataFrame, base: tuple[str, str] = ("news", "prose"), verse: str = "verse") -> DataFrame:
+    """judge, base, verse, delta, degrades: strength in one stratum against the mean of all strata that are verse by
+    register or by text type."""
+    plain = (F.col("register") == base[0]) & (F.col("text_type") == base[1])
+    poems = (F.col("register") == verse) | (F.col("text_type") == verse)
+    own = strength.groupBy("judge").agg(F.avg(F.when(plain, F.col("strength"))).alias("base"), F.avg(F.when(poems, F.col("strength"))).alias("verse"))
+    return own.select("judge", "base", "verse", (F.col("verse") - F.col("base")).alias("delta"), (F.col("verse") < F.col("base")).alias("degrades"))
+
+
 def leave_one_out(items: DataFrame, votes: DataFrame, k: int = 5, n_judges: int = 5) -> DataFrame:
     """judge, changed: share of labels that change without the judge. Patterns are counted once."""
     patterns = patterned(items, votes, n_judges)

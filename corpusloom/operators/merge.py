@@ -50,6 +50,23 @@ def expected_grid(judges: DataFrame, chunks: DataFrame, found: DataFrame) -> Dat
     return judges.select("judge").distinct().crossJoin(chunks.select("chunk").distinct()).join(found.select("judge", "chunk").distinct(), ["judge", "chunk"], "left_anti")
 
 
+def with_chunk(corpus: DataFrame, membership: DataFrame, most: int = 20) -> DataFrame:
+    """corpus with its chunk; an id without one is an error that names some of them."""
+    chunk = membership.select("id", "chunk").distinct()
+    lost = [r["id"] for r in corpus.select("id").join(chunk, "id", "left_anti").orderBy("id").limit(most).collect()]
+    if lost:
+        raise ValueError(f"ids without a chunk: {lost}")
+    return corpus.join(chunk, "id")
+
+
+def union_shards(shards: list[DataFrame]) -> DataFrame:
+    """All shards of a judge as one table in order of id; a column that a shard lacks is null there."""
+    first, *rest = shards
+    for s in rest:
+        first = first.unionByName(s, allowMissingColumns=True)
+    return first.orderBy("id")
+
+
 def master(corpus: DataFrame, shards: DataFrame, judges: list[str], fields: list[str] = FIELDS) -> DataFrame:
     """corpus with judge_<name>_<field> columns and n_judges: judges are pivoted in one aggregation and joined once."""
     one = lambda j, f: F.max(F.when(F.col("judge") == j, F.col(f))).alias(f"judge_{j}_{f}")

@@ -142,6 +142,14 @@ def calibration(votes: DataFrame, labels: DataFrame) -> DataFrame:
     return bins.groupBy("judge").agg(total.alias("n"), (F.sum("conf") / total).alias("mean_confidence"), (F.sum("n90") / total).alias("share_90"), (F.sum("n95") / total).alias("share_95"), (F.sum("right") / total).alias("agreement"), (F.sum(F.abs(F.col("right") - F.col("conf"))) / total).alias("ece"), (F.sum("sq") / total).alias("brier"))
 
 
+def repaired_posteriors(items: DataFrame, long: DataFrame, n_labels: int = 5) -> DataFrame:
+    """id, p_0..p_K-1 for every item from rows id, label, p: what is missing counts as 0, nothing at all as uniform, sums are 1."""
+    wide = long.groupBy("id").agg(*[F.sum(F.when(F.col("label") == k, F.col("p"))).alias(f"p_{k}") for k in range(n_labels)])
+    full = items.select("id").join(wide, "id", "left").select("id", *[F.coalesce(f"p_{k}", F.lit(0.0)).alias(f"p_{k}") for k in range(n_labels)])
+    total = sum((F.col(f"p_{k}") for k in range(n_labels)), F.lit(0.0))
+    return full.select("id", *[F.when(total > 0, F.try_divide(F.col(f"p_{k}"), total)).otherwise(1 / n_labels).alias(f"p_{k}") for k in range(n_labels)])
+
+
 def entropy(posteriors: list[Column]) -> Column:
     """Natural entropy of a row's posteriors."""
     return -sum((F.when(p > 0, p * F.log(F.greatest(p, F.lit(1e-300)))).otherwise(0.0) for p in posteriors[1:]), F.when(posteriors[0] > 0, posteriors[0] * F.log(F.greatest(posteriors[0], F.lit(1e-300)))).otherwise(0.0))

@@ -6,8 +6,12 @@ from functools import partial
 
 from pyspark.sql import functions as F
 
+from ..functions import text as T
 from ..operators import em, votes as V
-from .tables import CORPUS_SQL, VOTES_SQL, items, table, votes
+from .tables import CORPUS_SQL, VOTES_SQL, corpus, items, table, votes
+
+#: A line of Devanagari, which the test documents lack.
+DEVANAGARI_LINE = "भोजपुरी में लिखल एगो वाक्य"
 
 STRATA = ["register", "text_type"]
 
@@ -70,6 +74,31 @@ def calibration_ece_brier(spark, sf_dir):
     return _rounded(V.calibration(v, V.majority(items(spark, sf_dir), v)))
 
 
+def calibration_stratified(spark, sf_dir):
+    """Calibration against the stratified model of two rounds."""
+    return _rounded(V.calibration(votes(spark, sf_dir), stratified_dawid_skene_fixed2(spark, sf_dir)), 5)
+
+
+def judge_reliability(spark, sf_dir):
+    """Strength of judges on news prose against verse, by the stratified model of two rounds."""
+    s = em.judge_strength(items(spark, sf_dir), votes(spark, sf_dir), STRATA, s=em.Settings(rounds=2, tolerance=0.0))
+    return _rounded(em.reliability(s), 5)
+
+
+def posterior_repair(spark, sf_dir):
+    """Shares of votes with labels left out and items left out, repaired."""
+    long = votes(spark, sf_dir).where("vote <> 2 and id % 11 <> 3").groupBy("id", F.col("vote").alias("label")).agg((F.count("*") / 5).alias("p"))
+    return _rounded(V.repaired_posteriors(items(spark, sf_dir), long))
+
+
+def entropy_by_script(spark, sf_dir):
+    """Entropy by script and overall, the highest mean first."""
+    m = V.majority(items(spark, sf_dir), votes(spark, sf_dir))
+    e = m.select("id", V.entropy([F.col(f"p_{k}") for k in range(5)]).alias("entropy"))
+    own = corpus(spark, sf_dir).select("id", F.when(F.col("id") % 50 == 0, F.lit(DEVANAGARI_LINE)).when(F.col("id") % 50 == 1, F.concat(F.lit(DEVANAGARI_LINE), F.lit(" latin letters"))).otherwise(F.col("raw_text")).alias("t"))
+    return _rounded(V.breakdown(own.select("id", T.script_of(F.col("t")).alias("script")).join(e, "id"), ["script"]), 5).orderBy(F.desc("mean"), "value")
+
+
 def entropy_grouping_sets(spark, sf_dir):
     m = V.majority(items(spark, sf_dir), votes(spark, sf_dir))
     e = m.select("id", V.entropy([F.col(f"p_{k}") for k in range(5)]).alias("entropy"))
@@ -183,6 +212,16 @@ ORACLE = {
     "fleiss_kappa": f"{_W}, c AS (SELECT id, count(*)::DOUBLE AS n, {_C} FROM votes GROUP BY id HAVING count(*) >= 2), s AS (SELECT count(*)::BIGINT AS n_items, avg((c0*c0 + c1*c1 + c2*c2 + c3*c3 + c4*c4 - n) / (n * (n - 1))) AS p_bar, (sum(c0)^2 + sum(c1)^2 + sum(c2)^2 + sum(c3)^2 + sum(c4)^2)::DOUBLE / sum(n)^2 AS p_e FROM c) SELECT n_items, round(p_bar, 6) AS p_bar, round(p_e, 6) AS p_e, round((p_bar - p_e) / (1 - p_e), 6) AS kappa FROM s",
     "krippendorff_alpha": f"{_W}, c AS (SELECT id, count(*)::DOUBLE AS m, {_C} FROM votes GROUP BY id HAVING count(*) >= 2), s AS (SELECT sum(m)::DOUBLE AS n, sum((m*m - c0*c0 - c1*c1 - c2*c2 - c3*c3 - c4*c4) / (m - 1)) AS o, sum(m)^2 - sum(c0)^2 - sum(c1)^2 - sum(c2)^2 - sum(c3)^2 - sum(c4)^2 AS e FROM c) SELECT n::BIGINT AS n, round(1 - (n - 1) * o / e, 6) AS alpha FROM s",
     "calibration_ece_brier": f"{_MV}, b AS (SELECT judge::INT AS judge, confidence, (vote = label)::INT AS hit, len(list_filter([0.1, 0.2, 0.30000000000000004, 0.4, 0.5, 0.6000000000000001, 0.7000000000000001, 0.8, 0.9]::DOUBLE[], lambda e: confidence > e)) AS bin FROM votes JOIN mj USING (id)), g AS (SELECT judge, bin, count(*) AS n, sum(confidence) AS c, sum(hit) AS h, sum((confidence - hit)^2) AS q, count(*) FILTER (confidence >= 0.9) AS n90, count(*) FILTER (confidence >= 0.95) AS n95 FROM b GROUP BY ALL) SELECT judge, sum(n)::BIGINT AS n, round(sum(c) / sum(n), 6) AS mean_confidence, round(sum(n90)::DOUBLE / sum(n), 6) AS share_90, round(sum(n95)::DOUBLE / sum(n), 6) AS share_95, round(sum(h)::DOUBLE / sum(n), 6) AS agreement, round(sum(abs(h - c)) / sum(n), 6) AS ece, round(sum(q) / sum(n), 6) AS brier FROM g GROUP BY judge",
+    "calibration_stratified": f"{_SD2}, sl AS ({_SD2_SELECT}), b AS (SELECT judge::INT AS judge, confidence, (vote = label)::INT AS hit, len(list_filter([0.1, 0.2, 0.30000000000000004, 0.4, 0.5, 0.6000000000000001, 0.7000000000000001, 0.8, 0.9]::DOUBLE[], lambda e: confidence > e)) AS bin FROM votes JOIN sl USING (id)), g AS (SELECT judge, bin, count(*) AS n, sum(confidence) AS c, sum(hit) AS h, sum((confidence - hit)^2) AS q, count(*) FILTER (confidence >= 0.9) AS n90, count(*) FILTER (confidence >= 0.95) AS n95 FROM b GROUP BY ALL) SELECT judge, sum(n)::BIGINT AS n, round(sum(c) / sum(n), 5) AS mean_confidence, round(sum(n90)::DOUBLE / sum(n), 5) AS share_90, round(sum(n95)::DOUBLE / sum(n), 5) AS share_95, round(sum(h)::DOUBLE / sum(n), 5) AS agreement, round(sum(abs(h - c)) / sum(n), 5) AS ece, round(sum(q) / sum(n), 5) AS brier FROM g GROUP BY judge",
+    "judge_reliability": f"""{_SD2}, st AS (SELECT s, judge, avg(c) AS strength FROM cf2 WHERE k = vote GROUP BY ALL), r AS (SELECT judge::INT AS judge, avg(strength) FILTER (s = 'news|prose') AS b, avg(strength) FILTER (s LIKE 'verse|%' OR s LIKE '%|verse') AS v FROM st GROUP BY judge)
+SELECT judge, round(b, 5) AS base, round(v, 5) AS verse, round(v - b, 5) AS delta, v < b AS degrades FROM r""",
+    "posterior_repair": f"""{_W}, l AS (SELECT id, vote, count(*) / 5.0::DOUBLE AS p FROM votes WHERE vote <> 2 AND id % 11 <> 3 GROUP BY ALL), w AS (SELECT c.id, {", ".join(f"coalesce(sum(p) FILTER (vote = {k}), 0)::DOUBLE AS q{k}" for k in range(5))} FROM corpus c LEFT JOIN l USING (id) GROUP BY c.id)
+SELECT id, {", ".join(f"round(CASE WHEN q0 + q1 + q2 + q3 + q4 > 0 THEN q{k} / (q0 + q1 + q2 + q3 + q4) ELSE 0.2 END, 6)::DOUBLE AS p_{k}" for k in range(5))} FROM w""",
+    "entropy_by_script": f"""{_MV}, x AS (SELECT id, CASE id % 50 WHEN 0 THEN '{DEVANAGARI_LINE}' WHEN 1 THEN '{DEVANAGARI_LINE} latin letters' ELSE raw_text END AS t FROM corpus),
+n AS (SELECT id, len(regexp_extract_all(t, '[\\x{{0900}}-\\x{{097F}}]')) AS d, len(regexp_extract_all(t, '[A-Za-z]')) AS l FROM x), e AS (SELECT -({" + ".join(f"CASE WHEN p_{k} > 0 THEN p_{k} * ln(p_{k}) ELSE 0 END" for k in range(5))}) AS entropy,
+CASE WHEN d + l = 0 THEN 'other' WHEN d >= 0.9 * (d + l) THEN 'devanagari' WHEN l >= 0.9 * (d + l) THEN 'latin' ELSE 'mixed' END AS script FROM mj JOIN n USING (id)),
+u AS (SELECT 'script' AS dimension, script AS value, count(*)::BIGINT AS n, {_D} FROM e GROUP BY script UNION ALL SELECT 'overall', 'all', count(*)::BIGINT, {_D} FROM e)
+SELECT dimension, value, n, {", ".join(f"round({c}, 5) AS {c}" for c in ("mean", "median", "std", "p25", "p75", "below_03", "above_07"))} FROM u""",
     "entropy_grouping_sets": f"{_MV}, e AS (SELECT *, -({' + '.join(f'CASE WHEN p_{k} > 0 THEN p_{k} * ln(p_{k}) ELSE 0 END' for k in range(5))}) AS entropy FROM mj), u AS ("
     + " UNION ALL ".join(f"SELECT '{d}' AS dimension, {v} AS value, count(*)::BIGINT AS n, {_D} FROM e GROUP BY {v}" for d, v in (("register", "register"), ("text_type", "text_type"), ("source_name", "source_name"), ("overall", "'all'")))
     + ") SELECT dimension, value, n, round(mean, 5) AS mean, round(median, 5) AS median, round(std, 5) AS std, round(p25, 5) AS p25, round(p75, 5) AS p75, round(below_03, 5) AS below_03, round(above_07, 5) AS above_07 FROM u",
@@ -192,4 +231,4 @@ ORACLE = {
     "confusion_matrix": f"WITH r AS ({_PRED}) SELECT a.t AS true, b.p AS predicted, (SELECT count(*) FROM r WHERE r.t = a.t AND r.p = b.p)::BIGINT AS n FROM (SELECT DISTINCT t FROM r) a, (SELECT DISTINCT p FROM r) b",
     "label_gold_scores": f"WITH r AS ({_PRED}), c AS (SELECT t AS class, count(*)::BIGINT AS support, count(*) FILTER (t = p)::DOUBLE AS hit, (SELECT count(*) FROM r q WHERE q.p = r.t)::DOUBLE AS given FROM r GROUP BY t), s AS (SELECT class, support, CASE WHEN given > 0 THEN hit / given ELSE 0 END AS pr, CASE WHEN support > 0 THEN hit / support ELSE 0 END AS re FROM c) SELECT class, support, round(pr, 4) AS precision, round(re, 4) AS recall, round(CASE WHEN pr + re > 0 THEN 2 * pr * re / (pr + re) ELSE 0 END, 4) AS f1, (SELECT round(avg((t = p)::INT), 4) FROM r) AS accuracy FROM s",
 }
-QUERIES = {f.__name__: f for f in (vote_long_to_wide, raw_vote_frequency, reduced_vote_frequency, majority_vote, majority_tie_rate, unanimity_check, class_ratio_check, pairwise_judge_agreement, subjectivity_agreement, fleiss_kappa, krippendorff_alpha, calibration_ece_brier, entropy_grouping_sets, dawid_skene_converged, mace, glad, leave_one_judge_out, aggregator_comparison, primary_decision, label_gold_scores, confusion_matrix)} | {"dawid_skene_fixed3": dawid_skene_fixed3, "stratified_dawid_skene_fixed2": stratified_dawid_skene_fixed2}
+QUERIES = {f.__name__: f for f in (calibration_stratified, judge_reliability, posterior_repair, entropy_by_script, vote_long_to_wide, raw_vote_frequency, reduced_vote_frequency, majority_vote, majority_tie_rate, unanimity_check, class_ratio_check, pairwise_judge_agreement, subjectivity_agreement, fleiss_kappa, krippendorff_alpha, calibration_ece_brier, entropy_grouping_sets, dawid_skene_converged, mace, glad, leave_one_judge_out, aggregator_comparison, primary_decision, label_gold_scores, confusion_matrix)} | {"dawid_skene_fixed3": dawid_skene_fixed3, "stratified_dawid_skene_fixed2": stratified_dawid_skene_fixed2}

@@ -55,6 +55,19 @@ def master_join_n_judges(spark, sf_dir):
     return m.select("id", "register", "n_judges", "judge_j0_polarity", "judge_j4_subjectivity", F.round("judge_j2_confidence", 6).alias("judge_j2_confidence"))
 
 
+def master_chunks(spark, sf_dir):
+    """Rows and shards by chunk of a master whose every id has a chunk."""
+    m = merge.master(merge.with_chunk(items(spark, sf_dir), _members(spark, sf_dir)), _shards(spark, sf_dir), [f"j{i}" for i in range(5)])
+    return m.groupBy("chunk").agg(F.count("*").alias("n"), F.sum("n_judges").alias("verdicts"))
+
+
+def shard_union(spark, sf_dir):
+    """The chunks of one judge as one table; one of them lacks the confidence."""
+    s = _shards(spark, sf_dir).where("judge = 'j2'").select("id", "chunk", "subjectivity", "confidence")
+    parts = [s.where(F.col("chunk") == c) for c in range(2, 10)]
+    return merge.union_shards([*parts, s.where("chunk = 1").drop("confidence")]).select("id", "chunk", "subjectivity", F.round("confidence", 6).alias("confidence"))
+
+
 def master_votes(spark, sf_dir):
     """The master read back as votes: counts per judge and label."""
     judges = [f"j{i}" for i in range(5)]
@@ -104,6 +117,9 @@ _SIG = "sg AS (SELECT judge, chunk, count(*)::BIGINT AS n, 100.0::DOUBLE * count
 _DRIFT = "SELECT judge, round(a, 6) AS pct_a, round(b, 6) AS pct_b, round(b - a, 6) AS delta, abs(b - a) > 5 AS drifted FROM (SELECT judge, max(subjectivity_pct) FILTER (chunk = 1) AS a, max(subjectivity_pct) FILTER (chunk = 2) AS b FROM sg GROUP BY judge) WHERE a IS NOT NULL AND b IS NOT NULL"
 
 ORACLE = {
+    "master_chunks": f"WITH {CORPUS_SQL}, {VOTES_SQL} SELECT (c.id % 9 + 1)::BIGINT AS chunk, count(DISTINCT c.id)::BIGINT AS n, count(v.judge) FILTER (NOT (v.judge = 4 AND c.id % 9 + 1 = 3))::BIGINT AS verdicts FROM corpus c LEFT JOIN votes v USING (id) GROUP BY ALL",
+    "shard_union": f"WITH {CORPUS_SQL}, {VOTES_SQL} SELECT id, (id % 9 + 1)::BIGINT AS chunk, CASE vote WHEN 0 THEN 'objective' ELSE 'subjective' END AS subjectivity, CASE WHEN id % 9 <> 0 THEN round(confidence, 6) END AS confidence FROM votes WHERE judge = 2",
+
     "shard_doubled_ids": f"{_S} SELECT judge, id, count(*)::BIGINT AS n, CASE WHEN count(DISTINCT chunk) > 1 THEN 'chunks' ELSE 'shard' END AS place FROM s GROUP BY judge, id HAVING count(*) > 1",
     "shard_coverage": f"{_S}, p AS (SELECT DISTINCT judge, chunk FROM s), w AS (SELECT judge, chunk, id FROM p JOIN (SELECT id, id % 9 + 1 AS chunk FROM corpus) USING (chunk)), h AS (SELECT DISTINCT judge, chunk, id FROM s) SELECT coalesce(w.judge, h.judge) AS judge, coalesce(w.chunk, h.chunk) AS chunk, count(*) FILTER (h.id IS NULL)::BIGINT AS missing, count(*) FILTER (w.id IS NULL)::BIGINT AS extra FROM w FULL JOIN h ON w.judge = h.judge AND w.chunk = h.chunk AND w.id = h.id GROUP BY ALL",
     "shard_configs": f"{_S} SELECT judge, count(DISTINCT prompt)::BIGINT AS configs FROM s GROUP BY judge HAVING count(DISTINCT prompt) > 1",
@@ -120,4 +136,4 @@ ORACLE = {
     "several_valued_settings": f"{_S} SELECT judge, 'prompt' AS column, count(DISTINCT prompt)::BIGINT AS n FROM s GROUP BY judge HAVING count(DISTINCT prompt) > 1",
     "run_dates": "SELECT min(d) AS first, max(d) AS last FROM (SELECT strftime(ts, '%Y-%m-%d') AS d FROM events WHERE event_id % 3 <> 0)",
 }
-QUERIES = {f.__name__: f for f in (shard_doubled_ids, shard_coverage, shard_configs, completed_chunks_division, expected_sidecars, foreign_ids, master_join_n_judges, master_votes, judge_signature, judge_signature_drift, event_drift, unexpected_values, run_manifest_counts, several_valued_settings, run_dates)}
+QUERIES = {f.__name__: f for f in (master_chunks, shard_union, shard_doubled_ids, shard_coverage, shard_configs, completed_chunks_division, expected_sidecars, foreign_ids, master_join_n_judges, master_votes, judge_signature, judge_signature_drift, event_drift, unexpected_values, run_manifest_counts, several_valued_settings, run_dates)}

@@ -10,11 +10,6 @@ from ..operators.merge import with_origin
 from ..schema import SIDECAR, struct
 
 CORRUPT = "_corrupt_record"
-# Files that a corpus scan leaves out, as patterns of their names.
-EXCLUDED = [
-    r"reddit_romanised_raw\.jsonl", r".*_pilot_candidates\.jsonl", r".*_pilot_lid\.jsonl", r"hf_speech_transcripts\.jsonl",
-    r"kavitakosh_geet\.jsonl", r"corpus_merged\.jsonl", r"corpus_clean\.jsonl", r"corpus_rejected\.jsonl",
-]
 
 
 def read_jsonl(spark: SparkSession, path: str | list[str], schema: str) -> DataFrame:
@@ -31,13 +26,12 @@ def read_jsonl_tolerant(spark: SparkSession, path: str | list[str], schema: str)
     return parsed.where(~bad).select(*[F.col("r")[c].alias(c) for c in own.names]), parsed.where(bad).select(F.col("value").alias(CORRUPT))
 
 
-def read_corpus(spark: SparkSession, pattern: str, schema: str, excluded: list[str] | None = None) -> DataFrame:
-    """All files of a glob but the excluded ones, with file and row_in_file, by which deduplication orders rows."""
+def read_corpus(spark: SparkSession, pattern: str, schema: str, excluded: list[str]) -> DataFrame:
+    """All files of a glob but those with an excluded name, with file and row_in_file, by which deduplication orders rows."""
     rows = spark.read.schema(struct(schema)).json(pattern)
     name = F.element_at(F.split(F.col("_metadata.file_path"), "/"), -1)
     rows = rows.select("*", name.alias("file"), F.struct(F.col("_metadata.file_block_start"), F.monotonically_increasing_id()).alias("row_in_file"))
-    left_out = EXCLUDED if excluded is None else excluded
-    return rows.where(~F.col("file").rlike(f"^(?:{'|'.join(left_out)})$")) if left_out else rows
+    return rows.where(~F.col("file").isin(excluded)) if excluded else rows
 
 
 def read_sidecars(spark: SparkSession, pattern: str) -> DataFrame:

@@ -58,6 +58,18 @@ def reply_schema(rationale: bool = True) -> dict:
     return {"anyOf": [branch("objective", {"type": "null"}), branch("subjective", {"enum": POLARITY})]}
 
 
+def verdict_or_error(judge: Callable[[str], dict], other: str = "other") -> Callable[[str], dict]:
+    """A language judge whose exceptions become verdicts: `other`, confidence 0, and the error as reason."""
+
+    def run(text: str) -> dict:
+        try:
+            return judge(text)
+        except Exception as e:  # noqa: BLE001  whatever a backend raises is a verdict, not the end of the job
+            return {"label": other, "confidence": 0.0, "reason": f"error: {e}"[:80]}
+
+    return run
+
+
 def judged(items: DataFrame, make_backend: Callable[[], JudgeBackend], prompt: Callable[[str], str], judge: str, batch: int = 64, rationale: bool = True) -> DataFrame:
     """id, judge, reply fields, parse_failed, raw_response: batches with one retry of replies that do not parse. The
     backend is made once per task, and only if there is work."""

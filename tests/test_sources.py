@@ -39,7 +39,7 @@ def test_tagged_and_csv_and_integrity(spark, tmp_path):
 def test_corpus_glob_and_shards(spark, tmp_path):
     for name in ("b.jsonl", "corpus_clean.jsonl"):
         (tmp_path / name).write_text('{"id": "1"}\n')
-    assert [r["file"] for r in io.read_corpus(spark, str(tmp_path / "*.jsonl"), "id string").collect()] == ["b.jsonl"]
+    assert [r["file"] for r in io.read_corpus(spark, str(tmp_path / "*.jsonl"), "id string", ["corpus_clean.jsonl"]).collect()] == ["b.jsonl"]
     (tmp_path / "chunk_3").mkdir()
     (tmp_path / "chunk_3" / "aya__v1.jsonl").write_text('{"id": "1"}\n')
     r = merge.with_origin(spark.read.json(str(tmp_path / "chunk_3" / "*.jsonl"))).first()
