@@ -24,3 +24,10 @@ def written(df: DataFrame, name: str) -> DataFrame:
     path = f"{checkpoint_ready(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """df in as many parts as there are cores at least: a file of few row groups is not one task's work. Inputs of more
+    parts, as on a cluster, are passed on as they are."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df if df._jdf.queryExecution().toRdd().getNumPartitions() >= cores else df.repartition(cores)

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..operators.store import spread
+
 #: SQL twins of the views below, to put before a query.
 CORPUS_SQL = """corpus AS (SELECT doc_id AS id, text AS raw_text, trim(regexp_replace(text, '\\s+', ' ', 'g')) AS cleaned_text, source AS source_name,
   CASE lang WHEN 'en' THEN 'news' WHEN 'de' THEN 'literary' WHEN 'fr' THEN 'verse' ELSE 'opinion' END AS register,
@@ -17,7 +19,9 @@ VOTES_SQL = """votes AS (SELECT doc_id AS id, j AS judge,
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    """A table; those of long texts in as many parts as there are cores at least."""
+    found = spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    return spread(found) if name in ("documents", "pages") else found
 
 
 def corpus(spark: SparkSession, sf_dir: str) -> DataFrame:

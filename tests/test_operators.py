@@ -150,3 +150,31 @@ def test_version_and_sitemap(spark):
 def test_shards_without_faults(spark):
     df = spark.createDataFrame([("a", "j", 1), ("b", "j", 1)], "id string, judge string, chunk long")
     assert merge.doubled_ids(df).count() == 0 and merge.complete_chunks(df).count() == 1
+
+
+def test_chunk_membership_and_union(spark):
+    corpus = spark.createDataFrame([(1, "a"), (2, "b")], "id long, t string")
+    whole = spark.createDataFrame([(1, 5), (2, 6)], "id long, chunk long")
+    assert {(r["id"], r["chunk"]) for r in merge.with_chunk(corpus, whole).collect()} == {(1, 5), (2, 6)}
+    with pytest.raises(ValueError, match=r"\[2\]"):
+        merge.with_chunk(corpus, whole.where("id = 1"))
+    parts = [spark.createDataFrame([(3, "x")], "id long, a string"), spark.createDataFrame([(1, "y")], "id long, b string")]
+    assert [tuple(r) for r in merge.union_shards(parts).collect()] == [(1, None, "y"), (3, "x", None)]
+
+
+def test_posterior_repair(spark):
+    items = spark.createDataFrame([(1,), (2,)], "id long")
+    long = spark.createDataFrame([(1, 0, 0.2), (1, 3, 0.6)], "id long, label int, p double")
+    got = {r["id"]: [round(r[f"p_{k}"], 9) for k in range(5)] for r in V.repaired_posteriors(items, long).collect()}
+    assert got == {1: [0.25, 0.0, 0.0, 0.75, 0.0], 2: [0.2] * 5}
+
+
+def test_errors_become_verdicts():
+    from corpusloom.sources.judges import verdict_or_error
+
+    def broken(text):
+        raise TimeoutError("no answer " + "x" * 200)
+
+    got = verdict_or_error(broken)("t")
+    assert got["label"] == "other" and got["confidence"] == 0.0 and got["reason"].startswith("error: no answer") and len(got["reason"]) == 80
+    assert verdict_or_error(lambda t: {"label": "hindi"})("t") == {"label": "hindi"}
