@@ -128,6 +128,37 @@ def test_packing(odd, none):
     assert packing.pack(none).count() == 0
 
 
+def fewest(lengths, size):
+    """The least number of sequences, by trying all."""
+    items, best = sorted(lengths, reverse=True), len(lengths)
+
+    def put(i, bins):
+        nonlocal best
+        if len(bins) >= best:
+            return
+        if i == len(items):
+            best = len(bins)
+            return
+        for b in dict.fromkeys(b for b in bins if b + items[i] <= size):
+            at = bins.index(b)
+            put(i + 1, [*bins[:at], b + items[i], *bins[at + 1 :]])
+        put(i + 1, [*bins, items[i]])
+
+    put(0, [])
+    return best
+
+
+@settings(max_examples=150, deadline=None)
+@given(st.lists(st.integers(1, 50), min_size=1, max_size=9))
+def test_small_packings_are_the_smallest(lengths):
+    assert sum(t for t, _ in packing.patterns(dict(collections.Counter(lengths)), 50)) == fewest(lengths, 50)
+
+
+def test_packings_that_one_filling_at_a_time_misses():
+    for size, lengths in ((24, [12, 11, 4, 15, 6, 5, 5, 8, 13, 11, 7, 11, 11]), (100, [52, 45, 43, 41, 27, 23, 21, 19, 18])):
+        assert sum(t for t, _ in packing.patterns(dict(collections.Counter(lengths)), size)) == fewest(lengths, size)
+
+
 def test_token_files(spark, odd, none, tmp_path):
     t = tokenizer("word_bpe_49k.json")
     want, at = [], 0
@@ -283,6 +314,60 @@ def test_edited_passages_under_a_hot_line(spark):
     assert found <= {(101 + 2 * p, 100 + 2 * p) for p in range(60)} and len(found) >= 58
 
 
+def test_edited_passages_that_others_quote_from(spark):
+    """Pairs share a passage of 80 words with one changed; documents before them quote 20 words of it each."""
+    rng = random.Random(5)
+    fresh = lambda n: [f"v{rng.randrange(10**7)}" for _ in range(n)]
+    rows, n = [], 0
+    for pair in range(60):
+        shared = fresh(80)
+        for k in range(4):
+            rows.append((n, " ".join(fresh(40) + shared[20 * k : 20 * k + 20] + fresh(40))))
+            n += 1
+        at = rng.randrange(10, 70)
+        edited = [*shared[:at], *fresh(1), *shared[at + 1 :]]
+        rows += [(1000 + 2 * pair, " ".join(fresh(15) + shared + fresh(15))), (1001 + 2 * pair, " ".join(fresh(15) + edited + fresh(15)))]
+    found = {(r["doc_id"], r["of_doc_id"]) for r in passages.repeated_passages(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    want = {(1001 + 2 * p, 1000 + 2 * p) for p in range(60)}
+    assert found <= want and len(found) >= 57
+
+
+def all_passages(rows, passage=50):
+    """Brute force: documents that share an exact run of `passage` words with an earlier one."""
+    seen, out = {}, set()
+    for d, t in sorted(rows):
+        w = t.lower().split()
+        own = {tuple(w[i : i + passage]) for i in range(len(w) - passage + 1)}
+        if any(g in seen for g in own):
+            out.add(d)
+        for g in own:
+            seen.setdefault(g, d)
+    return out
+
+
+def test_passages_against_brute_force(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    rows = texts_of(docs)
+    want = all_passages(rows)
+    found = passages.repeated_passages(docs).collect()
+    own = {r["doc_id"] for r in found}
+    assert len(want) > 30 and len(want & own) >= 0.98 * len(want)
+    words = {d: t.lower().split() for d, t in rows}
+    for r in found:
+        a, b = words[r["doc_id"]][r["first_word"] : r["last_word"]], words[r["of_doc_id"]][r["of_first_word"] : r["of_last_word"]]
+        x, y = ({tuple(w[i : i + 5]) for i in range(len(w) - 4)} for w in (a, b))
+        assert min(len(a), len(b)) >= 50 and len(x & y) >= 0.8 * len(x | y)
+
+
+def test_texts_of_one_doc_id_are_told_apart(spark):
+    rng = random.Random(8)
+    fresh = lambda n: [f"v{rng.randrange(10**7)}" for _ in range(n)]
+    shared = fresh(60)
+    rows = [(1, " ".join(shared + fresh(30))), (2, " ".join(shared + fresh(10))), (2, " ".join(fresh(100))), (2, " ".join(shared + fresh(10)))]
+    left = sorted(len(r["text"].split()) for r in passages.without_repeats(spark.createDataFrame(rows, "doc_id long, text string")).collect())
+    assert left == [10, 10, 90, 100]
+
+
 def test_passages_of_odd_rows(odd, none):
     assert passages.repeated_passages(none).count() == 0
     assert {r["doc_id"] for r in passages.repeated_passages(odd).collect()} <= {11, 12}
@@ -319,6 +404,55 @@ def test_winnowing_guarantee(spark):
     assert set.intersection(*chosen)
 
 
+def brute_winnow(t, k, window):
+    import xxhash
+
+    mask = (1 << 64) - 1 ^ fingerprints.LOW
+    value = lambda s: xxhash.xxh64_intdigest(s.encode(), seed=42)
+    signed = lambda x: x - (1 << 64) if x >> 63 else x
+    grams = [value(t) & mask] if 0 < len(t) < k else []
+    for i in range(len(t) - k + 1):
+        h = 0
+        for c in t[i : i + k]:
+            h = (h << 1 ^ value(c)) & (1 << 64) - 1
+        grams.append(h & mask)
+    out = []
+    for i in range(max(1, len(grams) - window + 1) if grams else 0):
+        own = [signed(x) for x in grams[i : i + window]]
+        at = i + max(j for j, x in enumerate(own) if x == min(own))
+        if not out or out[-1][1] != at:
+            out.append((grams[at] >> 31, at))
+    return out
+
+
+@pytest.mark.parametrize(("k", "window", "part"), [(8, 64, fingerprints.PART), (4, 16, 64), (2, 24, 32)])
+def test_fingerprints_against_brute_force(spark, monkeypatch, k, window, part):
+    monkeypatch.setattr(fingerprints, "PART", part)
+    rng = random.Random(k)
+    texts = ["", "a", "abc", "日本語テキスト" * 30, *("".join(rng.choice("ab é日😀\n") for _ in range(rng.choice([5, 8, 20, 39, 40, 70, 71, 72, 150, 400]))) for _ in range(40))]
+    df = spark.createDataFrame([(3 * i, t) for i, t in enumerate(texts)], "doc_id long, text string").repartition(3)
+    got = {r["doc_id"]: r for r in fingerprints.compare_with_next(df, k, window).collect()}
+    shown = lambda c: " ".join(f"{h:X}@{p}" for h, p in c)
+    alike = lambda x, y: len(x & y) / len(x | y) if x | y else 1.0
+    for i, t in enumerate(texts):
+        following = texts[(i + 1) % len(texts)]
+        edited = t[: len(t) - len(t) // 2] + following[: len(t) // 2]
+        own, new, other = (brute_winnow(x, k, window) for x in (t, edited, following))
+        r = got[3 * i]
+        assert (r["fingerprint"], r["edited_fingerprint"]) == (shown(own), shown(new))
+        own, new, other = ({h for h, _ in x} for x in (own, new, other))
+        assert r["near_edited"] == pytest.approx(alike(own, new)) and r["near_next"] == pytest.approx(alike(own, other))
+
+
+def test_shared_passages_without_spaces_share_a_hash(spark):
+    rng = random.Random(4)
+    new = lambda n: "".join(chr(rng.randrange(0x4E00, 0x9FA5)) for _ in range(n))
+    shared = new(fingerprints.K + fingerprints.WINDOW - 1)
+    rows = [(i, new(50 + 7 * i) + shared + new(90)) for i in range(8)]
+    chosen = [set(r["h"]) for r in fingerprints.fingerprints(spark.createDataFrame(rows, "doc_id long, text string")).select(fingerprints.hashes(F.col("chosen")).alias("h")).collect()]
+    assert set.intersection(*chosen)
+
+
 BASE = {"email": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", "ip": r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", "card": r"[0-9]([\x20-]?[0-9])+", "phone": r"\+[0-9][\x20().0-9-]+[0-9]"}
 
 
@@ -356,6 +490,30 @@ def test_contexts_find_new_identifiers(spark):
     assert clean[50] == "please call my cell <phone> now" and clean[0] == "please call my cell <phone> now" and clean[51] == rows[9][1]
 
 
+def test_found_identifiers_induce_patterns(spark):
+    """Seeds teach `my cell _`; the numbers it finds teach `_ when home`, which finds a number of another context."""
+    rows = [(i, f"please call my cell +1 (234) 567-{1000 + i} now ok") for i in range(100)]
+    rows += [(200 + i, f"please call my cell 234567{8900 + i} when home dear") for i in range(12)]
+    rows += [(300, "fax line goes 998877000 when home dear"), (301, "order number 2345678901 shipped"), (302, 'key "0123456789abcdef0123456789abcdef01" x')]
+    got = {r["doc_id"]: [tuple(s) for s in r["spans"]] for r in pii.find(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert all(got[200 + i] == [(20, 30, 3)] for i in range(12)) and got[300] == [(14, 23, 3)]
+    assert got[301] == [] and got[302] == [(5, 39, 4)]
+
+
+def test_pii_digest(spark):
+    rows = list(enumerate(PRIVATE))
+    for r in pii.digest(pii.find(spark.createDataFrame(rows, "doc_id long, text string"))).collect():
+        want = base_spans(PRIVATE[r["doc_id"]])
+        kinds = [x.split(":")[0] for x in want.split(",") if x]
+        assert [r[f"n_{k}"] for k in BASE] == [kinds.count(k) for k in BASE]
+        assert r["base_sha256"] == hashlib.sha256(want.encode()).hexdigest() and set(want.split(",")) - {""} <= set(r["spans"].split(","))
+
+
+def test_spans_beyond_base_ones(spark):
+    found = pii.digest(pii.find(spark.read.parquet("/root/testdata/sf0.01/documents.parquet"))).collect()
+    assert sum(r["n_spans"] for r in found) > sum(r[f"n_{k}"] for r in found for k in BASE)
+
+
 def test_candidates_with_digits_before_the_at_and_in_groups(spark):
     tokens = ["john@corp", "john99@corp", "a1@b", "1234@5678", "u2@mail_host.com", "0664 123 45 67", "(555) 123-4567", "x1234567"]
     rows = [(i, f"mine is {t} today") for i, t in enumerate(tokens)] + [(20, "in 2020 and 12 more"), (21, "from 10.0.0.1 1234567 now")]
@@ -380,6 +538,20 @@ def test_language(spark, odd, none):
     assert {r["lang_pred"] for r in language.predict(odd, language.train(none)).collect()} == {"und"}
 
 
+def test_language_rejects_what_it_does_not_know(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
+    model, again = (language.train(docs) for _ in range(2))
+    assert np.array_equal(model.scores, again.scores) and model.threshold == again.threshold
+    rows = spark.createDataFrame([(1, "123 !?"), (2, None), (3, docs.first()["text"])], "doc_id long, text string")
+    got = {r["doc_id"]: r for r in language.predict(rows, model).collect()}
+    assert got[1]["rejected"] and got[2]["rejected"] and got[1]["lang_pred"] == "und" and not got[3]["rejected"]
+
+
+def test_every_label_is_learned(spark):
+    rows = [(i, f"w{i % 90}a w{i % 90}b w{i % 90}c " * 10, f"l{i % 90}") for i in range(900)]
+    assert len(language.train(spark.createDataFrame(rows, "doc_id long, text string, lang string")).languages) == 90
+
+
 @settings(max_examples=60, deadline=None)
 @given(st.binary(max_size=3000) | st.text("ab ", max_size=3000).map(str.encode))
 def test_codecs(data):
@@ -404,6 +576,66 @@ def test_broken_tiff(spark):
     assert set(got) == {1, 2, 3, 5} and got[5]["error"] is None and all(got[i]["error"] for i in (1, 2, 3))
 
 
+def foreign(order, tags, blobs):
+    """A TIFF by hand: tags (number, kind, values), where 273 and 324 name blobs by index."""
+    import struct
+
+    out = bytearray((b"II*\0" if order == "<" else b"MM\0*") + b"\0" * 4)
+    at = []
+    for b in blobs:
+        at.append(len(out))
+        out += b + b"\0" * (len(b) % 2)
+    entries = []
+    for tag, kind, values in sorted(tags):
+        values = [at[i] for i in values] if tag in (273, 324) else values
+        data = struct.pack(f"{order}{len(values)}{'H' if kind == 3 else 'I'}", *values)
+        if len(data) > 4:
+            data, place = struct.pack(f"{order}I", len(out)), data
+            out += place
+        entries.append(struct.pack(f"{order}HHI", tag, kind, len(values)) + data.ljust(4, b"\0"))
+    struct.pack_into(f"{order}I", out, 4, len(out))
+    return bytes(out + struct.pack(f"{order}H", len(entries)) + b"".join(entries) + b"\0" * 4)
+
+
+def test_foreign_tiffs():
+    rng = np.random.default_rng(3)
+    bilevel = rng.integers(0, 2, (5, 13)).astype(np.uint8)
+    blob = tiff.packbits(np.packbits(bilevel, axis=1).tobytes())
+    (page,) = tiff.read_tiff(foreign(">", [(256, 3, [13]), (257, 3, [5]), (258, 3, [1]), (259, 3, [32773]), (262, 3, [1]), (273, 4, [0]), (278, 3, [5]), (279, 4, [len(blob)])], [blob]))
+    assert page["pixels"] == bilevel.tobytes() and page["bits"] == 1
+    planes, blobs = rng.integers(0, 65536, (3, 20, 30)).astype(np.uint16), []
+    for plane in planes:
+        for y in (0, 16):
+            for x in (0, 16):
+                tile = np.zeros((16, 16), np.int64)
+                part = plane[y : y + 16, x : x + 16]
+                tile[: part.shape[0], : part.shape[1]] = part
+                tile[:, 1:] = np.diff(tile, axis=1)
+                blobs.append(zlib.compress(tile.astype(np.uint16).astype(">u2").tobytes()))
+    tags = [(256, 3, [30]), (257, 3, [20]), (258, 3, [16] * 3), (259, 3, [8]), (262, 3, [2]), (277, 3, [3]), (284, 3, [2]), (317, 3, [2]), (322, 3, [16]), (323, 3, [16]), (324, 4, list(range(12))), (325, 4, [len(b) for b in blobs])]
+    (page,) = tiff.read_tiff(foreign(">", tags, blobs))
+    assert page["pixels"] == np.moveaxis(planes, 0, -1).astype("<u2").tobytes()
+    broken = foreign("<", [(256, 3, [4]), (257, 3, [4]), (258, 3, [8]), (322, 3, [0]), (323, 3, [4]), (324, 4, [0]), (325, 4, [4])], [b"abcd"])
+    ((page, error),) = tiff.pages_of(broken)
+    assert page is None and error.startswith("ValueError")
+
+
+def test_good_pages_of_a_broken_file_stand():
+    whole = tiff.write_tiff(np.random.default_rng(1).integers(0, 256, 192 * 1300).astype(np.uint8).tobytes(), 0)
+    second = list(tiff.directories(whole))[1]
+    torn = bytearray(whole)
+    torn[second[273][0] : second[273][0] + 8] = b"\xff" * 8
+    assert [page is not None for page, _ in tiff.pages_of(bytes(torn))] == [True, False, True]
+
+
+def test_known_lzw_codes():
+    """The example of the format's specification: 7 7 7 8 8 7 7 6 6 gives codes 256 7 258 8 8 258 6 6 257."""
+    data, codes = bytes([7, 7, 7, 8, 8, 7, 7, 6, 6]), [256, 7, 258, 8, 8, 258, 6, 6, 257]
+    bits = "".join(f"{c:09b}" for c in codes)
+    want = int(bits.ljust(-(-len(bits) // 8) * 8, "0"), 2).to_bytes(-(-len(bits) // 8), "big")
+    assert tiff.lzw(data) == want and tiff.unlzw(want) == data
+
+
 def test_pipeline(spark):
     import corpus_pipeline
 
