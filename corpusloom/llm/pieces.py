@@ -64,7 +64,7 @@ class PieceModel:
         self.shorter = [next((self.id[p[:k]] for k in range(len(p) - 1, 0, -1) if p[:k] in self.id), 0) if p in self.id else 0 for p in self.text]
         self.left_alone: dict[int, bool] = {}
         self.edges: dict[int, tuple | None] = {}
-        self.words = Memo(lambda words: [self._word(w) for w in words], most=400_000)
+        self.words = Memo(lambda words: [self._word(w) for w in words], most=250_000)
         self.shown = [self._shown(i) for i in range(len(self.text))]
 
     @staticmethod
@@ -123,7 +123,7 @@ class PieceModel:
         key = left << self.bits | right
         known = self.left_alone.get(key)
         if known is None:
-            if len(self.left_alone) > 1_000_000:
+            if len(self.left_alone) > 400_000:
                 self.left_alone.clear()
             known = self.left_alone[key] = self._compatible(left, right)
         return known
