@@ -1,4 +1,4 @@
-"""Collectors: network sources behind one interface, registered as Spark data sources by name.
+"""Collectors: network sources behind one interface, read with `collect` or as a registered Spark data source.
 
 The library itself opens no connection. A collector takes a `fetch(url, params) -> str` function, so policy (robots,
 retries, waiting) is one wrapper, and tests bring recorded answers.
@@ -12,10 +12,13 @@ import time
 from abc import ABC, abstractmethod
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field
-from urllib.parse import urljoin, urlparse
+from itertools import islice
+from urllib.parse import unquote, urljoin, urlparse
 from urllib.robotparser import RobotFileParser
 
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
 from ..schema import DOCUMENT
 from .html import page_links, page_text
@@ -87,30 +90,116 @@ class News(Collector):
                 yield Document(url, text, {"kind": "news"})
 
 
+def locations(xml: str) -> list[str]:
+    """Addresses that a sitemap lists, those of images left out, each once."""
+    plain = re.sub(r"(?s)<image:image>.*?</image:image>", "", xml)
+    return list(dict.fromkeys(re.findall(r"<loc>\s*(.*?)\s*</loc>", plain)))
+
+
+def category_of(url: str) -> str:
+    return url.rstrip("/").rsplit("/category/", 1)[-1].strip("/") or url
+
+
+def leaf_categories(urls: list[str], excluded: list[str] = (), root: str = "uncategorized") -> list[str]:
+    """Categories below which there is no other: none whose label begins another's, up to a slash."""
+    labels = {category_of(u): u for u in urls}
+    inner = {"/".join(parts[:n]) for parts in (x.split("/") for x in labels) for n in range(1, len(parts))}
+    bad = lambda x: x == root or any(w.lower() in unquote(x).lower() for w in excluded)
+    return [u for x, u in labels.items() if x not in inner and not bad(x)]
+
+
 class Wordpress(Collector):
-    """Sitemap posts, chosen by slug patterns; exclusion wins."""
+    """Posts by category, page after page until one brings no new link, or with `sitemap` those that it lists, chosen by
+    slug patterns; exclusion wins. An address that cannot be fetched is passed over, a post without text too.
+
+    Categories are the option `categories`, else those of the first sitemap that names some (leaves only), or of category
+    sitemaps below it, else those that the home page links to.
+    """
+
+    def _tried(self, url: str) -> str:
+        try:
+            return self.fetch(url, {})
+        except (OSError, PermissionError):
+            return ""
+
+    def _post(self, url: str, category: str) -> Iterator[Document]:
+        text = page_text(self._tried(url), self.options.get("text_selector"), "\n")
+        if text.strip():
+            yield Document(url, text, {"category": category})
+
+    def categories(self) -> list[str]:
+        o, base = self.options, self.options["base"].rstrip("/") + "/"
+        if o.get("categories"):
+            return [urljoin(base, c.strip("/")) for c in o["categories"]]
+        is_category = lambda urls: [u for u in urls if "/category/" in u]
+        for name in ("category-sitemap.xml", "sitemap.xml", "sitemap_index.xml"):
+            listed = locations(self._tried(base + name))
+            if own := is_category(listed):
+                return leaf_categories(own, o.get("exclude", []))
+            below = [u for m in listed if "category" in m and m.endswith(".xml") for u in locations(self._tried(m))]
+            if own := is_category(below):
+                return list(dict.fromkeys(own))
+        return list(dict.fromkeys(is_category(page_links(self._tried(base), base))))
+
+    def _by_category(self) -> Iterator[Document]:
+        for category in self.categories():
+            seen: set[str] = set()
+            for page in range(1, self.options.get("max_pages", 50) + 1):
+                at = category if page == 1 else f"{category.rstrip('/')}/page/{page}/"
+                new = [u for u in dict.fromkeys(page_links(self._tried(at), at, self.options.get("link_selector"))) if u not in seen]
+                if not new:
+                    break
+                seen.update(new)
+                for url in new:
+                    yield from self._post(url, category_of(category))
+
+    def _by_sitemap(self) -> Iterator[Document]:
+        """A sitemap of posts, or an index of sitemaps, of which those of posts are read."""
+        o, any_of = self.options, lambda patterns, name: any(re.search(p, name, re.I) for p in patterns)
+        listed = locations(self._tried(o["sitemap"]))
+        maps = [u for u in listed if "post-sitemap" in u]
+        posts = dict.fromkeys(u for m in maps for u in locations(self._tried(m))) if maps else listed
+        for url in posts:
+            name = url.rstrip("/").rsplit("/", 1)[-1]
+            if not any_of(o.get("exclude", []), name) and (not o.get("include") or any_of(o["include"], name)):
+                yield from self._post(url, o.get("category", "sitemap"))
 
     def documents(self):
-        o = self.options
-        for url in re.findall(r"<loc>\s*(.*?)\s*</loc>", re.sub(r"(?s)<image:image>.*?</image:image>", "", self.fetch(o["sitemap"], {}))):
-            name = url.rstrip("/").rsplit("/", 1)[-1]
-            if any(re.search(p, name, re.I) for p in o.get("exclude", [])) or (o.get("include") and not any(re.search(p, name, re.I) for p in o["include"])):
-                continue
-            yield Document(url, page_text(self.fetch(url, {}), o.get("text_selector"), "\n"), {"category": o.get("category", "sitemap")})
+        yield from self._by_sitemap() if "sitemap" in self.options else self._by_category()
 
 
 class Wiki(Collector):
-    """All pages of a MediaWiki by continuation."""
+    """Pages of a MediaWiki: all by continuation, or with mode `random` drawn ones, twenty a call, each title once, until
+    `most` texts are found or ten draws in a row bring no new text."""
 
-    def documents(self):
-        o, more = self.options, {}
+    def _answered(self, params: dict) -> dict:
+        return json.loads(self.fetch(self.options["api"], {"action": "query", "format": "json"} | params))
+
+    def _texts(self, answer: dict) -> Iterator[Document]:
+        for page in answer.get("query", {}).get("pages", {}).values():
+            if (page.get("extract") or "").strip():
+                yield Document(urljoin(self.options["api"], f"?curid={page['pageid']}"), page["extract"], {"title": page.get("title", "")})
+
+    def _all(self) -> Iterator[Document]:
+        more = {}
         while more is not None:
-            answer = json.loads(self.fetch(o["api"], {"action": "query", "generator": "allpages", "gaplimit": 20, "prop": "extracts", "explaintext": 1, "format": "json"} | more))
-            for page in answer.get("query", {}).get("pages", {}).values():
-                if page.get("extract"):
-                    yield Document(urljoin(o["api"], f"?curid={page['pageid']}"), page["extract"], {"title": page.get("title", "")})
+            answer = self._answered({"generator": "allpages", "gaplimit": 20, "prop": "extracts", "explaintext": 1} | more)
+            yield from self._texts(answer)
             more = answer.get("continue")
 
+    def _drawn(self, fruitless: int = 10) -> Iterator[Document]:
+        seen: set[str] = set()
+        idle = 0
+        while idle < fruitless:
+            titles = {p["title"] for p in self._answered({"list": "random", "rnnamespace": 0, "rnlimit": 20}).get("query", {}).get("random", [])} - seen
+            seen |= titles
+            found = list(self._texts(self._answered({"prop": "extracts", "explaintext": 1, "titles": "|".join(sorted(titles))}))) if titles else []
+            idle = 0 if found else idle + 1
+            yield from found
+
+    def documents(self):
+        yield from islice(self._drawn() if self.options.get("mode") == "random" else self._all(), self.options.get("most"))
+
 
 class CategoryTree(Collector):
     """Breadth-first walk over categories up to max_depth, each once, ten texts a call."""
@@ -213,17 +302,53 @@ def collector(kind: str, fetch: Fetch, **options) -> Collector:
     return COLLECTORS[kind](fetch, **options)
 
 
-def collect(spark: SparkSession, sources: list[dict], fetch: Fetch) -> DataFrame:
-    """Documents of several sources: one task per source runs its collector. sources: kind and options."""
+def _read(source: str, fetch: Fetch) -> Iterator[Document]:
+    options = json.loads(source)
+    yield from collector(options.pop("kind"), fetch, **options).documents()
+
+
+def collect(spark: SparkSession, sources: list[dict], fetch: Fetch, batch: int = 100) -> DataFrame:
+    """Documents of several sources: one task per source runs its collector and holds `batch` documents at a time.
+    sources: kind and options."""
     plan = spark.createDataFrame([(i, json.dumps(s)) for i, s in enumerate(sources)], "n int, source string").repartition(max(1, len(sources)), "n")
 
     def run(batches):
-        import pandas as pd
-
         for b in batches:
             for s in b["source"]:
-                options = json.loads(s)
-                found = list(collector(options.pop("kind"), fetch, **options).documents())
-                yield pd.DataFrame({"url": [d.url for d in found], "text": [d.text for d in found], "meta": [d.meta for d in found]})
+                waiting = _read(s, fetch)
+                while found := list(islice(waiting, batch)):
+                    yield pd.DataFrame({"url": [d.url for d in found], "text": [d.text for d in found], "meta": [d.meta for d in found]})
 
     return plan.mapInPandas(run, DOCUMENT)
+
+
+def register(spark: SparkSession, fetch: Fetch, name: str = "collected") -> None:
+    """Makes collectors a data source: spark.read.format(name).option("sources", json).load(), where sources is a JSON
+    array of objects with kind and options; one partition per source."""
+
+    class Collected(DataSource):
+        @classmethod
+        def name(cls) -> str:
+            return name
+
+        def schema(self) -> str:
+            return DOCUMENT
+
+        def reader(self, schema) -> DataSourceReader:
+            return Reader(json.loads(self.options["sources"]))
+
+    class Reader(DataSourceReader):
+        def __init__(self, sources: list[dict]):
+            for s in sources:
+                if s.get("kind") not in COLLECTORS:
+                    raise ValueError(f"unknown collector {s.get('kind')}")
+            self.sources = sources
+
+        def partitions(self) -> list[InputPartition]:
+            return [InputPartition(json.dumps(s)) for s in self.sources]
+
+        def read(self, partition: InputPartition):
+            for d in _read(partition.value, fetch):
+                yield d.url, d.text, d.meta
+
+    spark.dataSource.register(Collected)

@@ -5,7 +5,7 @@ from __future__ import annotations
 import hashlib
 import json
 from collections.abc import Callable, Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 from typing import Protocol
 
 import pandas as pd
@@ -16,7 +16,7 @@ from ..functions.judge_json import KEYS, POLARITY, REPLY, SUBJECTIVITY, VOICE, p
 
 @dataclass(frozen=True)
 class JudgeSpec:
-    """What a run of a judge is pinned to."""
+    """What a run of a judge is pinned to. awq names a build of the model in that quantization, with its own revision."""
 
     name: str
     repo_id: str
@@ -26,12 +26,50 @@ class JudgeSpec:
     max_num_seqs: int = 96
     prefix_caching: bool = True
     seed: int = 42
+    awq: tuple[str, str | None] | None = None
 
     def pinned(self) -> JudgeSpec:
-        if not self.revision:
+        if self.revision in (None, "", "main"):
             raise ValueError(f"{self.name}: a revision must be pinned before a run")
         return self
 
+    def loaded(self, mode: str = "auto") -> JudgeSpec:
+        """The spec that a run loads: auto prefers the awq build, awq asks for it, bnb for four bits of the model itself."""
+        build = replace(self, repo_id=self.awq[0], revision=self.awq[1], quantization="awq", awq=None) if self.awq else self
+        found = {"auto": build, "awq": build, "bnb": replace(self, awq=None)}[mode]
+        if mode != "auto" and found.quantization != {"awq": "awq", "bnb": "bitsandbytes-4bit"}[mode]:
+            raise ValueError(f"{self.name} has no {mode} build")
+        return found
+
+
+_FOUR = "bitsandbytes-4bit"
+#: The judges of the committee.
+JUDGES = {
+    s.name: s
+    for s in (
+        JudgeSpec("llama-3.1-8b", "meta-llama/Llama-3.1-8B-Instruct", "main", _FOUR, awq=("hugging-quants/Meta-Llama-3.1-8B-Instruct-AWQ-INT4", "db1f81ad4b8c7e39777509fac66c652eb0a52f91")),
+        JudgeSpec("gemma-2-9b", "google/gemma-2-9b-it", "main", _FOUR, prefix_caching=False, awq=("hugging-quants/gemma-2-9b-it-AWQ-INT4", "6e62725da8e92309167814dad7aacc0ed8cb2484")),
+        JudgeSpec("qwen2.5-14b", "Qwen/Qwen2.5-14B-Instruct-AWQ", "539535859b135b0244c91f3e59816150c8056698", "awq"),
+        JudgeSpec("mistral-nemo-12b", "mistralai/Mistral-Nemo-Instruct-2407", "main", _FOUR, awq=("casperhansen/mistral-nemo-instruct-2407-awq", "c83b6438e13051ad1c0f5683635705ee83bb8772")),
+        JudgeSpec("aya-expanse-8b", "CohereForAI/aya-expanse-8b", "main", _FOUR, awq=("Orion-zhen/aya-expanse-8b-AWQ", "ff52d61b71c613180581c3a4c6b3b3f636ce79e5")),
+        JudgeSpec("indic", "ai4bharat/Airavata", "main", _FOUR),
+    )
+}
+STOPS = ["}\n\n", "\n\n\n", " | ", "|{", "Note:", "Please provide"]
+
+
+def engine_settings(spec: JudgeSpec, gpus: int = 1) -> dict:
+    """Arguments of the inference engine for a spec that `loaded` chose; its revision must be pinned."""
+    kept = {"awq": {"quantization": "awq"}, _FOUR: {"quantization": "bitsandbytes", "load_format": "bitsandbytes"}}.get(spec.pinned().quantization, {})
+    limits = {"max_model_len": spec.max_model_len, "max_num_seqs": spec.max_num_seqs, "enable_prefix_caching": spec.prefix_caching, "gpu_memory_utilization": 0.9, "swap_space": 2}
+    return {"model": spec.repo_id, "revision": spec.revision, "dtype": "float16", "seed": spec.seed, "tensor_parallel_size": min(2, max(1, gpus)), "guided_decoding_backend": "xgrammar"} | limits | kept
+
+
+def sampling_settings(guided: bool = True, rationale: bool = True, seed: int = 42) -> dict:
+    """Arguments of greedy decoding. A stop text stays in the reply, as one of them holds the object's closing brace."""
+    greedy = {"temperature": 0.0, "seed": seed, "max_tokens": 320, "stop": STOPS, "include_stop_str_in_output": True}
+    return greedy | ({"guided_json": reply_schema(rationale)} if guided else {})
+
 
 class JudgeBackend(Protocol):
     def generate(self, prompts: list[str]) -> list[str]: ...
