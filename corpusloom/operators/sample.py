@@ -71,11 +71,19 @@ def calibration_sets(rows: DataFrame, strata: list[tuple[str, Column]], each: in
 def chunks(rows: DataFrame, cells: list[str], n: int, seed: str | int = 42, key: str = "id") -> DataFrame:
     """Adds chunk 1..n: every cell is dealt evenly, chunk sizes within a cell differ by one at most.
 
-    Rank by hash within the cell, modulo n, shifted by a hash of the cell so that remainders do not pile up in chunk 1.
+    Rank by hash within the cell, modulo n, shifted by a hash of the cell so that remainders do not pile up in chunk 1. A
+    cell is ranked in 4,096 ranges of the hash, each from the number of rows before it, so a cell that holds most of the
+    rows is no single task. Null is a cell of its own.
     """
-    rank = F.row_number().over(Window.partitionBy(*cells).orderBy(hash_rank(key, seed), key)) - 1
+    cell = F.to_json(F.struct(*[F.col(c).cast("string").alias(f"c{i}") for i, c in enumerate(cells)]))
+    ranged = rows.withColumn("__hash", hash_rank(key, seed)).withColumn("__cell", F.md5(cell)).withColumn("__range", F.substring("__hash", 1, 3))
+    counts = ranged.groupBy("__cell", "__range").agg(F.count("*").alias("__n"))
+    earlier = Window.partitionBy("__cell").orderBy("__range").rowsBetween(Window.unboundedPreceding, -1)
+    before = counts.select("__cell", "__range", F.coalesce(F.sum("__n").over(earlier), F.lit(0)).alias("__before"))
+    own = F.row_number().over(Window.partitionBy("__cell", "__range").orderBy("__hash", key)) - 1
     shift = F.conv(F.substring(hash_rank(cell_key(cells), seed), 1, 6), 16, 10).cast("long")
-    return rows.withColumn("chunk", (F.pmod(rank + shift, F.lit(n)) + 1).cast("long"))
+    placed = ranged.withColumn("__own", own).join(before, ["__cell", "__range"])
+    return placed.select(*[F.col(c) for c in rows.columns if c != "chunk"], (F.pmod(F.col("__before") + F.col("__own") + shift, F.lit(n)) + 1).cast("long").alias("chunk"))
 
 
 def chunk_tolerance(chunked: DataFrame, fields: list[str], points: float = 1.0) -> DataFrame:

@@ -9,11 +9,16 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def checkpoint_ready(spark: SparkSession) -> str:
-    """The checkpoint folder of the cluster (spark.checkpoint.dir); where none is set, as in tests, one of our own."""
+    """The checkpoint folder of the cluster (spark.checkpoint.dir). In local mode, where none is set, one of our own; on a
+    cluster that is an error, as a machine's own folder is not shared."""
     held = spark.sparkContext._jsc.sc().getCheckpointDir()
     if held.isDefined():
         return held.get()
-    base = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="corpusloom-checkpoint-")
+    base = spark.conf.get("spark.checkpoint.dir", None)
+    if base is None:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir is not set: it must name a folder that all executors share")
+        base = tempfile.mkdtemp(prefix="corpusloom-checkpoint-")
     spark.sparkContext.setCheckpointDir(base)
     return spark.sparkContext._jsc.sc().getCheckpointDir().get()
 

@@ -178,3 +178,80 @@ def test_errors_become_verdicts():
     got = verdict_or_error(broken)("t")
     assert got["label"] == "other" and got["confidence"] == 0.0 and got["reason"].startswith("error: no answer") and len(got["reason"]) == 80
     assert verdict_or_error(lambda t: {"label": "hindi"})("t") == {"label": "hindi"}
+
+
+SIDECARS = "judge string, chunk int, date string, prompt_file_sha256 string, repo string, seed int"
+
+
+def test_run_manifest(spark):
+    import hashlib
+
+    sha = hashlib.sha256(b"judge this").hexdigest()
+    side = spark.createDataFrame([("a", 1, "2024-01-02", sha, "r/a", 42), ("a", 2, "not recorded", sha, "r/a", 42), ("b", 1, "2024-01-05", sha, "r/b", 42)], SIDECARS)
+    master = spark.createDataFrame([(1, "x", "subjective", None), (2, "x", None, "objective"), (2, "y", "odd", "objective")], "id long, source string, judge_a_subjectivity string, judge_b_subjectivity string")
+    build = lambda s, prompt="judge this": manifest.run_manifest(master, s, ["a", "b"], ["repo"], ["seed"], prompt, ["source"], {"judge_a_subjectivity": ["subjective"], "source": ["x", "y"]}, {"version": "1.2"})
+    m = build(side)
+    assert m["roster"] == {"a": {"repo": "r/a"}, "b": {"repo": "r/b"}} and m["decoding"] == {"seed": 42}
+    assert m["prompt"] == {"sha256": sha, "words": 2} and m["run_dates"]["a"] == {"first": "2024-01-02", "last": "2024-01-02"}
+    assert m["counts"] == {"rows": 3, "ids": 2, "verdicts": {"a": 2, "b": 2}, "decisions": 4, "by": {"source": {"x": 2, "y": 1}}}
+    assert m["types"]["judge_b_subjectivity"] == "null|string" and m["values"]["source"]["unexpected"] == []
+    assert {r["value"] for r in m["values"]["judge_a_subjectivity"]["unexpected"]} == {None, "odd"}
+    with pytest.raises(ValueError, match="hash"):
+        build(side, "another")
+    with pytest.raises(ValueError, match="a: repo has 2 values"):
+        build(side.withColumn("repo", F.concat("repo", F.col("chunk").cast("string"))))
+    with pytest.raises(ValueError, match="all: seed has 3 values"):
+        build(side.withColumn("seed", F.hash("judge", "chunk")))
+
+
+def test_report_holds_all_rows(spark):
+    import json
+
+    df = spark.range(3).withColumn("p", F.lit(0.5))
+    text, machine = manifest.report("R", [("One", "words", df), ("Two", "only words", None)])
+    assert "# R" in text and "| 2 | 0.5000 |" in text and json.loads(machine)["sections"]["One"]["rows"][2] == {"id": 2, "p": 0.5}
+    with pytest.raises(ValueError, match="more than 2 rows"):
+        manifest.markdown_table(df, most=2)
+
+
+def test_revisions(spark):
+    found = manifest.resolved_revisions(spark, {"a": "r/a", "b": "r/b", "c": "r/c"}, lambda repo: ("new", "2024-05-01T00:00:00" if repo != "r/c" else "2024-03-01"))
+    runs = spark.createDataFrame([("a", "old", "2024-04-01"), ("b", None, "2024-04-01"), ("c", None, "2024-04-01")], "judge string, revision string, run_date string")
+    assert {tuple(r) for r in manifest.revision_drift(runs, found).collect()} == {("a", "old", "new"), ("b", None, "new")}
+    with pytest.raises(RuntimeError, match="a: no revision of r/a"):
+        manifest.resolved_revisions(spark, {"a": "r/a"}, lambda repo: 1 / 0)
+
+
+def test_identifiability_text(spark):
+    ratios = spark.createDataFrame([(0, 1.0, 0.2, 0.2), (3, 4.5, 0.45, 0.1)], "label int, ratio double, share double, raw double")
+    assert "label 3 is given 4.5 times" in manifest.identifiability(ratios, "m") and "45.0% against 10.0%" in manifest.identifiability(ratios, "m")
+    assert "no label" in manifest.identifiability(ratios.where("label = 0"), "m")
+
+
+def test_chunks_are_ranked_over_all_ranges_of_a_cell(spark):
+    """One cell of nearly all rows, a cell of null: as ranked by one sorted list."""
+    import hashlib
+
+    rows = [(i, "hot" if i % 50 else None, i * 2) for i in range(3_000)]
+    df = spark.createDataFrame(rows, "id long, cell string, chunk long")
+    got = {r["id"]: r["chunk"] for r in sample.chunks(df, ["cell"], 7, 5).collect()}
+    assert len(got) == 3_000
+    md5 = lambda s: hashlib.md5(s.encode()).hexdigest()
+    for cell in ("hot", None):
+        ids = sorted((i for i, c, _ in rows if c == cell), key=lambda i: (md5(f"{i}:5"), i))
+        shift = int(md5(f"{cell or ''}:5")[:6], 16)
+        assert [got[i] for i in ids] == [(n + shift) % 7 + 1 for n in range(len(ids))]
+
+
+def test_failed_judges_preparation_and_order(spark):
+    df = spark.createDataFrame([(0.0, "error: x"), (0.0, "fine"), (0.5, "unparseable")], "c double, r string")
+    assert [r[0] for r in df.select(enrich.lid_failed(F.col("c"), F.col("r"))).collect()] == [True, False, False]
+    text = spark.createDataFrame([("<b>a</b>\nwww.x.y  b",)], "t string")
+    ways = text.select(*[T.prepared(F.col("t"), m).alias(m) for m in ("none", "pii", "pii_flat", "all")]).first().asDict()
+    assert ways == {"none": "<b>a</b>\nwww.x.y  b", "pii": "<b>a</b>\n   b", "pii_flat": "<b>a</b> b", "all": "a b"}
+    with pytest.raises(ValueError):
+        T.prepared(F.col("t"), "other")
+    lists = spark.createDataFrame([(["b", "a", "b"],)], "l array<string>")
+    assert lists.select(dedup.ordered_unique(F.col("l"))).first()[0] == ["b", "a"]
+    ids = spark.createDataFrame([(1,), (2,)], "id long")
+    assert [r["id"] for r in dedup.resume(ids, ids.where("id = 1")).collect()] == [2]
