@@ -37,14 +37,39 @@ def strip_markup_pages(spark, sf_dir):
 
 
 def strip_pii_docs(spark, sf_dir):
-    clean = F.col("text")
-    for p in (T.URL, T.EMAIL, T.PHONE):
-        clean = F.regexp_replace(clean, p, " ")
-    return table(spark, sf_dir, "documents").select("doc_id", F.md5(clean).alias("md5"))
+    return table(spark, sf_dir, "documents").select("doc_id", F.md5(T.strip_pii(F.col("text"))).alias("md5"))
 
 
 def strip_handles(spark, sf_dir):
-    return table(spark, sf_dir, "documents").select("doc_id", F.regexp_count("text", F.lit(T.HANDLE)).cast("long").alias("n_handles"))
+    """Handles of texts in which every fifth document is addressed to one."""
+    text = F.when(F.col("doc_id") % 5 == 0, F.concat(F.lit("@ab1 @@cd x@ef "), "text")).otherwise(F.col("text"))
+    return table(spark, sf_dir, "documents").select("doc_id", F.regexp_count(text, F.lit(T.HANDLE)).cast("long").alias("n_handles"), F.md5(T.strip_pii(text)).alias("md5"))
+
+
+#: Latin letters to Devanagari ones: the test documents hold no Devanagari.
+LETTERS = ("abcdeghiklmnoprstuv", "अबचदएगहइकलमनओपरसतउव")
+_LINES = [T.STUBS[0] + " में साल के", "इहो देखल जाय", "बाहरी कड़ी", "मुख्य पन्ना", "(मुख्य"]
+
+
+def _devanagari(spark, sf_dir):
+    """Sentences of the documents in Devanagari letters, before them a line that some gate refuses."""
+    line = F.element_at(F.array(*[F.lit(x) for x in _LINES]), (F.col("doc_id") % len(_LINES) + 1).cast("int"))
+    text = F.concat(line, F.lit("\n"), F.translate("text", *LETTERS))
+    return table(spark, sf_dir, "documents").select("doc_id", F.explode(T.sentences(text)).alias("s"))
+
+
+def devanagari_gates(spark, sf_dir):
+    """The gates as they are for Devanagari, by their outcome."""
+    s = F.col("s")
+    state = F.when(T.gate_reason(s).isNotNull(), T.gate_reason(s)).when(T.is_title_chrome(s), "title_chrome").otherwise("passed")
+    rows = _devanagari(spark, sf_dir).select(state.alias("state"), T.script_of(s).alias("script"), T.passes_filter(s).alias("fine"), F.length(T.norm_key(s)).alias("n_key"))
+    return rows.groupBy("state", "script").agg(F.count("*").alias("n"), F.count_if("fine").alias("fine"), F.sum("n_key").alias("key_chars"))
+
+
+def collected_texts(spark, sf_dir):
+    """What collectors make of pages before splitting, in each of the four ways."""
+    p = table(spark, sf_dir, "pages")
+    return p.select("page_id", *[F.md5(T.prepared(F.col("html"), m)).alias(m) for m in ("none", "pii", "pii_flat", "all")])
 
 
 def clean_gate_reasons(spark, sf_dir):
@@ -218,6 +243,21 @@ c AS (SELECT doc_id, i, source, {_CLEAN} AS t FROM x), p AS (SELECT *, regexp_re
 r AS (SELECT *, row_number() OVER (PARTITION BY k ORDER BY doc_id, i) AS rn FROM p)
 SELECT CASE source WHEN 'src0' THEN 'news' WHEN 'src1' THEN 'news' WHEN 'src2' THEN 'encyclopedic' WHEN 'src3' THEN 'verse' WHEN 'src4' THEN 'literary' WHEN 'src5' THEN 'opinion' ELSE 'unknown' END AS register, 'latin' AS script,
 CASE source WHEN 'src3' THEN 'verse' ELSE 'prose' END AS text_type, count(*)::BIGINT AS n, sum(length(t))::BIGINT AS n_chars FROM r WHERE rn = 1 GROUP BY ALL"""
+_PII = r"""regexp_replace(regexp_replace(regexp_replace(regexp_replace({}, 'https?://\S+|www\.\S+', ' ', 'g'), '[A-Za-z0-9_À-ÿ][A-Za-z0-9_À-ÿ.+-]*@[A-Za-z0-9_À-ÿ-]+\.[A-Za-z0-9_À-ÿ.-]*[A-Za-z0-9_À-ÿ]', ' ', 'g'), '(?:(?:\+?91(?:-|\s)?)|0)?[6-9][0-9]{{9}}\b', ' ', 'g'), '(^|[^\pL\pN_])@[\pL\pN_]{{2,}}', '\1 ', 'g')"""
+_FLAT = r"trim(regexp_replace({}, '\s+', ' ', 'g'))"
+_MARKUP = r"""regexp_replace(regexp_replace(regexp_replace(regexp_replace({}, '(?s)<ref[^>]*>.*?</ref>|<ref[^>]*/?>', ' ', 'g'), '\{{\{{[^}}]*\}}\}}', ' ', 'g'), '\[\[[^\]]*\]\]', ' ', 'g'), '<[^>]+>', ' ', 'g')"""
+_re2 = lambda pattern: pattern.replace(T.WS, r"\s").replace(T.EDGE, r"\b")
+_DEVA = rf"""WITH x AS (SELECT unnest({_SENT}) AS s FROM (SELECT [{", ".join(f"'{x}'" for x in _LINES)}][doc_id % {len(_LINES)} + 1] || chr(10) || translate(text, '{LETTERS[0]}', '{LETTERS[1]}') AS text FROM documents)),
+y AS (SELECT s, len(regexp_extract_all(s, '[\x{{0900}}-\x{{097F}}]')) AS d, len(regexp_extract_all(s, '[A-Za-z]')) AS l, CASE WHEN length(s) < 15 THEN 'short' WHEN NOT regexp_matches(s, '[\x{{0900}}-\x{{097F}}]') THEN 'script' WHEN regexp_matches(s, '{"|".join(f"(?:{_re2(p)})" for p in T.BOILERPLATE)}') THEN 'boilerplate' WHEN regexp_matches(s, '{_re2(T.TITLE_CHROME)}') THEN 'title_chrome' ELSE 'passed' END AS state FROM x)
+SELECT state, CASE WHEN d + l = 0 THEN 'other' WHEN d / (d + l) >= 0.9 THEN 'devanagari' WHEN l / (d + l) >= 0.9 THEN 'latin' ELSE 'mixed' END AS script, count(*)::BIGINT AS n,
+count(*) FILTER (length(s) BETWEEN 15 AND 400 AND NOT regexp_matches(s, '{"|".join(T.STUBS)}') AND l <= length(s) * 0.3 AND NOT regexp_matches(s, '^[)}}\].,]'))::BIGINT AS fine,
+sum(length(regexp_replace(s, '[\s।॥.,!?–—:;"''()-]+', '', 'g')))::BIGINT AS key_chars FROM y GROUP BY ALL"""
+#: The greedy rule row by row, with the ids and keys of the rows kept so far.
+_STRICT = f"""{_DEDUP.replace("WITH ", "WITH RECURSIVE ", 1)}, o AS MATERIALIZED (SELECT row_number() OVER (ORDER BY n) AS i, n, n // 5 AS own, hash(k) AS h FROM p WHERE refused IS NULL),
+g AS (SELECT 0::BIGINT AS i, 0::BIGINT AS n, '' AS state, []::BIGINT[] AS ids, []::UBIGINT[] AS keys
+ UNION ALL SELECT i, n, state, CASE state WHEN 'kept' THEN list_append(ids, own) ELSE ids END, CASE state WHEN 'kept' THEN list_append(keys, h) ELSE keys END
+ FROM (SELECT o.i, o.n, o.own, o.h, g.ids, g.keys, CASE WHEN list_contains(g.ids, o.own) THEN 'exact_dupe' WHEN list_contains(g.keys, o.h) THEN 'near_dupe' ELSE 'kept' END AS state FROM g JOIN o ON o.i = g.i + 1))
+SELECT n AS doc_id, state FROM g WHERE i > 0 UNION ALL SELECT n, refused FROM p WHERE refused IS NOT NULL"""
 _CAT = """WITH c AS (SELECT DISTINCT concat_ws('/', 'c' || page_id % 7, CASE WHEN page_id % 3 > 0 THEN 's' || page_id % 5 END, CASE WHEN page_id % 3 > 1 THEN 't' || page_id % 11 END) AS label FROM pages)"""
 
 ORACLE = {
@@ -225,7 +265,11 @@ ORACLE = {
     "sentence_split_counts": f"SELECT doc_id, len(s)::BIGINT AS n_sentences, coalesce(list_sum(list_transform(s, lambda x: length(x))), 0)::BIGINT AS n_chars FROM (SELECT doc_id, {_SENT} AS s FROM documents)",
     "sentence_rows": f"SELECT doc_id, (i - 1)::BIGINT AS n, md5(s[i]) AS sentence_md5 FROM (SELECT doc_id, s, unnest(range(1, len(s) + 1)) AS i FROM (SELECT doc_id, {_SENT} AS s FROM documents))",
     "strip_markup_pages": r"""SELECT page_id, length(t)::BIGINT AS n_chars, md5(t) AS md5 FROM (SELECT page_id, trim(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(html, '(?s)<ref[^>]*>.*?</ref>|<ref[^>]*/?>', ' ', 'g'), '\{\{[^}]*\}\}', ' ', 'g'), '\[\[[^\]]*\]\]', ' ', 'g'), '<[^>]+>', ' ', 'g'), '\s+', ' ', 'g')) AS t FROM pages)""",
-    "strip_pii_docs": r"""SELECT doc_id, md5(regexp_replace(regexp_replace(regexp_replace(text, 'https?://\S+|www\.\S+', ' ', 'g'), '[A-Za-z0-9_À-ÿ][A-Za-z0-9_À-ÿ.+-]*@[A-Za-z0-9_À-ÿ-]+\.[A-Za-z0-9_À-ÿ.-]*[A-Za-z0-9_À-ÿ]', ' ', 'g'), '(?:(?:\+?91(?:-|\s)?)|0)?[6-9][0-9]{9}\b', ' ', 'g')) AS md5 FROM documents""",
+    "strip_pii_docs": f"SELECT doc_id, md5({_PII.format('text')}) AS md5 FROM documents",
+    "strip_handles": f"SELECT doc_id, len(regexp_extract_all(t, '(?:^|[^\\pL\\pN_])@[\\pL\\pN_]{{2,}}'))::BIGINT AS n_handles, md5({_PII.format('t')}) AS md5 FROM (SELECT doc_id, CASE WHEN doc_id % 5 = 0 THEN '@ab1 @@cd x@ef ' || text ELSE text END AS t FROM documents)",
+    "devanagari_gates": _DEVA,
+    "collected_texts": f"SELECT page_id, md5(html) AS none, md5({_PII.format('html')}) AS pii, md5({_FLAT.format(_PII.format('html'))}) AS pii_flat, md5({_FLAT.format(_PII.format(_MARKUP.format('html')))}) AS all FROM pages".replace("AS all", 'AS "all"'),
+    "strict_order_dedup": _STRICT,
     "clean_gate_reasons": r"""SELECT reason, count(*)::BIGINT AS n FROM (SELECT CASE WHEN length(t) < 60 THEN 'short' WHEN NOT regexp_matches(t, '[A-Za-z]') THEN 'script' WHEN regexp_matches(t, 'thumb|right|left|px\b|Download OBO|Query/Feedback|OBO|^[0-9]-') THEN 'boilerplate' ELSE 'passed' END AS reason FROM (SELECT trim(regexp_replace(text, '\s+', ' ', 'g')) AS t FROM documents)) GROUP BY reason""",
     "corpus_filter_rules": rf"""SELECT doc_id, count(*)::BIGINT AS n, count(*) FILTER (length(x) BETWEEN 15 AND 400 AND len(regexp_extract_all(x, '[éèñüöäßçêíóá]')) <= length(x) * 0.1 AND NOT regexp_matches(x, '^[)}}\].,]'))::BIGINT AS kept FROM (SELECT doc_id, unnest({_SENT}) AS x FROM documents) GROUP BY doc_id""",
     "script_profile": r"""SELECT script, lang, count(*)::BIGINT AS n, round(avg(l), 6) AS mean_latin FROM (SELECT lang, len(regexp_extract_all(text, '[A-Za-z]')) AS l, CASE WHEN len(regexp_extract_all(text, '[\x{0900}-\x{097F}]')) + len(regexp_extract_all(text, '[A-Za-z]')) = 0 THEN 'other' WHEN len(regexp_extract_all(text, '[\x{0900}-\x{097F}]')) > 0 THEN 'mixed' ELSE 'latin' END AS script FROM documents) GROUP BY script, lang""",
@@ -255,4 +299,4 @@ SELECT CASE WHEN g = m THEN g ELSE 'disagree' END AS lid_label, CASE WHEN g <> m
     "romanised_share": r"SELECT lang, count(*)::BIGINT AS n, count(*) FILTER (length(text) >= 15 AND a * 2 > b)::BIGINT AS romanised, round(avg(a::DOUBLE / length(text)), 6) AS mean_latin FROM (SELECT lang, text, len(regexp_extract_all(text, '[A-Za-z]')) AS a, len(regexp_extract_all(text, '\pL')) AS b FROM documents) GROUP BY lang",
     "conversation_ends": "SELECT conv_id, count(*)::BIGINT AS n, arg_min(role, turn) AS first_role, md5(arg_max(text, turn)) AS last_md5 FROM conversations GROUP BY conv_id",
 }
-QUERIES = {f.__name__: f for f in (lid_agreement_rates, content_hash_ids, sentence_split_counts, sentence_rows, strip_markup_pages, strip_pii_docs, strip_handles, clean_gate_reasons, corpus_filter_rules, script_profile, text_coalesce_enrich, norm_key_dedup_kept, norm_key_reject_reasons, strict_order_dedup, append_dedup_antijoin, benchmark_containment, source_verdict_crosstab, clean_rates, lid_two_judge_combine, leaf_category_prefix_anti, page_extraction, page_links_by_regex, url_slugs, parse_judge_json, rescue_parse, prompt_rendering, lid_reply_parse, romanised_share, conversation_ends, flagship)}
+QUERIES = {f.__name__: f for f in (lid_agreement_rates, content_hash_ids, sentence_split_counts, sentence_rows, strip_markup_pages, strip_pii_docs, strip_handles, devanagari_gates, collected_texts, clean_gate_reasons, corpus_filter_rules, script_profile, text_coalesce_enrich, norm_key_dedup_kept, norm_key_reject_reasons, strict_order_dedup, append_dedup_antijoin, benchmark_containment, source_verdict_crosstab, clean_rates, lid_two_judge_combine, leaf_category_prefix_anti, page_extraction, page_links_by_regex, url_slugs, parse_judge_json, rescue_parse, prompt_rendering, lid_reply_parse, romanised_share, conversation_ends, flagship)}

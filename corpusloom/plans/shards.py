@@ -75,6 +75,18 @@ def master_votes(spark, sf_dir):
     return V.long_votes(m, judges).groupBy("judge", "vote").agg(F.count("*").alias("n"))
 
 
+def nested_votes(spark, sf_dir):
+    """The master with one struct a judge: null where the judge gave no verdict."""
+    judges = [f"j{i}" for i in range(5)]
+    m = merge.nested(merge.master(items(spark, sf_dir), _shards(spark, sf_dir), judges), judges)
+    return m.select("id", "n_judges", F.col("judges.j0.polarity").alias("j0_polarity"), F.round("judges.j2.confidence", 6).alias("j2_confidence"), *[F.col(f"judges.{j}").isNull().alias(f"{j}_silent") for j in judges])
+
+
+def doubled_shards(spark, sf_dir):
+    """Pairs of judge and chunk that several files claim; files are named after the prompt that a row was made with."""
+    return merge.doubled_shards(_shards(spark, sf_dir).withColumn("file", F.concat_ws("__", "judge", "prompt")))
+
+
 def judge_signature(spark, sf_dir):
     s = merge.signature(_shards(spark, sf_dir))
     return s.select("judge", "chunk", "n", *[F.round(c, 6).alias(c) for c in ("subjectivity_pct", "positive_pct", "negative_pct", "neutral_pct", "mixed_pct", "mean_confidence")])
@@ -117,6 +129,8 @@ _SIG = "sg AS (SELECT judge, chunk, count(*)::BIGINT AS n, 100.0::DOUBLE * count
 _DRIFT = "SELECT judge, round(a, 6) AS pct_a, round(b, 6) AS pct_b, round(b - a, 6) AS delta, abs(b - a) > 5 AS drifted FROM (SELECT judge, max(subjectivity_pct) FILTER (chunk = 1) AS a, max(subjectivity_pct) FILTER (chunk = 2) AS b FROM sg GROUP BY judge) WHERE a IS NOT NULL AND b IS NOT NULL"
 
 ORACLE = {
+    "nested_votes": f"{_S} SELECT c.id, count(DISTINCT judge)::BIGINT AS n_judges, max(polarity) FILTER (judge = 'j0') AS j0_polarity, round(max(confidence) FILTER (judge = 'j2'), 6) AS j2_confidence, " + ", ".join(f"count(*) FILTER (judge = 'j{i}') = 0 AS j{i}_silent" for i in range(5)) + " FROM corpus c LEFT JOIN s USING (id) GROUP BY c.id",
+    "doubled_shards": f"{_S} SELECT judge, chunk, count(DISTINCT judge || '__' || prompt)::BIGINT AS n FROM s GROUP BY judge, chunk HAVING count(DISTINCT prompt) > 1",
     "master_chunks": f"WITH {CORPUS_SQL}, {VOTES_SQL} SELECT (c.id % 9 + 1)::BIGINT AS chunk, count(DISTINCT c.id)::BIGINT AS n, count(v.judge) FILTER (NOT (v.judge = 4 AND c.id % 9 + 1 = 3))::BIGINT AS verdicts FROM corpus c LEFT JOIN votes v USING (id) GROUP BY ALL",
     "shard_union": f"WITH {CORPUS_SQL}, {VOTES_SQL} SELECT id, (id % 9 + 1)::BIGINT AS chunk, CASE vote WHEN 0 THEN 'objective' ELSE 'subjective' END AS subjectivity, CASE WHEN id % 9 <> 0 THEN round(confidence, 6) END AS confidence FROM votes WHERE judge = 2",
 
@@ -136,4 +150,4 @@ ORACLE = {
     "several_valued_settings": f"{_S} SELECT judge, 'prompt' AS column, count(DISTINCT prompt)::BIGINT AS n FROM s GROUP BY judge HAVING count(DISTINCT prompt) > 1",
     "run_dates": "SELECT min(d) AS first, max(d) AS last FROM (SELECT strftime(ts, '%Y-%m-%d') AS d FROM events WHERE event_id % 3 <> 0)",
 }
-QUERIES = {f.__name__: f for f in (master_chunks, shard_union, shard_doubled_ids, shard_coverage, shard_configs, completed_chunks_division, expected_sidecars, foreign_ids, master_join_n_judges, master_votes, judge_signature, judge_signature_drift, event_drift, unexpected_values, run_manifest_counts, several_valued_settings, run_dates)}
+QUERIES = {f.__name__: f for f in (master_chunks, shard_union, nested_votes, doubled_shards, shard_doubled_ids, shard_coverage, shard_configs, completed_chunks_division, expected_sidecars, foreign_ids, master_join_n_judges, master_votes, judge_signature, judge_signature_drift, event_drift, unexpected_values, run_manifest_counts, several_valued_settings, run_dates)}
