@@ -47,10 +47,10 @@ def strict_order_dedup(rows: DataFrame, order: list[str], min_chars: int = T.MIN
     """
     checkpoint_ready(rows.sparkSession)
     prepared = _prepared(rows, min_chars, script).checkpoint()
-    open_ = prepared.where("refused is null").withColumn("component", F.least(F.xxhash64(F.lit("id"), F.col("id")), F.xxhash64(F.lit("key"), F.col("norm_key"))))
+    open_ = prepared.where("refused is null").withColumn("component", F.least(F.xxhash64(F.lit("id"), F.col("id")), F.xxhash64(F.lit("key"), F.col("norm_key")))).checkpoint()
     changed = True
     while changed:
-        before = open_.checkpoint()
+        before = open_
         by_id = before.groupBy("id").agg(F.min("component").alias("c_id"))
         by_key = before.groupBy("norm_key").agg(F.min("component").alias("c_key"))
         joined = before.withColumnRenamed("id", "__id").join(by_id, F.col("__id").eqNullSafe(F.col("id"))).drop("id").withColumnRenamed("__id", "id").join(by_key, "norm_key")
