@@ -16,9 +16,16 @@ every block lies within the line. For an exact passage that takes a line of more
 Windows of equal blocks are joined in a star: with a first document that has the block, never all with all, and within a
 slice of the input before anything is shuffled, so that a block that a third of all documents share is one row a slice.
 Then the intervals are joined: what two windows both cover around c must be as wide as a passage, but for SLACK shingles
-that words put in or left out may cost. What remains of a pair of documents is compared on words: exact runs around the
-shared blocks, runs a few words apart joined, and a passage counts if it has `passage` words and its sides' shingle sets
-have the wanted similarity.
+that words put in or left out may cost.
+
+The first document of a block may hold the block without the passage, so no window is dropped for what it shares with the
+first one: every place that shares a block is looked up again, by all the runs of `passage` words around it. Equal runs
+are equal passages, so there a star loses nothing: each run that an earlier document holds is found. Then, for what no
+found passage covers, runs of NEAR words (chosen by least hash, so that any 24 words in a row hold one) are compared with
+the first and the PARTNERS nearest earlier documents that hold them, which finds edited passages; see `near_runs`.
+
+A pair of documents is compared on words: exact runs around the shared blocks, runs a few words apart joined, and a
+passage counts if it has `passage` words and its sides' shingle sets have the wanted similarity.
 
 Defined cases: null, empty and short texts have no passage; a document that repeats itself is no match; copies are
 passages as long as the text; rows that share a doc_id are not compared with each other, and a passage belongs to the one
@@ -32,7 +39,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import arrow_rows, id_and_text, list_array, scratch, slices, stored
@@ -45,10 +52,16 @@ GAP = 12
 SLACK = 12
 #: Words of the block on either side of a window's shingle, and of the block around it.
 HALF, BLOCK = 15, 30
+#: Words of a run by which edited passages are looked up again; any NEAR + NEAR_OF - 1 words in a row hold a chosen one.
+NEAR, NEAR_OF = 20, 5
+#: Nearest earlier documents with the run that one is compared with, beside the first.
+PARTNERS = 16
 #: Words whose trees are made at once.
 _GROUP = 1 << 18
 #: Rows with the words of two documents that go to Python at once.
 _PAIRS_AT_ONCE = 200
+
+
 def _nodes(order: np.ndarray, bits: int, begins: np.ndarray, ends: np.ndarray, least: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """l, c, r (inclusive) of the Cartesian trees' nodes that span at least `least` positions.
 
@@ -60,11 +73,7 @@ def _nodes(order: np.ndarray, bits: int, begins: np.ndarray, ends: np.ndarray, l
     begins, ends = begins[wide], ends[wide]
     if not len(begins):
         return (np.zeros(0, np.int64),) * 3
-    low, span = order, 1
-    while 2 * span <= least:
-        low, span = np.minimum(low[:-span], low[span:]), 2 * span
-    if least > span:
-        low = np.minimum(low[: span - least], low[least - span :])
+    low = _lows(order, least)
     sizes = ends - begins - least + 1
     low = low[np.repeat(begins - (np.cumsum(sizes) - sizes), sizes) + np.arange(sizes.sum())]
     low = low[np.concatenate([[True], low[1:] != low[:-1]])]
@@ -105,20 +114,31 @@ def _groups(sizes: np.ndarray) -> Iterator[tuple[int, int]]:
         i = j
 
 
+def _orders(blocks: Blocks, functions: int) -> Iterator[tuple[np.ndarray, int]]:
+    """For each function the hashes of all shingles, with their place in the low bits, and how many bits that takes."""
+    shingles = blocks.every(SHINGLE)
+    bits = max(1, len(shingles).bit_length())
+    for seed in mix(np.arange(1, functions + 1, dtype=np.uint64)):
+        yield mix(shingles ^ seed) >> np.uint64(bits) << np.uint64(bits) | np.arange(len(shingles), dtype=np.uint64), bits
+
+
+def _lows(order: np.ndarray, least: int) -> np.ndarray:
+    """The least of every `least` values in a row."""
+    low, span = order, 1
+    while 2 * span <= least:
+        low, span = np.minimum(low[:-span], low[span:]), 2 * span
+    return np.minimum(low[: span - least], low[least - span :]) if least > span else low
+
+
 def keyed_windows(words: np.ndarray, sizes: np.ndarray, passage: int, functions: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Keys of all windows of some texts (word hashes end to end, words a text), the index of each one's text, and its
     place: c above bit 16, c - l and r - c in 8 bits each, clipped. A position that is the root of windows of several
     functions has one place, with the widest of them."""
     ends = np.cumsum(sizes)
     begins = ends - sizes
-    blocks, n = Blocks(words), len(words) - SHINGLE + 1
-    bits = max(1, int(n).bit_length())
-    position = np.arange(n, dtype=np.uint64)
-    shingles, seeds = blocks.every(SHINGLE), mix(np.arange(1, functions + 1, dtype=np.uint64))
-    found = []
-    for k in range(functions):
-        h = mix(shingles ^ seeds[k])
-        found.append(_nodes(h >> np.uint64(bits) << np.uint64(bits) | position, bits, begins, ends - SHINGLE + 1, passage - SHINGLE + 1))
+    blocks, found = Blocks(words), []
+    for order, bits in _orders(blocks, functions):
+        found.append(_nodes(order, bits, begins, ends - SHINGLE + 1, passage - SHINGLE + 1))
     left, c, right = (np.concatenate(x) for x in zip(*found, strict=True))
     if not len(c):
         return np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64)
@@ -138,10 +158,25 @@ def keyed_windows(words: np.ndarray, sizes: np.ndarray, passage: int, functions:
     return np.concatenate(keys), np.concatenate(texts), np.concatenate(places)
 
 
-def _may_hold(place_a: np.ndarray, place_b: np.ndarray, passage: int) -> np.ndarray:
+def _may_hold(passage: int) -> Column:
     """Interval join: whether what both windows cover around their shingle is as wide as a passage, but for SLACK."""
-    width = np.minimum(place_a >> 8 & 255, place_b >> 8 & 255) + np.minimum(place_a & 255, place_b & 255) + 1
-    return width >= min(passage - SHINGLE + 1 - SLACK, 256)
+    left, right = (F.least(F.shiftright("place_a", bits).bitwiseAND(255), F.shiftright("place_b", bits).bitwiseAND(255)) for bits in (8, 0))
+    return left + right + 1 >= min(passage - SHINGLE + 1 - SLACK, 256)
+
+
+KEYED = "key long, doc_id long, place long, b long, place_b long"
+
+
+def _starred(found: list[tuple[np.ndarray, np.ndarray, np.ndarray]]) -> pa.RecordBatch:
+    """KEYED of keys, documents and places of a slice: the rows of a key's least doc_id with b null, others with the first of them."""
+    key, doc, place = (np.concatenate(x) for x in zip(*found, strict=True))
+    order = np.argsort(doc, kind="stable")
+    order = order[np.argsort(key[order], kind="stable")]
+    key, doc, place = key[order].view(np.int64), doc[order], place[order]
+    first = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]])) if len(key) else np.zeros(0, np.int64)
+    of = np.repeat(first, np.diff(np.append(first, len(key))))
+    own = doc == doc[of]
+    return pa.RecordBatch.from_arrays([pa.array(key), pa.array(doc), pa.array(place), pa.array(doc[of], mask=own), pa.array(place[of], mask=own)], names=[x.split()[0] for x in KEYED.split(", ")])
 
 
 def windows(docs: DataFrame, passage: int = PASSAGE, functions: int = FUNCTIONS) -> DataFrame:
@@ -153,6 +188,7 @@ def windows(docs: DataFrame, passage: int = PASSAGE, functions: int = FUNCTIONS)
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in slices(batches):
             words, sizes = flat_words(part.column(1))
+            words >>= np.uint64(32)  # as hashed_words keeps them
             ids = part.column(0)
             usable = (sizes >= passage) & np.asarray(ids.is_valid())
             words, sizes, ids = words[np.repeat(usable, sizes)], sizes[usable], ids.filter(pa.array(usable)).to_numpy()
@@ -164,25 +200,18 @@ def windows(docs: DataFrame, passage: int = PASSAGE, functions: int = FUNCTIONS)
                 at += n
             if not found:
                 continue
-            key, doc, place = (np.concatenate(x) for x in zip(*found, strict=True))
-            order = np.argsort(doc, kind="stable")
-            order = order[np.argsort(key[order], kind="stable")]
-            key, doc, place = key[order].view(np.int64), doc[order], place[order]
-            first = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
-            of = np.repeat(first, np.diff(np.append(first, len(key))))
-            own = doc == doc[of]
-            ok = own | _may_hold(place, place[of], passage)
-            own, of = own[ok], of[ok]
-            yield pa.RecordBatch.from_arrays([pa.array(key[ok]), pa.array(doc[ok]), pa.array(place[ok]), pa.array(doc[of], mask=own), pa.array(place[of], mask=own)], names=["key", "doc_id", "place", "b", "place_b"])
+            yield _starred(found)
 
-    return docs.select("doc_id", "text").mapInArrow(run, "key long, doc_id long, place long, b long, place_b long")
+    return docs.select("doc_id", "text").mapInArrow(run, KEYED)
 
 
-def window_pairs(found: DataFrame, passage: int = PASSAGE) -> DataFrame:
-    """a, b, place_a, place_b: every window with one of the first document that has its key, in one exchange.
+def window_pairs(found: DataFrame) -> DataFrame:
+    """a, b, place_a, place_b: every window with one of the first document that has its key, in one exchange. The first
+    document's other places with that key come with it as well (a = b).
 
     Pairs made within a slice travel by document; first windows of the slices meet by key, in order, so that a task holds
     no more of a key than its first row."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         last: tuple[int, int, int] | None = None
         for batch in batches:
@@ -200,7 +229,7 @@ def window_pairs(found: DataFrame, passage: int = PASSAGE) -> DataFrame:
                 if last and last[0] == key[0]:
                     to_doc[: sizes[0]], to_place[: sizes[0]] = last[1:]
                 last = int(key[-1]), int(to_doc[-1]), int(to_place[-1])
-                ok = (doc != to_doc) & _may_hold(place, to_place, passage)
+                ok = (doc != to_doc) | (place != to_place)
                 out.append((doc[ok], to_doc[ok], place[ok], to_place[ok]))
             yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in zip(*out, strict=True)], names=["a", "b", "place_a", "place_b"])
 
@@ -209,7 +238,7 @@ def window_pairs(found: DataFrame, passage: int = PASSAGE) -> DataFrame:
 
 
 def hashed_words(docs: DataFrame) -> DataFrame:
-    """doc_id, tag, words array<int>: the word hashes of each text, 32 bits each. Equal rows side by side give one row."""
+    """doc_id, tag, places, words array<int>: the word hashes of each text, 32 bits each. Equal rows side by side give one row."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         last = None
@@ -219,9 +248,123 @@ def hashed_words(docs: DataFrame) -> DataFrame:
             last = own[-1]
             part = part.filter(new)
             words, sizes = flat_words(part.column("text"))
-            yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("tag"), list_array((words >> np.uint64(32)).astype(np.uint32).view(np.int32), sizes, pa.int32())], names=["doc_id", "tag", "words"])
+            yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("tag"), part.column("places"), list_array((words >> np.uint64(32)).astype(np.uint32).view(np.int32), sizes, pa.int32())], names=["doc_id", "tag", "places", "words"])
+
+    return docs.select("doc_id", "tag", "places", "text").mapInArrow(run, "doc_id long, tag long, places array<int>, words array<int>")
+
+
+def _ranges(starts: np.ndarray, ends: np.ndarray, n: int) -> np.ndarray:
+    """Which of n places lie in any of the ranges (ends exclusive)."""
+    edges = np.bincount(np.clip(starts, 0, n), minlength=n + 1) - np.bincount(np.clip(ends, 0, n), minlength=n + 1)
+    return np.cumsum(edges)[:n] > 0
+
+
+def _flat(lists: pa.ListArray) -> tuple[np.ndarray, np.ndarray]:
+    """Words of lists end to end, and where each list begins and the last one ends."""
+    offsets = lists.offsets.to_numpy()
+    return lists.values.to_numpy(zero_copy_only=False)[offsets[0] : offsets[-1]].astype(np.int32, copy=False).view(np.uint32).astype(np.uint64), offsets - offsets[0]
+
+
+def _at(lists: pa.ListArray, words: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Places of the lists, as places in the words end to end, and where their texts end."""
+    offsets = lists.offsets.to_numpy()
+    text = np.repeat(np.arange(len(lists)), np.diff(offsets))
+    at = lists.values.to_numpy(zero_copy_only=False)[offsets[0] : offsets[-1]].astype(np.int64)
+    ok = at < (ends[1:] - ends[:-1])[text]  # texts of one doc_id share the list of places
+    return at[ok] + ends[text[ok]], text[ok]
 
-    return docs.select("doc_id", "tag", "text").mapInArrow(run, "doc_id long, tag long, words array<int>")
+
+def _covered(lists: pa.ListArray, ends: np.ndarray, size: int, exact: bool, n: int) -> np.ndarray:
+    """At which of n words a run of `size` words begins that lies within one of the found passages, or one of the exact ones."""
+    offsets = lists.offsets.to_numpy()
+    text = np.repeat(np.arange(len(lists)), np.diff(offsets))
+    first, last, same = (lists.values.field(k).to_numpy(zero_copy_only=False)[offsets[0] : offsets[-1]] for k in range(3))
+    ok = same.astype(bool) | (not exact)
+    first, last = first[ok].astype(np.int64) + ends[text[ok]], last[ok].astype(np.int64) + ends[text[ok]]
+    return _ranges(first, np.maximum(first, last - size + 1), n)
+
+
+def whole_runs(words: DataFrame, passage: int, functions: int) -> DataFrame:
+    """words: doc_id, words, places, covered. KEYED of the runs of `passage` words that another document may hold.
+
+    If one does, the least shingles of the run, by every function, are at places that share a block; other runs are
+    left out. So are runs within an exact passage that was found: its earlier document holds them, so whoever holds a run
+    first is not left out, and others that hold it meet that one."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in slices(batches):
+            flat, ends = _flat(part.column("words"))
+            if len(flat) < passage:
+                continue
+            shared = np.zeros(len(flat), bool)
+            shared[_at(part.column("places"), flat, ends)[0]] = True
+            blocks = Blocks(flat)
+            ok = ~_covered(part.column("covered"), ends, passage, True, len(flat))[: len(flat) - passage + 1]
+            for order, bits in _orders(blocks, functions):
+                ok &= shared[(_lows(order, passage - SHINGLE + 1) & np.uint64((1 << bits) - 1)).astype(np.int64)]
+            s = np.flatnonzero(ok)
+            of = np.searchsorted(ends, s, "right") - 1
+            within = s + passage <= ends[of + 1]
+            s, of = s[within], of[within]
+            yield _starred([(mix(blocks.at(s, passage)), part.column("doc_id").to_numpy()[of], s - ends[of] << 16)])
+
+    return words.select("doc_id", "words", "places", "covered").mapInArrow(run, KEYED)
+
+
+def near_runs(words: DataFrame, passage: int) -> DataFrame:
+    """words: doc_id, words, places, covered. key, doc_id, place of chosen runs of NEAR
+    words within `passage` words of a place; the lowest bit of place says that no found passage covers the run."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in slices(batches):
+            flat, ends = _flat(part.column("words"))
+            if len(flat) < NEAR + NEAR_OF:
+                flat = np.append(flat, np.zeros(NEAR + NEAR_OF, np.uint64))
+            c, text = _at(part.column("places"), flat, ends)
+            near = _ranges(np.maximum(c - passage, ends[text]), np.minimum(c + passage, ends[text + 1]), len(flat))
+            keys = mix(Blocks(flat).every(NEAR))
+            low = np.lib.stride_tricks.sliding_window_view(keys, NEAR_OF).argmin(axis=1) + np.arange(len(keys) - NEAR_OF + 1)
+            s = np.unique(low)
+            of = np.minimum(np.searchsorted(ends, s, "right") - 1, len(ends) - 2)
+            ok = (s + NEAR <= ends[of + 1]) & near[s] & near[np.minimum(s + NEAR - 1, len(flat) - 1)]
+            s, of = s[ok], of[ok]
+            place = s - ends[of] << 16 | ~_covered(part.column("covered"), ends, NEAR, False, len(flat))[s]
+            yield pa.RecordBatch.from_arrays([pa.array(keys[s].view(np.int64)), pa.array(part.column("doc_id").to_numpy()[of]), pa.array(place)], names=["key", "doc_id", "place"])
+
+    return words.select("doc_id", "words", "places", "covered").mapInArrow(run, "key long, doc_id long, place long")
+
+
+def near_pairs(found: DataFrame) -> DataFrame:
+    """a, b, place_a, place_b: runs that no found passage covers, with those of the first document that has the same run
+    and of the PARTNERS nearest ones before. Where no more documents hold a run, that is all of them."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = [np.zeros(0, np.int64)] * 3  # the first row of each document that may be a partner: the key's first and its last ones
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            own = [batch.column(c).to_numpy() for c in ("key", "doc_id", "place")]
+            n = len(held[0])
+            key, doc, place = (np.concatenate(x) for x in zip(held, own, strict=True))
+            new = np.concatenate([[True], (key[1:] != key[:-1]) | (doc[1:] != doc[:-1])])
+            begin = np.flatnonzero(new)
+            unit = np.cumsum(new) - 1  # a document's rows of a key
+            of_key = key[begin]
+            first = np.flatnonzero(np.concatenate([[True], of_key[1:] != of_key[:-1]]))
+            first = np.repeat(first, np.diff(np.append(first, len(of_key))))
+            rows = np.flatnonzero((place & 1 == 1) & (np.arange(len(key)) >= n))
+            out = []
+            for lag in range(PARTNERS + 1):
+                to = unit[rows] - lag if lag else first[unit[rows]]
+                ok = to >= first[unit[rows]] if lag else unit[rows] - to > PARTNERS
+                a, b = rows[ok], begin[to[ok]]
+                out.append((doc[a], doc[b], place[a], place[b]))
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in zip(*out, strict=True)], names=["a", "b", "place_a", "place_b"])
+            last = len(begin) - 1
+            keep = begin[np.unique(np.append(np.arange(max(first[last], last - PARTNERS), last + 1), first[last]))]
+            held = [key[keep], doc[keep], place[keep]]
+
+    return found.repartition("key").sortWithinPartitions("key", "doc_id", "place").mapInArrow(run, "a long, b long, place_a long, place_b long")
 
 
 def word_spans(text: str) -> tuple[np.ndarray, np.ndarray]:
@@ -271,7 +414,10 @@ def alike(a: np.ndarray, b: np.ndarray, seeds: list[tuple[int, int]], passage: i
     A run that a seed lies in is carried on over edits, so that one seed is enough for a passage of several runs."""
     seen: set[tuple[int, int, int, int]] = set()
     begun: dict[int, list[tuple[int, int]]] = {}  # ranges of runs by diagonal, ascending; they never overlap
-    x, y = np.split(np.unique(np.concatenate([Blocks(w).every(SHINGLE) for w in (a, b)]), return_inverse=True)[1], [len(a) - SHINGLE + 1])
+    distinct, both = np.unique(np.concatenate([Blocks(w).every(SHINGLE) for w in (a, b)]), return_inverse=True)
+    if 100 * (len(both) - len(distinct)) < percent * (passage - SHINGLE + 1):  # a passage's shared and repeated shingles are more
+        return []
+    x, y = np.split(both, [len(a) - SHINGLE + 1])
     of_a, of_b = np.zeros((2, max(x.max(), y.max()) + 1), bool)
     known = -1
     for seed in seeds:
@@ -342,7 +488,7 @@ def alike(a: np.ndarray, b: np.ndarray, seeds: list[tuple[int, int]], passage: i
     return out
 
 
-FOUND = "doc_id long, tag long, first_word int, last_word int, of_doc_id long, of_first_word int, of_last_word int"
+FOUND = "doc_id long, tag long, first_word int, last_word int, of_doc_id long, of_first_word int, of_last_word int, exact boolean"
 
 
 def _words_of(lists: pa.ListArray, i: int) -> np.ndarray:
@@ -351,12 +497,12 @@ def _words_of(lists: pa.ListArray, i: int) -> np.ndarray:
 
 
 def verified(pairs: DataFrame, words: DataFrame, passage: int, percent: int) -> DataFrame:
-    """pairs: a, b, shared (places of equal blocks). Passages of a that b has, as ranges of words."""
+    """pairs: a, b, shared (places of equal blocks). Passages of a that b has, as ranges of words, and whether they are equal."""
     left = words.select(F.col("doc_id").alias("a"), "tag", F.col("words").alias("words_a"))
     both = pairs.join(left, "a").join(words.select(F.col("doc_id").alias("b"), F.col("words").alias("words_b")), "b")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        kinds = (pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.int32(), pa.int32())
+        kinds = (pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.int32(), pa.int32(), pa.bool_())
         names = [x.split()[0] for x in FOUND.split(", ")]
         for part in slices(batches):
             rows = []
@@ -364,7 +510,8 @@ def verified(pairs: DataFrame, words: DataFrame, passage: int, percent: int) ->
             for i, (a, tag, b) in enumerate(zip(*(part.column(c).to_pylist() for c in ("a", "tag", "b")), strict=True)):
                 seeds = lists[i].values
                 seeds = sorted(set(zip(seeds.field(0).to_pylist(), seeds.field(1).to_pylist(), strict=True)))
-                rows += [(a, tag, *found[:2], b, *found[2:]) for found in alike(_words_of(words_a, i), _words_of(words_b, i), seeds, passage, percent)]
+                own, other = _words_of(words_a, i), _words_of(words_b, i)
+                rows += [(a, tag, *found[:2], b, *found[2:], np.array_equal(own[slice(*found[:2])], other[slice(*found[2:])])) for found in alike(own, other, seeds, passage, percent)]
             if rows:
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), kinds, strict=True)], names=names)
 
@@ -401,15 +548,29 @@ def _tagged(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
 def found_passages(docs: DataFrame, passage: int = PASSAGE, percent: int = 80, functions: int = FUNCTIONS) -> DataFrame:
     """docs: doc_id, text, tag. FOUND with start and end in code points, as repeated_passages says."""
     spark = docs.sparkSession
-    with scratch(spark):
+
+    def paired(met: DataFrame) -> DataFrame:
         at = F.shiftright("place_a", 16).cast("int").alias("a"), F.shiftright("place_b", 16).cast("int").alias("b")
-        met = window_pairs(windows(docs, passage, functions), passage)
-        pairs = stored(met.groupBy("a", "b").agg(F.collect_set(F.struct(*at)).alias("shared")), "pairs")
-        ids = pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()
-        words = stored(hashed_words(docs.join(ids, "doc_id").sortWithinPartitions("doc_id", "tag")), "words")
+        return met.where("a != b").groupBy("a", "b").agg(F.collect_set(F.struct(*at)).alias("shared"))
+
+    def compared(pairs: DataFrame, name: str) -> DataFrame:
         with arrow_rows(spark, _PAIRS_AT_ONCE):
-            found = stored(verified(pairs, words, passage, percent), "passages")
-        return stored(_in_characters(found, docs), "placed", keep=True)
+            return stored(verified(pairs, words, passage, percent), name)
+
+    with scratch(spark):
+        with scratch(spark):
+            met = stored(window_pairs(windows(docs, passage, functions)), "met")
+            each = F.explode(F.array(*[F.struct(F.col(x).alias("doc_id"), F.shiftright(f"place_{x}", 16).cast("int").alias("c")) for x in "ab"]))
+            places = stored(met.select(each.alias("x")).groupBy("x.doc_id").agg(F.collect_set("x.c").alias("places")), "places", keep=True)
+            pairs = stored(paired(met.where(_may_hold(passage))), "pairs", keep=True)
+        words = stored(hashed_words(docs.join(places, "doc_id").sortWithinPartitions("doc_id", "tag")), "words")
+        found = compared(pairs, "passages")
+        covered = found.groupBy("doc_id", "tag").agg(F.collect_set(F.struct("first_word", "last_word", "exact")).alias("covered"))
+        none = F.array().cast("array<struct<first_word:int,last_word:int,exact:boolean>>")
+        left = words.join(covered, ["doc_id", "tag"], "left").withColumn("covered", F.coalesce("covered", none))
+        met = window_pairs(whole_runs(left, passage, functions)).union(near_pairs(near_runs(left, passage)))
+        again = compared(stored(paired(met), "more"), "again")  # pairs met before are compared at new places
+        return stored(_in_characters(found.union(again).drop("exact"), docs), "placed", keep=True)
 
 
 def repeated_passages(df: DataFrame, passage: int = PASSAGE, percent: int = 80, functions: int = FUNCTIONS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

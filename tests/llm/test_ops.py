@@ -359,6 +359,82 @@ def test_passages_against_brute_force(spark):
         assert min(len(a), len(b)) >= 50 and len(x & y) >= 0.8 * len(x | y)
 
 
+def uncovered(rows, found, passage=50):
+    """Brute force: runs of `passage` words that an earlier document holds and no found passage covers, and how many there are."""
+    first, missed, n = {}, [], 0
+    spans = {}
+    for r in found:
+        spans.setdefault(r["doc_id"], []).append((r["first_word"], r["last_word"]))
+    for d, t in sorted(rows):
+        w = t.lower().split()
+        for i in range(len(w) - passage + 1):
+            if first.setdefault(tuple(w[i : i + passage]), d) < d:
+                n += 1
+                if not any(a <= i and i + passage <= b for a, b in spans.get(d, ())):
+                    missed.append((d, i))
+    return missed, n
+
+
+def quoted_passages(pairs=40):
+    """Pairs share a passage of 52 to 70 words; documents before them quote 46 words of it each, at every tenth word."""
+    rng = random.Random(31)
+    fresh = lambda n: [f"v{rng.randrange(10**7)}" for _ in range(n)]
+    rows, n = [], 0
+    for pair in range(pairs):
+        shared = fresh(rng.randrange(52, 71))
+        for k in [*range(0, len(shared) - 46, 10), len(shared) - 46]:
+            rows.append((n, " ".join(fresh(40) + shared[k : k + 46] + fresh(40))))
+            n += 1
+        rows += [(1000 + 2 * pair, " ".join(fresh(15) + shared + fresh(15))), (1001 + 2 * pair, " ".join(fresh(15) + shared + fresh(15)))]
+    return rows
+
+
+@pytest.mark.parametrize("parts", [1, 7])
+def test_every_exact_passage_that_others_quote_is_found(spark, parts):
+    """In one slice (windows) and across slices (window_pairs) alike."""
+    rows = quoted_passages()
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(parts)
+    found = passages.repeated_passages(docs).collect()
+    missed, n = uncovered(rows, found)
+    assert n > 300 and missed == []
+    assert {(r["doc_id"], r["of_doc_id"]) for r in found} == {(1001 + 2 * p, 1000 + 2 * p) for p in range(40)}
+
+
+def test_a_longer_passage_of_a_later_document_is_found(spark):
+    """One document shares 55 words, another the 90 words around them: nothing of the 90 is left over."""
+    rng = random.Random(3)
+    fresh = lambda n: [f"v{rng.randrange(10**7)}" for _ in range(n)]
+    rows = []
+    for k in range(20):
+        shared = fresh(90)
+        rows += [(3 * k, " ".join(fresh(20) + shared[20:75] + fresh(20))), (3 * k + 1, " ".join(fresh(20) + shared + fresh(20))), (3 * k + 2, " ".join(fresh(20) + shared + fresh(20)))]
+    missed, n = uncovered(rows, passages.repeated_passages(spark.createDataFrame(rows, "doc_id long, text string").repartition(5)).collect())
+    assert n > 900 and missed == []
+
+
+def test_every_exact_passage_of_the_documents_is_found(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    missed, n = uncovered(texts_of(docs), passages.repeated_passages(docs).collect())
+    assert n > 500 and missed == []
+
+
+def test_edited_passages_that_longer_lines_quote_from(spark):
+    """As above, but 30 words are quoted: more than a block around a shingle."""
+    rng = random.Random(6)
+    fresh = lambda n: [f"v{rng.randrange(10**7)}" for _ in range(n)]
+    rows, n = [], 0
+    for pair in range(60):
+        shared = fresh(80)
+        for k in (0, 25, 50):
+            rows.append((n, " ".join(fresh(40) + shared[k : k + 30] + fresh(40))))
+            n += 1
+        at = rng.randrange(10, 70)
+        edited = [*shared[:at], *fresh(1), *shared[at + 1 :]]
+        rows += [(1000 + 2 * pair, " ".join(fresh(15) + shared + fresh(15))), (1001 + 2 * pair, " ".join(fresh(15) + edited + fresh(15)))]
+    found = {(r["doc_id"], r["of_doc_id"]) for r in passages.repeated_passages(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert found == {(1001 + 2 * p, 1000 + 2 * p) for p in range(60)}
+
+
 def test_texts_of_one_doc_id_are_told_apart(spark):
     rng = random.Random(8)
     fresh = lambda n: [f"v{rng.randrange(10**7)}" for _ in range(n)]
