@@ -435,6 +435,17 @@ def test_edited_passages_that_longer_lines_quote_from(spark):
     assert found == {(1001 + 2 * p, 1000 + 2 * p) for p in range(60)}
 
 
+def test_the_pipeline_leaves_no_exact_passage(spark):
+    """Of passages that others quote, across slices, the stage leaves the first occurrence alone."""
+    import corpus_pipeline
+
+    rows = quoted_passages(20)
+    docs = spark.createDataFrame([(d, t, len(t)) for d, t in rows], "doc_id long, text string, n_chars long").repartition(5)
+    left = corpus_pipeline.without_passages(spark, docs, "").collect()
+    assert {r["doc_id"]: len(r["text"].split()) for r in left if r["doc_id"] >= 1000 and r["doc_id"] % 2} == {1001 + 2 * p: 30 for p in range(20)}
+    assert uncovered([(r["doc_id"], r["text"]) for r in left], [])[1] == 0
+
+
 def test_texts_of_one_doc_id_are_told_apart(spark):
     rng = random.Random(8)
     fresh = lambda n: [f"v{rng.randrange(10**7)}" for _ in range(n)]
