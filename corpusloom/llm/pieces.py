@@ -280,29 +280,38 @@ def _spelled(run: bytearray) -> bytes:
     return out
 
 
-def encode_pieces(df: DataFrame, path: str | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, ids array<int> with begin and end ids, text decoded from these ids."""
+DIGEST = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string"
+
+
+def _encoded(batches: Iterator[pa.RecordBatch], path: str | None) -> Iterator[pa.RecordBatch]:
+    model = PieceModel.held(path)
+    for part in slices(batches):
+        flat, sizes = model.encode(part.column(1))
+        decoded = [model.decode(x) for x in np.split(flat, np.cumsum(sizes)[:-1])]
+        yield pa.RecordBatch.from_arrays([part.column(0), list_array(flat.view("<i4"), sizes, pa.int32()), pa.array(decoded, pa.string())], names=["doc_id", "ids", "decoded"])
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model = PieceModel.held(path)
-        for part in slices(batches):
-            flat, sizes = model.encode(part.column(1))
-            decoded = [model.decode(x) for x in np.split(flat, np.cumsum(sizes)[:-1])]
-            yield pa.RecordBatch.from_arrays([part.column(0), list_array(flat.view("<i4"), sizes, pa.int32()), pa.array(decoded, pa.string())], names=["doc_id", "ids", "decoded"])
 
-    return id_and_text(df, id_col, text_col).mapInArrow(run, "doc_id long, ids array<int>, decoded string")
+def _digested(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        ids = batch.column("ids")
+        ends = ids.offsets.to_numpy()
+        flat = memoryview(np.ascontiguousarray(ids.values.to_numpy(zero_copy_only=False), "<i4")).cast("B")
+        hashes = [hashlib.sha256(flat[4 * a : 4 * b]).hexdigest() for a, b in zip(ends[:-1].tolist(), ends[1:].tolist(), strict=True)]
+        text = [hashlib.sha256(t.encode()).hexdigest() for t in batch.column("decoded").to_pylist()]
+        yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(np.diff(ends).astype(np.int64)), pa.array(hashes, pa.string()), pa.array(text, pa.string())], names=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
+
+
+def encode_pieces(df: DataFrame, path: str | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """doc_id, ids array<int> with begin and end ids, text decoded from these ids."""
+    return id_and_text(df, id_col, text_col).mapInArrow(lambda batches: _encoded(batches, path), "doc_id long, ids array<int>, decoded string")
 
 
 def digest(encoded: DataFrame) -> DataFrame:
     """n_tokens, sha256 of the ids as little-endian unsigned 32-bit integers, sha256 of the decoded text."""
+    return encoded.mapInArrow(_digested, DIGEST)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            ids = batch.column("ids")
-            ends = ids.offsets.to_numpy()
-            flat = memoryview(np.ascontiguousarray(ids.values.to_numpy(zero_copy_only=False), "<i4")).cast("B")
-            hashes = [hashlib.sha256(flat[4 * a : 4 * b]).hexdigest() for a, b in zip(ends[:-1].tolist(), ends[1:].tolist(), strict=True)]
-            text = [hashlib.sha256(t.encode()).hexdigest() for t in batch.column("decoded").to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(np.diff(ends).astype(np.int64)), pa.array(hashes), pa.array(text)], names=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
 
-    return encoded.mapInArrow(run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
+def encode_digest(df: DataFrame, path: str | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """digest(encode_pieces(df)) in one worker a task: of two in a row either may get the other's work next, and then each
+    holds a model."""
+    return id_and_text(df, id_col, text_col).mapInArrow(lambda batches: _digested(_encoded(batches, path)), DIGEST)

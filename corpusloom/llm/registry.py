@@ -24,7 +24,7 @@ def op3_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return pieces.digest(pieces.encode_pieces(documents(spark, sf_dir)))
+    return pieces.encode_digest(documents(spark, sf_dir))
 
 
 def op5_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:

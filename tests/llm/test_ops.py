@@ -736,3 +736,13 @@ def test_pipeline(spark):
     assert len(sets) == docs.count()
     packed = corpus_pipeline.run(spark, sf)
     assert {r["doc_id"] for r in packed.select("doc_id").distinct().collect()} == set(sets)
+
+
+def test_pieces_are_digested_by_the_worker_that_encodes(spark, odd):
+    from corpusloom.llm import registry
+
+    def workers(df):
+        return df._jdf.queryExecution().optimizedPlan().toString().count("MapInArrow")
+
+    assert workers(registry.op4_sentencepiece(spark, "/root/testdata/sf0.001")) == 1
+    assert sorted(map(str, pieces.encode_digest(odd).collect())) == sorted(map(str, pieces.digest(pieces.encode_pieces(odd)).collect()))
