@@ -35,6 +35,8 @@ _HELD: dict[str, WordScores] = {}
 holds("language", _HELD.clear)
 _LETTERS = re.compile(r"[^\W\d_]+")
 UND = "und"
+#: Tokens whose features are held at once: a token has some 30, and a slice may have 100,000 new ones.
+_AT_ONCE = 8192
 
 
 def held_out(id_col: str = "doc_id") -> Column:
@@ -100,7 +102,8 @@ class WordScores:
             base = len(self.at)
             while base + len(missing) > len(self.rows):
                 self.rows = np.concatenate([self.rows, np.zeros_like(self.rows)])
-            self.rows[base : base + len(missing)] = self.scored(missing)
+            for at in range(0, len(missing), _AT_ONCE):
+                self.rows[base + at : base + min(at + _AT_ONCE, len(missing))] = self.scored(missing[at : at + _AT_ONCE])
             self.at.update(zip(missing, range(base, base + len(missing)), strict=True))
         return self.rows[np.fromiter(map(self.at.__getitem__, tokens), np.int64, len(tokens))]
 

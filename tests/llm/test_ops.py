@@ -435,6 +435,20 @@ def test_edited_passages_that_longer_lines_quote_from(spark):
     assert found == {(1001 + 2 * p, 1000 + 2 * p) for p in range(60)}
 
 
+def test_new_words_take_bounded_memory():
+    """The first slice of a worker has all its words to score, and their features are many times as large."""
+    import tracemalloc
+
+    scores = np.random.default_rng(2).random((1 << 10, 4), np.float32)
+    words = [f"word{i:x}abcd".translate(str.maketrans("0123456789", "ghijklmnop")) for i in range(60_000)]
+    tracemalloc.start()
+    rows = language.WordScores(scores).of(words)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 60e6
+    assert np.array_equal(rows[-100:], language.WordScores(scores).scored(words[-100:]))
+
+
 def test_the_pipeline_leaves_no_exact_passage(spark):
     """Of passages that others quote, across slices, the stage leaves the first occurrence alone."""
     import corpus_pipeline
