@@ -36,13 +36,14 @@ from __future__ import annotations
 
 from bisect import bisect_right
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import arrow_rows, id_and_text, list_array, scratch, slices, stored
+from .common import SLICE_ROWS, arrow_rows, id_and_text, list_array, scratch, slices, stored
 from .shingles import Blocks, flat_words, mix
 
 SHINGLE, PASSAGE, FUNCTIONS = 5, 50, 3
@@ -60,6 +61,8 @@ PARTNERS = 16
 _GROUP = 1 << 18
 #: Rows with the words of two documents that go to Python at once.
 _PAIRS_AT_ONCE = 200
+#: Runs whose shingles beside them are sorted at once.
+_ROWS = 16_384
 
 
 def _nodes(order: np.ndarray, bits: int, begins: np.ndarray, ends: np.ndarray, least: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -367,6 +370,112 @@ def near_pairs(found: DataFrame) -> DataFrame:
     return found.repartition("key").sortWithinPartitions("key", "doc_id", "place").mapInArrow(run, "a long, b long, place_a long, place_b long")
 
 
+def contexts(words: DataFrame, passage: int) -> DataFrame:
+    """words: doc_id, words, runs, covered. A row for each run of NEAR words at `runs`: key, doc_id, place as near_runs has
+    it, begin and beside: the words around it, as far as an edited passage goes on beside it, and where the run is in them.
+    Of runs that overlap equal ones (repeated words), the first and the last: an edited passage goes on from one of these."""
+    reach = passage - NEAR + GAP + SHINGLE - 1
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in slices(batches):
+            flat, ends = _flat(part.column("words"))
+            at, of = _at(part.column("runs"), flat, ends)
+            ok = at + NEAR <= ends[of + 1]
+            at, of = at[ok], of[ok]
+            if not len(at):
+                continue
+            key = mix(Blocks(flat).at(at, NEAR)).view(np.int64)
+            order = np.lexsort((at, key, of))
+            at, of, key = at[order], of[order], key[order]
+            apart = (key[1:] != key[:-1]) | (of[1:] != of[:-1]) | (at[1:] - at[:-1] > NEAR)
+            ok = np.concatenate([[True], apart]) | np.concatenate([apart, [True]])
+            at, of, key = at[ok], of[ok], key[ok]
+            place = at - ends[of] << 16 | ~_covered(part.column("covered"), ends, NEAR, False, len(flat))[at]
+            low, high = np.maximum(at - reach, ends[of]), np.minimum(at + NEAR + reach, ends[of + 1])
+            doc, flat = part.column("doc_id").to_numpy()[of], flat.astype(np.uint32).view(np.int32)
+            for i in range(0, len(at), SLICE_ROWS):
+                own = slice(i, i + SLICE_ROWS)
+                sizes = (high - low)[own]
+                beside = flat[np.repeat(low[own] - (np.cumsum(sizes) - sizes), sizes) + np.arange(sizes.sum())]
+                yield pa.RecordBatch.from_arrays([pa.array(key[own]), pa.array(doc[own]), pa.array(place[own]), pa.array((at - low)[own].astype(np.int32)), list_array(beside, sizes, pa.int32())], names=["key", "doc_id", "place", "begin", "beside"])
+
+    return words.select("doc_id", "words", "runs", "covered").mapInArrow(run, "key long, doc_id long, place long, begin int, beside array<int>")
+
+
+def _carried_on(key: np.ndarray, doc: np.ndarray, place: np.ndarray, begin: np.ndarray, flat: np.ndarray, ends: np.ndarray, passage: int) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs of rows of one key, the first one free and of a later document, that share a shingle beside the run behind
+    other words than those between the two in the other: the run goes on over an edit."""
+    blocks, free, found = Blocks(flat), place & 1 == 1, []
+    at, low, high = ends[:-1] + begin, ends[:-1], ends[1:]
+    parts = max(1, len(key) // _ROWS)  # parts of the shingles' hashes, one after the other
+    for part in range(parts):
+        keys, kinds, rows = [], [], []
+        for side in (0, 1):
+            for between in range(passage - NEAR + GAP):
+                shingle = at - between - SHINGLE if side else at + NEAR + between
+                own = np.flatnonzero((shingle >= low) & (shingle + SHINGLE <= high))
+                value = mix(key[own].view(np.uint64) ^ mix(blocks.at(shingle[own], SHINGLE) ^ np.uint64(side)))
+                if parts > 1:
+                    mine = value % np.uint64(parts) == part
+                    own, value = own[mine], value[mine]
+                keys.append(value)
+                rows.append(own)
+                kinds.append(mix(blocks.at((at[own] - between) if side else at[own] + NEAR, between) ^ np.uint64(between)))
+        value, kind, row = (np.concatenate(x) for x in (keys, kinds, rows))
+        order = np.argsort(value)
+        value, kind, row = value[order], kind[order], row[order]
+        # shingles with one kind only are dropped: what the run and the shingle span is equal in all
+        first = np.flatnonzero(np.concatenate([[True], value[1:] != value[:-1]])) if len(value) else np.zeros(0, np.int64)
+        size = np.diff(np.append(first, len(value)))
+        ok = np.zeros(len(first), bool)
+        if len(first):
+            ok = (np.minimum.reduceat(kind, first) != np.maximum.reduceat(kind, first)) & np.logical_or.reduceat(free[row], first)
+        ok = np.repeat(ok, size)
+        value, kind, row = value[ok], kind[ok], row[ok]
+        order = np.lexsort((row, value))  # rows are in order of documents
+        value, kind, row = value[order], kind[order], row[order]
+        todo, lag = np.flatnonzero(free[row]), 1
+        while len(todo := todo[todo >= lag]):
+            todo = todo[value[todo] == value[todo - lag]]
+            to = todo - lag
+            differ = (kind[todo] != kind[to]) & (doc[row[todo]] != doc[row[to]])
+            found.append(np.unique(row[todo[differ]] * len(key) + row[to[differ]]))
+            lag += 1
+    pairs = np.unique(np.concatenate(found)) if found else np.zeros(0, np.int64)
+    return pairs // max(1, len(key)), pairs % max(1, len(key))
+
+
+def rest_pairs(found: DataFrame, passage: int) -> DataFrame:
+    """a, b, place_a, place_b: the exact way for runs that more documents hold than near_pairs compares. Of all documents
+    with the run, every two that an edited passage may join: those of which the run goes on over an edit."""
+
+    def pairs(groups: list[pa.RecordBatch]) -> pa.RecordBatch:
+        rows = pa.Table.from_batches(groups).combine_chunks().to_batches()[0]
+        key, doc, place, begin = (rows.column(c).to_numpy() for c in ("key", "doc_id", "place", "begin"))
+        a, b = _carried_on(key, doc, place, begin.astype(np.int64), *_flat(rows.column("beside")), passage)
+        return pa.RecordBatch.from_arrays([pa.array(x) for x in (doc[a], doc[b], place[a], place[b])], names=["a", "b", "place_a", "place_b"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.RecordBatch] = []  # rows of the key that is not complete, and of complete ones before it
+        n = 0
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            key = batch.column("key").to_numpy()
+            last = int(np.searchsorted(key, key[-1]))  # where the last key of the batch begins
+            whole = bool(held) and held[-1].column("key")[-1].as_py() != key[0]
+            if n >= _ROWS // 4 and (whole or last):
+                to = 0 if whole else int(np.searchsorted(key, key[0], "right"))
+                yield pairs([*held, batch.slice(0, to)] if to else held)
+                held, n, batch = [], 0, batch.slice(to)
+            held.append(batch)
+            n += batch.num_rows
+        if held:
+            yield pairs(held)
+
+    return found.repartition("key").sortWithinPartitions("key", "doc_id", "place").mapInArrow(run, "a long, b long, place_a long, place_b long")
+
+
 def word_spans(text: str) -> tuple[np.ndarray, np.ndarray]:
     """Starts and ends of the words in code points."""
     data = np.frombuffer(text.encode("utf-8", "replace"), np.uint8)
@@ -564,13 +673,21 @@ def found_passages(docs: DataFrame, passage: int = PASSAGE, percent: int = 80, f
             places = stored(met.select(each.alias("x")).groupBy("x.doc_id").agg(F.collect_set("x.c").alias("places")), "places", keep=True)
             pairs = stored(paired(met.where(_may_hold(passage))), "pairs", keep=True)
         words = stored(hashed_words(docs.join(places, "doc_id").sortWithinPartitions("doc_id", "tag")), "words")
+        def left_of(rows: DataFrame, *found: DataFrame) -> DataFrame:
+            covered = reduce(DataFrame.union, found).groupBy("doc_id", "tag").agg(F.collect_set(F.struct("first_word", "last_word", "exact")).alias("covered"))
+            none = F.array().cast("array<struct<first_word:int,last_word:int,exact:boolean>>")
+            return rows.join(covered, ["doc_id", "tag"], "left").withColumn("covered", F.coalesce("covered", none))
+
         found = compared(pairs, "passages")
-        covered = found.groupBy("doc_id", "tag").agg(F.collect_set(F.struct("first_word", "last_word", "exact")).alias("covered"))
-        none = F.array().cast("array<struct<first_word:int,last_word:int,exact:boolean>>")
-        left = words.join(covered, ["doc_id", "tag"], "left").withColumn("covered", F.coalesce("covered", none))
-        met = window_pairs(whole_runs(left, passage, functions)).union(near_pairs(near_runs(left, passage)))
+        left = left_of(words, found)
+        runs = stored(near_runs(left, passage), "runs")
+        met = window_pairs(whole_runs(left, passage, functions)).union(near_pairs(runs))
         again = compared(stored(paired(met), "more"), "again")  # pairs met before are compared at new places
-        return stored(_in_characters(found.union(again).drop("exact"), docs), "placed", keep=True)
+        held = runs.groupBy("key", "doc_id").agg(F.max(F.col("place").bitwiseAND(1)).alias("free"))
+        often = held.groupBy("key").agg(F.count("*").alias("n"), F.max("free").alias("free")).where(f"n > {PARTNERS + 1} and free = 1")
+        many = runs.join(often, "key", "left_semi").groupBy("doc_id").agg(F.collect_set(F.shiftright("place", 16).cast("int")).alias("runs"))
+        rest = compared(stored(paired(rest_pairs(contexts(left_of(words.join(many, "doc_id"), found, again), passage), passage)), "rest_pairs"), "rest")
+        return stored(_in_characters(found.union(again).union(rest).drop("exact"), docs), "placed", keep=True)
 
 
 def repeated_passages(df: DataFrame, passage: int = PASSAGE, percent: int = 80, functions: int = FUNCTIONS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -435,6 +435,27 @@ def test_edited_passages_that_longer_lines_quote_from(spark):
     assert found == {(1001 + 2 * p, 1000 + 2 * p) for p in range(60)}
 
 
+def test_edited_passages_between_many_that_quote_from_them(spark):
+    """Every run of an edited passage is held by 25 documents before both, and by 25 between the two."""
+    import corpus_pipeline
+
+    rng = random.Random(7)
+    fresh = lambda n: [f"v{rng.randrange(10**7)}" for _ in range(n)]
+    rows = []
+    for pair in range(10):
+        shared = fresh(60)
+        at = rng.randrange(25, 50)
+        kept = shared[:at]
+        quotes = lambda: [" ".join(fresh(40) + kept + fresh(40)) for _ in range(25)] + [" ".join(fresh(40) + shared[at + 1 :] + fresh(40)) for _ in range(25)]  # noqa: E731, B023
+        texts = [*quotes(), " ".join(fresh(15) + shared + fresh(15)), *quotes(), " ".join(fresh(15) + kept + fresh(1) + shared[at + 1 :] + fresh(15))]
+        rows += [(1000 * pair + k, t) for k, t in enumerate(texts)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    found = {(r["doc_id"], r["of_doc_id"]) for r in passages.repeated_passages(docs).collect()}
+    assert found == {(1000 * p + 101, 1000 * p + 50) for p in range(10)}
+    left = {r["doc_id"]: len(r["text"].split()) for r in corpus_pipeline.without_passages(spark, docs, "").collect()}
+    assert [left[1000 * p + 101] for p in range(10)] == [30] * 10
+
+
 def test_new_words_take_bounded_memory():
     """The first slice of a worker has all its words to score, and their features are many times as large."""
     import tracemalloc
