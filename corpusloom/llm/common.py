@@ -138,6 +138,18 @@ def slices(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             tidy()
 
 
+@contextmanager
+def uncollected() -> Iterator[None]:
+    """No search for cycles within: it would go over all strings of a memo time and again, and there are none."""
+    was = gc.isenabled()
+    gc.disable()
+    try:
+        yield
+    finally:
+        if was:
+            gc.enable()
+
+
 class Memo:
     """A bounded word memo: word -> value, filled in bulk for the words of a slice that it lacks.
 
@@ -159,17 +171,17 @@ class Memo:
         missing = [i for i, v in enumerate(found) if v is None]
         if missing:
             lost = [words[i] for i in missing]
-            again = list(map(self.old.get, lost))
-            unknown = [w for w, v in zip(lost, again, strict=True) if v is None]
-            fresh = dict(zip(lost, again, strict=True)) | dict(zip(unknown, self.fill(unknown), strict=True))
-            for i, w in zip(missing, lost, strict=True):
-                found[i] = fresh[w]
-            if len(self.young) + len(fresh) > self.most // 2:
+            values = list(map(self.old.get, lost))
+            unknown = [w for w, v in zip(lost, values, strict=True) if v is None]
+            new = iter(self.fill(unknown))
+            values = [next(new) if v is None else v for v in values]
+            for i, v in zip(missing, values, strict=True):
+                found[i] = v
+            if len(self.young) + len(lost) > self.most // 2:
                 self.old, self.young = self.young, {}
-            self.young.update(fresh)
-            for w in unknown:
-                if len(w) > self.longest:
-                    self.young.pop(w, None)
+            self.young.update(zip(lost, values, strict=True))
+            for w in [w for w in unknown if len(w) > self.longest]:
+                self.young.pop(w, None)
         return found
 
 

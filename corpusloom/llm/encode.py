@@ -14,7 +14,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
-from .common import Memo, coded, holds, only, quiet_tokenizers, spread, tokenizer_file
+from .common import Memo, coded, holds, only, quiet_tokenizers, spread, tokenizer_file, uncollected
 
 #: A run of Latin letters before ASCII punctuation, white space or the end is a unit of its own: it recurs more often.
 _LETTERS = "[A-Za-zÀ-ÖØ-öø-ÿ]+(?=[\\s!-/:-@\\[-`{-~]|$)"
@@ -110,6 +110,7 @@ class Encoder:
         one, more = iter(values), iter(own)
         return [next(one) if w else b"".join(map(get, next(more))) for w in whole]
 
+    @uncollected()
     def flat(self, texts: pa.StringArray, end_id: int) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all texts, each with the end id, one after the other, and how many each has."""
         pieces = pc.utf8_split_whitespace(texts) if self.words else pc.split_pattern(texts, " ")
@@ -127,8 +128,10 @@ class Encoder:
             special[i] = self.ids([texts[i].as_py()])[0]
         parts = self._fine(distinct)
         if not self.words:  # the first piece of a text has no space before it
-            starts = [None if odd[i] else b"".join(self.memo.values(_BYTE_UNITS.findall(distinct[c]))) for i, c in enumerate(codes[first].tolist())]
-            parts = [*parts, *[b"" if p is None else p for p in starts]]
+            own = [[] if odd[i] else _BYTE_UNITS.findall(distinct[c]) for i, c in enumerate(codes[first].tolist())]
+            units = list(set().union(*own))
+            get = dict(zip(units, self.memo.values(units), strict=True)).__getitem__
+            parts = [*parts, *[b"".join(map(get, u)) for u in own]]
             codes = codes.copy()
             codes[first] = len(distinct) + np.arange(len(texts))
         parts = [*parts, np.array([end_id], "<u4").tobytes(), b"", *special.values()]

@@ -58,6 +58,15 @@ def test_units_encode_like_the_library(name, texts):
     assert ids == [[*e.ids, 3] for e in tokenizer(name).encode_batch(texts, add_special_tokens=False)]
 
 
+def test_first_pieces_are_looked_up_together(monkeypatch):
+    """One lookup for the first pieces of all texts of a slice and one for all others, however many texts there are."""
+    own, calls = encode.Encoder.held("byte_bpe_50k.json"), []
+    values = own.memo.values
+    monkeypatch.setattr(own.memo, "values", lambda units: calls.append(len(units)) or values(units))
+    own.flat(pa.array([f"first{i} next{i}" for i in range(100)]), 3)
+    assert len(calls) == 2
+
+
 @settings(max_examples=200, deadline=None)
 @given(st.lists(ALPHABET, min_size=1, max_size=6))
 def test_pieces_like_the_library(texts):
