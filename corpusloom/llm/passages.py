@@ -63,6 +63,9 @@ _GROUP = 1 << 18
 _PAIRS_AT_ONCE = 200
 #: Runs whose shingles beside them are sorted at once.
 _ROWS = 16_384
+#: Runs that one is compared with at once.
+_AT_ONCE = 512
+_NOWHERE = 1 << 30
 
 
 def _nodes(order: np.ndarray, bits: int, begins: np.ndarray, ends: np.ndarray, least: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -370,11 +373,31 @@ def near_pairs(found: DataFrame) -> DataFrame:
     return found.repartition("key").sortWithinPartitions("key", "doc_id", "place").mapInArrow(run, "a long, b long, place_a long, place_b long")
 
 
+def _reach(passage: int) -> int:
+    """Words on either side of a run that an edited passage is looked for in: more than twice a passage in all."""
+    return 2 * passage - NEAR + GAP + SHINGLE - 1
+
+
+def _around(blocks: Blocks, low: np.ndarray, high: np.ndarray) -> np.ndarray:
+    """Values of the words from low to high."""
+    return mix((blocks.sums[high] - blocks.sums[low]) * blocks.down[low] ^ mix((high - low).astype(np.uint64)))
+
+
+def _first_equal(key: np.ndarray, begin: np.ndarray, around: np.ndarray, place: np.ndarray) -> np.ndarray:
+    """Which rows, in order of documents, are free, or the first with these words around the run of this key."""
+    value = mix(key.view(np.uint64) ^ mix(around ^ begin.astype(np.uint64)))
+    keep = place & 1 == 1
+    keep[np.unique(value, return_index=True)[1]] = True
+    return keep
+
+
 def contexts(words: DataFrame, passage: int) -> DataFrame:
     """words: doc_id, words, runs, covered. A row for each run of NEAR words at `runs`: key, doc_id, place as near_runs has
-    it, begin and beside: the words around it, as far as an edited passage goes on beside it, and where the run is in them.
-    Of runs that overlap equal ones (repeated words), the first and the last: an edited passage goes on from one of these."""
-    reach = passage - NEAR + GAP + SHINGLE - 1
+    it, begin and beside: the words around it, as far as an edited passage goes on beside it, and where the run is in them;
+    bare, bare_end: from where to where not all of these words are covered.
+    Of runs that overlap equal ones (repeated words), the first and the last: an edited passage goes on from one of these.
+    Of runs with equal words around them that found passages cover, a slice gives the first document's only."""
+    reach = _reach(passage)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in slices(batches):
@@ -392,20 +415,28 @@ def contexts(words: DataFrame, passage: int) -> DataFrame:
             at, of, key = at[ok], of[ok], key[ok]
             place = at - ends[of] << 16 | ~_covered(part.column("covered"), ends, NEAR, False, len(flat))[at]
             low, high = np.maximum(at - reach, ends[of]), np.minimum(at + NEAR + reach, ends[of + 1])
+            order = np.argsort(part.column("doc_id").to_numpy()[of], kind="stable")
+            order = order[_first_equal(key[order], (at - low)[order], _around(Blocks(flat), low[order], high[order]), place[order])]
+            at, of, key, place, low, high = (x[order] for x in (at, of, key, place, low, high))
+            open_at = np.flatnonzero(~_covered(part.column("covered"), ends, 1, False, len(flat)))
+            near = np.searchsorted(open_at, low), np.searchsorted(open_at, high) - 1
+            has = near[0] <= near[1]  # none open: the run itself, which no one passage covers
+            bare, bare_end = at.copy(), at + NEAR
+            bare[has], bare_end[has] = open_at[near[0][has]], open_at[near[1][has]] + 1
             doc, flat = part.column("doc_id").to_numpy()[of], flat.astype(np.uint32).view(np.int32)
             for i in range(0, len(at), SLICE_ROWS):
                 own = slice(i, i + SLICE_ROWS)
                 sizes = (high - low)[own]
                 beside = flat[np.repeat(low[own] - (np.cumsum(sizes) - sizes), sizes) + np.arange(sizes.sum())]
-                yield pa.RecordBatch.from_arrays([pa.array(key[own]), pa.array(doc[own]), pa.array(place[own]), pa.array((at - low)[own].astype(np.int32)), list_array(beside, sizes, pa.int32())], names=["key", "doc_id", "place", "begin", "beside"])
+                yield pa.RecordBatch.from_arrays([pa.array(key[own]), pa.array(doc[own]), pa.array(place[own]), *(pa.array((x - low)[own].astype(np.int32)) for x in (at, bare, bare_end)), list_array(beside, sizes, pa.int32())], names=["key", "doc_id", "place", "begin", "bare", "bare_end", "beside"])
 
-    return words.select("doc_id", "words", "runs", "covered").mapInArrow(run, "key long, doc_id long, place long, begin int, beside array<int>")
+    return words.select("doc_id", "words", "runs", "covered").mapInArrow(run, "key long, doc_id long, place long, begin int, bare int, bare_end int, beside array<int>")
 
 
-def _carried_on(key: np.ndarray, doc: np.ndarray, place: np.ndarray, begin: np.ndarray, flat: np.ndarray, ends: np.ndarray, passage: int) -> tuple[np.ndarray, np.ndarray]:
-    """Pairs of rows of one key, the first one free and of a later document, that share a shingle beside the run behind
-    other words than those between the two in the other: the run goes on over an edit."""
-    blocks, free, found = Blocks(flat), place & 1 == 1, []
+def _carried_on(key: np.ndarray, place: np.ndarray, begin: np.ndarray, blocks: Blocks, ends: np.ndarray, passage: int) -> Iterator[tuple[int, np.ndarray]]:
+    """For each free row the rows of its key before it that share a shingle beside the run behind other words than those
+    between the two in the other, ascending: the run goes on over an edit."""
+    free, kept = place & 1 == 1, []
     at, low, high = ends[:-1] + begin, ends[:-1], ends[1:]
     parts = max(1, len(key) // _ROWS)  # parts of the shingles' hashes, one after the other
     for part in range(parts):
@@ -433,26 +464,106 @@ def _carried_on(key: np.ndarray, doc: np.ndarray, place: np.ndarray, begin: np.n
         ok = np.repeat(ok, size)
         value, kind, row = value[ok], kind[ok], row[ok]
         order = np.lexsort((row, value))  # rows are in order of documents
-        value, kind, row = value[order], kind[order], row[order]
-        todo, lag = np.flatnonzero(free[row]), 1
-        while len(todo := todo[todo >= lag]):
-            todo = todo[value[todo] == value[todo - lag]]
-            to = todo - lag
-            differ = (kind[todo] != kind[to]) & (doc[row[todo]] != doc[row[to]])
-            found.append(np.unique(row[todo[differ]] * len(key) + row[to[differ]]))
-            lag += 1
-    pairs = np.unique(np.concatenate(found)) if found else np.zeros(0, np.int64)
-    return pairs // max(1, len(key)), pairs % max(1, len(key))
-
-
-def rest_pairs(found: DataFrame, passage: int) -> DataFrame:
+        kept.append((value[order], kind[order], row[order]))
+    value, kind, row = (np.concatenate(x) for x in zip(*kept, strict=True))
+    if not len(value):
+        return
+    first = np.flatnonzero(np.concatenate([[True], value[1:] != value[:-1]]))
+    first = np.repeat(first, np.diff(np.append(first, len(value))))
+    entries = np.flatnonzero(free[row])
+    entries = entries[np.argsort(row[entries], kind="stable")]
+    for own in np.split(entries, np.flatnonzero(np.diff(row[entries])) + 1):
+        sizes = own - first[own]
+        to = np.repeat(first[own] - (np.cumsum(sizes) - sizes), sizes) + np.arange(sizes.sum())
+        to = to[kind[to] != np.repeat(kind[own], sizes)]
+        if len(to):
+            yield int(row[own[0]]), np.unique(row[to])
+
+
+def _furthest(own: int, rows: np.ndarray, begin: np.ndarray, bare: tuple[int, int], flat: np.ndarray, ends: np.ndarray, codes: np.ndarray, place_of: np.ndarray, passage: int, percent: int) -> list[int]:
+    """Of rows that an edited passage may join with the row `own`, those that leave nothing of it out: what lies around
+    its run and is alike in any of the rows (`alike` on the words beside) lies within what is alike in the two returned
+    that reach furthest before and behind. Where that does not reach an end at which the words beside are cut off, the
+    row with most shingles in common that goes on there is returned as well, as a longer passage may be alike.
+
+    bare: from where to where no found passage covers all words beside the run: it is enough to reach these. codes: numbers of the shingles that begin at each word of flat; place_of: -1 for every number."""
+    low, high, at = int(ends[own]), int(ends[own + 1]), int(begin[own])
+    n, words, reach = high - low - SHINGLE + 1, flat[low:high], _reach(passage)
+    distinct, place = np.unique(codes[low : low + n], return_inverse=True)
+    place_of[distinct] = np.arange(len(distinct))
+    open_ends = at == reach, len(words) - at - NEAR == reach
+    best, by, most, goes_on = [at, at + NEAR], [-1, -1], [0, 0], [-1, -1]
+    for i in range(0, len(rows), _AT_ONCE):
+        if by[0] >= 0 and best[0] <= bare[0] and best[1] >= bare[1]:
+            break
+        part = rows[i : i + _AT_ONCE]
+        sizes = np.maximum(0, ends[part + 1] - ends[part] - SHINGLE + 1)
+        hit = place_of[codes[np.repeat(ends[part] - (np.cumsum(sizes) - sizes), sizes) + np.arange(sizes.sum())]]
+        of, to = np.repeat(np.arange(len(part)), sizes), np.arange(sizes.sum()) - np.repeat(np.cumsum(sizes) - sizes + begin[part], sizes)
+        of, to, hit = of[hit >= 0], to[hit >= 0], hit[hit >= 0]
+        met = np.full((len(part), len(distinct)), _NOWHERE, np.int32)  # where the row has the shingle, from its run on
+        met[of, hit] = to
+        again = np.bincount(of, minlength=len(part)) > (met != _NOWHERE).sum(axis=1)
+        if len(distinct) < n:
+            again[:] = True
+        met = met[:, place]
+        shared = met != _NOWHERE
+        count = shared.sum(axis=1)
+        # the widest ranges around the run that share enough shingles bound what a row may give; where a shingle is there
+        # twice, how wide a range is in the row is not known: there, by the shingles of `own` alone
+        sums = np.zeros((len(part), n + 1), np.int32)
+        np.cumsum(np.where(again[:, None], 100 * shared - (percent - 5), (100 + percent) * shared - 2 * percent), axis=1, out=sums[:, 1:])
+        shift = np.where(again[:, None] | ~shared, 0, percent * (met - (np.arange(n) - at)))
+        before = np.where(shared, sums[:, :-1] - shift, _NOWHERE)[:, : at + 1]
+        behind = np.where(shared, sums[:, 1:] - shift, -_NOWHERE)[:, at + NEAR - SHINGLE :]
+        start = (before <= behind.max(axis=1)[:, None]).argmax(axis=1)
+        end = len(words) - (behind >= before.min(axis=1)[:, None])[:, ::-1].argmax(axis=1)
+        may = (behind.max(axis=1) >= before.min(axis=1)) & (end - start >= passage)
+        start, end = np.maximum(start, bare[0]), np.minimum(end, bare[1])
+        todo = np.argsort(-count, kind="stable")
+        todo = todo[may[todo]]
+        while len(todo := todo[(by[0] < 0) | (start[todo] < best[0]) | (end[todo] > best[1])]):
+            row, todo = int(part[todo[0]]), todo[1:]
+            for found in alike(words, flat[ends[row] : ends[row + 1]], [(at, int(begin[row]))], passage, percent):
+                if found[0] <= at and at + NEAR <= found[1]:
+                    if found[0] < best[0] or by[0] < 0:
+                        best[0], by[0] = found[0], row
+                    if found[1] > best[1] or by[1] < 0:
+                        best[1], by[1] = found[1], row
+        for side, edge in enumerate((shared[:, : GAP + SHINGLE], shared[:, -GAP - SHINGLE :])):
+            if open_ends[side]:
+                on = np.where(edge.any(axis=1), count, 0)
+                if on.max() > most[side]:
+                    most[side], goes_on[side] = int(on.max()), int(part[on.argmax()])
+    place_of[distinct] = -1
+    further = [row for row, done in zip(goes_on, (best[0] <= bare[0], best[1] >= bare[1]), strict=True) if by[0] < 0 or not done]
+    return sorted({*by, *further} - {-1})
+
+
+def rest_pairs(found: DataFrame, passage: int, percent: int) -> DataFrame:
     """a, b, place_a, place_b: the exact way for runs that more documents hold than near_pairs compares. Of all documents
-    with the run, every two that an edited passage may join: those of which the run goes on over an edit."""
+    with the run, every two that an edited passage may join (those of which the run goes on over an edit) are compared
+    within the task, on the words beside it. What leaves it are at most four partners of each run that no found passage
+    covers, as `_furthest` says; so rows are linear. Of equal words beside a run the first document's stand for all."""
 
     def pairs(groups: list[pa.RecordBatch]) -> pa.RecordBatch:
         rows = pa.Table.from_batches(groups).combine_chunks().to_batches()[0]
         key, doc, place, begin = (rows.column(c).to_numpy() for c in ("key", "doc_id", "place", "begin"))
-        a, b = _carried_on(key, doc, place, begin.astype(np.int64), *_flat(rows.column("beside")), passage)
+        begin = begin.astype(np.int64)
+        flat, ends = _flat(rows.column("beside"))
+        keep = _first_equal(key, begin, _around(Blocks(flat), ends[:-1], ends[1:]), place)
+        own = np.flatnonzero(keep)
+        flat = flat[np.repeat(keep, np.diff(ends))]
+        ends = np.concatenate([[0], np.cumsum(np.diff(ends)[own])])
+        key, doc, place, begin = key[own], doc[own], place[own], begin[own]
+        bare = [tuple(x) for x in zip(*(rows.column(c).to_numpy()[own].tolist() for c in ("bare", "bare_end")), strict=True)]
+        blocks = Blocks(flat)
+        codes = np.append(np.unique(blocks.every(SHINGLE), return_inverse=True)[1], np.zeros(SHINGLE, np.int64))
+        place_of, out = np.full(len(codes), -1, np.int64), []
+        for row, others in _carried_on(key, place, begin, blocks, ends, passage):
+            others = others[doc[others] != doc[row]]
+            out += [(row, to) for to in _furthest(row, others, begin, bare[row], flat, ends, codes, place_of, passage, percent)]
+        a, b = np.array(out, np.int64).reshape(-1, 2).T
         return pa.RecordBatch.from_arrays([pa.array(x) for x in (doc[a], doc[b], place[a], place[b])], names=["a", "b", "place_a", "place_b"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -686,7 +797,7 @@ def found_passages(docs: DataFrame, passage: int = PASSAGE, percent: int = 80, f
         held = runs.groupBy("key", "doc_id").agg(F.max(F.col("place").bitwiseAND(1)).alias("free"))
         often = held.groupBy("key").agg(F.count("*").alias("n"), F.max("free").alias("free")).where(f"n > {PARTNERS + 1} and free = 1")
         many = runs.join(often, "key", "left_semi").groupBy("doc_id").agg(F.collect_set(F.shiftright("place", 16).cast("int")).alias("runs"))
-        rest = compared(stored(paired(rest_pairs(contexts(left_of(words.join(many, "doc_id"), found, again), passage), passage)), "rest_pairs"), "rest")
+        rest = compared(stored(paired(rest_pairs(contexts(left_of(words.join(many, "doc_id"), found, again), passage), passage, percent)), "rest_pairs"), "rest")
         return stored(_in_characters(found.union(again).union(rest).drop("exact"), docs), "placed", keep=True)
 
 

@@ -465,6 +465,42 @@ def test_edited_passages_between_many_that_quote_from_them(spark):
     assert [left[1000 * p + 101] for p in range(10)] == [30] * 10
 
 
+def test_rows_of_runs_that_many_documents_hold_are_linear(spark, monkeypatch):
+    """300 documents hold a line that goes on over a changed word, but not for a passage; two share a passage around it."""
+    rng = random.Random(17)
+    fresh = lambda n: [f"v{rng.randrange(10**7)}" for _ in range(n)]
+    line, more, rest = fresh(25), fresh(10), fresh(20)
+    rows = [(d, " ".join(fresh(40) + line + fresh(1) + more + fresh(40))) for d in range(300)]
+    rows += [(d, " ".join(fresh(20) + line + fresh(1) + more + rest + fresh(20))) for d in (350, 400)]
+    kept, n = passages.rest_pairs, []
+
+    def counted(found, *options):
+        out = kept(found, *options)
+        n.append((found.where("place % 2 = 1").count(), out.count()))
+        return out
+
+    monkeypatch.setattr(passages, "rest_pairs", counted)
+    found = passages.repeated_passages(spark.createDataFrame(rows, "doc_id long, text string").repartition(3)).collect()
+    assert {(r["doc_id"], r["of_doc_id"]) for r in found} == {(400, 350)}
+    ((free, out),) = n
+    assert free >= 300 and out <= free
+
+
+def test_passages_on_either_side_of_a_run_that_many_hold(spark):
+    """One document shares an edited passage before the run, one another behind it; 60 hold the run and go on over an edit."""
+    rng = np.random.default_rng(9)
+    fresh = lambda n: rng.integers(-(2**31), 2**31, n).tolist()
+    before, run, behind = fresh(40), fresh(20), fresh(40)
+    texts = [fresh(60) + run + fresh(1) + behind[1:12] + fresh(60) for _ in range(60)]
+    texts += [fresh(60) + before[:20] + fresh(1) + before[21:] + run + fresh(60), fresh(60) + run + behind[:20] + fresh(1) + behind[21:] + fresh(60)]
+    texts += [fresh(60) + run + fresh(1) + behind[1:12] + fresh(60) for _ in range(60)]
+    texts += [fresh(60) + before + run + behind + fresh(60)]
+    rows = [(d, w, [next(i for i in range(len(w)) if w[i : i + 20] == run)], []) for d, w in enumerate(texts)]
+    words = spark.createDataFrame(rows, "doc_id long, words array<int>, runs array<int>, covered array<struct<first_word:int,last_word:int,exact:boolean>>")
+    pairs = [(r["a"], r["b"]) for r in passages.rest_pairs(passages.contexts(words, 50), 50, 80).collect()]
+    assert {(122, 60), (122, 61)} <= set(pairs) and len(pairs) <= 4 * len(texts)
+
+
 def test_new_words_take_bounded_memory():
     """The first slice of a worker has all its words to score, and their features are many times as large."""
     import tracemalloc
