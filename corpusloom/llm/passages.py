@@ -477,7 +477,9 @@ def _carried_on(key: np.ndarray, place: np.ndarray, begin: np.ndarray, blocks: B
         to = np.repeat(first[own] - (np.cumsum(sizes) - sizes), sizes) + np.arange(sizes.sum())
         to = to[kind[to] != np.repeat(kind[own], sizes)]
         if len(to):
-            yield int(row[own[0]]), np.unique(row[to])
+            before = np.zeros(row[own[0]], bool)
+            before[row[to[row[to] < len(before)]]] = True
+            yield len(before), np.flatnonzero(before)
 
 
 def _furthest(own: int, rows: np.ndarray, begin: np.ndarray, bare: tuple[int, int], flat: np.ndarray, ends: np.ndarray, codes: np.ndarray, place_of: np.ndarray, passage: int, percent: int) -> list[int]:
@@ -584,7 +586,8 @@ def rest_pairs(found: DataFrame, passage: int, percent: int) -> DataFrame:
         if held:
             yield pairs(held)
 
-    return found.repartition("key").sortWithinPartitions("key", "doc_id", "place").mapInArrow(run, "a long, b long, place_a long, place_b long")
+    parts = int(found.sparkSession.conf.get("spark.sql.shuffle.partitions"))  # by number: few bytes take much work, and would be joined
+    return found.repartition(parts, "key").sortWithinPartitions("key", "doc_id", "place").mapInArrow(run, "a long, b long, place_a long, place_b long")
 
 
 def word_spans(text: str) -> tuple[np.ndarray, np.ndarray]:
@@ -791,13 +794,18 @@ def found_passages(docs: DataFrame, passage: int = PASSAGE, percent: int = 80, f
 
         found = compared(pairs, "passages")
         left = left_of(words, found)
-        runs = stored(near_runs(left, passage), "runs")
-        met = window_pairs(whole_runs(left, passage, functions)).union(near_pairs(runs))
-        again = compared(stored(paired(met), "more"), "again")  # pairs met before are compared at new places
-        held = runs.groupBy("key", "doc_id").agg(F.max(F.col("place").bitwiseAND(1)).alias("free"))
-        often = held.groupBy("key").agg(F.count("*").alias("n"), F.max("free").alias("free")).where(f"n > {PARTNERS + 1} and free = 1")
-        many = runs.join(often, "key", "left_semi").groupBy("doc_id").agg(F.collect_set(F.shiftright("place", 16).cast("int")).alias("runs"))
-        rest = compared(stored(paired(rest_pairs(contexts(left_of(words.join(many, "doc_id"), found, again), passage), passage, percent)), "rest_pairs"), "rest")
+        with scratch(spark):  # a table at a time, so that the shuffle files of one are gone when the next is made
+            runs = stored(near_runs(left, passage), "runs")
+            met = [stored(window_pairs(whole_runs(left, passage, functions)), "met"), stored(near_pairs(runs), "met")]
+            more = stored(paired(met[0].union(met[1])), "more", keep=True)  # pairs met before are compared at new places
+            held = runs.groupBy("key", "doc_id").agg(F.max(F.col("place").bitwiseAND(1)).alias("free"))
+            often = stored(held.groupBy("key").agg(F.count("*").alias("n"), F.max("free").alias("free")).where(f"n > {PARTNERS + 1} and free = 1"), "often")
+            many = stored(runs.join(often, "key", "left_semi").groupBy("doc_id").agg(F.collect_set(F.shiftright("place", 16).cast("int")).alias("runs")), "many", keep=True)
+        again = compared(more, "again")
+        with scratch(spark):
+            left = stored(left_of(words.join(many, "doc_id"), found, again), "left")
+            pairs = stored(paired(rest_pairs(contexts(left, passage), passage, percent)), "rest_pairs", keep=True)
+        rest = compared(pairs, "rest")
         return stored(_in_characters(found.union(again).union(rest).drop("exact"), docs), "placed", keep=True)
 
 
