@@ -543,7 +543,7 @@ def _furthest(own: int, rows: np.ndarray, begin: np.ndarray, bare: tuple[int, in
 
 
 def rest_pairs(found: DataFrame, passage: int, percent: int) -> DataFrame:
-    """a, b, place_a, place_b: the exact way for runs that more documents hold than near_pairs compares. Of all documents
+    """a, b, place_a, place_b: for runs that more documents hold than near_pairs compares. Of all documents
     with the run, every two that an edited passage may join (those of which the run goes on over an edit) are compared
     within the task, on the words beside it. What leaves it are at most four partners of each run that no found passage
     covers, as `_furthest` says; so rows are linear. Of equal words beside a run the first document's stand for all."""
