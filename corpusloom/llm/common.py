@@ -71,24 +71,41 @@ def shared_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark).rstrip('/')}/corpusloom/{spark.sparkContext.applicationId}/{name}-{uuid.uuid4().hex}"
 
 
-#: Tables written since each open scratch began.
-_scratch: list[list[str]] = []
+#: Tables written since each open scratch began: path, and name where the catalog has one.
+_scratch: list[list[tuple[str, str | None]]] = []
 
 
-def stored(df: DataFrame, name: str, keep: bool = False) -> DataFrame:
+def stored(df: DataFrame, name: str, keep: bool = False, codec: str = "snappy") -> DataFrame:
     """Write df to the shared folder and read it back: cuts lineage and survives lost executors.
 
     Within a scratch the table goes when the scratch ends; with keep it outlives this scratch, as results that are read
     later must, and goes with the one around it, if there is one."""
     spark = df.sparkSession
     path = shared_path(spark, name)
-    df.write.parquet(path)
+    df.write.option("compression", codec).parquet(path)
     if len(_scratch) > keep:
-        _scratch[-1 - keep].append(path)
+        _scratch[-1 - keep].append((path, None))
     release(spark)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def bucketed(df: DataFrame, name: str, parts: int, *keys: str) -> DataFrame:
+    """Like stored, but in buckets by keys, so that later joins on them leave these rows, texts above all, where they are.
+    df should be dealt by the same keys and number already: a bucket is a file then."""
+    spark = df.sparkSession
+    path, table = shared_path(spark, name), f"corpusloom_{name}_{uuid.uuid4().hex}"
+    df.write.option("path", path).option("compression", "zstd").bucketBy(parts, *keys).saveAsTable(table)
+    if _scratch:
+        _scratch[-1].append((path, table))
+    release(spark)
+    return spark.table(table)
+
+
+def text_parts(spark: SparkSession, total: int, each: int = 32 << 20) -> int:
+    """In how many parts `total` bytes of text are dealt: some 32 MB each, and as many as shuffles have at least."""
+    return max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-total // each))
+
+
 def release(spark: SparkSession) -> None:
     """Spark deletes the shuffle files of a finished query once the driver collects its garbage: have it do so now."""
     spark.sparkContext._jsc.sc().listenerBus().waitUntilEmpty(10_000)
@@ -114,7 +131,9 @@ def scratch(spark: SparkSession) -> Iterator[None]:
     try:
         yield
     finally:
-        for path in _scratch.pop():
+        for path, table in _scratch.pop():
+            if table:
+                spark.sql(f"DROP TABLE IF EXISTS {table}")
             at = spark._jvm.org.apache.hadoop.fs.Path(path)
             at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
 

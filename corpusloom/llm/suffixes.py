@@ -29,15 +29,15 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import id_and_text, only, scratch, slices, stored
+from .common import bucketed, id_and_text, only, scratch, slices, stored, text_parts
 from .shingles import _BYTES, mix
 
 #: Bytes hashed for a key, and bytes of text hashed in one go.
 SEED, CHUNK = 16, 1 << 19
 #: Bytes of text behind one part of the keys and behind one family.
-KEYS_A_PART, TEXT_A_FAMILY = 48 << 20, 12 << 20
+KEYS_A_PART, TEXT_A_FAMILY = 48 << 20, 4 << 20
 #: Batches that the documents come in.
-BATCHES = 16
+BATCHES = 4
 _RAW = mix(np.arange(1, 257, dtype=np.uint64) * np.uint64(0xD6E8FEB86659FD93))
 
 
@@ -89,57 +89,81 @@ def _batch(rows: list[tuple], kinds: list, names: list[str]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(columns, kinds, strict=True)], names=names)
 
 
-def shared_keys(texts: DataFrame, parts: int, width: int) -> DataFrame:
-    """texts: digest, text. Gives digest, keys: of each text the keys that another text has as well."""
+def _new(*sorted_: np.ndarray) -> np.ndarray:
+    """Where a row of sorted columns differs from the one before."""
+    new = np.ones(len(sorted_[0]), bool)
+    if len(new):
+        new[1:] = np.logical_or.reduce([c[1:] != c[:-1] for c in sorted_])
+    return new
+
+
+def _packed(digests: list[bytes], own: np.ndarray, keys: np.ndarray, back: int) -> list[tuple[int, bytes, bytes, bytes]]:
+    """Keys (of the texts own, in order) by the part they go back to: part, digests, how many keys each, keys."""
+    cut = np.append(np.flatnonzero(_new(own)), len(own))
+    blob, out = keys.tobytes(), {}
+    for a, b in zip(cut, cut[1:], strict=False):
+        name = digests[own[a]]
+        out.setdefault(int.from_bytes(name[:8], "little") % back, []).append((name, (b - a).tobytes(), blob[8 * a : 8 * b]))
+    return [(to, *map(b"".join, zip(*rows, strict=True))) for to, rows in out.items()]
+
+
+def _several(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Of sorted keys: where each begins, and which stand there several times."""
+    first = _new(keys)
+    return first, np.repeat(n := np.diff(np.append(np.flatnonzero(first), len(keys))), n) > 1
+
+
+def shared_keys(texts: DataFrame, parts: int, back: int, width: int) -> DataFrame:
+    """texts: digest, text. Gives digest, keys (binary): of each text the keys that another text has as well.
+
+    Keys meet in `parts` parts and go back to the texts by way of `back` others, packed both times, so that rows are few.
+    A key that texts of one slice share is known to be shared there, and one of them goes on for all."""
 
     def sent(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         only("suffixes")
         for part in slices(batches):
             raw, ends = _flat(part.column(1))
-            _, _, keys, text = keyed(raw, ends, width)
+            _, _, keys, own = keyed(raw, ends, width)
+            order = np.argsort(keys, kind="stable")
+            keys, own = keys[order], own[order]
+            pairs = _new(keys, own)
+            keys, own = keys[pairs], own[pairs]
+            first, here = _several(keys)
+            digests = part.column(0).to_pylist()
+            order = np.lexsort((keys[here], own[here]))
+            out = [(to % parts, k, n, d, to) for to, d, n, k in _packed(digests, own[here][order], keys[here][order], back)]
+            keys, own = keys[first], own[first]
             order = np.argsort(to := keys % np.uint64(parts), kind="stable")
             bounds = np.searchsorted(to[order], np.arange(parts + 1, dtype=np.uint64))
-            digests = part.column(0).to_pylist()
-            out = []
             for q in range(parts):
                 mine = order[bounds[q] : bounds[q + 1]]
                 if len(mine):
-                    held, own = np.unique(text[mine], return_inverse=True)
-                    out.append((q, keys[mine].tobytes(), own.astype(np.uint32).tobytes(), b"".join(digests[i] for i in held)))
-            yield _batch(out, [pa.int32(), pa.binary(), pa.binary(), pa.binary()], ["q", "keys", "own", "digests"])
+                    held, at = np.unique(own[mine], return_inverse=True)
+                    out.append((q, keys[mine].tobytes(), at.astype(np.uint32).tobytes(), b"".join(digests[i] for i in held), None))
+            yield _batch(out, [pa.int32(), pa.binary(), pa.binary(), pa.binary(), pa.int32()], ["q", "keys", "own", "digests", "back"])
 
     def found(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         now, held = None, []
+        kinds, names = [pa.int32(), *[pa.binary()] * 3], ["back", "digests", "sizes", "keys"]
 
         def of_part() -> Iterator[pa.RecordBatch]:
-            keys = np.concatenate([k for k, _, _ in held])
             number: dict[bytes, int] = {}
+            keys = np.concatenate([k for k, _, _ in held])
             own = np.concatenate([np.array([number.setdefault(d[i : i + 16], len(number)) for i in range(0, len(d), 16)])[o] for _, o, d in held])
-            digests = list(number)
             held.clear()
             order = np.lexsort((own, keys))
             keys, own = keys[order], own[order]
-            new = np.ones(len(keys) + 1, bool)
-            new[1:-1] = keys[1:] != keys[:-1]
-            first = np.flatnonzero(new)
-            several = np.repeat(own[first[:-1]] != own[first[1:] - 1], np.diff(first))
-            keys, own = keys[several], own[several]
-            order = np.lexsort((keys, own))
-            keys, own = keys[order], own[order]
-            keep = np.ones(len(keys), bool)
-            keep[1:] = (keys[1:] != keys[:-1]) | (own[1:] != own[:-1])
-            keys, own = keys[keep], own[keep]
-            cut = np.flatnonzero(np.concatenate([[True], own[1:] != own[:-1], [True]])) if len(own) else np.zeros(1, np.int64)
-            blob = keys.tobytes()
-            for i in range(0, len(cut) - 1, 20_000):
-                some = cut[i : i + 20_001]
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array([digests[own[c]] for c in some[:-1]], pa.binary()), pa.array([blob[8 * a : 8 * b] for a, b in zip(some, some[1:], strict=False)], pa.binary())],
-                    names=["digest", "keys"],
-                )
+            pairs = _new(keys, own)
+            keys, own = keys[pairs], own[pairs]
+            shared = _several(keys)[1]
+            order = np.lexsort((keys[shared], own[shared]))
+            yield _batch(_packed(list(number), own[shared][order], keys[shared][order], back), kinds, names)
 
         for batch in batches:
-            for q, keys, own, digests in zip(*(batch.column(i).to_pylist() for i in range(4)), strict=True):
+            for q, keys, own, digests, to in zip(*(batch.column(i).to_pylist() for i in range(5)), strict=True):
+                if to is not None:
+                    yield _batch([(to, digests, own, keys)], kinds, names)
+                    continue
                 if q != now and held:
                     yield from of_part()
                 now = q
@@ -147,9 +171,28 @@ def shared_keys(texts: DataFrame, parts: int, width: int) -> DataFrame:
         if held:
             yield from of_part()
 
-    blobs = texts.select("digest", "text").mapInArrow(sent, "q int, keys binary, own binary, digests binary")
-    kept = blobs.repartition("q").sortWithinPartitions("q").mapInArrow(found, "digest binary, keys binary")
-    return kept.groupBy("digest").agg(F.collect_list("keys").alias("keys"))
+    def returned(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, held = None, {}
+
+        def of_part() -> Iterator[pa.RecordBatch]:
+            rows = [(name, b"".join(keys)) for name, keys in held.items()]
+            held.clear()
+            for i in range(0, len(rows), 5000):
+                yield _batch(rows[i : i + 5000], [pa.binary(), pa.binary()], ["digest", "keys"])
+
+        for batch in batches:
+            for to, digests, sizes, keys in zip(*(batch.column(i).to_pylist() for i in range(4)), strict=True):
+                if to != now:
+                    yield from of_part()
+                now, at = to, 0
+                for i, n in enumerate(np.frombuffer(sizes, np.int64).tolist()):
+                    held.setdefault(digests[16 * i : 16 * i + 16], []).append(keys[8 * at : 8 * (at + n)])
+                    at += n
+        yield from of_part()
+
+    blobs = texts.select("digest", "text").mapInArrow(sent, "q int, keys binary, own binary, digests binary, back int")
+    shared = blobs.repartition("q").sortWithinPartitions("q").mapInArrow(found, "back int, digests binary, sizes binary, keys binary")
+    return shared.repartition("back").sortWithinPartitions("back").mapInArrow(returned, "digest binary, keys binary")
 
 
 class Level:
@@ -260,7 +303,7 @@ def _snippets(families: int, bounds: list[int], width: int):
             first = np.searchsorted(text, np.arange(len(ids) + 1))
             for i, blobs in enumerate(part.column(3).to_pylist()):
                 mine = slice(first[i], first[i + 1])
-                good[mine] = np.isin(key[mine], np.frombuffer(b"".join(blobs), np.uint64))
+                good[mine] = np.isin(key[mine], np.frombuffer(blobs, np.uint64))
             start, stop, key, text = start[good], stop[good], key[good], text[good]
             data, seen, here, gone = raw.tobytes(), {}, [], []
             for i, (a, b, t) in enumerate(zip(start.tolist(), stop.tolist(), text.tolist(), strict=True)):
@@ -360,18 +403,23 @@ _SPANS = "array<struct<start: long, stop: long>>"
 def _found(rows: DataFrame, width: int, batches: int, families: int | None) -> tuple[DataFrame, DataFrame]:
     """rows: doc_id, text, digest. Gives the first owner of each text, and what is removed from owners' texts."""
     long = rows.where(F.col("doc_id").isNotNull() & (F.octet_length("text") >= width))
-    with scratch(rows.sparkSession):
+    spark = rows.sparkSession
+    with scratch(spark):
         owners = stored(long.groupBy("digest").agg(F.min("doc_id").alias("doc_id")), "owners", keep=True)  # exact copies are told here
         sizes = long.agg(F.sum(F.octet_length("text")), F.percentile_approx("doc_id", [i / batches for i in range(1, batches)])).first()
         total, bounds = sizes[0] or 0, sorted(set(sizes[1] or []))
         families = families or max(1, -(-total // TEXT_A_FAMILY))
-        keys = stored(shared_keys(long, max(1, -(-total // KEYS_A_PART)), width), "keys")
-        texts = stored(long.join(keys.join(owners, "digest"), ["digest", "doc_id"]).dropDuplicates(["digest", "doc_id"]).select("doc_id", "digest", "text", "keys"), "texts")
-        sent = stored(texts.mapInArrow(_snippets(families, bounds, width), _SENT), "snippets")
-        scanned = sent.where("q >= 0").drop("doc_id").repartition("q").sortWithinPartitions("q", "batch").mapInArrow(_scanned(width), _HITS)
-        local = sent.where("q < 0").select("doc_id", F.col("digests").alias("digest"), F.col("text").alias("spans"))
-        hits = stored(scanned.union(local), "hits").groupBy("doc_id", "digest").agg(F.collect_list("spans").alias("spans"))
-        cut = texts.select("doc_id", "digest", "text").join(hits, ["doc_id", "digest"]).select("doc_id", "digest", "text", "spans")
+        at, parts = ["digest", "doc_id"], text_parts(spark, total)
+        keys = stored(shared_keys(long, max(1, -(-total // KEYS_A_PART)), parts, width).join(owners, "digest"), "keys")
+        mine = long.select("doc_id", "digest", "text").repartition(parts, *at).join(keys, at).dropDuplicates(at)
+        texts = bucketed(mine, "texts", parts, *at)
+        with scratch(spark):
+            sent = stored(texts.select("doc_id", "digest", "text", "keys").mapInArrow(_snippets(families, bounds, width), _SENT), "snippets", codec="zstd")
+            scanned = sent.where("q >= 0").drop("doc_id").repartition("q").sortWithinPartitions("q", "batch").mapInArrow(_scanned(width), _HITS)
+            local = sent.where("q < 0").select("doc_id", F.col("digests").alias("digest"), F.col("text").alias("spans"))
+            hits = stored(scanned.union(local), "hits", keep=True)
+        hits = hits.groupBy(*at).agg(F.collect_list("spans").alias("spans"))
+        cut = texts.select("doc_id", "digest", "text").join(hits, at).select("doc_id", "digest", "text", "spans")
         return owners, stored(cut.mapInArrow(_cut(width), f"doc_id long, digest binary, n_removed long, spans {_SPANS}, kept_sha256 string"), "found", keep=True)
 
 
