@@ -12,7 +12,7 @@ from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Rows turned from Arrow into Python at once; long texts make a slice end sooner.
@@ -67,8 +67,20 @@ def shared_dir(spark: SparkSession) -> str:
     return base
 
 
+#: Applications whose folder goes when they end.
+_ending: set[str] = set()
+
+
 def shared_path(spark: SparkSession, name: str) -> str:
-    return f"{shared_dir(spark).rstrip('/')}/corpusloom/{spark.sparkContext.applicationId}/{name}-{uuid.uuid4().hex}"
+    app = spark.sparkContext.applicationId
+    base = f"{shared_dir(spark).rstrip('/')}/corpusloom/{app}"
+    if app not in _ending:  # tables that no scratch deletes go with the application
+        at = spark._jvm.org.apache.hadoop.fs.Path(base)
+        fs = at.getFileSystem(spark._jsc.hadoopConfiguration())
+        fs.mkdirs(at)  # only what exists is deleted on exit
+        fs.deleteOnExit(at)
+        _ending.add(app)
+    return f"{base}/{name}-{uuid.uuid4().hex}"
 
 
 #: Tables written since each open scratch began: path, and name where the catalog has one.
@@ -89,14 +101,14 @@ def stored(df: DataFrame, name: str, keep: bool = False, codec: str = "snappy")
     return spark.read.schema(df.schema).parquet(path)
 
 
-def bucketed(df: DataFrame, name: str, parts: int, *keys: str) -> DataFrame:
+def bucketed(df: DataFrame, name: str, parts: int, *keys: str, keep: bool = False) -> DataFrame:
     """Like stored, but in buckets by keys, so that later joins on them leave these rows, texts above all, where they are.
     df should be dealt by the same keys and number already: a bucket is a file then."""
     spark = df.sparkSession
     path, table = shared_path(spark, name), f"corpusloom_{name}_{uuid.uuid4().hex}"
     df.write.option("path", path).option("compression", "zstd").bucketBy(parts, *keys).saveAsTable(table)
-    if _scratch:
-        _scratch[-1].append((path, table))
+    if len(_scratch) > keep:
+        _scratch[-1 - keep].append((path, table))
     release(spark)
     return spark.table(table)
 
@@ -143,6 +155,20 @@ def id_and_text(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -
     return df.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
 
 
+def quoted(name: str) -> str:
+    return "`" + name.replace("`", "``") + "`"
+
+
+def row_of(df: DataFrame) -> Column:
+    """All columns of df as one, `row`, so that no name of ours can clash with them."""
+    return F.struct(*[F.col(quoted(c)) for c in df.columns]).alias("row")
+
+
+def columns_of(df: DataFrame, new: dict[str, Column]) -> list[Column]:
+    """The columns of df out of `row`, some of them anew."""
+    return [new.get(c, F.col("row").getField(c)).alias(c) for c in df.columns]
+
+
 def slices(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Cut Arrow batches so that only a few MB are Python objects at a time."""
     for batch in batches:

@@ -43,7 +43,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import SLICE_ROWS, arrow_rows, id_and_text, list_array, scratch, slices, stored
+from .common import SLICE_ROWS, arrow_rows, bucketed, columns_of, id_and_text, list_array, quoted, row_of, scratch, slices, stored, text_parts
 from .shingles import Blocks, flat_words, mix
 
 SHINGLE, PASSAGE, FUNCTIONS = 5, 50, 3
@@ -830,14 +830,20 @@ def merged_spans(found: DataFrame) -> DataFrame:
 
 def without_repeats(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
     """df with every passage cut out that a document with a smaller doc_id has as well; the first occurrence stays.
-    A document of which nothing is left goes. Other columns are as they were."""
-    text = F.col(text_col)
-    with scratch(df.sparkSession):
-        found = found_passages(_tagged(df, id_col, text_col), **options)
-        spans = stored(merged_spans(found).select(F.col("doc_id").alias("__id"), F.col("tag").alias("__tag"), F.col("spans").alias("__spans")), "spans", keep=True)
-    joined = df.join(spans, (F.col(id_col).cast("long") == F.col("__id")) & (F.xxhash64(text.cast("string")) == F.col("__tag")), "left")
+    A document of which nothing is left goes. Other columns are as they were, whatever their names; rows without an id
+    are left alone. Texts are dealt once, to buckets by doc_id, where all joins with them take place."""
+    spark = df.sparkSession
+    rows = df.select(F.col(quoted(id_col)).cast("long").alias("doc_id"), F.xxhash64(F.coalesce(F.col(quoted(text_col)).cast("string"), F.lit(""))).alias("tag"), row_of(df))
+    text = F.col("row").getField(text_col).cast("string")
+    parts = text_parts(spark, rows.agg(F.sum(F.octet_length(text))).first()[0] or 0)
+    with scratch(spark):
+        placed = bucketed(rows.where(F.col("doc_id").isNotNull()).repartition(parts, "doc_id"), "documents", parts, "doc_id", keep=True)
+        found = found_passages(placed.select("doc_id", F.coalesce(text, F.lit("")).alias("text"), "tag"), **options)
+        spans = stored(merged_spans(found), "spans", keep=True)
+    joined = placed.join(spans, ["doc_id", "tag"], "left")
     zero = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
-    done = F.aggregate("__spans", zero, lambda acc, s: F.struct(s["end"].alias("at"), F.concat(acc["out"], F.substring(text, acc["at"] + 1, s["start"] - acc["at"])).alias("out")))
+    done = F.aggregate("spans", zero, lambda acc, s: F.struct(s["end"].alias("at"), F.concat(acc["out"], F.substring(text, acc["at"] + 1, s["start"] - acc["at"])).alias("out")))
     cut = F.element_at(F.transform(F.array(done), lambda d: F.concat(d["out"], F.substring(text, d["at"] + 1, F.length(text)))), 1)
-    kept = joined.withColumn(text_col, F.when(F.col("__spans").isNull(), text).otherwise(cut))
-    return kept.where(F.col("__spans").isNull() | (F.trim(text_col) != "")).select(*df.columns)
+    kept = joined.withColumn("cut", F.when(F.col("spans").isNotNull(), cut)).where(F.col("spans").isNull() | (F.trim("cut") != ""))
+    new = F.when(F.col("spans").isNull(), F.col("row").getField(text_col)).otherwise(F.col("cut"))
+    return kept.select(*columns_of(df, {text_col: new})).unionByName(rows.where(F.col("doc_id").isNull()).select(*columns_of(df, {})))

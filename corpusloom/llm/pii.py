@@ -20,11 +20,12 @@ spans go by start, then kind.
 
 from __future__ import annotations
 
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import id_and_text, scratch, stored
+from .common import columns_of, id_and_text, quoted, row_of, scratch, stored
 from .fingerprints import let
 
 #: Base kinds, and all kinds.
@@ -211,12 +212,22 @@ def redacted(text: Column, spans: Column) -> Column:
     return let(done, lambda d: F.concat(d["out"], F.substring(text, d["at"] + 1, F.length(text))))
 
 
+def may_hold(text: Column) -> Column:
+    """Whether a text may hold a span: what it must have for any kind, or the beginning of a candidate."""
+    needs = [text.rlike(n) for n in NEEDS.values()]
+    return text.rlike("[@0-9]") & (reduce(Column.__or__, needs) | text.rlike(r"@|[0-9](?:[().\x20/-]{0,3}+[0-9]){5}|(?<!\S)(?:[^\s0-9]*+[0-9]){6}"))
+
+
 def redact(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
-    """df with its texts redacted; other columns as they are. A null text stays null."""
+    """df with its texts redacted; other columns as they are, whatever their names. A null text stays null.
+
+    Texts that cannot hold a span, as nearly all, stay where they are; only the others meet the spans that were found."""
     with scratch(df.sparkSession):
-        found = find(df, id_col=id_col, text_col=text_col, **options).where(F.size("spans") > 0).groupBy(F.col("key").alias("__key")).agg(F.first("spans").alias("__spans"))
+        found = find(df, id_col=id_col, text_col=text_col, **options).where(F.size("spans") > 0).groupBy("key").agg(F.first("spans").alias("spans"))
         found = stored(found, "found", keep=True)
-    text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
-    keyed = df.withColumn("__key", F.md5(text)).withColumn("__salt", F.pmod(F.xxhash64(F.col(id_col)), F.lit(SALTS)).cast("int"))
-    done = keyed.join(found.withColumn("__salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1)))), ["__key", "__salt"], "left")
-    return done.withColumn(text_col, F.when(F.col("__spans").isNotNull(), redacted(F.col(text_col), F.col("__spans"))).otherwise(F.col(text_col))).select(*df.columns)
+    whole = df.select(row_of(df), F.coalesce(F.col(quoted(text_col)).cast("string"), F.lit("")).alias("text"), F.col(quoted(id_col)).alias("id"))
+    asks = F.coalesce(may_hold(F.col("text")), F.lit(False))
+    keyed = whole.where(asks).select("row", "text", F.md5("text").alias("key"), F.pmod(F.xxhash64("id"), F.lit(SALTS)).cast("int").alias("salt"))
+    done = keyed.join(_for_each_salt(found), ["key", "salt"], "left")
+    new = F.when(F.col("spans").isNotNull(), redacted(F.col("text"), F.col("spans"))).otherwise(F.col("row").getField(text_col))
+    return done.select(*columns_of(df, {text_col: new})).unionByName(whole.where(~asks).select(*columns_of(df, {})))

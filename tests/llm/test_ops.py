@@ -842,3 +842,20 @@ def test_pieces_are_digested_by_the_worker_that_encodes(spark, odd):
 
     assert workers(registry.op4_sentencepiece(spark, "/root/testdata/sf0.001")) == 1
     assert sorted(map(str, pieces.encode_digest(odd).collect())) == sorted(map(str, pieces.digest(pieces.encode_pieces(odd)).collect()))
+
+
+CLASHES = "__id long, __tag long, __spans string, __key string, __salt int, doc_id long, text string, tag string, row string, spans string, cut string, key string, salt string, id string"
+
+
+def test_clashing_columns_stay(spark):
+    """Names that the operators use within, or once used, are the caller's: values and order stay."""
+    words = [f"w{i}" for i in range(80)]
+    rows = [(i, 2, "s", "k", 3, doc, text, "t", "r", "p", "c", "y", "l", "i") for i, (doc, text) in enumerate([(1, " ".join(words)), (2, "before " + " ".join(words) + " after"), (3, "mail a@b.de now"), (None, " ".join(words)), (4, None)])]
+    df = spark.createDataFrame(rows, CLASHES)
+    for done in (passages.without_repeats(df), pii.redact(df)):
+        assert done.columns == df.columns
+        others = lambda found: sorted(((r[0], [v for c, v in zip(df.columns, r, strict=True) if c not in ("__id", "text")]) for r in found), key=lambda x: x[0])
+        assert others(done.collect()) == others(rows)
+    cut = {r["__id"]: r["text"] for r in passages.without_repeats(df).collect()}
+    assert (cut[0], cut[1].split(), cut[3], cut[4]) == (" ".join(words), ["before", "after"], " ".join(words), None)
+    assert {r["__id"]: r["text"] for r in pii.redact(df).collect()}[2] == "mail <email> now"
