@@ -157,7 +157,7 @@ def damaged(conversations: DataFrame) -> DataFrame:
 _BLOCKS = "conv_id long, c string, part int, seq int, open boolean, turns array<long>, roles array<string>, texts array<string>, faults array<tinyint>"
 
 
-def _packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _packed(batches: Iterator[pa.RecordBatch], most: int) -> Iterator[pa.RecordBatch]:
     """Sorted rows to blocks of one conversation each. One that touches the edge of a partition or is full is open."""
     part, seq, conv, held, size, first, full = TaskContext.get().partitionId(), 0, object(), [], 0, True, False
     out: list[tuple] = []
@@ -183,7 +183,7 @@ def _packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             if id_ != conv:
                 close(False, False)
                 conv = id_
-            elif len(held) >= BLOCK_ROWS or size > BLOCK_CHARS:
+            elif len(held) >= most or size > BLOCK_CHARS:
                 close(False, True)
             held.append(row)
             size += len(row[2])
@@ -194,7 +194,7 @@ def _packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield flushed()
 
 
-def blocks(rows: DataFrame) -> DataFrame:
+def blocks(rows: DataFrame, most: int = BLOCK_ROWS) -> DataFrame:
     """Rows (conv_id, turn, role, text, gone) in blocks, in order, each row with its own fault: 1 blank, 3 truncated, -1 gone."""
     fault = (
         F.when(F.col("gone"), -1)
@@ -206,7 +206,7 @@ def blocks(rows: DataFrame) -> DataFrame:
     keyed = rows.select("conv_id", "turn", "role", "text", fault.alias("fault"), F.substring("text", 1, 64).alias("start"), F.md5("text").alias("digest"))
     order = ["conv_id", "turn", "role", "start", "digest"]
     placed = keyed.repartitionByRange(*order).sortWithinPartitions(*order)
-    return placed.select("conv_id", "turn", "role", "text", "fault").mapInArrow(_packed, _BLOCKS)
+    return placed.select("conv_id", "turn", "role", "text", "fault").mapInArrow(lambda batches: _packed(batches, most), _BLOCKS)
 
 
 def _key(role: str, text: str) -> bytes:

@@ -768,9 +768,11 @@ def _tagged(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return id_and_text(df, id_col, text_col).withColumn("tag", F.xxhash64("text"))
 
 
-def found_passages(docs: DataFrame, passage: int = PASSAGE, percent: int = 80, functions: int = FUNCTIONS) -> DataFrame:
-    """docs: doc_id, text, tag. FOUND with start and end in code points, as repeated_passages says."""
+def found_passages(docs: DataFrame, passage: int = PASSAGE, percent: int = 80, functions: int = FUNCTIONS, placed: DataFrame | None = None) -> DataFrame:
+    """docs: doc_id, text, tag. FOUND with start and end in code points, as repeated_passages says. placed: the same rows
+    dealt by doc_id, if there are such, for the joins; windows are read in the order of docs, slice by slice."""
     spark = docs.sparkSession
+    placed = docs if placed is None else placed
 
     def paired(met: DataFrame) -> DataFrame:
         at = F.shiftright("place_a", 16).cast("int").alias("a"), F.shiftright("place_b", 16).cast("int").alias("b")
@@ -786,7 +788,7 @@ def found_passages(docs: DataFrame, passage: int = PASSAGE, percent: int = 80, f
             each = F.explode(F.array(*[F.struct(F.col(x).alias("doc_id"), F.shiftright(f"place_{x}", 16).cast("int").alias("c")) for x in "ab"]))
             places = stored(met.select(each.alias("x")).groupBy("x.doc_id").agg(F.collect_set("x.c").alias("places")), "places", keep=True)
             pairs = stored(paired(met.where(_may_hold(passage))), "pairs", keep=True)
-        words = stored(hashed_words(docs.join(places, "doc_id").sortWithinPartitions("doc_id", "tag")), "words")
+        words = stored(hashed_words(placed.join(places, "doc_id").sortWithinPartitions("doc_id", "tag")), "words")
         def left_of(rows: DataFrame, *found: DataFrame) -> DataFrame:
             covered = reduce(DataFrame.union, found).groupBy("doc_id", "tag").agg(F.collect_set(F.struct("first_word", "last_word", "exact")).alias("covered"))
             none = F.array().cast("array<struct<first_word:int,last_word:int,exact:boolean>>")
@@ -806,7 +808,7 @@ def found_passages(docs: DataFrame, passage: int = PASSAGE, percent: int = 80, f
             left = stored(left_of(words.join(many, "doc_id"), found, again), "left")
             pairs = stored(paired(rest_pairs(contexts(left, passage), passage, percent)), "rest_pairs", keep=True)
         rest = compared(pairs, "rest")
-        return stored(_in_characters(found.union(again).union(rest).drop("exact"), docs), "placed", keep=True)
+        return stored(_in_characters(found.union(again).union(rest).drop("exact"), placed), "placed", keep=True)
 
 
 def repeated_passages(df: DataFrame, passage: int = PASSAGE, percent: int = 80, functions: int = FUNCTIONS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -835,10 +837,12 @@ def without_repeats(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     spark = df.sparkSession
     rows = df.select(F.col(quoted(id_col)).cast("long").alias("doc_id"), F.xxhash64(F.coalesce(F.col(quoted(text_col)).cast("string"), F.lit(""))).alias("tag"), row_of(df))
     text = F.col("row").getField(text_col).cast("string")
+    known = rows.where(F.col("doc_id").isNotNull())
+    texts = lambda df: df.select("doc_id", F.coalesce(text, F.lit("")).alias("text"), "tag")
     parts = text_parts(spark, rows.agg(F.sum(F.octet_length(text))).first()[0] or 0)
     with scratch(spark):
-        placed = bucketed(rows.where(F.col("doc_id").isNotNull()).repartition(parts, "doc_id"), "documents", parts, "doc_id", keep=True)
-        found = found_passages(placed.select("doc_id", F.coalesce(text, F.lit("")).alias("text"), "tag"), **options)
+        placed = bucketed(known.repartition(parts, "doc_id"), "documents", parts, "doc_id", keep=True)
+        found = found_passages(texts(known), placed=texts(placed), **options)
         spans = stored(merged_spans(found), "spans", keep=True)
     joined = placed.join(spans, ["doc_id", "tag"], "left")
     zero = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
