@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+from functools import reduce
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import text as T
-from .store import checkpoint_ready, written
+from .store import written
 
 
 def corpus_dedup(rows: DataFrame, order: list[str], min_chars: int = T.MIN_CHARS, script: str = T.DEVANAGARI) -> DataFrame:
@@ -39,40 +41,50 @@ def _decided(rows: DataFrame, order: list[str]) -> DataFrame:
     return judged.drop("key_hash", "first_place", "first_id").unionByName(refused).drop("refused")
 
 
-def strict_order_dedup(rows: DataFrame, order: list[str], min_chars: int = T.MIN_CHARS, script: str = T.DEVANAGARI) -> DataFrame:
+#: Undecided rows that one task may decide by itself (some 100 bytes each); more go on in rounds.
+FEW_ROWS = 200_000
+
+
+def strict_order_dedup(rows: DataFrame, order: list[str], min_chars: int = T.MIN_CHARS, script: str = T.DEVANAGARI, few: int = FEW_ROWS) -> DataFrame:
     """The greedy rule itself, for foreign ids: ids and keys count only once a row that has them was kept.
 
-    A row's fate depends on earlier rows of its connected component over (id, key). Components come from label
-    propagation; each is decided in order by itself. Components are as large as the groups that share ids and keys.
+    Parallel greedy selection: an undecided row is kept once it is the first undecided one of its id and of its key, and
+    then all that share its id or key are decided. Firsts are pre-aggregated minima and only hashes take part, so a hot id
+    or key is never gathered. A round decides at least the first row of every group; rounds grow with the longest chain
+    in which each row waits for the one before. Once `few` rows or less wait, one task decides them in order.
+    At most one row of an id is kept, so the reason of a refused row is its id's kept row, if that is earlier: exact_dupe.
+
+    Rows of equal order go as they were stored; a null id is an id.
     """
-    checkpoint_ready(rows.sparkSession)
-    prepared = _prepared(rows, min_chars, script).checkpoint()
-    open_ = prepared.where("refused is null").withColumn("component", F.least(F.xxhash64(F.lit("id"), F.col("id")), F.xxhash64(F.lit("key"), F.col("norm_key")))).checkpoint()
-    changed = True
-    while changed:
-        before = open_
-        by_id = before.groupBy("id").agg(F.min("component").alias("c_id"))
-        by_key = before.groupBy("norm_key").agg(F.min("component").alias("c_key"))
-        joined = before.withColumnRenamed("id", "__id").join(by_id, F.col("__id").eqNullSafe(F.col("id"))).drop("id").withColumnRenamed("__id", "id").join(by_key, "norm_key")
-        after = joined.withColumn("c", F.least("component", "c_id", "c_key")).checkpoint()
-        changed = not after.where("c < component").isEmpty()
-        open_ = after.withColumn("component", F.col("c")).drop("c", "c_id", "c_key")
-
-    fields = prepared.drop("refused").columns
-
-    def decide(group: pd.DataFrame) -> pd.DataFrame:
-        ids, keys, reasons = set(), set(), []
-        group = group.sort_values(order, kind="stable")
-        for i, key in zip(group["id"], group["norm_key"], strict=True):
-            reason = "exact_dupe" if i in ids else "near_dupe" if key in keys else None
-            if reason is None:
-                ids.add(i)
-                keys.add(key)
-            reasons.append(reason)
-        return group[fields].assign(reject_reason=reasons)
-
-    schema = open_.select(*fields, F.lit(None).cast("string").alias("reject_reason")).schema
-    decided = open_.groupBy("component").applyInPandas(decide, schema)
+    prepared = written(_prepared(rows, min_chars, script).withColumn("__n", F.monotonically_increasing_id()), "prepared")
+    place = F.struct(*[F.col(c).alias(f"o{i}") for i, c in enumerate(order)], F.col("__n").alias("n"))
+    hashed = F.md5(F.coalesce(F.concat(F.lit("i"), F.col("id").cast("string")), F.lit(""))).alias("id_hash")
+    judged = prepared.where("refused is null").select("*", hashed, F.md5("norm_key").alias("key_hash"), place.alias("__place"))
+    waiting = written(judged.select("id_hash", "key_hash", F.col("__place").alias("place")), "waiting")
+    kept: list[DataFrame] = []
+    while waiting.limit(few + 1).count() > few:
+        by_id = waiting.groupBy("id_hash").agg(F.min(F.struct("place", "key_hash")).alias("m")).select("id_hash", "m.key_hash", "m.place")
+        by_key = waiting.groupBy("key_hash").agg(F.min(F.struct("place", "id_hash")).alias("m")).select("key_hash", "m.id_hash", "m.place")
+        first = written(by_id.join(by_key, ["id_hash", "key_hash", "place"]), "first")
+        kept.append(first)
+        waiting = written(waiting.join(first.select("id_hash"), "id_hash", "left_anti").join(first.select("key_hash"), "key_hash", "left_anti"), "waiting")
+
+    def in_order(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        ids, keys = set(), set()
+        for batch in batches:
+            chosen = []
+            for i, (a, b) in enumerate(zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True)):
+                if a not in ids and b not in keys:
+                    ids.add(a)
+                    keys.add(b)
+                    chosen.append(i)
+            yield batch.take(pa.array(chosen, pa.int64()))
+
+    last = waiting.select("id_hash", "key_hash", "place").repartition(1).sortWithinPartitions("place").mapInArrow(in_order, waiting.select("id_hash", "key_hash", "place").schema)
+    of_id = written(reduce(DataFrame.union, [f.select("id_hash", "place") for f in kept], last.select("id_hash", "place")), "kept").select(F.col("id_hash").alias("kept_id"), F.col("place").alias("kept_place"))
+    reason = F.when(F.col("kept_place") == F.col("__place"), F.lit(None).cast("string")).when(F.col("kept_place") < F.col("__place"), "exact_dupe").otherwise("near_dupe")
+    fields = [c for c in prepared.columns if c not in ("refused", "__n")]
+    decided = judged.join(of_id, F.col("id_hash") == F.col("kept_id"), "left").withColumn("reject_reason", reason).select(*fields, "reject_reason")
     refused = prepared.where("refused is not null").withColumn("reject_reason", F.col("refused")).select(*fields, "reject_reason")
     return decided.unionByName(refused)
 
