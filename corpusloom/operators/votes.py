@@ -9,6 +9,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .quantiles import exact_quantiles
+
 # Label order (also the order of ties) and judges.
 LABELS = ["objective", "positive", "negative", "neutral", "mixed"]
 JUDGES = ["aya", "gemma", "llama", "mistral", "qwen"]
@@ -155,18 +157,34 @@ def entropy(posteriors: list[Column]) -> Column:
     return -sum((F.when(p > 0, p * F.log(F.greatest(p, F.lit(1e-300)))).otherwise(0.0) for p in posteriors[1:]), F.when(posteriors[0] > 0, posteriors[0] * F.log(F.greatest(posteriors[0], F.lit(1e-300)))).otherwise(0.0))
 
 
+QUARTILES = {"p25": 0.25, "median": 0.5, "p75": 0.75}
+#: Distinct values that an aggregation buffer may hold; quantiles of more are found by selection.
+MOST_VALUES = 100_000
+
+
 def describe(x: str) -> list[Column]:
-    """Mean, median, population deviation, quartiles (linear), shares below 0.3 and above 0.7."""
-    return [F.avg(x).alias("mean"), F.percentile(x, F.lit(0.5)).alias("median"), F.stddev_pop(x).alias("std"), F.percentile(x, F.lit(0.25)).alias("p25"), F.percentile(x, F.lit(0.75)).alias("p75"), F.avg((F.col(x) < 0.3).cast("double")).alias("below_03"), F.avg((F.col(x) > 0.7).cast("double")).alias("above_07")]
+    """Mean, population deviation, shares below 0.3 and above 0.7."""
+    return [F.avg(x).alias("mean"), F.stddev_pop(x).alias("std"), F.avg((F.col(x) < 0.3).cast("double")).alias("below_03"), F.avg((F.col(x) > 0.7).cast("double")).alias("above_07")]
+
 
+def breakdown(items: DataFrame, dims: list[str], x: str = "entropy", most_values: int = MOST_VALUES) -> DataFrame:
+    """dimension, value, n and description of x, per value of each dimension and overall, in one pass of grouping sets.
 
-def breakdown(items: DataFrame, dims: list[str], x: str = "entropy") -> DataFrame:
-    """dimension, value, n and description of x, per value of each dimension and overall, in one pass of grouping sets."""
-    sets = items.groupingSets([[F.col(d)] for d in dims] + [[]], *dims).agg(F.grouping_id().alias("g"), F.count("*").alias("n"), *describe(x))
+    Quartiles are exact. Entropies of few raters take few values, which a buffer of counts per value holds; where there are
+    more than most_values they are selected in rounds, and no task holds the values of a dimension."""
+    few = items.select(x).distinct().limit(most_values + 1).count() <= most_values
+    quartiles = [F.percentile(x, F.lit(q)).alias(name) for name, q in QUARTILES.items()] if few else []
+    sets = items.groupingSets([[F.col(d)] for d in dims] + [[]], *dims).agg(F.grouping_id().alias("g"), F.count("*").alias("n"), *describe(x), *quartiles)
     full = (1 << len(dims)) - 1
     name = F.when(F.col("g") == full, "overall")
     value = F.when(F.col("g") == full, "all")
     for i, d in enumerate(dims):
         only = full & ~(1 << (len(dims) - 1 - i))
         name, value = name.when(F.col("g") == only, d), value.when(F.col("g") == only, F.col(d))
-    return sets.select(name.alias("dimension"), value.alias("value"), "n", "mean", "median", "std", "p25", "p75", "below_03", "above_07").where("value is not null")
+    out = sets.select(name.alias("dimension"), value.alias("value"), "n", "mean", "std", "below_03", "above_07", *(QUARTILES if few else [])).where("value is not null")
+    if not few:
+        each = F.array(*[F.struct(F.lit(d).alias("dimension"), F.col(d).cast("string").alias("value")) for d in dims], F.struct(F.lit("overall").alias("dimension"), F.lit("all").alias("value")))
+        counted = items.groupBy(*dims, x).agg(F.count("*").alias("w"))  # before the rows are multiplied
+        long = counted.select(F.explode(each).alias("d"), x, "w").select("d.dimension", "d.value", x, "w").where("value is not null")
+        out = out.join(exact_quantiles(long, ["dimension", "value"], x, QUARTILES, "w"), ["dimension", "value"], "left")
+    return out.select("dimension", "value", "n", "mean", "median", "std", "p25", "p75", "below_03", "above_07")
