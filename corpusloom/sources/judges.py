@@ -55,6 +55,7 @@ JUDGES = {
         JudgeSpec("indic", "ai4bharat/Airavata", "main", _FOUR),
     )
 }
+# Where replies stop, and the engine settings below.
 STOPS = ["}\n\n", "\n\n\n", " | ", "|{", "Note:", "Please provide"]
 
 
