@@ -210,3 +210,11 @@ def test_repair_against_brute_force(spark, monkeypatch, block):
     turns = dialogs.repaired_turns(repaired)
     assert turns.count() == sum(len(r[7].replace("D", "")) for r in repaired_by_force(rows))
     assert dialogs.digest(dialogs.repair(damaged.limit(0))).count() == 0
+
+
+def test_pipeline_of_nothing(spark, tmp_path):
+    """An empty table with a column more goes through all stages."""
+    import corpus_pipeline
+
+    spark.createDataFrame([], "doc_id long, text string, lang string, source string, n_chars long, row string").write.parquet(f"{tmp_path}/documents.parquet")
+    assert corpus_pipeline.run(spark, str(tmp_path)).count() == 0
