@@ -66,6 +66,8 @@ _ROWS = 16_384
 #: Runs that one is compared with at once.
 _AT_ONCE = 512
 _NOWHERE = 1 << 30
+#: Comparisons of words beside runs that a task remembers.
+_KNOWN = 200_000
 
 
 def _nodes(order: np.ndarray, bits: int, begins: np.ndarray, ends: np.ndarray, least: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -383,11 +385,15 @@ def _around(blocks: Blocks, low: np.ndarray, high: np.ndarray) -> np.ndarray:
     return mix((blocks.sums[high] - blocks.sums[low]) * blocks.down[low] ^ mix((high - low).astype(np.uint64)))
 
 
-def _first_equal(key: np.ndarray, begin: np.ndarray, around: np.ndarray, place: np.ndarray) -> np.ndarray:
-    """Which rows, in order of documents, are free, or the first with these words around the run of this key."""
-    value = mix(key.view(np.uint64) ^ mix(around ^ begin.astype(np.uint64)))
+def _kind(key: np.ndarray, begin: np.ndarray, around: np.ndarray) -> np.ndarray:
+    """Equal for rows of one key with equal words around the run."""
+    return mix(key.view(np.uint64) ^ mix(around ^ begin.astype(np.uint64)))
+
+
+def _first_equal(kind: np.ndarray, place: np.ndarray) -> np.ndarray:
+    """Which rows, in order of documents, are free, or the first of their kind."""
     keep = place & 1 == 1
-    keep[np.unique(value, return_index=True)[1]] = True
+    keep[np.unique(kind, return_index=True)[1]] = True
     return keep
 
 
@@ -416,7 +422,7 @@ def contexts(words: DataFrame, passage: int) -> DataFrame:
             place = at - ends[of] << 16 | ~_covered(part.column("covered"), ends, NEAR, False, len(flat))[at]
             low, high = np.maximum(at - reach, ends[of]), np.minimum(at + NEAR + reach, ends[of + 1])
             order = np.argsort(part.column("doc_id").to_numpy()[of], kind="stable")
-            order = order[_first_equal(key[order], (at - low)[order], _around(Blocks(flat), low[order], high[order]), place[order])]
+            order = order[_first_equal(_kind(key[order], (at - low)[order], _around(Blocks(flat), low[order], high[order])), place[order])]
             at, of, key, place, low, high = (x[order] for x in (at, of, key, place, low, high))
             open_at = np.flatnonzero(~_covered(part.column("covered"), ends, 1, False, len(flat)))
             near = np.searchsorted(open_at, low), np.searchsorted(open_at, high) - 1
@@ -482,13 +488,14 @@ def _carried_on(key: np.ndarray, place: np.ndarray, begin: np.ndarray, blocks: B
             yield len(before), np.flatnonzero(before)
 
 
-def _furthest(own: int, rows: np.ndarray, begin: np.ndarray, bare: tuple[int, int], flat: np.ndarray, ends: np.ndarray, codes: np.ndarray, place_of: np.ndarray, passage: int, percent: int) -> list[int]:
+def _furthest(own: int, rows: np.ndarray, begin: np.ndarray, bare: tuple[int, int], flat: np.ndarray, ends: np.ndarray, codes: np.ndarray, place_of: np.ndarray, passage: int, percent: int, kind: np.ndarray, known: dict[tuple[int, int], list[tuple[int, int, int, int]]]) -> list[int]:
     """Of rows that an edited passage may join with the row `own`, those that leave nothing of it out: what lies around
     its run and is alike in any of the rows (`alike` on the words beside) lies within what is alike in the two returned
     that reach furthest before and behind. Where that does not reach an end at which the words beside are cut off, the
     row with most shingles in common that goes on there is returned as well, as a longer passage may be alike.
 
-    bare: from where to where no found passage covers all words beside the run: it is enough to reach these. codes: numbers of the shingles that begin at each word of flat; place_of: -1 for every number."""
+    bare: from where to where no found passage covers all words beside the run: it is enough to reach these. codes: numbers of the shingles that begin at each word of flat; place_of: -1 for every number. kind: equal for rows with
+    equal words beside the run, which a text that repeats itself has many of; known: what `alike` said of two kinds."""
     low, high, at = int(ends[own]), int(ends[own + 1]), int(begin[own])
     n, words, reach = high - low - SHINGLE + 1, flat[low:high], _reach(passage)
     distinct, place = np.unique(codes[low : low + n], return_inverse=True)
@@ -526,7 +533,10 @@ def _furthest(own: int, rows: np.ndarray, begin: np.ndarray, bare: tuple[int, in
         todo = todo[may[todo]]
         while len(todo := todo[(by[0] < 0) | (start[todo] < best[0]) | (end[todo] > best[1])]):
             row, todo = int(part[todo[0]]), todo[1:]
-            for found in alike(words, flat[ends[row] : ends[row + 1]], [(at, int(begin[row]))], passage, percent):
+            both = int(kind[own]), int(kind[row])
+            if both not in known:
+                known[both] = alike(words, flat[ends[row] : ends[row + 1]], [(at, int(begin[row]))], passage, percent)
+            for found in known[both]:
                 if found[0] <= at and at + NEAR <= found[1]:
                     if found[0] < best[0] or by[0] < 0:
                         best[0], by[0] = found[0], row
@@ -553,8 +563,10 @@ def rest_pairs(found: DataFrame, passage: int, percent: int) -> DataFrame:
         key, doc, place, begin = (rows.column(c).to_numpy() for c in ("key", "doc_id", "place", "begin"))
         begin = begin.astype(np.int64)
         flat, ends = _flat(rows.column("beside"))
-        keep = _first_equal(key, begin, _around(Blocks(flat), ends[:-1], ends[1:]), place)
+        kind = _kind(key, begin, _around(Blocks(flat), ends[:-1], ends[1:]))
+        keep = _first_equal(kind, place)
         own = np.flatnonzero(keep)
+        kind = np.unique(kind[own], return_inverse=True)[1]
         flat = flat[np.repeat(keep, np.diff(ends))]
         ends = np.concatenate([[0], np.cumsum(np.diff(ends)[own])])
         key, doc, place, begin = key[own], doc[own], place[own], begin[own]
@@ -562,9 +574,13 @@ def rest_pairs(found: DataFrame, passage: int, percent: int) -> DataFrame:
         blocks = Blocks(flat)
         codes = np.append(np.unique(blocks.every(SHINGLE), return_inverse=True)[1], np.zeros(SHINGLE, np.int64))
         place_of, out = np.full(len(codes), -1, np.int64), []
+        often, known = np.bincount(kind) > 1, {}
         for row, others in _carried_on(key, place, begin, blocks, ends, passage):
             others = others[doc[others] != doc[row]]
-            out += [(row, to) for to in _furthest(row, others, begin, bare[row], flat, ends, codes, place_of, passage, percent)]
+            others = np.sort(others[np.unique(kind[others], return_index=True)[1]])  # later ones of a kind give nothing more
+            if len(known) > _KNOWN:
+                known.clear()
+            out += [(row, to) for to in _furthest(row, others, begin, bare[row], flat, ends, codes, place_of, passage, percent, kind, known if often[kind[row]] else {})]
         a, b = np.array(out, np.int64).reshape(-1, 2).T
         return pa.RecordBatch.from_arrays([pa.array(x) for x in (doc[a], doc[b], place[a], place[b])], names=["a", "b", "place_a", "place_b"])
 
