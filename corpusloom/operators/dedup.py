@@ -24,7 +24,9 @@ def corpus_dedup(rows: DataFrame, order: list[str], min_chars: int = T.MIN_CHARS
 
 
 def _prepared(rows: DataFrame, min_chars: int, script: str) -> DataFrame:
-    out = rows.withColumn("clean_text", T.nfc(T.cleaned(T.first_text("cleaned_text", "raw_text"))))
+    out = rows.withColumn("clean_text", T.first_text("cleaned_text", "raw_text"))
+    for step in (T.strip_markup, T.strip_pii, T.squeezed, T.nfc):  # a step at a time: an expression within another is evaluated at each place it has there
+        out = out.withColumn("clean_text", step(F.col("clean_text")))
     reason = F.when(T.gate_reason(F.col("clean_text"), min_chars, script).isNotNull(), "filtered_junk_or_short").when(T.is_title_chrome(F.col("clean_text")), "title_chrome")
     return out.withColumn("refused", reason).withColumn("norm_key", F.when(F.col("refused").isNull(), T.norm_key(F.col("clean_text"))))
 
