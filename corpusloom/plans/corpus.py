@@ -55,13 +55,13 @@ def _devanagari(spark, sf_dir):
     """Sentences of the documents in Devanagari letters, before them a line that some gate refuses."""
     line = F.element_at(F.array(*[F.lit(x) for x in _LINES]), (F.col("doc_id") % len(_LINES) + 1).cast("int"))
     text = F.concat(line, F.lit("\n"), F.translate("text", *LETTERS))
-    return table(spark, sf_dir, "documents").select("doc_id", F.explode(T.sentences(text)).alias("s"))
+    return table(spark, sf_dir, "documents").select("doc_id", text.alias("text")).select("doc_id", F.explode(T.sentences(F.col("text"))).alias("s"))
 
 
 def devanagari_gates(spark, sf_dir):
     """The gates as they are for Devanagari, by their outcome."""
     s = F.col("s")
-    state = F.when(T.gate_reason(s).isNotNull(), T.gate_reason(s)).when(T.is_title_chrome(s), "title_chrome").otherwise("passed")
+    state = F.coalesce(T.gate_reason(s), F.when(T.is_title_chrome(s), "title_chrome").otherwise("passed"))
     rows = _devanagari(spark, sf_dir).select(state.alias("state"), T.script_of(s).alias("script"), T.passes_filter(s).alias("fine"), F.length(T.norm_key(s)).alias("n_key"))
     return rows.groupBy("state", "script").agg(F.count("*").alias("n"), F.count_if("fine").alias("fine"), F.sum("n_key").alias("key_chars"))
 
