@@ -36,6 +36,9 @@ from .shingles import _BYTES, mix
 SEED, CHUNK = 16, 1 << 19
 #: Bytes of text behind one part of the keys and behind one family.
 KEYS_A_PART, TEXT_A_FAMILY = 48 << 20, 4 << 20
+#: Bytes of text behind one seat: the families that one task builds, one after another. Rows between slices of the input
+#: and seats grow with the square of the input, so a seat is as large as a task can hold.
+TEXT_A_SEAT = 16 << 20
 #: Batches that the documents come in.
 BATCHES = 4
 _RAW = mix(np.arange(1, 257, dtype=np.uint64) * np.uint64(0xD6E8FEB86659FD93))
@@ -255,10 +258,9 @@ def _compact(level: Level, width: int) -> Level:
     """Without the text that no suffix of the level reads."""
     if not len(level.places):
         return Level(level.text[:0], level.places)
-    used = np.zeros(len(level.text) + 1, np.int32)
-    np.add.at(used, level.places, 1)
-    np.add.at(used, level.places + width, -1)
-    used = np.cumsum(used[:-1]) > 0
+    begin = np.bincount(level.places, minlength=len(level.text) + 1)
+    begin[width:] -= np.bincount(level.places, minlength=len(begin))[: len(begin) - width]
+    used = np.cumsum(begin[:-1]) > 0
     return Level(level.text[used], (np.cumsum(used) - 1)[level.places])
 
 
@@ -274,7 +276,7 @@ def _merged(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return order, equal
 
 
-_SENT = "q int, batch int, text binary, sizes binary, place binary, own binary, ids binary, digests binary, doc_id long"
+_SENT = "q int, text binary, sizes binary, place binary, own binary, ids binary, digests binary, family binary, doc_id long"
 _HITS = "doc_id long, digest binary, spans binary"
 
 
@@ -287,11 +289,13 @@ def _hits(ids: np.ndarray, digests: np.ndarray, own: np.ndarray, start: np.ndarr
     return _batch(rows, [pa.int64(), pa.binary(), pa.binary()], ["doc_id", "digest", "spans"])
 
 
-def _snippets(families: int, bounds: list[int], width: int):
+def _snippets(families: int, seats: int, width: int):
+    """A row per slice and seat: the snippets of its families, in their order; q -1: spans found within the slice."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         only("suffixes")
-        kinds = [pa.int32(), pa.int32(), *[pa.binary()] * 6, pa.int64()]
-        names = ["q", "batch", "text", "sizes", "place", "own", "ids", "digests", "doc_id"]
+        kinds = [pa.int32(), *[pa.binary()] * 7, pa.int64()]
+        names = ["q", "text", "sizes", "place", "own", "ids", "digests", "family", "doc_id"]
         for part in slices(batches):
             part = part.take(pc.sort_indices(part.column(0)))
             ids = part.column(0).to_numpy(zero_copy_only=False)
@@ -299,11 +303,7 @@ def _snippets(families: int, bounds: list[int], width: int):
             raw, ends = _flat(part.column(2))
             begins = np.concatenate([[0], ends[:-1]])
             start, stop, key, text = keyed(raw, ends, width)
-            good = np.zeros(len(key), bool)
-            first = np.searchsorted(text, np.arange(len(ids) + 1))
-            for i, blobs in enumerate(part.column(3).to_pylist()):
-                mine = slice(first[i], first[i + 1])
-                good[mine] = np.isin(key[mine], np.frombuffer(blobs, np.uint64))
+            good = np.isin(key, np.frombuffer(b"".join(part.column(3).to_pylist()), np.uint64))  # a key that one text shares is shared in all
             start, stop, key, text = start[good], stop[good], key[good], text[good]
             data, seen, here, gone = raw.tobytes(), {}, [], []
             for i, (a, b, t) in enumerate(zip(start.tolist(), stop.tolist(), text.tolist(), strict=True)):
@@ -313,59 +313,69 @@ def _snippets(families: int, bounds: list[int], width: int):
             gone = np.array(gone, np.int64)
             if len(gone):  # an earlier document of the slice has the whole snippet
                 hit = _hits(ids, digests, text[gone], (start - begins[text])[gone], (stop - begins[text])[gone])
-                yield _batch([(-1, -1, spans, None, None, None, None, digest, id_) for id_, digest, spans in zip(*(hit.column(i).to_pylist() for i in range(3)), strict=True)], kinds, names)
+                yield _batch([(-1, spans, None, None, None, None, digest, None, id_) for id_, digest, spans in zip(*(hit.column(i).to_pylist() for i in range(3)), strict=True)], kinds, names)
             here = np.array(here, np.int64)
-            batch = np.searchsorted(bounds, ids, "left")[text[here]]
-            to = (key[here] >> np.uint64(20)) % np.uint64(families)
-            group = batch * families + to.astype(np.int64)
-            order = np.argsort(group, kind="stable")
-            cut = np.flatnonzero(np.concatenate([[True], group[order][1:] != group[order][:-1], [True]])) if len(order) else np.zeros(1, np.int64)
+            to = ((key[here] >> np.uint64(20)) % np.uint64(families)).astype(np.int64)
+            order = np.lexsort((to, to % seats))
+            seat = (to % seats)[order]
+            cut = np.flatnonzero(np.concatenate([[True], seat[1:] != seat[:-1], [True]])) if len(order) else np.zeros(1, np.int64)
             out = []
             for a, b in zip(cut, cut[1:], strict=False):
                 mine = here[order[a:b]]
                 held, own = np.unique(text[mine], return_inverse=True)
                 sizes = (stop - start)[mine]
                 blob = b"".join(data[x:y] for x, y in zip(start[mine].tolist(), (stop[mine] + width - 1).tolist(), strict=True))
-                out.append((int(group[order[a]] % families), int(group[order[a]] // families), blob, sizes.astype("<u4").tobytes(), (start - begins[text])[mine].astype("<i8").tobytes(), own.astype("<u4").tobytes(), ids[held].astype("<i8").tobytes(), digests[held].tobytes(), None))
+                out.append((int(seat[a]), blob, sizes.astype("<u4").tobytes(), (start - begins[text])[mine].astype("<i8").tobytes(), own.astype("<u4").tobytes(), ids[held].astype("<i8").tobytes(), digests[held].tobytes(), to[order[a:b]].astype("<u4").tobytes(), None))
             yield _batch(out, kinds, names)
 
     return run
 
 
-def _scanned(width: int):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        only("suffixes")
-        now, held, family = None, [], None
-
-        def flush() -> pa.RecordBatch:
-            text = np.concatenate([np.frombuffer(h[0], np.uint8) for h in held])
-            sizes, place, own, ids, digests = (np.concatenate([np.frombuffer(h[i], kind) for h in held]) for i, kind in zip(range(1, 6), ("<u4", "<i8", "<u4", "<i8", "V16"), strict=True))
-            sizes = sizes.astype(np.int64)
-            counts, texts = [len(h[3]) // 4 for h in held], [len(h[4]) // 8 for h in held]
-            own = own + np.repeat(np.cumsum(texts) - texts, counts)
-            held.clear()
-            begin = np.cumsum(sizes + width - 1) - (sizes + width - 1)
-            which = np.repeat(np.arange(len(sizes)), sizes)
-            inner = np.arange(len(which)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
-            found = family.add(text, begin[which] + inner, ids[own[which]])
+def _scanned(bounds: list[int], width: int):
+    """bounds: the last doc_id of each batch but the last one."""
+
+    def of_seat(held: list[list[bytes]]) -> pa.RecordBatch:
+        sizes, place, own, ids, digests, family = (np.concatenate([np.frombuffer(h[i], kind) for h in held]) for i, kind in zip(range(1, 7), ("<u4", "<i8", "<u4", "<i8", "V16", "<u4"), strict=True))
+        counts, texts = [len(h[3]) // 4 for h in held], [len(h[4]) // 8 for h in held]
+        text = np.concatenate([np.frombuffer(h[0], np.uint8) for h in held])
+        held.clear()
+        sizes, own = sizes.astype(np.int64), own + np.repeat(np.cumsum(texts) - texts, counts)
+        stop = np.cumsum(sizes + width - 1)
+        begin = stop - (sizes + width - 1)
+        group = family.astype(np.int64) * (len(bounds) + 1) + np.searchsorted(bounds, ids, "left")[own]
+        order = np.argsort(group, kind="stable")  # by family, then by batch
+        cut = np.flatnonzero(np.append(_new(group[order]), True))
+        now, levels, spans = None, None, []
+        for a, b in zip(cut, cut[1:], strict=False):
+            mine = order[a:b]
+            if family[mine[0]] != now:
+                now, levels = family[mine[0]], Family(width)
+            n = sizes[mine]
+            which = np.repeat(np.arange(len(mine)), n)
+            inner = np.arange(len(which)) - np.repeat(np.cumsum(n) - n, n)
+            own_text = np.concatenate([text[x:y] for x, y in zip(begin[mine].tolist(), stop[mine].tolist(), strict=True)])
+            at = np.cumsum(n + width - 1) - (n + width - 1)
+            found = levels.add(own_text, at[which] + inner, ids[own[mine]][which])
             edge = np.ones(len(found) + 1, bool)
             edge[1:-1] = (which[1:] != which[:-1]) | (found[1:] != found[:-1])
             edge = np.flatnonzero(edge)
             hit = found[edge[:-1]]
-            a, b = edge[:-1][hit], edge[1:][hit] - 1
-            return _hits(ids, digests, own[which[a]], place[which[a]] + inner[a], place[which[b]] + inner[b] + 1)
+            c, d = edge[:-1][hit], edge[1:][hit] - 1
+            of = mine[which[c]]
+            spans.append((own[of], place[of] + inner[c], place[of] + inner[d] + 1))
+        return _hits(ids, digests, *map(np.concatenate, zip(*spans, strict=True)))
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        only("suffixes")
+        now, held = None, []
         for batch in batches:
-            for q, number, *row in zip(*(batch.column(i).to_pylist() for i in range(8)), strict=True):
-                if (q, number) != now:
-                    if held:
-                        yield flush()
-                    if now is None or q != now[0]:
-                        family = Family(width)
-                    now = (q, number)
+            for q, *row in zip(*(batch.column(i).to_pylist() for i in range(8)), strict=True):
+                if q != now and held:
+                    yield of_seat(held)
+                now = q
                 held.append(row)
         if held:
-            yield flush()
+            yield of_seat(held)
 
     return run
 
@@ -409,13 +419,14 @@ def _found(rows: DataFrame, width: int, batches: int, families: int | None) -> t
         sizes = long.agg(F.sum(F.octet_length("text")), F.percentile_approx("doc_id", [i / batches for i in range(1, batches)])).first()
         total, bounds = sizes[0] or 0, sorted(set(sizes[1] or []))
         families = families or max(1, -(-total // TEXT_A_FAMILY))
+        seats = min(families, max(-(-total // TEXT_A_SEAT), 4 * spark.sparkContext.defaultParallelism))
         at, parts = ["digest", "doc_id"], text_parts(spark, total)
         keys = stored(shared_keys(long, max(1, -(-total // KEYS_A_PART)), parts, width).join(owners, "digest"), "keys")
         mine = long.select("doc_id", "digest", "text").repartition(parts, *at).join(keys, at).dropDuplicates(at)
         texts = bucketed(mine, "texts", parts, *at)
         with scratch(spark):
-            sent = stored(texts.select("doc_id", "digest", "text", "keys").mapInArrow(_snippets(families, bounds, width), _SENT), "snippets", codec="zstd")
-            scanned = sent.where("q >= 0").drop("doc_id").repartition("q").sortWithinPartitions("q", "batch").mapInArrow(_scanned(width), _HITS)
+            sent = stored(texts.select("doc_id", "digest", "text", "keys").mapInArrow(_snippets(families, seats, width), _SENT), "snippets", codec="zstd")
+            scanned = sent.where("q >= 0").drop("doc_id").repartitionById(seats, "q").mapInArrow(_scanned(bounds, width), _HITS)  # a task a seat
             local = sent.where("q < 0").select("doc_id", F.col("digests").alias("digest"), F.col("text").alias("spans"))
             hits = stored(scanned.union(local), "hits", keep=True)
         hits = hits.groupBy(*at).agg(F.collect_list("spans").alias("spans"))

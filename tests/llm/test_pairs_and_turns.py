@@ -8,6 +8,7 @@ import zlib
 from collections import Counter, defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from corpusloom.llm import dialogs, divergence, suffixes
@@ -218,3 +219,16 @@ def test_pipeline_of_nothing(spark, tmp_path):
 
     spark.createDataFrame([], "doc_id long, text string, lang string, source string, n_chars long, row string").write.parquet(f"{tmp_path}/documents.parquet")
     assert corpus_pipeline.run(spark, str(tmp_path)).count() == 0
+
+
+def test_rows_between_slices_and_seats(spark, quoting, monkeypatch):
+    """A slice gives a seat one row, however many families there are; before, one for each family and batch."""
+    texts = sorted({t.encode() for i, t in quoting if i is not None and t and len(t.encode()) >= 50})
+    number = {t: i for i, t in enumerate(texts)}
+    keys = pa.array([suffixes.keyed(np.frombuffer(t, np.uint8), np.array([len(t)]), 50)[2].tobytes() for t in texts])
+    part = pa.RecordBatch.from_arrays([pa.array(number.values(), pa.int64()), pa.array([hashlib.md5(t).digest() for t in texts]), pa.array([t.decode() for t in texts]), keys], names=["doc_id", "digest", "text", "keys"])
+    sent = pa.Table.from_batches([b for b in suffixes._snippets(64, 3, 50)(iter([part])) if len(b)]).to_pylist()
+    seats = [r for r in sent if r["q"] >= 0]
+    assert sorted(r["q"] for r in seats) == [0, 1, 2]
+    families = [np.frombuffer(r["family"], "<u4") for r in seats]
+    assert all((f % 3 == r["q"]).all() for f, r in zip(families, seats, strict=True)) and len(np.unique(np.concatenate(families))) > 3
