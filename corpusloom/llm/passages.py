@@ -61,6 +61,8 @@ PARTNERS = 16
 _GROUP = 1 << 18
 #: Rows with the words of two documents that go to Python at once.
 _PAIRS_AT_ONCE = 200
+#: Bytes of such rows that are compared at once.
+_GATHERED = 6 << 20
 #: Runs whose shingles beside them are sorted at once.
 _ROWS = 16_384
 #: Runs that one is compared with at once.
@@ -172,26 +174,59 @@ def _may_hold(passage: int) -> Column:
     return left + right + 1 >= min(passage - SHINGLE + 1 - SLACK, 256)
 
 
-KEYED = "key long, doc_id long, place long, b long, place_b long"
+#: As many ranges of keys, and pairs a row, as go through the exchange as one; rows of a range that a task holds.
+_SEAT_BITS, _PAIRS, _SEAT_ROWS = 12, 128, 1 << 20
+_SEATS = 1 << _SEAT_BITS
+SEATED = "seat long, least long, n int, key binary, doc_id binary, place binary, b binary, place_b binary"
 
 
-def _starred(found: list[tuple[np.ndarray, np.ndarray, np.ndarray]]) -> pa.RecordBatch:
-    """KEYED of keys, documents and places of a slice: the rows of a key's least doc_id with b null, others with the first of them."""
+def _packed(values: np.ndarray, offsets: np.ndarray) -> pa.Array:
+    """Parts of some whole numbers as bytes: 4 a number where all numbers are small, else 8."""
+    small = len(values) > 0 and values.min() >= 0 and values.max() < 1 << 32
+    data = np.ascontiguousarray(values.astype(np.uint32 if small else np.int64))
+    return pa.Array.from_buffers(pa.binary(), len(offsets) - 1, [None, pa.py_buffer((offsets * data.itemsize).astype(np.int32)), pa.py_buffer(data)])
+
+
+def _unpacked(parts: list[bytes], sizes: list[int]) -> np.ndarray:
+    wide = [len(part) == 8 * n for part, n in zip(parts, sizes, strict=True)]
+    if all(wide):
+        return np.frombuffer(b"".join(parts), np.int64)
+    if not any(wide):
+        return np.frombuffer(b"".join(parts), np.uint32).astype(np.int64)
+    return np.concatenate([np.frombuffer(part, np.int64 if w else np.uint32).astype(np.int64) for part, w in zip(parts, wide, strict=True)])
+
+
+def _starred(found: list[tuple[np.ndarray, np.ndarray, np.ndarray]]) -> Iterator[pa.RecordBatch]:
+    """SEATED of keys, documents and places of a slice. A row is a seat's share of the slice (a seat is a range of keys),
+    in order: of each key the windows of its least doc_id. The other documents' windows come as pairs with the first of
+    them (b, place_b), in rows whose seat is _SEATS or more. Documents are counted from `least`."""
     key, doc, place = (np.concatenate(x) for x in zip(*found, strict=True))
-    order = np.argsort(doc, kind="stable")
-    order = order[np.argsort(key[order], kind="stable")]
-    key, doc, place = key[order].view(np.int64), doc[order], place[order]
-    first = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]])) if len(key) else np.zeros(0, np.int64)
+    if not len(key):
+        return
+    order = np.argsort(key)
+    again = key[order][1:] == key[order][:-1]
+    ties = np.flatnonzero(np.append(again, False) | np.append(False, again))
+    order[ties] = order[ties][np.lexsort((order[ties], doc[order[ties]], key[order[ties]]))]
+    key, doc, place = key[order], doc[order], place[order]
+    first = np.flatnonzero(np.append(True, ~again))
     of = np.repeat(first, np.diff(np.append(first, len(key))))
     own = doc == doc[of]
-    return pa.RecordBatch.from_arrays([pa.array(key), pa.array(doc), pa.array(place), pa.array(doc[of], mask=own), pa.array(place[of], mask=own)], names=[x.split()[0] for x in KEYED.split(", ")])
+    least = int(doc.min())
+    doc = doc - least
+    seats = (key[own] >> np.uint64(64 - _SEAT_BITS)).astype(np.int64)
+    begins = np.flatnonzero(np.append(True, seats[1:] != seats[:-1]))
+    parts = [(seats[begins], np.append(begins, len(seats)), key[own].view(np.int64), doc[own], place[own], None, None)]
+    other = np.flatnonzero(~own)
+    if len(other):
+        begins = np.arange(0, len(other), _PAIRS)
+        parts.append((_SEATS + (least + begins) % 100_003, np.append(begins, len(other)), None, doc[other], place[other], doc[of[other]], place[of[other]]))
+    for seat, offsets, *columns in parts:
+        n = len(seat)
+        yield pa.RecordBatch.from_arrays([pa.array(seat), pa.array(np.full(n, least)), pa.array(np.diff(offsets).astype(np.int32)), *(pa.nulls(n, pa.binary()) if x is None else _packed(x, offsets) for x in columns)], names=[x.split()[0] for x in SEATED.split(", ")])
 
 
 def windows(docs: DataFrame, passage: int = PASSAGE, functions: int = FUNCTIONS) -> DataFrame:
-    """key, doc_id, place of windows, joined within a slice of the input before anything is shuffled.
-
-    The windows of a key's least doc_id in the slice come with b null; those of other documents come as pairs with the
-    first of them (b, place_b)."""
+    """SEATED of windows, joined within a slice of the input before anything is shuffled."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in slices(batches):
@@ -206,43 +241,68 @@ def windows(docs: DataFrame, passage: int = PASSAGE, functions: int = FUNCTIONS)
                 key, text, place = keyed_windows(words[at : at + n], sizes[i:j], passage, functions)
                 found.append((key, ids[i:j][text], place))
                 at += n
-            if not found:
-                continue
-            yield _starred(found)
+            if found:
+                yield from _starred(found)
+
+    return docs.select("doc_id", "text").mapInArrow(run, SEATED)
 
-    return docs.select("doc_id", "text").mapInArrow(run, KEYED)
+
+def _met(a: np.ndarray, b: np.ndarray, place_a: np.ndarray, place_b: np.ndarray) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(x) for x in (a, b, place_a, place_b)], names=["a", "b", "place_a", "place_b"])
 
 
 def window_pairs(found: DataFrame) -> DataFrame:
     """a, b, place_a, place_b: every window with one of the first document that has its key, in one exchange. The first
     document's other places with that key come with it as well (a = b).
 
-    Pairs made within a slice travel by document; first windows of the slices meet by key, in order, so that a task holds
-    no more of a key than its first row."""
+    First windows of the slices meet by seat; a task holds some seats at a time. Of a seat beyond _SEAT_ROWS rows (one key
+    that very many slices have) what has come so far is paired with the first documents so far, and of these the first
+    row stays, so that whoever comes later meets it; seats come in order of the slices' least documents."""
+
+    def pairs(held: list[list[np.ndarray]]) -> tuple[pa.RecordBatch, list[np.ndarray]]:
+        key, doc, place = (np.concatenate(x) for x in zip(*held, strict=True))
+        order = np.argsort(key)
+        again = key[order][1:] == key[order][:-1]
+        rows = order[np.append(again, False) | np.append(False, again)]  # of keys with several
+        rows = rows[np.lexsort((place[rows], doc[rows], key[rows]))]
+        first = np.flatnonzero(np.append(True, key[rows][1:] != key[rows][:-1])) if len(rows) else np.zeros(0, np.int64)
+        to = rows[np.repeat(first, np.diff(np.append(first, len(rows))))]
+        stay = np.ones(len(key), bool)
+        stay[rows], stay[to] = False, True
+        ok = (doc[rows] != doc[to]) | (place[rows] != place[to])
+        rows, to = rows[ok], to[ok]
+        return _met(doc[rows], doc[to], place[rows], place[to]), [key[stay], doc[stay], place[stay]]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        last: tuple[int, int, int] | None = None
+        held: list[list[np.ndarray]] = []  # rows of the seat that is not complete, and of complete ones before it
+        n, most, last = 0, _SEAT_ROWS, -1
         for batch in batches:
-            if not batch.num_rows:
-                continue
-            paired = np.asarray(batch.column("b").is_valid())
-            doc, place = batch.column("doc_id").to_numpy(), batch.column("place").to_numpy()
-            b, place_b = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("b", "place_b"))
-            out = [(doc[paired], b[paired].astype(np.int64), place[paired], place_b[paired].astype(np.int64))]
-            key, doc, place = batch.column("key").to_numpy()[~paired], doc[~paired], place[~paired]
-            if len(key):
-                first = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
-                sizes = np.diff(np.append(first, len(key)))
-                to_doc, to_place = np.repeat(doc[first], sizes), np.repeat(place[first], sizes)
-                if last and last[0] == key[0]:
-                    to_doc[: sizes[0]], to_place[: sizes[0]] = last[1:]
-                last = int(key[-1]), int(to_doc[-1]), int(to_place[-1])
-                ok = (doc != to_doc) | (place != to_place)
-                out.append((doc[ok], to_doc[ok], place[ok], to_place[ok]))
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in zip(*out, strict=True)], names=["a", "b", "place_a", "place_b"])
+            seat = np.minimum(batch.column("seat").to_numpy(), _SEATS)
+            begins = np.flatnonzero(np.append(True, seat[1:] != seat[:-1])).tolist() if len(seat) else []
+            for i, j in zip(begins, [*begins[1:], len(seat)], strict=False):
+                part = batch.slice(i, j - i)
+                sizes = part.column("n").to_numpy()
+                least, columns = np.repeat(part.column("least").to_numpy(), sizes), part.columns[3:] if seat[i] < _SEATS else part.columns[4:]
+                columns = [_unpacked(x.to_pylist(), sizes.tolist()) for x in columns if x.null_count == 0]
+                if seat[i] == _SEATS:
+                    a, place_a, b, place_b = columns
+                    yield _met(a + least, b + least, place_a, place_b)
+                    continue
+                if seat[i] != last and n >= _SEAT_ROWS // 4:
+                    yield pairs(held)[0]
+                    held, n, most = [], 0, _SEAT_ROWS
+                key, doc, place = columns
+                held.append([key, doc + least, place])
+                n, last = n + len(key), seat[i]
+                if n >= most:
+                    met, left = pairs(held)
+                    yield met
+                    held, n = [left], len(left[0])
+                    most = max(_SEAT_ROWS, 2 * n)
+        if held:
+            yield pairs(held)[0]
 
-    dealt = found.repartition(F.when(F.col("b").isNull(), F.col("key")).otherwise(F.xxhash64("doc_id")))
-    return dealt.sortWithinPartitions("key", "doc_id", "place").mapInArrow(run, "a long, b long, place_a long, place_b long")
+    return found.repartition("seat").sortWithinPartitions("seat", "least").mapInArrow(run, "a long, b long, place_a long, place_b long")
 
 
 def hashed_words(docs: DataFrame) -> DataFrame:
@@ -293,7 +353,7 @@ def _covered(lists: pa.ListArray, ends: np.ndarray, size: int, exact: bool, n: i
 
 
 def whole_runs(words: DataFrame, passage: int, functions: int) -> DataFrame:
-    """words: doc_id, words, places, covered. KEYED of the runs of `passage` words that another document may hold.
+    """words: doc_id, words, places, covered. SEATED of the runs of `passage` words that another document may hold.
 
     If one does, the least shingles of the run, by every function, are at places that share a block; other runs are
     left out. So are runs within an exact passage that was found: its earlier document holds them, so whoever holds a run
@@ -314,9 +374,9 @@ def whole_runs(words: DataFrame, passage: int, functions: int) -> DataFrame:
             of = np.searchsorted(ends, s, "right") - 1
             within = s + passage <= ends[of + 1]
             s, of = s[within], of[within]
-            yield _starred([(mix(blocks.at(s, passage)), part.column("doc_id").to_numpy()[of], s - ends[of] << 16)])
+            yield from _starred([(mix(blocks.at(s, passage)), part.column("doc_id").to_numpy()[of], s - ends[of] << 16)])
 
-    return words.select("doc_id", "words", "places", "covered").mapInArrow(run, KEYED)
+    return words.select("doc_id", "words", "places", "covered").mapInArrow(run, SEATED)
 
 
 def near_runs(words: DataFrame, passage: int) -> DataFrame:
@@ -657,7 +717,6 @@ def alike(a: np.ndarray, b: np.ndarray, seeds: list[tuple[int, int]], passage: i
     if 100 * (len(both) - len(distinct)) < percent * (passage - SHINGLE + 1):  # a passage's shared and repeated shingles are more
         return []
     x, y = np.split(both, [len(a) - SHINGLE + 1])
-    of_a, of_b = np.zeros((2, max(x.max(), y.max()) + 1), bool)
     known = -1
     for seed in seeds:
         if seed[0] < known:  # within an exact run of a whole passage
@@ -677,9 +736,14 @@ def alike(a: np.ndarray, b: np.ndarray, seeds: list[tuple[int, int]], passage: i
             if run[1] - run[0] >= passage and (ca, cb) == seed:
                 known = max(known, run[1])
             todo += _neighbours(x, y, run)
+    return _joined(sorted(seen), x, y, passage, percent)
+
+
+def _joined(runs: list[tuple[int, int, int, int]], x: np.ndarray, y: np.ndarray, passage: int, percent: int) -> list[tuple[int, int, int, int]]:
+    """Passages out of exact runs in ascending order, a few words apart; x, y: shingles at the runs' places in either text."""
     chains: list[list[tuple[int, int, int, int]]] = []
     growing: list[list[tuple[int, int, int, int]]] = []  # those that end no more than GAP words before the run
-    for r in sorted(seen):
+    for r in runs:
         growing = [chain for chain in growing if r[0] - chain[-1][1] <= GAP]
         for chain in reversed(growing):
             last = chain[-1]
@@ -689,27 +753,35 @@ def alike(a: np.ndarray, b: np.ndarray, seeds: list[tuple[int, int]], passage: i
         else:
             chains.append([r])
             growing.append(chains[-1])
-
-    def passes(one: tuple[int, int, int, int]) -> bool:
-        if min(one[1] - one[0], one[3] - one[2]) < passage:
-            return False
-        p, q = x[one[0] : one[1] - SHINGLE + 1], y[one[2] : one[3] - SHINGLE + 1]
-        of_a[p], of_b[q] = True, True
-        in_a, in_b = int(np.count_nonzero(of_a)), int(np.count_nonzero(of_b))
-        both = int(np.count_nonzero(of_a & of_b))
-        of_a[p], of_b[q] = False, False
-        return 100 * both >= percent * (in_a + in_b - both)
-
     out = []
     for chain in chains:
         found = (chain[0][0], max(r[1] for r in chain), chain[0][2], max(r[3] for r in chain))
-        if passes(found):
+        if min(found[1] - found[0], found[3] - found[2]) < passage:
+            continue
+        if len(chain) == 1:  # equal
             out.append(found)
             continue
-        if len(chain) == 1 or min(found[1] - found[0], found[3] - found[2]) < passage:
+        start_a, end_a, start_b, end_b = np.array(chain).T
+        low_a, low_b = found[0], int(start_b.min())
+        p = x[low_a : found[1] - SHINGLE + 1]
+        number = np.unique(np.concatenate([p, y[low_b : found[3] - SHINGLE + 1]]), return_inverse=True)[1]
+        p, q = number[: len(p)], number[len(p) :]
+        of_a, of_b = np.zeros((2, int(number.max()) + 1), bool)
+
+        def passes(one: tuple[int, int, int, int]) -> bool:
+            if min(one[1] - one[0], one[3] - one[2]) < passage:
+                return False
+            own, other = p[one[0] - low_a : one[1] - SHINGLE + 1 - low_a], q[one[2] - low_b : one[3] - SHINGLE + 1 - low_b]  # noqa: B023
+            of_a[own], of_b[other] = True, True  # noqa: B023
+            in_a, in_b = int(np.count_nonzero(of_a)), int(np.count_nonzero(of_b))  # noqa: B023
+            both = int(np.count_nonzero(of_a & of_b))  # noqa: B023
+            of_a[own], of_b[other] = False, False  # noqa: B023
+            return 100 * both >= percent * (in_a + in_b - both)
+
+        if passes(found):
+            out.append(found)
             continue
         # the longest part that passes from each run on, unless it ends within an earlier one; shared shingles are about those of the runs
-        start_a, end_a, start_b, end_b = np.array(chain).T
         end_a, end_b = np.maximum.accumulate(end_a), np.maximum.accumulate(end_b)
         shared = np.concatenate([[0], np.cumsum(np.maximum(0, [r[1] - r[0] - SHINGLE + 1 for r in chain]))])
         wide, high, both = end_a[None] - start_a[:, None], end_b[None] - start_b[:, None], shared[None, 1:] - shared[:-1, None]
@@ -727,12 +799,141 @@ def alike(a: np.ndarray, b: np.ndarray, seeds: list[tuple[int, int]], passage: i
     return out
 
 
+def _common(blocks: Blocks, i: np.ndarray, j: np.ndarray, most: np.ndarray, side: int) -> np.ndarray:
+    """How many words are equal from places i and j on (side 1), or before them (side -1): at most `most`."""
+    n = np.zeros(len(i), np.int64)
+    step = 1 << int(most.max(initial=0)).bit_length()
+    while step := step >> 1:
+        at = np.flatnonzero(n + step <= most)
+        shift = n[at] if side > 0 else -n[at] - step
+        n[at[blocks.at(i[at] + shift, step) == blocks.at(j[at] + shift, step)]] += step
+    return n
+
+
+def _all_neighbours(shingles: np.ndarray, edge: np.ndarray, edge_b: np.ndarray, bound: np.ndarray, bound_b: np.ndarray, side: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """As `_neighbours`, for many runs: which of them have one after (side 1) or before them, and its places. edge: where
+    the first shingle beside the run is, in either text; bound: the last place there that has a shingle, or the first."""
+    by = np.arange(GAP + 1)
+    found = []
+    for at, to in ((edge, bound), (edge_b, bound_b)):
+        place = at[:, None] + side * by
+        found.append((shingles[np.clip(place, 0, len(shingles) - 1)], (place - to[:, None]) * side <= 0))
+    (p, in_a), (q, in_b) = found
+    equal = (p[:, :, None] == q[:, None]) & in_a[:, :, None] & in_b[:, None]
+    far = np.where(equal, (by[:, None] + by).astype(np.int8), np.int8(127)).reshape(len(edge), -1)
+    nearest = far.argmin(axis=1)
+    has = np.flatnonzero(far[np.arange(len(far)), nearest] < 127)
+    return has, edge[has] + side * (nearest[has] // (GAP + 1)), edge_b[has] + side * (nearest[has] % (GAP + 1))
+
+
+def alike_all(words_a: pa.ListArray, words_b: pa.ListArray, seeds: pa.ListArray, passage: int, percent: int) -> list[tuple[int, int, int, int, int, bool]]:
+    """What `alike` says of each of many pairs of texts: number of the pair, a0, a1, b0, b1, whether the words are equal.
+
+    The runs of all pairs are found at once: those that seeds lie in, then those beside them, and so on."""
+    (flat_a, ends), (flat_b, ends_b) = _flat(words_a), _flat(words_b)
+    words = np.concatenate([flat_a, flat_b])
+    ends_b = ends_b + len(flat_a)
+    if len(words) < SHINGLE:
+        return []
+    blocks = Blocks(words)
+    shingles = blocks.every(SHINGLE)
+    offsets = seeds.offsets.to_numpy()
+    of = np.repeat(np.arange(len(seeds)), np.diff(offsets))
+    i, j = (seeds.values.field(k).to_numpy()[offsets[0] : offsets[-1]].astype(np.int64) + x[of] for k, x in enumerate((ends, ends_b)))
+    ok = (i < ends[of + 1]) & (j < ends_b[of + 1])
+    of, i, j = of[ok], i[ok], j[ok]
+    ok = words[i] == words[j]
+    order = np.lexsort((j[ok], i[ok]))
+    of, i, j = of[ok][order], i[ok][order], j[ok][order]
+    seed_at, seed_of, seed_key = i, of, None
+    keys, rows, links = [np.zeros(0, np.int64)], [], []
+    met = keys[0]  # keys in order
+    source = None  # runs that the places lie beside
+    while len(i):
+        right = _common(blocks, i, j, np.minimum(ends[of + 1] - i, ends_b[of + 1] - j), 1)
+        left = _common(blocks, i, j, np.minimum(i - ends[of], j - ends_b[of]), -1)
+        key = i - left << 32 | j - left  # a place in words_a is of one pair
+        if source is None:
+            seed_key = key
+        else:
+            links.append((source, key))
+        new = np.argsort(key)
+        new = new[np.concatenate([[True], np.diff(key[new]) > 0])]
+        if len(met):
+            new = new[met[np.minimum(np.searchsorted(met, key[new]), len(met) - 1)] != key[new]]
+        if not len(new):
+            break
+        own = np.stack([of[new], (i - left)[new], (i + right)[new], (j - left)[new], (j + right)[new]])
+        keys.append(key[new])
+        met = np.sort(np.concatenate([met, key[new]]))
+        rows.append(own)
+        beside = []
+        for at in range(0, len(new), 4096):
+            pair, low, high, low_b, high_b = own[:, at : at + 4096]
+            for side, edges in ((1, (high, high_b, ends[pair + 1] - SHINGLE, ends_b[pair + 1] - SHINGLE)), (-1, (low - SHINGLE, low_b - SHINGLE, ends[pair], ends_b[pair]))):
+                has, to, to_b = _all_neighbours(shingles, *edges, side)
+                beside.append((pair[has], to, to_b, key[new][at : at + 4096][has]))
+        of, i, j, source = (np.concatenate(x) for x in zip(*beside, strict=True))
+    if not rows:
+        return []
+    runs = np.concatenate(rows, axis=1)
+    runs = runs[:, np.argsort(np.concatenate(keys))]
+    # a seed within an exact passage that an earlier seed gave is passed over, with what only it leads to
+    wide = runs[2] - runs[1] >= passage
+    seed_run = np.searchsorted(met, seed_key)
+    passed = np.zeros(len(ends) - 1, bool)
+    passed[seed_of[wide[seed_run]]] = True
+    keep = ~passed[runs[0]]
+    if passed.any():
+        after: dict[int, list[int]] = {}
+        for source, to in links:
+            mine = np.flatnonzero(passed[runs[0][np.searchsorted(met, source)]])
+            for r, k in zip(np.searchsorted(met, source[mine]).tolist(), np.searchsorted(met, to[mine]).tolist(), strict=True):
+                after.setdefault(r, []).append(k)
+        mine = passed[seed_of]
+        known, seen, high = -1, set(), runs[2].tolist()
+        is_wide = wide.tolist()
+        for at, r in zip(seed_at[mine].tolist(), seed_run[mine].tolist(), strict=True):
+            if at < known or r in seen:  # places of later pairs are beyond what is known
+                continue
+            if is_wide[r]:
+                known = max(known, high[r])
+            todo = [r]
+            while todo:
+                one = todo.pop()
+                if one not in seen:
+                    seen.add(one)
+                    todo += after.get(one, ())
+        keep[list(seen)] = True
+    runs = runs[:, keep]
+    # runs no more than GAP words apart, pair by pair; others join no passage
+    runs = runs[:, np.lexsort((runs[3], runs[2], runs[1]))]
+    reach = np.maximum.accumulate(runs[2])
+    begins = np.flatnonzero(np.concatenate([[True], (runs[1][1:] - reach[:-1] > GAP) | (runs[0][1:] != runs[0][:-1])]))
+    stops = np.append(begins[1:], runs.shape[1])
+    out = []
+    for k in np.flatnonzero(reach[stops - 1] - runs[1][begins] >= passage).tolist():
+        pair = int(runs[0, begins[k]])
+        a, b = int(ends[pair]), int(ends_b[pair])
+        for one in _joined(list(zip(*runs[1:, begins[k] : stops[k]].tolist(), strict=True)), shingles, shingles, passage, percent):
+            out.append((pair, one[0] - a, one[1] - a, one[2] - b, one[3] - b, np.array_equal(words[one[0] : one[1]], words[one[2] : one[3]])))
+    return out
+
+
 FOUND = "doc_id long, tag long, first_word int, last_word int, of_doc_id long, of_first_word int, of_last_word int, exact boolean"
 
 
-def _words_of(lists: pa.ListArray, i: int) -> np.ndarray:
-    own = lists[i].values.to_numpy(zero_copy_only=False)
-    return own.astype(np.int32, copy=False).view(np.uint32).astype(np.uint64)
+def _gathered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Batches put together, so that steps over many small ones are few, up to _GATHERED bytes."""
+    held, size = [], 0
+    for batch in slices(batches):
+        if held and size + batch.nbytes > _GATHERED:
+            yield pa.concat_batches(held)
+            held, size = [], 0
+        held.append(batch)
+        size += batch.nbytes
+    if held:
+        yield pa.concat_batches(held)
 
 
 def verified(pairs: DataFrame, words: DataFrame, passage: int, percent: int) -> DataFrame:
@@ -743,14 +944,9 @@ def verified(pairs: DataFrame, words: DataFrame, passage: int, percent: int) ->
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         kinds = (pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.int32(), pa.int32(), pa.bool_())
         names = [x.split()[0] for x in FOUND.split(", ")]
-        for part in slices(batches):
-            rows = []
-            lists, words_a, words_b = (part.column(c) for c in ("shared", "words_a", "words_b"))
-            for i, (a, tag, b) in enumerate(zip(*(part.column(c).to_pylist() for c in ("a", "tag", "b")), strict=True)):
-                seeds = lists[i].values
-                seeds = sorted(set(zip(seeds.field(0).to_pylist(), seeds.field(1).to_pylist(), strict=True)))
-                own, other = _words_of(words_a, i), _words_of(words_b, i)
-                rows += [(a, tag, *found[:2], b, *found[2:], np.array_equal(own[slice(*found[:2])], other[slice(*found[2:])])) for found in alike(own, other, seeds, passage, percent)]
+        for part in _gathered(batches):
+            ids = [part.column(c).to_pylist() for c in ("a", "tag", "b")]
+            rows = [(ids[0][i], ids[1][i], *found[:2], ids[2][i], *found[2:]) for i, *found in alike_all(*(part.column(c) for c in ("words_a", "words_b", "shared")), passage, percent)]
             if rows:
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), kinds, strict=True)], names=names)
 
