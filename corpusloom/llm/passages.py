@@ -499,9 +499,9 @@ def contexts(words: DataFrame, passage: int) -> DataFrame:
     return words.select("doc_id", "words", "runs", "covered").mapInArrow(run, "key long, doc_id long, place long, begin int, bare int, bare_end int, beside array<int>")
 
 
-def _carried_on(key: np.ndarray, place: np.ndarray, begin: np.ndarray, blocks: Blocks, ends: np.ndarray, passage: int) -> Iterator[tuple[int, np.ndarray]]:
-    """For each free row the rows of its key before it that share a shingle beside the run behind other words than those
-    between the two in the other, ascending: the run goes on over an edit."""
+def _over_edits(key: np.ndarray, place: np.ndarray, begin: np.ndarray, blocks: Blocks, ends: np.ndarray, passage: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Shingles beside runs that several rows of a key have, behind different words: value, kind (of the words between
+    shingle and run) and row, by value and row."""
     free, kept = place & 1 == 1, []
     at, low, high = ends[:-1] + begin, ends[:-1], ends[1:]
     parts = max(1, len(key) // _ROWS)  # parts of the shingles' hashes, one after the other
@@ -532,6 +532,12 @@ def _carried_on(key: np.ndarray, place: np.ndarray, begin: np.ndarray, blocks: B
         order = np.lexsort((row, value))  # rows are in order of documents
         kept.append((value[order], kind[order], row[order]))
     value, kind, row = (np.concatenate(x) for x in zip(*kept, strict=True))
+    return value, kind, row
+
+
+def _carried_on(free: np.ndarray, value: np.ndarray, kind: np.ndarray, row: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
+    """For each free row the rows of its key before it that share a shingle beside the run behind other words than those
+    between the two in the other, ascending: the run goes on over an edit. value, kind, row: as `_over_edits` says."""
     if not len(value):
         return
     first = np.flatnonzero(np.concatenate([[True], value[1:] != value[:-1]]))
@@ -632,12 +638,20 @@ def rest_pairs(found: DataFrame, passage: int, percent: int) -> DataFrame:
         key, doc, place, begin = key[own], doc[own], place[own], begin[own]
         bare = [tuple(x) for x in zip(*(rows.column(c).to_numpy()[own].tolist() for c in ("bare", "bare_end")), strict=True)]
         blocks = Blocks(flat)
-        codes = np.append(np.unique(blocks.every(SHINGLE), return_inverse=True)[1], np.zeros(SHINGLE, np.int64))
-        place_of, out = np.full(len(codes), -1, np.int64), []
+        edits = _over_edits(key, place, begin, blocks, ends, passage)
+        looked = np.zeros(len(key), bool)
+        looked[edits[2]] = True  # only these rows are compared
+        at = np.flatnonzero(np.repeat(looked, np.diff(ends))[: max(0, len(flat) - SHINGLE + 1)])
+        codes = np.zeros(len(flat) + SHINGLE, np.int64)
+        codes[at] = np.unique(blocks.every(SHINGLE)[at], return_inverse=True)[1] if len(at) else 0
+        place_of, out = np.full(len(at) + 1, -1, np.int64), []
         often, known = np.bincount(kind) > 1, {}
-        for row, others in _carried_on(key, place, begin, blocks, ends, passage):
+        for row, others in _carried_on(place & 1 == 1, *edits):
             others = others[doc[others] != doc[row]]
-            others = np.sort(others[np.unique(kind[others], return_index=True)[1]])  # later ones of a kind give nothing more
+            again = often[kind[others]]
+            if again.any():  # later ones of a kind give nothing more
+                several = others[again]
+                others = np.sort(np.concatenate([others[~again], several[np.unique(kind[several], return_index=True)[1]]]))
             if len(known) > _KNOWN:
                 known.clear()
             out += [(row, to) for to in _furthest(row, others, begin, bare[row], flat, ends, codes, place_of, passage, percent, kind, known if often[kind[row]] else {})]
